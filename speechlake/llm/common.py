@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space between words, and a word, as the contracts define them.
@@ -12,14 +13,22 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once into the cluster's shared spark.checkpoint.dir, without its lineage.
-
-    Only where the session names no such folder (in tests) is a local one set.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_root(spark: SparkSession) -> str:
+    """The cluster's shared spark.checkpoint.dir; only where the session names none (in tests), a local folder."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    return sc.getCheckpointDir()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own below the shared folder."""
+    return f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, computed once into the shared folder, without its lineage."""
+    shared_root(df.sparkSession)
     return df.checkpoint()
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, quality, sharding, url_filters
+from . import chat, mixing, packing, quality, sharding, token_output, url_filters
 
 QUERIES = {
     "op1_systematic_mix": mixing.op1_systematic_mix,
+    "op2_byte_planes": token_output.op2_byte_planes,
     "op3_event_fold": chat.op3_event_fold,
+    "op4_best_fit": packing.op4_best_fit,
     "op5_url_rules": url_filters.op5_url_rules,
     "op6_sampled_splitters": sharding.op6_sampled_splitters,
     "op10_weak_supervision": quality.op10_weak_supervision,
