@@ -105,3 +105,26 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     tops = now.select(F.col("b").alias("node")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(tops.withColumn("component", F.col("node")))
+
+
+def whole_groups(batches, keys: list[str]):
+    """Frames that hold whole groups only, from batches of rows sorted by keys (as mapInPandas passes them)."""
+    import pandas as pd
+
+    held = []
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        new = ~pdf.duplicated(keys).to_numpy()
+        if held and (pdf[keys].iloc[0] == held[-1][keys].iloc[-1]).all():
+            new[0] = False
+        starts = new.nonzero()[0]
+        if len(starts):
+            head = pdf.iloc[: starts[-1]]
+            out = [*held, head] if len(head) else held
+            if out:
+                yield pd.concat(out, ignore_index=True)
+            held = []
+        held.append(pdf.iloc[starts[-1] :] if len(starts) else pdf)
+    if held:
+        yield pd.concat(held, ignore_index=True)

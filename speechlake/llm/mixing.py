@@ -70,6 +70,12 @@ def emit(mixed: DataFrame) -> DataFrame:
     return mixed.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies").cast("int") - 1)))
 
 
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """Rows of docs as often as the mix by words takes them, with their own columns only."""
+    rows = docs.select(F.struct("*").alias("_doc"), "doc_id", "source", n_words(F.col("text")).alias("size"))
+    return emit(mix(rows, "size")).select("_doc.*")
+
+
 def op1_systematic_mix(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = checkpointed(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")))

@@ -136,6 +136,12 @@ def judged(rows: DataFrame, threshold: float = 0.5) -> DataFrame:
     return made.join(F.broadcast(fitted), "votes").withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold))
 
 
+def good_documents(docs: DataFrame) -> DataFrame:
+    """The rows of docs that are kept, with their own columns only."""
+    rows = features(docs.select(F.struct("*").alias("_doc"), "text"))
+    return judged(rows).where("kept").select("_doc.*")
+
+
 def op10_weak_supervision(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     rows = checkpointed(features(docs).drop("text"))
