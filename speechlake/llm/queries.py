@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, embedding_dedup, minhash, mixing, packing, quality, sharding, token_output, url_filters
+from . import chat, embedding_dedup, lm, minhash, mixing, packing, quality, sharding, token_output, url_filters
 
 QUERIES = {
     "op1_systematic_mix": mixing.op1_systematic_mix,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_sampled_splitters": sharding.op6_sampled_splitters,
     "op7_spherical_caps": embedding_dedup.op7_spherical_caps,
     "op8_bag_minhash": minhash.op8_bag_minhash,
+    "op9_log_bilinear": lm.op9_log_bilinear,
     "op10_weak_supervision": quality.op10_weak_supervision,
 }
 SQL = {

@@ -17,15 +17,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def word_hashes(texts: list[str], lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, hash, bytes, first byte, last byte) of every word of every text, in order.
+def word_hashes(texts: list[str], lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, hash, last three bytes as a number) of every word of every text, in order.
 
-    Words are runs of bytes other than 0x20 and 0x09-0x0D. A word's hash is a polynomial over its bytes modulo
+    A shorter word's last three bytes begin with white space. Words are runs of bytes other than 0x20 and 0x09-0x0D. A word's hash is a polynomial over its bytes modulo
     2 ** 64, taken for all words from prefix sums, and mixed with its length.
     """
     encoded = [t.encode("utf-8", "surrogatepass") for t in texts]
-    data = np.frombuffer(b" " + b" ".join(encoded) + b" ", np.uint8)
-    begins = np.cumsum([1] + [len(e) + 1 for e in encoded])
+    data = np.frombuffer(b"  " + b" ".join(encoded) + b" ", np.uint8)
+    begins = np.cumsum([2] + [len(e) + 1 for e in encoded])
     if lower:
         data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
     space = (data == 32) | ((data >= 9) & (data <= 13))
@@ -43,7 +43,8 @@ def word_hashes(texts: list[str], lower: bool = False) -> tuple[np.ndarray, np.n
         value = (sums[ends - 1] - sums[starts - 1]) * inverse[starts]
         lengths = ends - starts
         hashed = mix(value + lengths.astype(U) * U(PLACES[2]))
-    return np.searchsorted(begins, starts, side="right") - 1, hashed, lengths, data[starts], data[ends - 1]
+        tail = data[ends - 1].astype(np.int64) | data[ends - 2].astype(np.int64) << 8 | data[ends - 3].astype(np.int64) << 16
+    return np.searchsorted(begins, starts, side="right") - 1, hashed, tail
 
 
 def shingle_sets(texts: list[str], size: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -51,7 +52,7 @@ def shingle_sets(texts: list[str], size: int = 5) -> tuple[np.ndarray, np.ndarra
 
     A text with fewer words than size has one shingle, of all its words; one without words has none.
     """
-    owner, words, *_ = word_hashes(texts)
+    owner, words, _ = word_hashes(texts)
     counts = np.bincount(owner, minlength=len(texts))
     firsts = np.cumsum(counts) - counts
     with np.errstate(over="ignore"):
