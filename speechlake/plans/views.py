@@ -37,8 +37,8 @@ VIEWS = {
         CASE part % 4 WHEN 0 THEN 'calm' WHEN 1 THEN 'stressed' WHEN 2 THEN 'tired' END AS mood, (part * 31 % 201 - 100) / 100.0::DOUBLE AS sentiment_score, (part * 57 % 201 - 100) / 100.0::DOUBLE AS text_score,
         CASE WHEN part * 31 % 201 - 100 > 20 THEN 'positive' WHEN part * 31 % 201 - 100 < -20 THEN 'negative' ELSE 'neutral' END AS sentiment,
         CASE WHEN part * 57 % 201 - 100 > 20 THEN 'positive' WHEN part * 57 % 201 - 100 < -20 THEN 'negative' ELSE 'neutral' END AS text_sentiment FROM v_clip_speakers""",
-    "v_laps": """SELECT o_custkey % 10 AS session_key, o_custkey AS driver_number, lap_number, at AS start_s, least(nxt - at, 90 * 86400)::DOUBLE AS duration_s
-      FROM (SELECT o_custkey, row_number() OVER w AS lap_number, epoch(o_orderdate::TIMESTAMP)::BIGINT AS at, epoch((lead(o_orderdate) OVER w)::TIMESTAMP)::BIGINT AS nxt FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))""",
+    "v_laps": """SELECT o_custkey % 10 AS session_key, o_custkey AS driver_number, lap_number, at_s AS start_s, least(nxt - at_s, 90 * 86400)::DOUBLE AS duration_s
+      FROM (SELECT o_custkey, row_number() OVER w AS lap_number, epoch(o_orderdate::TIMESTAMP)::BIGINT AS at_s, epoch((lead(o_orderdate) OVER w)::TIMESTAMP)::BIGINT AS nxt FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))""",
     "v_radio": """SELECT o_custkey || '-' || o_orderkey || '-' || l_partkey || '-' || strftime(l_shipdate, '%Y%m%d') AS call_id, o_custkey % 10 AS session_key, o_custkey AS driver_number,
         epoch(l_shipdate::TIMESTAMP)::BIGINT AS recorded_s, p_name AS text, CASE WHEN l_partkey % 17 = 0 THEN 'failed' END AS error, CASE WHEN l_partkey % 13 <> 0 THEN epoch(l_shipdate::TIMESTAMP)::BIGINT + 60 END AS analyzed_s,
         CASE l_partkey % 4 WHEN 0 THEN 'calm' WHEN 1 THEN 'stressed' WHEN 2 THEN 'tired' END AS mood
