@@ -1 +1,184 @@
-"""Queries."""
+"""Queries that join."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import joins as j
+from .registry import query
+
+C = F.col
+DAY = 86400.0
+
+
+def calls(t):
+    return t.v_radio.withColumnsRenamed({"call_id": "speech_id", "recorded_s": "at_s"})
+
+
+def good_calls(t):
+    return calls(t).where("error IS NULL AND analyzed_s IS NOT NULL")
+
+
+@query("j10_during_lap", "SELECT call_id AS speech_id, r.session_key, r.driver_number, lap_number FROM v_radio r JOIN v_laps l ON r.session_key = l.session_key AND r.driver_number = l.driver_number AND recorded_s >= start_s - 86400 AND recorded_s < start_s + duration_s + 86400 WHERE duration_s IS NOT NULL")
+def j10(t):
+    return j.during_lap(calls(t), t.v_laps, DAY, 30 * DAY)
+
+
+@query("j11_speech_ts", """SELECT u.utterance_id::VARCHAR AS speech_id, r.session_key, d.driver_number, epoch(c.created_at::TIMESTAMP)::BIGINT + u.idx AS at_s FROM v_speech_utt u JOIN v_clips c USING (clip_id) JOIN v_races r USING (race_id) JOIN v_drivers d ON d.profile_id = u.profile_id AND d.session_key = r.session_key
+  UNION ALL SELECT call_id, session_key, driver_number, recorded_s FROM v_radio WHERE error IS NULL AND analyzed_s IS NOT NULL""")
+def j11(t):
+    """When each speech was said: an utterance by its clip's time and place in it, a call by its own."""
+    u = t.v_speech_utt.select("utterance_id", "clip_id", "idx", "profile_id").where("profile_id IS NOT NULL")
+    c = t.v_clips.select("clip_id", "race_id", "created_at").join(t.v_races.select("race_id", "session_key"), "race_id")
+    said = u.join(c, "clip_id").join(t.v_drivers.select("session_key", "driver_number", "profile_id"), ["session_key", "profile_id"])
+    mine = said.select(C("utterance_id").cast("string").alias("speech_id"), "session_key", "driver_number", (F.unix_seconds(C("created_at").cast("timestamp")) + C("idx")).alias("at_s"))
+    return mine.unionByName(good_calls(t).select("speech_id", "session_key", "driver_number", "at_s"))
+
+
+@query("j12_resolve_speaker", """SELECT u.utterance_id, coalesce(u.profile_id, s.profile_id) AS profile_id, p.name FROM (SELECT utterance_id, clip_id, local_label, CASE WHEN utterance_id % 2 = 0 THEN profile_id END AS profile_id FROM v_speech_utt) u
+  LEFT JOIN v_clip_speakers s ON s.clip_id = u.clip_id AND s.local_label = u.local_label LEFT JOIN v_profiles_named p ON p.profile_id = coalesce(u.profile_id, s.profile_id)""")
+def j12(t):
+    u = t.v_speech_utt.select("utterance_id", "clip_id", "local_label", F.when(C("utterance_id") % 2 == 0, C("profile_id")).alias("own"))
+    s = t.v_clip_speakers.select("clip_id", "local_label", "profile_id")
+    got = u.join(s, ["clip_id", "local_label"], "left").select("utterance_id", F.coalesce("own", "profile_id").alias("profile_id"))
+    return got.join(t.v_profiles_named.select("profile_id", "name"), "profile_id", "left")
+
+
+@query("j13_resolve_radio", "SELECT call_id, d.name AS driver, s.name AS session, s.circuit FROM v_radio r LEFT JOIN v_drivers d ON d.session_key = r.session_key AND d.driver_number = r.driver_number LEFT JOIN v_sessions s ON s.session_key = r.session_key")
+def j13(t):
+    d = t.v_drivers.select("session_key", "driver_number", C("name").alias("driver"))
+    s = t.v_sessions.select("session_key", C("name").alias("session"), "circuit")
+    return t.v_radio.join(d, ["session_key", "driver_number"], "left").join(s, "session_key", "left").select("call_id", "driver", "session", "circuit")
+
+
+@query("j14_latest", "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
+def j14(t):
+    return j.latest(t.events.select("user_id", "event_type", "ts", "event_id", "value"), ["user_id", "event_type"], ["ts", "event_id"]).drop("ts")
+
+
+@query("j15_talked_with", "SELECT a.profile_id AS a, b.profile_id AS b, count(*) AS n FROM v_clip_speakers a JOIN v_clip_speakers b ON a.clip_id = b.clip_id AND a.profile_id < b.profile_id JOIN v_clips c ON c.clip_id = a.clip_id WHERE c.status = 'COMPLETE' GROUP BY 1, 2")
+def j15(t):
+    return j.talked_with(t.v_clip_speakers, t.v_clips)
+
+
+def spoken(t):
+    """Texts that name parts, words of parts and nations."""
+    nation = t.nation.select("n_nationkey", "n_name")
+    return t.part.join(F.broadcast(nation), C("p_partkey") % 25 == C("n_nationkey")).select(C("p_partkey").alias("speech_id"), F.concat(F.lit("We saw the "), F.upper("p_name"), F.lit(", near "), "n_name", F.lit(".")).alias("text"), (C("p_partkey") % 10).alias("session_key"))
+
+
+SPOKEN = "spoken AS (SELECT p_partkey AS speech_id, 'we saw the ' || lower(p_name) || ', near ' || lower(n_name) || '.' AS text, p_partkey % 10 AS session_key, lower(p_name) AS part, lower(n_name) AS nation FROM part JOIN nation ON p_partkey % 25 = n_nationkey)"
+#: The whole name is the longest alias at its place, so its first word is not found apart.
+FOUND = "found AS (SELECT DISTINCT speech_id, a.entity_type, a.entity_key FROM spoken JOIN v_aliases a ON a.alias = part OR a.alias = nation)"
+
+
+@query("j16_mentions", f"WITH {SPOKEN}, {FOUND} SELECT * FROM found")
+def j16(t):
+    return j.mentions(spoken(t), t.v_aliases)
+
+
+def driver_mentions(t):
+    found = j.mentions(spoken(t), t.v_aliases).where("entity_type = 'nation'").where(C("entity_key").rlike("^[0-9]+$"))
+    keyed = found.join(spoken(t).select("speech_id", "session_key"), "speech_id").where("session_key IS NOT NULL").withColumn("driver_number", C("entity_key").cast("long"))
+    return keyed.join(t.v_drivers.select("session_key", "driver_number", "name"), ["session_key", "driver_number"])
+
+
+DRIVERS = f"{SPOKEN}, {FOUND}, named AS (SELECT speech_id, session_key, d.driver_number, d.name FROM found JOIN spoken USING (speech_id) JOIN v_drivers d USING (session_key) WHERE entity_type = 'nation' AND d.driver_number = entity_key::BIGINT)"
+
+
+@query("j17_driver_mentions", f"WITH {DRIVERS} SELECT * FROM named")
+def j17(t):
+    return driver_mentions(t).select("speech_id", "session_key", "driver_number", "name")
+
+
+@query("j18_target_driver", f"WITH {DRIVERS} SELECT s.speech_id, target FROM spoken s LEFT JOIN (SELECT speech_id, min(driver_number) AS target FROM named GROUP BY 1 HAVING count(DISTINCT driver_number) = 1) USING (speech_id)")
+def j18(t):
+    return spoken(t).select("speech_id").join(j.target_driver(driver_mentions(t)), "speech_id", "left")
+
+
+@query("j19_unread", "SELECT doc_id AS speech_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def j19(t):
+    """Speech that has no label yet."""
+    return t.documents.select("doc_id").join(t.labels.select("doc_id"), "doc_id", "left_anti").withColumnRenamed("doc_id", "speech_id")
+
+
+@query("j20_land_edges", "SELECT l_orderkey AS src, l_suppkey AS dst FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') AND l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 2 = 0)")
+def j20(t):
+    edges = t.lineitem.select(C("l_orderkey").alias("src"), C("l_suppkey").alias("dst"))
+    return j.land_edges(edges, t.orders.where("o_orderstatus = 'F'").select(C("o_orderkey").alias("key")), t.supplier.where("s_suppkey % 2 = 0").select(C("s_suppkey").alias("key")))
+
+
+def lap_facts(t):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("session_key", "driver_number").orderBy("lap_number")
+    laps = t.v_laps.withColumn("prev_s", F.lag("duration_s").over(w))
+    return j.during_lap(good_calls(t), t.v_laps, DAY, 30 * DAY).join(laps.select("session_key", "driver_number", "lap_number", "duration_s", "prev_s"), ["session_key", "driver_number", "lap_number"])
+
+
+def call_speech(t):
+    d = t.v_drivers.select("session_key", "driver_number", C("name").alias("driver"))
+    s = t.v_sessions.select("session_key", C("name").alias("session"), "year")
+    rows = good_calls(t).join(d, ["session_key", "driver_number"], "left").join(s, "session_key", "left")
+    return rows.select("speech_id", C("driver_number").alias("clip_id"), F.struct("at_s", "speech_id").alias("idx"), "text", "mood", "driver", "session", "year")
+
+
+def call_anchors(t):
+    """Every call of the drivers whose number 50 divides, in order."""
+    from pyspark.sql import Window
+
+    rows = good_calls(t).where("driver_number % 50 = 0")
+    return rows.select("speech_id", F.row_number().over(Window.partitionBy("driver_number").orderBy("at_s", "speech_id")).alias("rank"), C("driver_number").alias("request_id"))
+
+
+def call_mentions(t):
+    low = F.lower("text")
+    return good_calls(t).select("speech_id", F.lit("part").alias("entity_type"), low.alias("entity_key"))
+
+
+EXPANDED = """g AS (SELECT * FROM v_radio WHERE error IS NULL AND analyzed_s IS NOT NULL),
+  a AS (SELECT call_id AS speech_id, driver_number AS request_id, row_number() OVER (PARTITION BY driver_number ORDER BY recorded_s, call_id) AS rank FROM g WHERE driver_number % 50 = 0),
+  near AS (SELECT call_id AS speech_id, g.text, g.mood, d.name AS driver, s.name AS session, s.year, lag(g.text) OVER w AS prev_text, lead(g.text) OVER w AS next_text FROM g LEFT JOIN v_drivers d ON d.session_key = g.session_key AND d.driver_number = g.driver_number LEFT JOIN v_sessions s ON s.session_key = g.session_key WINDOW w AS (PARTITION BY g.driver_number ORDER BY recorded_s, call_id)),
+  lp AS (SELECT *, lag(duration_s) OVER (PARTITION BY session_key, driver_number ORDER BY lap_number) AS prev_s FROM v_laps),
+  lf AS (SELECT call_id AS speech_id, lp.lap_number, lp.duration_s, lp.prev_s FROM g JOIN lp ON g.session_key = lp.session_key AND g.driver_number = lp.driver_number AND recorded_s >= start_s - 86400 AND recorded_s < start_s + duration_s + 86400 WHERE duration_s IS NOT NULL),
+  expanded AS (SELECT a.request_id, a.rank, near.*, lower(near.text) AS name FROM a JOIN near USING (speech_id))"""
+
+
+@query("j21_expand", f"WITH {EXPANDED} SELECT request_id, rank, e.speech_id, e.text, driver, session, prev_text, next_text, coalesce(n, 0) AS n_laps, first_lap, 1 AS n_mentions FROM expanded e LEFT JOIN (SELECT speech_id, count(DISTINCT lap_number) AS n, min(lap_number) AS first_lap FROM lf GROUP BY 1) USING (speech_id)")
+def j21(t):
+    rows = j.expand(call_anchors(t), call_speech(t), lap_facts(t), call_mentions(t))
+    return rows.select("request_id", "rank", "speech_id", "text", "driver", "session", "prev_text", "next_text", F.coalesce(F.size("laps"), F.lit(0)).alias("n_laps"), F.try_element_at("laps", F.lit(1))["lap_number"].alias("first_lap"), F.size("mentions").alias("n_mentions"))
+
+
+@query("j22_resolve", """WITH ids AS (SELECT call_id AS speech_id FROM v_radio WHERE driver_number % 50 = 0), g AS (SELECT call_id AS speech_id, text, 'graph' AS via FROM v_radio WHERE error IS NULL AND analyzed_s IS NOT NULL)
+  SELECT speech_id, coalesce(g.text, r.text) AS text, coalesce(via, 'table') AS via FROM ids LEFT JOIN g USING (speech_id) LEFT JOIN (SELECT call_id AS speech_id, text FROM v_radio) r USING (speech_id)""")
+def j22(t):
+    """Facts from the graph's tables first; what is not there comes from the calls themselves."""
+    ids = calls(t).where("driver_number % 50 = 0").select("speech_id")
+    graph = good_calls(t).join(ids, "speech_id", "left_semi").select("speech_id", "text", F.lit("graph").alias("via"))
+    rest = ids.join(graph, "speech_id", "left_anti")
+    return graph.unionByName(calls(t).join(rest, "speech_id", "left_semi").select("speech_id", "text", F.lit("table").alias("via")))
+
+
+@query("j23_spoken_by", "SELECT c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE (trim(c_name) <> '' AND (contains(lower(trim(c_name)), 'customer#00000001') OR contains('customer#00000001', lower(trim(c_name))))) OR (trim(n_name) <> '' AND (contains(lower(trim(n_name)), 'customer#00000001') OR contains('customer#00000001', lower(trim(n_name)))))")
+def j23(t):
+    rows = t.customer.join(F.broadcast(t.nation), C("c_nationkey") == C("n_nationkey"))
+    return j.spoken_by(rows, ["c_name", "n_name"], " Customer#00000001").select("c_custkey")
+
+
+@query("j24_inherit", """WITH v AS (SELECT clip_id, local_label AS idx, coalesce(cluster_id, profile_id) % 3 AS voice, profile_id FROM v_clip_speakers), n AS (SELECT clip_id, voice, arg_max(profile_id, idx) AS p FROM v WHERE profile_id IS NOT NULL AND voice IS NOT NULL GROUP BY 1, 2)
+  SELECT v.clip_id, idx, coalesce(profile_id, p) AS profile_id, profile_id IS NULL AND p IS NOT NULL AS inherited FROM v LEFT JOIN n ON v.clip_id = n.clip_id AND v.voice = n.voice""")
+def j24(t):
+    v = t.v_clip_speakers.select("clip_id", C("local_label").alias("idx"), (F.coalesce("cluster_id", "profile_id") % 3).alias("voice"), "profile_id")
+    return j.inherit_identity(v).select("clip_id", "idx", "profile_id", "inherited")
+
+
+@query("j25_profile_clips", "SELECT s.profile_id, s.clip_id, c.filename, c.created_at, s.speech_s FROM v_clip_speakers s JOIN v_clips c USING (clip_id) WHERE s.profile_id IS NOT NULL")
+def j25(t):
+    return t.v_clip_speakers.where("profile_id IS NOT NULL").join(t.v_clips.select("clip_id", "filename", "created_at"), "clip_id").select("profile_id", "clip_id", "filename", "created_at", "speech_s")
+
+
+@query("j26_resolve_names", "SELECT token, s_suppkey AS id FROM (SELECT CASE WHEN c_custkey % 3 = 0 THEN '  ' || upper('supplier#' || lpad((c_custkey % 15)::VARCHAR, 9, '0')) ELSE c_name END AS token, c_custkey FROM customer) LEFT JOIN supplier ON lower(trim(token)) = lower(s_name)")
+def j26(t):
+    tokens = t.customer.select(F.when(C("c_custkey") % 3 == 0, F.concat(F.lit("  "), F.upper(F.concat(F.lit("supplier#"), F.lpad((C("c_custkey") % 15).cast("string"), 9, "0"))))).otherwise(C("c_name")).alias("token"))
+    return j.resolve_names(tokens, t.supplier.select(C("s_suppkey").alias("id"), C("s_name").alias("name")))
