@@ -64,7 +64,7 @@ VIEWS = {
       UNION ALL SELECT lower(n_name), 'nation', n_nationkey::VARCHAR FROM nation""",
     "v_incoming": """SELECT 1 AS batch, doc_id AS file_id, text AS content, source AS race FROM documents
       UNION ALL SELECT 2, doc_id + 1000000000, text, source || '-b' FROM documents WHERE doc_id % 3 = 0""",
-    "v_audit": "SELECT user_id AS actor, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, event_type AS action, epoch(ts)::BIGINT AS at_s, 'object-' || event_id AS object, strftime(ts, '%Y-%m-%d') AS day, (event_id % 3)::VARCHAR AS before, (event_id % 4)::VARCHAR AS after FROM events",
+    "v_audit": "SELECT user_id AS actor, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, event_type AS action, epoch_us(ts) // 1000000 AS at_s, 'object-' || event_id AS object, strftime(ts, '%Y-%m-%d') AS day, (event_id % 3)::VARCHAR AS before, (event_id % 4)::VARCHAR AS after FROM events",
 }
 
 
