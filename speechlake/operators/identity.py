@@ -20,24 +20,38 @@ def centroids(enrollments: DataFrame) -> DataFrame:
     return weighted_centroid(enrollments, "profile_id")
 
 
-def similarities(queries: DataFrame, profiles: DataFrame, key: str, vec: str = "centroid", limit: int = MOST_PROFILES) -> DataFrame:
-    """Every query (query_id, vec) against a stated set of profile vectors: query_id, key, sim.
+def _met(queries: DataFrame, profiles: DataFrame, key: str, vec: str, limit: int) -> tuple[DataFrame, int]:
+    """Queries beside the profiles in sorted blocks (an array column, _set), and the number of blocks.
 
-    The profiles travel as one sorted block (one array row), checked to be at most limit; beyond it they go in
-    several blocks by hash, each of bounded size.
+    The profiles are counted: up to limit they travel as one broadcast row; beyond it they go in several blocks
+    by hash, each of bounded size.
     """
     blocks = max(1, -(-profiles.count() // limit))
     block = profiles.groupBy(F.pmod(F.xxhash64(key), F.lit(blocks)).alias("_block")).agg(F.sort_array(F.collect_list(F.struct(F.col(key).alias("k"), F.col(vec).alias("v")))).alias("_set"))
-    spread = queries.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
-    met = spread.join(F.broadcast(block) if blocks == 1 else block, "_block")
+    spread = queries.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    return spread.join(F.broadcast(block) if blocks == 1 else block, "_block"), blocks
+
+
+def similarities(queries: DataFrame, profiles: DataFrame, key: str, vec: str = "centroid", limit: int = MOST_PROFILES) -> DataFrame:
+    """Every query (query_id, vec) against a stated set of profile vectors: query_id, key, sim."""
+    met, _ = _met(queries, profiles, key, vec, limit)
     scored = F.transform("_set", lambda p: F.struct(p["k"].alias(key), dot(F.col("vec"), p["v"]).alias("sim")))
     return met.select("query_id", F.explode(scored).alias("x")).select("query_id", "x.*")
 
 
-def knn(queries: DataFrame, profiles: DataFrame, key: str = "profile_id", k: int = 10) -> DataFrame:
-    """query_id, key, sim, rank: the k most similar profiles, ties by key."""
+def knn(queries: DataFrame, profiles: DataFrame, key: str = "profile_id", k: int = 10, others: bool = False, limit: int = MOST_PROFILES) -> DataFrame:
+    """query_id, key, sim, rank: the k most similar profiles, ties by key; others: not the query's own id.
+
+    The best k of a block are taken within the query's row; only where there are several blocks do they meet again.
+    """
+    met, blocks = _met(queries, profiles, key, "centroid", limit)
+    pool = F.filter("_set", lambda p: p["k"] != F.col("query_id")) if others else F.col("_set")
+    scored = F.transform(pool, lambda p: F.struct(dot(F.col("vec"), p["v"]).alias("sim"), (-p["k"]).alias("nk")))
+    best = met.select("query_id", F.posexplode(F.slice(F.sort_array(scored, False), 1, k)).alias("_p", "x")).select("query_id", (-F.col("x.nk")).alias(key), "x.sim", (F.col("_p") + 1).alias("rank"))
+    if blocks == 1:
+        return best
     w = Window.partitionBy("query_id").orderBy(F.desc("sim"), key)
-    return similarities(queries, profiles, key).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def identify(queries: DataFrame, profiles: DataFrame, p: Params = DEFAULTS) -> DataFrame:
@@ -147,22 +161,20 @@ def consolidate(clusters: DataFrame, p: Params = DEFAULTS, rounds: int = 20) ->
     """
     from .shared import checkpointed
 
-    now = clusters.select("cluster_id", "centroid", "weight")
-    names = clusters.select("cluster_id", F.col("cluster_id").alias("survivor"))
+    now = checkpointed(clusters.select("cluster_id", "centroid", "weight"))
+    names = now.select("cluster_id", F.col("cluster_id").alias("survivor"))
     for _ in range(rounds):
-        now = checkpointed(now)
-        sims = similarities(now.select(F.col("cluster_id").alias("query_id"), F.col("centroid").alias("vec")), now, "cluster_id").where((F.col("query_id") != F.col("cluster_id")) & (F.col("sim") >= p.cluster_merge))
-        best = sims.groupBy("query_id").agg(F.max_by("cluster_id", F.struct(F.round("sim", 9), -F.col("cluster_id"))).alias("other"))
-        mutual = best.alias("a").join(best.alias("b"), (F.col("a.other") == F.col("b.query_id")) & (F.col("b.other") == F.col("a.query_id"))).where("a.query_id < b.query_id").select(F.col("a.query_id").alias("x"), F.col("b.query_id").alias("y"))
-        w = now.select("cluster_id", "weight")
-        pairs = mutual.join(w.toDF("x", "wx"), "x").join(w.toDF("y", "wy"), "y")
-        heavy = F.col("wx") >= F.col("wy")
-        merged = checkpointed(pairs.select(F.when(heavy, F.col("y")).otherwise(F.col("x")).alias("cluster_id"), F.when(heavy, F.col("x")).otherwise(F.col("y")).alias("into")))
+        best = knn(now.select(F.col("cluster_id").alias("query_id"), F.col("centroid").alias("vec")), now, "cluster_id", 1, others=True).where(F.col("sim") >= p.cluster_merge)
+        best = best.join(now.select(F.col("cluster_id").alias("query_id"), "weight"), "query_id")
+        back = best.select(F.col("query_id").alias("cluster_id"), F.col("cluster_id").alias("query_id"), F.col("weight").alias("other"))
+        mutual = best.join(back, ["query_id", "cluster_id"])
+        loses = (F.col("weight") < F.col("other")) | ((F.col("weight") == F.col("other")) & (F.col("query_id") > F.col("cluster_id")))
+        merged = checkpointed(mutual.where(loses).select(F.col("query_id").alias("cluster_id"), F.col("cluster_id").alias("into")))
         if merged.isEmpty():
             break
         names = checkpointed(names.join(merged.toDF("survivor", "into"), "survivor", "left").select("cluster_id", F.coalesce("into", "survivor").alias("survivor")))
         moved = now.join(merged, "cluster_id", "left").withColumn("cluster_id", F.coalesce("into", "cluster_id"))
-        now = weighted_centroid(moved.withColumnRenamed("centroid", "vec"), "cluster_id", "vec", "weight").join(moved.groupBy("cluster_id").agg(F.sum("weight").alias("weight")), "cluster_id")
+        now = checkpointed(weighted_centroid(moved.withColumnRenamed("centroid", "vec"), "cluster_id", "vec", "weight").join(moved.groupBy("cluster_id").agg(F.sum("weight").alias("weight")), "cluster_id"))
     return names
 
 

@@ -1 +1,211 @@
-"""Queries."""
+"""Queries of voice identity and of vectors that read events."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.vectors import dot, weighted_centroid
+from ..operators import identity as v
+from .intervals import rounded
+from .registry import query
+
+C = F.col
+
+
+def profiles(t):
+    return v.centroids(t.v_enrollments)
+
+
+@query("v01_centroids", "SELECT profile_id, list_transform(centroid, lambda x: round(x, 6)) AS centroid FROM v_centroids")
+def v01(t):
+    return profiles(t).select("profile_id", F.transform("centroid", lambda x: F.round(x, 6)).alias("centroid"))
+
+
+SIMS = "sims AS (SELECT query_id, profile_id, list_inner_product(vec, centroid) AS sim FROM v_queries CROSS JOIN v_centroids), knn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, profile_id) AS rank FROM sims) WHERE rank <= 10)"
+
+
+@query("v02_knn_profiles", f"WITH {SIMS} SELECT query_id, profile_id, round(sim, 6) AS sim, rank FROM knn")
+def v02(t):
+    return rounded(v.knn(t.v_queries, profiles(t)).select("query_id", "profile_id", "sim", "rank"), "sim")
+
+
+IDENTIFIED = f"""{SIMS}, per AS (SELECT query_id, max(profile_id) FILTER (rank = 1) AS top, max(sim) FILTER (rank = 1) AS score, max(profile_id) FILTER (rank = 2) AS sid, coalesce(max(sim) FILTER (rank = 2), 0) AS second, count(*) FILTER (rank > 1) AS n, avg(sim) FILTER (rank > 1) AS mean, stddev_pop(sim) FILTER (rank > 1) AS sd FROM knn GROUP BY 1),
+  z AS (SELECT q.query_id, q.true_label, q.reliability, q.speech_s, top, score, sid, score - second AS margin, CASE WHEN n >= 3 THEN (score - mean) / greatest(sd, 0.05) END AS z, 0.55 + 0.1 * (1 - reliability) AS lim FROM v_queries q LEFT JOIN per USING (query_id)),
+  sure AS (SELECT *, score >= lim AND margin >= 0.04 AND (z IS NULL OR z >= 1.5) AS sure FROM z),
+  identified AS (SELECT *, CASE WHEN score IS NULL THEN 'unknown' WHEN sure AND reliability >= 0.45 THEN 'confident' WHEN sure THEN 'suggested' WHEN score >= lim - 0.08 THEN 'suggested' ELSE 'unknown' END AS result FROM sure)"""
+
+
+@query("v03_identify", f"WITH {IDENTIFIED} SELECT query_id, result, CASE WHEN result <> 'unknown' THEN top END AS profile_id, CASE WHEN result <> 'unknown' THEN sid ELSE top END AS runner_up, round(score, 6) AS score, round(margin, 6) AS margin, round(z, 5) AS z FROM identified")
+def v03(t):
+    return rounded(v.identify(t.v_queries, profiles(t)), "score", "margin").withColumn("z", F.round("z", 5))
+
+
+FLAGGED = """own AS (SELECT e.*, list_inner_product(vec, centroid) AS sim FROM v_enrollments e JOIN v_centroids USING (profile_id)), fl AS (SELECT *, count(*) OVER p >= 4 AND sim < avg(sim) OVER p - 2 * stddev_pop(sim) OVER p AND sim < 0.5 AS bad FROM own WINDOW p AS (PARTITION BY profile_id))"""
+
+
+@query("v04_recompute_profiles", f"""WITH {FLAGGED}, s AS (SELECT profile_id, count(*) AS n_enrollments, count(*) FILTER (bad) AS n_outliers, avg(sim) AS cohesion, sum(speech_s) AS speech_s, avg(reliability) AS mean_reliability FROM fl GROUP BY 1)
+  SELECT p.i AS profile_id, coalesce(n_enrollments, 0) AS n_enrollments, coalesce(n_outliers, 0) AS n_outliers, round(cohesion, 6) AS cohesion, coalesce(speech_s, 0) AS speech_s, round(mean_reliability, 6) AS mean_reliability FROM (SELECT DISTINCT label::BIGINT AS i FROM embeddings UNION SELECT 99) p LEFT JOIN s ON s.profile_id = p.i""")
+def v04(t):
+    ids = t.embeddings.select(C("label").cast("long").alias("profile_id")).union(t.embeddings.select(F.lit(99).cast("long"))).distinct()
+    return rounded(v.recompute_profiles(ids, t.v_enrollments).drop("centroid"), "cohesion", "mean_reliability")
+
+
+@query("v05_enroll", """WITH e AS (SELECT profile_id, vec, reliability FROM v_enrollments UNION ALL SELECT true_label, vec, reliability FROM v_queries WHERE query_id % 5 <> 3), s AS (SELECT profile_id, i, sum(reliability * x) AS sx FROM (SELECT profile_id, reliability, unnest(vec) AS x, generate_subscripts(vec, 1) AS i FROM e) GROUP BY 1, 2)
+  SELECT profile_id, round(max(sx) / sqrt(sum(sx * sx)), 6) AS largest, (SELECT count(*) FROM e WHERE e.profile_id = s.profile_id) AS n FROM s GROUP BY 1""")
+def v05(t):
+    """New enrollments join the old ones; those without a reliability are refused."""
+    new = t.v_queries.select(C("true_label").alias("profile_id"), "vec", F.when(C("query_id") % 5 != 3, C("reliability")).alias("reliability"))
+    every = t.v_enrollments.select("profile_id", "vec", "reliability").unionByName(new.where("reliability >= 0"))
+    n = every.groupBy("profile_id").agg(F.count("*").alias("n"))
+    return rounded(v.centroids(every).join(n, "profile_id").select("profile_id", F.array_max("centroid").alias("largest"), "n"), "largest")
+
+
+@query("v06_auto_enroll", f"WITH {IDENTIFIED} SELECT query_id, top AS profile_id FROM identified WHERE result = 'confident' AND reliability >= 0.5 AND score >= 0.85 AND top % 2 = 0")
+def v06(t):
+    """Matches good enough to enroll by themselves: sure, reliable, of a confirmed profile."""
+    got = v.identify(t.v_queries, profiles(t)).join(t.v_queries.select("query_id", "reliability"), "query_id")
+    return got.where("result = 'confident' AND reliability >= 0.5 AND score >= 0.85 AND profile_id % 2 = 0").select("query_id", "profile_id")
+
+
+@query("v07_corrections", """WITH c AS (SELECT clip_id, local_label, 'Supplier#' || lpad((clip_id % 10 + 1)::VARCHAR, 9, '0') AS name, reliability FROM v_clip_speakers WHERE clip_id % 11 = 0 AND local_label = 1)
+  SELECT clip_id, local_label, s_suppkey AS profile_id, 'confident' AS match_result, CASE WHEN reliability >= 0.45 THEN NULL ELSE 'reliability too low' END AS skipped FROM c LEFT JOIN supplier ON lower(s_name) = lower(name)""")
+def v07(t):
+    """Names given by hand: matched in any case, set as sure; enrolled unless too unreliable, with the reason."""
+    from ..operators.joins import resolve_names
+
+    c = t.v_clip_speakers.where("clip_id % 11 = 0 AND local_label = 1").withColumn("token", F.concat(F.lit("SUPPLIER#"), F.lpad((C("clip_id") % 10 + 1).cast("string"), 9, "0")))
+    named = resolve_names(c, t.supplier.select(C("s_suppkey").alias("id"), C("s_name").alias("name")))
+    return named.select("clip_id", "local_label", C("id").alias("profile_id"), F.lit("confident").alias("match_result"), F.when(~(C("reliability") >= 0.45), "reliability too low").alias("skipped"))
+
+
+def start_clusters(t):
+    """Clusters that the voices of vec_id under 20 founded."""
+    seeds = t.v_enrollments.where("vec_id < 20")
+    base = weighted_centroid(seeds, "profile_id")
+    sums = seeds.groupBy("profile_id").agg(F.sum(C("reliability") * C("speech_s")).alias("weight"), F.count("*").alias("n_members"), F.sum("speech_s").alias("speech_s"))
+    return base.join(sums, "profile_id").withColumnRenamed("profile_id", "cluster_id")
+
+
+START = """seeds AS (SELECT * FROM v_enrollments WHERE vec_id < 20), sx AS (SELECT profile_id, i, sum(reliability * x) AS sx FROM (SELECT profile_id, reliability, unnest(vec) AS x, generate_subscripts(vec, 1) AS i FROM seeds) GROUP BY 1, 2),
+  cl AS (SELECT profile_id AS cluster_id, list_transform(s, lambda x: x / sqrt(list_inner_product(s, s))) AS centroid FROM (SELECT profile_id, list(sx ORDER BY i) AS s FROM sx GROUP BY 1)),
+  h AS (SELECT query_id, cluster_id, sim, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, cluster_id) AS r FROM (SELECT query_id, cluster_id, list_inner_product(vec, centroid) AS sim FROM v_queries CROSS JOIN cl)),
+  t AS (SELECT query_id, max(cluster_id) FILTER (r = 1) AS c, max(sim) FILTER (r = 1) AS sim, coalesce(max(sim) FILTER (r = 2), 0) AS second FROM h GROUP BY 1)"""
+
+
+@query("v08_assign_clusters", f"WITH {START} SELECT query_id, CASE WHEN sim >= 0.52 THEN c ELSE -query_id END AS cluster_id, sim >= 0.52 AS hit, sim >= 0.52 AND sim - second >= 0.04 AS teaches FROM t")
+def v08(t):
+    return v.assign_clusters(t.v_queries.select("query_id", "vec", "speech_s", "reliability"), start_clusters(t))[0]
+
+
+@query("v08_updated_clusters")
+def v08_updated(t):
+    """The clusters after the batch: members, speech and weight, the centroid's largest number."""
+    made = v.assign_clusters(t.v_queries.select("query_id", "vec", "speech_s", "reliability"), start_clusters(t))[1]
+    return rounded(made.select("cluster_id", "n_members", "speech_s", "weight", F.array_max("centroid").alias("largest")), "weight", "largest")
+
+
+def small_clusters(t):
+    """Each voice as a cluster of its own."""
+    return t.v_voices.select(C("vec_id").alias("cluster_id"), C("voice").alias("centroid"), C("speech_s").alias("weight"))
+
+
+@query("v09_consolidate")
+def v09(t):
+    return v.consolidate(small_clusters(t))
+
+
+@query("v10_promote", """WITH m AS (SELECT * FROM v_clip_speakers WHERE cluster_id IS NOT NULL AND cluster_id % 4 = 0) SELECT cluster_id, count(*) AS n_members, count(*) FILTER (reliability >= 0.45) AS n_enrolled, (SELECT count(*) FROM v_speech_utt u WHERE u.cluster_id = m.cluster_id) AS n_repointed FROM m GROUP BY 1""")
+def v10(t):
+    """A cluster's members and utterances when it becomes a profile; utterances are found before the cluster is cleared."""
+    m = t.v_clip_speakers.where("cluster_id IS NOT NULL AND cluster_id % 4 = 0")
+    u = t.v_speech_utt.select("clip_id", "local_label").join(m.select("clip_id", "local_label", "cluster_id"), ["clip_id", "local_label"]).groupBy("cluster_id").agg(F.count("*").alias("n_repointed"))
+    return m.groupBy("cluster_id").agg(F.count("*").alias("n_members"), F.count_if(C("reliability") >= 0.45).alias("n_enrolled")).join(u, "cluster_id")
+
+
+@query("v11_merge_profiles", "SELECT utterance_id, CASE WHEN profile_id % 3 = 0 THEN profile_id - profile_id % 10 WHEN profile_id % 7 = 0 THEN NULL ELSE profile_id END AS profile_id FROM v_speech_utt")
+def v11(t):
+    """Profiles merged into others, or deleted, by a map of the profiles concerned."""
+    p = t.v_speech_utt.select("profile_id").where("profile_id IS NOT NULL").distinct()
+    table = p.where("profile_id % 3 = 0").select("profile_id", (C("profile_id") - C("profile_id") % 10).alias("into"), F.lit(False).alias("gone")).unionByName(p.where("profile_id % 3 <> 0 AND profile_id % 7 = 0").select("profile_id", F.lit(None).cast("long").alias("into"), F.lit(True).alias("gone")))
+    out = t.v_speech_utt.join(table, "profile_id", "left")
+    return out.select("utterance_id", F.when(F.coalesce("gone", F.lit(False)), F.lit(None)).otherwise(F.coalesce("into", "profile_id")).alias("profile_id"))
+
+
+CALIBRATION = """r AS (SELECT * FROM v_enrollments WHERE profile_id IN (SELECT profile_id FROM v_enrollments GROUP BY 1 HAVING count(*) >= 2)), s AS (SELECT profile_id, list(sx ORDER BY i) AS total FROM (SELECT profile_id, i, sum(reliability * x) AS sx FROM (SELECT profile_id, reliability, unnest(vec) AS x, generate_subscripts(vec, 1) AS i FROM r) GROUP BY 1, 2) GROUP BY 1),
+  g AS (SELECT vec_id, profile_id, vec, list_transform(list_zip(total, vec), lambda p: p[1] - reliability * p[2]) AS rest FROM r JOIN s USING (profile_id)),
+  scores AS (SELECT 'genuine' AS kind, vec_id, profile_id, list_inner_product(vec, rest) / sqrt(list_inner_product(rest, rest)) AS score FROM g UNION ALL SELECT 'impostor', r.vec_id, s.profile_id, list_inner_product(vec, total) / sqrt(list_inner_product(total, total)) FROM r JOIN s ON r.profile_id <> s.profile_id)"""
+
+
+@query("v12_calibration_scores", f"WITH {CALIBRATION} SELECT kind, vec_id, profile_id, round(score, 6) AS score FROM scores")
+def v12(t):
+    return rounded(v.calibration_scores(t.v_enrollments), "score")
+
+
+EER = f"""{CALIBRATION}, grid AS (SELECT i, -1 + i * (2.0::DOUBLE / 499) AS th FROM range(500) t(i)), b AS (SELECT kind, least(499, greatest(-1, floor((score + 1) * (499 / 2.0::DOUBLE) + 1e-9)::BIGINT)) AS j FROM scores),
+  rates AS (SELECT i, th, (SELECT count(*) FROM b WHERE kind = 'impostor' AND j >= i) / (SELECT count(*) FROM b WHERE kind = 'impostor')::DOUBLE AS far, (SELECT count(*) FROM b WHERE kind = 'genuine' AND j < i) / (SELECT count(*) FROM b WHERE kind = 'genuine')::DOUBLE AS frr FROM grid)"""
+
+
+@query("v13_equal_error_rate", f"WITH {EER} SELECT round(th, 6) AS threshold, round(far, 6) AS far, round(frr, 6) AS frr, round((far + frr) / 2, 6) AS eer FROM rates ORDER BY round(abs(far - frr), 12), i LIMIT 1")
+def v13(t):
+    return rounded(v.equal_error_rate(v.calibration_scores(t.v_enrollments)), "threshold", "far", "frr", "eer")
+
+
+@query("v14_calibration_report", f"WITH {CALIBRATION} SELECT kind, count(*) AS n, round(avg(score), 6) AS mean, round(min(score), 6) AS low, round(max(score), 6) AS high FROM scores GROUP BY 1")
+def v14(t):
+    """Means and ranges of both kinds of score."""
+    s = v.calibration_scores(t.v_enrollments)
+    return rounded(s.groupBy("kind").agg(F.count("*").alias("n"), F.avg("score").alias("mean"), F.min("score").alias("low"), F.max("score").alias("high")), "mean", "low", "high")
+
+
+@query("v15_split_half", "SELECT a.label, a.vec_id, round(list_inner_product(a.voice, b.voice), 6) AS agreement, CASE WHEN list_inner_product(a.voice, b.voice) < 0.6 THEN 0.5 ELSE 1.0 END AS factor FROM v_voices a JOIN v_voices b ON b.label = a.label AND b.vec_id = (SELECT min(vec_id) FROM v_voices c WHERE c.label = a.label AND c.vec_id > a.vec_id)")
+def v15(t):
+    """Agreement of a voice's two halves, and the discount where they differ."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("label").orderBy("vec_id")
+    pairs = t.v_voices.withColumn("other", F.lead("voice").over(w)).where("other IS NOT NULL")
+    s = dot(C("voice"), C("other"))
+    return pairs.select("label", "vec_id", F.round(s, 6).alias("agreement"), F.when(s < 0.6, 0.5).otherwise(1.0).alias("factor"))
+
+
+SCORED = "scored AS (SELECT speech_id, event_type, max(list_inner_product(s.vec, e.vec)) AS score FROM v_speech_vectors s CROSS JOIN v_exemplars e GROUP BY 1, 2)"
+
+
+def scored(t):
+    return v.score_events(t.v_speech_vectors, t.v_exemplars)
+
+
+@query("v16_score_events", f"WITH {SCORED} SELECT speech_id, event_type, round(score, 6) AS score FROM scored")
+def v16(t):
+    return rounded(scored(t), "score")
+
+
+READ = f"""{SCORED}, rk AS (SELECT *, row_number() OVER (PARTITION BY speech_id ORDER BY score DESC, event_type) AS r FROM scored WHERE event_type <> 'none'),
+  p AS (SELECT speech_id, max(event_type) FILTER (r = 1) AS event_type, max(score) FILTER (r = 1) AS score, coalesce(max(score) FILTER (r = 2), 0) AS second FROM rk GROUP BY 1),
+  m AS (SELECT p.*, score - greatest(second, coalesce((SELECT n.score FROM scored n WHERE n.speech_id = p.speech_id AND n.event_type = 'none'), 0)) AS margin, n_words FROM p JOIN v_speech_vectors USING (speech_id)),
+  rd AS (SELECT speech_id, event_type, score, margin FROM m WHERE score >= 0.6 AND margin >= 0.05 AND n_words >= 6)"""
+
+
+@query("v17_classify_events", f"WITH {READ} SELECT speech_id, event_type, round(score, 6) AS score, round(margin, 6) AS margin FROM rd")
+def v17(t):
+    return rounded(v.classify_events(scored(t), t.v_speech_vectors), "score", "margin")
+
+
+@query("v18_event_candidates", f"WITH {SCORED} SELECT speech_id, round(max(score), 6) AS score FROM scored WHERE event_type <> 'none' GROUP BY 1 HAVING max(score) >= 0.42")
+def v18(t):
+    return rounded(scored(t).where("event_type <> 'none'").groupBy("speech_id").agg(F.max("score").alias("score")).where("score >= 0.42"), "score")
+
+
+@query("v19_extract_events", f"""WITH {READ} SELECT r.speech_id, r.event_type, round(r.score, 6) AS score, CASE WHEN s.label % 2 = 0 THEN s.label END AS target FROM rd r JOIN v_speech_vectors s USING (speech_id) WHERE r.speech_id % 4 <> 0""")
+def v19(t):
+    """Unread speech only: scored, classified, its target attached."""
+    read = t.v_speech_vectors.where("speech_id % 4 = 0").select("speech_id")
+    unread = t.v_speech_vectors.join(read, "speech_id", "left_anti")
+    found = v.classify_events(v.score_events(unread, t.v_exemplars), unread)
+    return found.join(unread.select("speech_id", "label"), "speech_id").select("speech_id", "event_type", F.round("score", 6).alias("score"), F.when(C("label") % 2 == 0, C("label")).alias("target"))
+
+
+@query("v20_needs_vector", "SELECT call_id FROM v_radio WHERE error IS NULL AND analyzed_s IS NOT NULL AND mood IS NULL ORDER BY recorded_s, call_id LIMIT 100")
+def v20(t):
+    """The next hundred analysed calls that lack a reading."""
+    return t.v_radio.where("error IS NULL AND analyzed_s IS NOT NULL AND mood IS NULL").orderBy("recorded_s", "call_id").limit(100).select("call_id")
