@@ -105,8 +105,10 @@ def v08_updated(t):
 
 
 def small_clusters(t):
-    """Each voice as a cluster of its own."""
-    return t.v_voices.select(C("vec_id").alias("cluster_id"), C("voice").alias("centroid"), C("speech_s").alias("weight"))
+    """Clusters of the voices of one label and one level of noise."""
+    rows = t.v_voices.select((C("label") * 5 + C("vec_id") % 5).alias("cluster_id"), C("voice").alias("vec"), "speech_s")
+    weights = rows.groupBy("cluster_id").agg(F.sum("speech_s").alias("weight"))
+    return weighted_centroid(rows, "cluster_id", "vec", "speech_s").join(weights, "cluster_id")
 
 
 @query("v09_consolidate")
