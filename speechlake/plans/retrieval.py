@@ -1 +1,177 @@
-"""Queries."""
+"""Queries of retrieval over tables of requests."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions.scoring import tone_word
+from ..functions.vectors import dot
+from ..operators import joins as j
+from ..operators import retrieval as r
+from ..operators import sequences as q
+from .intervals import rounded
+from .joins import EXPANDED, call_anchors, call_mentions, call_speech, lap_facts
+from .registry import query
+
+C = F.col
+#: Requests by structured terms: all of, any of, none of, a phrase.
+TERMS = [
+    (1, 1, "all", "the", 0), (1, 2, "all", "was", 0), (2, 1, "any", "der", 0), (2, 1, "any", "les", 0), (2, 2, "none", "dans", 0), (3, 1, "phrase", "of", 0), (3, 1, "phrase", "the", 1),
+    (4, 1, "all", "with", 0), (4, 2, "phrase", "in", 0), (4, 2, "phrase", "the", 1), (4, 3, "none", "from", 0),
+]
+TERM_SQL = "terms(request_id, clause_id, kind, term, off) AS (VALUES " + ", ".join(f"({a}, {b}, '{k}', '{x}', {o})" for a, b, k, x, o in TERMS) + ")"
+POST_SQL = r"toks AS (SELECT speech_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ts FROM v_docs), post AS (SELECT speech_id, token, list(pos ORDER BY pos) AS positions FROM (SELECT speech_id, unnest(ts) AS token, generate_subscripts(ts, 1) - 1 AS pos FROM toks) GROUP BY 1, 2)"
+MATCH_SQL = f"""{POST_SQL}, {TERM_SQL}, hits AS (SELECT * FROM post JOIN terms ON token = term),
+  single AS (SELECT DISTINCT request_id, speech_id, clause_id FROM hits WHERE kind IN ('all', 'any')),
+  st AS (SELECT request_id, speech_id, clause_id, off, unnest(positions) - off AS s FROM hits WHERE kind = 'phrase'),
+  phrase AS (SELECT DISTINCT request_id, speech_id, clause_id FROM (SELECT request_id, speech_id, clause_id, s, count(DISTINCT off) AS n FROM st GROUP BY ALL) p WHERE n = (SELECT count(DISTINCT off) FROM terms t WHERE t.request_id = p.request_id AND t.clause_id = p.clause_id)),
+  met AS (SELECT request_id, speech_id FROM (SELECT * FROM single UNION ALL SELECT * FROM phrase) m GROUP BY 1, 2 HAVING count(DISTINCT clause_id) = (SELECT count(DISTINCT clause_id) FROM terms t WHERE t.request_id = m.request_id AND kind <> 'none')),
+  matched AS (SELECT * FROM met m WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.kind = 'none' AND h.request_id = m.request_id AND h.speech_id = m.speech_id)),
+  freq AS (SELECT m.request_id, m.speech_id, sum(len(positions))::BIGINT AS score FROM matched m JOIN hits h USING (request_id, speech_id) WHERE h.kind <> 'none' GROUP BY 1, 2)"""
+
+
+def terms(t):
+    return t.spark.createDataFrame(TERMS, "request_id long, clause_id long, kind string, term string, offset int")
+
+
+def matched(t):
+    return r.match(r.postings(t.v_docs), F.broadcast(terms(t)))
+
+
+def by_count(t):
+    """Matches with how often their terms occur."""
+    index = r.postings(t.v_docs)
+    wanted = F.broadcast(terms(t).where("kind <> 'none'"))
+    n = index.join(wanted, index["token"] == wanted["term"]).groupBy("request_id", "speech_id").agg(F.sum(F.size("positions")).alias("score"))
+    return r.match(index, F.broadcast(terms(t))).join(n, ["request_id", "speech_id"])
+
+
+@query("r01_postings", f"WITH {POST_SQL} SELECT speech_id, token, len(positions) AS n, positions[1] AS first_pos FROM post")
+def r01(t):
+    return r.postings(t.v_docs).select("speech_id", "token", F.size("positions").alias("n"), F.element_at("positions", 1).alias("first_pos"))
+
+
+@query("r02_match", f"WITH {MATCH_SQL} SELECT * FROM matched")
+def r02(t):
+    return matched(t)
+
+
+@query("r03_cover_rank")
+def r03(t):
+    index = r.postings(t.v_docs)
+    wanted = F.broadcast(terms(t).where("request_id = 1"))
+    return rounded(r.cover_rank(index, wanted), "rank")
+
+
+@query("r04_keyword_search", f"WITH {MATCH_SQL}, rk AS (SELECT f.*, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, speech_id) AS rk FROM freq f JOIN v_docs d USING (speech_id) WHERE d.mood = 'calm') SELECT * FROM rk WHERE rk <= 20")
+def r04(t):
+    rows = by_count(t).join(t.v_docs.where("mood = 'calm'").select("speech_id"), "speech_id", "left_semi")
+    return r.ranked(rows, "score", 20).select("request_id", "speech_id", "score", "rk")
+
+
+VEC_SQL = "reqs AS (SELECT query_id AS request_id, vec FROM v_queries WHERE query_id % 50 = 1), vs AS (SELECT request_id, s.speech_id, list_inner_product(q.vec, s.vec) AS sim FROM v_speech_vectors s CROSS JOIN reqs q)"
+
+
+def vector_requests(t):
+    """Searches: the queries whose id leaves 1 at division by 50, against all vectors."""
+    return t.v_queries.where("query_id % 50 = 1").select(C("query_id").alias("request_id"), "vec")
+
+
+def vector_leg(t, cap):
+    from ..operators.identity import knn
+
+    best = knn(vector_requests(t).withColumnRenamed("request_id", "query_id"), t.v_speech_vectors.select("speech_id", C("vec").alias("centroid")), "speech_id", cap)
+    return best.withColumnsRenamed({"query_id": "request_id", "rank": "rk"})
+
+
+@query("r05_semantic_search", f"WITH {VEC_SQL} SELECT request_id, speech_id, round(sim, 6) AS sim, rk FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY sim DESC, speech_id) AS rk FROM vs) WHERE rk <= 20")
+def r05(t):
+    return rounded(vector_leg(t, 20).select("request_id", "speech_id", "sim", "rk"), "sim")
+
+
+@query("r06_hybrid", f"""WITH {VEC_SQL}, a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY sim DESC, speech_id) AS rk FROM vs) WHERE rk <= 200),
+  b AS (SELECT * FROM (SELECT request_id, speech_id, row_number() OVER (PARTITION BY request_id ORDER BY n_chars DESC, speech_id) AS rk FROM (SELECT q.request_id, d.doc_id AS speech_id, n_chars FROM documents d JOIN reqs q ON d.doc_id % 7 = q.request_id % 7)) WHERE rk <= 200)
+  SELECT coalesce(a.request_id, b.request_id) AS request_id, coalesce(a.speech_id, b.speech_id) AS speech_id, round(coalesce(1.0::DOUBLE / (60 + a.rk), 0) + coalesce(1.0::DOUBLE / (60 + b.rk), 0), 9) AS score FROM a FULL JOIN b ON a.request_id = b.request_id AND a.speech_id = b.speech_id""")
+def r06(t):
+    """A vector leg and a text leg fused by reciprocal rank, 200 of each."""
+    req = F.broadcast(vector_requests(t).select("request_id", (C("request_id") % 7).alias("k")))
+    text = t.documents.select(C("doc_id").alias("speech_id"), "n_chars", (C("doc_id") % 7).alias("k")).join(req, "k")
+    return r.fuse(vector_leg(t, 200), r.ranked(text, "n_chars", 200)).select("request_id", "speech_id", F.round("score", 9).alias("score"))
+
+
+@query("r07_radio_search", """SELECT call_id AS speech_id, score, rk FROM (SELECT call_id, score, row_number() OVER (ORDER BY score DESC, call_id) AS rk FROM (SELECT call_id, len(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x IN ('red', 'steel', 'small'))) AS score FROM v_radio WHERE error IS NULL AND analyzed_s IS NOT NULL AND mood = 'stressed') WHERE score > 0) WHERE rk <= 50""")
+def r07(t):
+    """Analysed calls of a mood by any of some words."""
+    calls = t.v_radio.where("error IS NULL AND analyzed_s IS NOT NULL AND mood = 'stressed'").select(C("call_id").alias("speech_id"), "text")
+    hits = r.postings(calls).where(C("token").isin("red", "steel", "small")).groupBy("speech_id").agg(F.sum(F.size("positions")).alias("score")).withColumn("request_id", F.lit(1))
+    return r.ranked(hits, "score", 50).select("speech_id", "score", "rk")
+
+
+BROWSE = "u AS (SELECT utterance_id::VARCHAR AS speech_id, mood, row_number() OVER (PARTITION BY mood ORDER BY utterance_id DESC) AS rank, 0 AS s FROM v_speech_utt WHERE mood IS NOT NULL), c AS (SELECT call_id AS speech_id, mood, row_number() OVER (PARTITION BY mood ORDER BY recorded_s DESC, call_id) AS rank, 1 AS s FROM v_radio WHERE mood IS NOT NULL AND error IS NULL AND analyzed_s IS NOT NULL)"
+
+
+@query("r08_browse_mood", f"WITH {BROWSE} SELECT mood, speech_id, place FROM (SELECT *, row_number() OVER (PARTITION BY mood ORDER BY rank, s) AS place FROM (SELECT * FROM u UNION ALL SELECT * FROM c)) WHERE place <= 30")
+def r08(t):
+    """The newest speech of each mood, utterances and calls in turn."""
+    u = t.v_speech_utt.where("mood IS NOT NULL").select(C("utterance_id").cast("string").alias("speech_id"), "mood", F.row_number().over(Window.partitionBy("mood").orderBy(F.desc("utterance_id"))).alias("rank"))
+    c = t.v_radio.where("mood IS NOT NULL AND error IS NULL AND analyzed_s IS NOT NULL").select(C("call_id").alias("speech_id"), "mood", F.row_number().over(Window.partitionBy("mood").orderBy(F.desc("recorded_s"), "call_id")).alias("rank"))
+    return q.interleave(u, c, "mood", 30).select("mood", "speech_id", "place")
+
+
+@query("r09_anchor", f"WITH {BROWSE} SELECT mood, speech_id, round(1.0::DOUBLE / (60 + rank), 9) AS score, n FROM (SELECT *, row_number() OVER (PARTITION BY mood ORDER BY 1.0::DOUBLE / (60 + rank) DESC, speech_id) AS n FROM (SELECT * FROM u UNION ALL SELECT * FROM c)) WHERE n <= 25")
+def r09(t):
+    """Both lists fused by rank, the best 25 of each mood."""
+    u = t.v_speech_utt.where("mood IS NOT NULL").select(C("utterance_id").cast("string").alias("speech_id"), "mood", F.row_number().over(Window.partitionBy("mood").orderBy(F.desc("utterance_id"))).alias("rank"))
+    c = t.v_radio.where("mood IS NOT NULL AND error IS NULL AND analyzed_s IS NOT NULL").select(C("call_id").alias("speech_id"), "mood", F.row_number().over(Window.partitionBy("mood").orderBy(F.desc("recorded_s"), "call_id")).alias("rank"))
+    both = u.unionByName(c).groupBy("mood", "speech_id").agg(F.sum(1.0 / (60 + C("rank"))).alias("score"))
+    w = Window.partitionBy("mood").orderBy(F.desc("score"), "speech_id")
+    return both.withColumn("n", F.row_number().over(w)).where("n <= 25").select("mood", "speech_id", F.round("score", 9).alias("score"), "n")
+
+
+@query("r10_search_requests", f"""WITH u AS (SELECT user_id AS request_id, max(CASE event_id % 4 WHEN 0 THEN 'which calls sound stressed' WHEN 1 THEN 'anyone tired' WHEN 2 THEN 'null' ELSE 'calm voices' END) AS x, greatest(1, least(25, max(event_id % 40)))::BIGINT AS lim FROM events GROUP BY 1),
+  m AS (SELECT request_id, lim, CASE WHEN regexp_matches(x, '(?i)\\b(stressed)\\b') THEN 'stressed' WHEN regexp_matches(x, '(?i)\\b(calm)\\b') THEN 'calm' WHEN regexp_matches(x, '(?i)\\b(tired)\\b') THEN 'tired' END AS mood FROM u), {BROWSE},
+  p AS (SELECT mood, speech_id, row_number() OVER (PARTITION BY mood ORDER BY rank, s) AS place FROM (SELECT * FROM u2 UNION ALL SELECT * FROM c))
+  SELECT request_id, p.mood, speech_id, place FROM m JOIN p ON m.mood = p.mood AND place <= lim""".replace("u AS (SELECT utterance_id", "u2 AS (SELECT utterance_id"))
+def r10(t):
+    """A table of requests in words: the tone that is meant, the limit clamped to 1..25, the newest speech of it."""
+    ask = F.when(C("event_id") % 4 == 0, "which calls sound stressed").when(C("event_id") % 4 == 1, "anyone tired").when(C("event_id") % 4 == 2, "null").otherwise("calm voices")
+    req = t.events.groupBy(C("user_id").alias("request_id")).agg(F.max(ask).alias("x"), F.greatest(F.lit(1), F.least(F.lit(25), F.max(C("event_id") % 40))).alias("lim"))
+    req = req.withColumn("mood", tone_word(C("x"))).where("mood IS NOT NULL")
+    return req.join(r08(t).select("mood", "speech_id", "place"), "mood").where("place <= lim").select("request_id", "mood", "speech_id", "place")
+
+
+def expanded(t):
+    return j.expand(call_anchors(t), call_speech(t), lap_facts(t), call_mentions(t))
+
+
+@query("r11_render_context")
+def r11(t):
+    return q.truncate_blocks(r.block(expanded(t)).select("request_id", "rank", "block"), "request_id", 4000)
+
+
+BRIEF = r"""'[' || e.speech_id || '] ' || coalesce(driver, 'unidentified speaker') || coalesce(', ' || session, '') || coalesce(', lap ' || fl, '') || coalesce(', voice reads ' || mood, '') || ': "' || CASE WHEN length(f) > 160 THEN rtrim(substr(f, 1, 159)) || '…' ELSE f END || '"'"""
+
+
+@query("r12_render_brief", rf"WITH {EXPANDED}, fl AS (SELECT speech_id, min(lap_number) AS fl FROM lf GROUP BY 1), e AS (SELECT *, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS f FROM expanded) SELECT request_id, rank, {BRIEF} AS line FROM e LEFT JOIN fl USING (speech_id)")
+def r12(t):
+    return r.brief(expanded(t)).select("request_id", "rank", "line")
+
+
+@query("r13_driver_timeline", """WITH l AS (SELECT *, CASE WHEN lag(lap_number) OVER w = lap_number - 1 THEN lag(duration_s) OVER w END AS prev_s FROM v_laps WINDOW w AS (PARTITION BY session_key, driver_number ORDER BY lap_number)),
+  s AS (SELECT l.session_key, l.driver_number, lap_number, count(DISTINCT call_id) AS n FROM v_laps l JOIN v_radio r ON r.session_key = l.session_key AND r.driver_number = l.driver_number AND recorded_s >= start_s - 86400 AND recorded_s < start_s + duration_s + 86400 WHERE error IS NULL AND analyzed_s IS NOT NULL AND duration_s IS NOT NULL GROUP BY ALL)
+  SELECT session_key, driver_number, lap_number, duration_s, duration_s - prev_s AS delta, n AS n_speech FROM l JOIN s USING (session_key, driver_number, lap_number)""")
+def r13(t):
+    """Laps with speech, their change to the lap before and how much was said."""
+    from .joins import DAY, good_calls
+
+    laps = q.lap_deltas(t.v_laps, "number").select("session_key", "driver_number", "lap_number", "duration_s", "delta")
+    said = j.during_lap(good_calls(t), t.v_laps, DAY, 30 * DAY).groupBy("session_key", "driver_number", "lap_number").agg(F.countDistinct("speech_id").alias("n_speech"))
+    return laps.join(said, ["session_key", "driver_number", "lap_number"])
+
+
+@query("r14_graph_context")
+def r14(t):
+    """Anchors to expanded, rendered evidence for a table of requests."""
+    made = q.truncate_blocks(r.block(expanded(t)).select("request_id", "rank", "block"), "request_id", 1200)
+    return made.join(expanded(t).groupBy("request_id").agg(F.count("*").alias("n_anchors")), "request_id")
