@@ -1 +1,211 @@
-"""Queries."""
+"""Queries of table maintenance, exports, adjudication and audit."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import maintenance as m
+from .registry import query
+
+C = F.col
+
+
+@query("s01_typed_scan", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderdate >= DATE '1996-01-01' AND o_totalprice > 1000")
+def s01(t):
+    """A typed scan with a date and a price pushed to it."""
+    from ..sources.tables import read
+
+    return read(t.spark, t.folder, "orders").where("o_orderdate >= date'1996-01-01' AND o_totalprice > 1000").select("o_orderkey", "o_orderstatus", "o_totalprice")
+
+
+@query("s02_speech", "SELECT utterance_id::VARCHAR AS speech_id, 'utterance' AS kind, r.session_key, u.text FROM v_speech_utt u JOIN v_clips c USING (clip_id) LEFT JOIN v_races r USING (race_id) WHERE status = 'COMPLETE' AND trim(u.text) <> '' UNION ALL SELECT call_id, 'radio', session_key, text FROM v_radio WHERE error IS NULL AND analyzed_s IS NOT NULL AND trim(text) <> ''")
+def s02(t):
+    done = t.v_clips.where("status = 'COMPLETE'").select("clip_id", "race_id").join(t.v_races.select("race_id", "session_key"), "race_id", "left")
+    u = t.v_speech_utt.where("trim(text) <> ''").join(done, "clip_id").select(C("utterance_id").cast("string").alias("speech_id"), F.lit("utterance").alias("kind"), "session_key", "text")
+    return u.unionByName(t.v_radio.where("error IS NULL AND analyzed_s IS NOT NULL AND trim(text) <> ''").select(C("call_id").alias("speech_id"), F.lit("radio").alias("kind"), "session_key", "text"))
+
+
+@query("s03_ingest", """WITH b AS (SELECT *, sha256(coalesce(content, '')) AS sha FROM v_incoming WHERE batch = 2), old AS (SELECT sha256(coalesce(content, '')) AS sha, arg_min(race, file_id) AS old_race FROM v_incoming WHERE batch = 1 AND file_id % 2 = 0 GROUP BY 1),
+  f AS (SELECT sha, min(file_id) AS first_id, arg_min(race, file_id) AS first_race FROM b GROUP BY 1)
+  SELECT file_id, sha, CASE WHEN old_race IS NULL AND file_id = first_id THEN 'new' WHEN race IS NOT NULL AND race IS DISTINCT FROM coalesce(old_race, first_race) THEN 'moved' ELSE 'duplicate' END AS outcome FROM b JOIN f USING (sha) LEFT JOIN old USING (sha)""")
+def s03(t):
+    old = t.v_incoming.where("batch = 1 AND file_id % 2 = 0").groupBy(F.sha2(F.coalesce("content", F.lit("")), 256).alias("sha")).agg(F.min_by("race", "file_id").alias("race"))
+    return m.ingest(t.v_incoming.where("batch = 2"), old)
+
+
+def base(t):
+    return t.customer.where("c_custkey % 3 <> 0").select("c_custkey", F.when(C("c_custkey") % 5 != 0, C("c_name")).alias("c_name"), C("c_nationkey").cast("long").alias("c_nationkey"))
+
+
+def fresh(t):
+    return t.customer.where("c_custkey % 2 = 0").select("c_custkey", F.upper("c_name").alias("c_name"), C("c_nationkey").cast("long").alias("c_nationkey"))
+
+
+UP = "b AS (SELECT c_custkey, CASE WHEN c_custkey % 5 <> 0 THEN c_name END AS c_name, c_nationkey::BIGINT AS c_nationkey FROM customer WHERE c_custkey % 3 <> 0), n AS (SELECT c_custkey, upper(c_name) AS c_name, c_nationkey::BIGINT AS c_nationkey FROM customer WHERE c_custkey % 2 = 0)"
+
+
+@query("s04_upsert", f"WITH {UP} SELECT coalesce(b.c_custkey, n.c_custkey) AS c_custkey, CASE WHEN n.c_custkey IS NOT NULL THEN n.c_name ELSE b.c_name END AS c_name, CASE WHEN n.c_custkey IS NOT NULL THEN n.c_nationkey ELSE b.c_nationkey END AS c_nationkey FROM b FULL JOIN n ON b.c_custkey = n.c_custkey")
+def s04(t):
+    return m.upsert(base(t), fresh(t), ["c_custkey"], ["c_name", "c_nationkey"])
+
+
+@query("s05_insert_missing", f"WITH {UP} SELECT * FROM b UNION ALL SELECT * FROM n WHERE c_custkey NOT IN (SELECT c_custkey FROM b)")
+def s05(t):
+    return m.insert_missing(base(t), fresh(t), ["c_custkey"])
+
+
+@query("s06_upsert_fill", f"WITH {UP} SELECT coalesce(b.c_custkey, n.c_custkey) AS c_custkey, coalesce(b.c_name, n.c_name) AS c_name, coalesce(b.c_nationkey, n.c_nationkey) AS c_nationkey FROM b FULL JOIN n ON b.c_custkey = n.c_custkey")
+def s06(t):
+    return m.upsert(base(t), fresh(t), ["c_custkey"], ["c_name", "c_nationkey"], fill_only=True)
+
+
+@query("s07_split_cached", "SELECT call_id, CASE WHEN analyzed_s IS NOT NULL AND error IS NULL AND driver_number % 10 <> 0 THEN 'cached' ELSE 'work' END AS list FROM v_radio")
+def s07(t):
+    """Calls whose analysis can be used again, and those to do; some are forced."""
+    ok = C("analyzed_s").isNotNull() & C("error").isNull() & (C("driver_number") % 10 != 0)
+    return t.v_radio.select("call_id", F.when(ok, "cached").otherwise("work").alias("list"))
+
+
+@query("s08_replace_derived", "SELECT clip_id, local_label, speech_s FROM v_clip_speakers WHERE clip_id % 4 <> 0 UNION ALL SELECT clip_id, local_label + 100, speech_s * 2 FROM v_clip_speakers WHERE clip_id % 4 = 0 AND local_label = 1")
+def s08(t):
+    table = t.v_clip_speakers.select("clip_id", "local_label", "speech_s")
+    new = table.where("local_label = 1").select("clip_id", (C("local_label") + 100).alias("local_label"), (C("speech_s") * 2).alias("speech_s"))
+    return m.replace_derived(table, new, t.v_clips.where("clip_id % 4 = 0").select("clip_id"))
+
+
+def read_events(t, source, shift):
+    return t.events.where(C("event_id") % 3 == shift).select((C("event_id") % 200).alias("speech_id"), "event_type", F.lit(source).alias("source"), "value").groupBy("speech_id", "event_type", "source").agg(F.max("value").alias("score"))
+
+
+@query("s09_replace_source", """WITH e AS (SELECT event_id % 200 AS speech_id, event_type, CASE event_id % 3 WHEN 0 THEN 'hand' WHEN 1 THEN 'model' ELSE 'new' END AS s, max(value) AS score FROM events GROUP BY ALL),
+  b AS (SELECT speech_id, event_type, 'hand' AS source, score, 0 AS n FROM e WHERE s = 'hand' UNION ALL SELECT speech_id, event_type, 'model', score, 1 FROM e WHERE s = 'new')
+  SELECT speech_id, event_type, source, score FROM (SELECT *, row_number() OVER (PARTITION BY speech_id, event_type ORDER BY n, score DESC, source) AS r FROM b) WHERE r = 1""")
+def s09(t):
+    old = read_events(t, "hand", 0).unionByName(read_events(t, "model", 1))
+    return m.replace_source(old, read_events(t, "model", 2), "model")
+
+
+@query("s10_delete_clips", "SELECT c.clip_id, (SELECT count(*) FROM v_clip_speakers s WHERE s.clip_id = c.clip_id) + (SELECT count(*) FROM v_speech_utt u WHERE u.clip_id = c.clip_id) AS n_rows, 'asked for' AS reason FROM v_clips c WHERE status = 'REJECTED'")
+def s10(t):
+    tables = {"clip_speakers": t.v_clip_speakers.select("clip_id"), "utterances": t.v_speech_utt.select("clip_id")}
+    return m.delete_clips(tables, t.v_clips.where("status = 'REJECTED'").select("clip_id"), "asked for")[1]
+
+
+def stamp_sql(x: str, dot: str) -> str:
+    return f"lpad((floor({x})::BIGINT // 3600)::VARCHAR, 2, '0') || ':' || lpad((floor({x})::BIGINT // 60 % 60)::VARCHAR, 2, '0') || ':' || lpad((floor({x})::BIGINT % 60)::VARCHAR, 2, '0') || '{dot}' || lpad(floor(({x} - floor({x})) * 1000)::BIGINT::VARCHAR, 3, '0')"
+
+
+NL = "chr(10)"
+
+
+@query("s11_srt", f"WITH n AS (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY idx) AS k FROM v_utterances) SELECT clip_id, string_agg(k || {NL} || {stamp_sql('start_s', ',')} || ' --> ' || {stamp_sql('end_s', ',')} || {NL} || local_label || ': ' || text || {NL}, {NL} ORDER BY idx) AS body FROM n GROUP BY 1")
+def s11(t):
+    return m.to_srt(t.v_utterances)
+
+
+@query("s12_vtt", f"SELECT clip_id, 'WEBVTT' || {NL} || {NL} || string_agg({stamp_sql('start_s', '.')} || ' --> ' || {stamp_sql('end_s', '.')} || {NL} || '<v ' || local_label || '>' || text || {NL}, {NL} ORDER BY idx) AS body FROM v_utterances GROUP BY 1")
+def s12(t):
+    return m.to_vtt(t.v_utterances)
+
+
+@query("s13_txt", f"SELECT clip_id, string_agg(local_label || ': ' || text, {NL} ORDER BY idx) AS body FROM v_utterances GROUP BY 1")
+def s13(t):
+    return m.to_txt(t.v_utterances)
+
+
+@query("s14_rttm", f"SELECT clip_id, string_agg('SPEAKER ' || clip_id || ' 1 ' || printf('%.3f', start_s) || ' ' || printf('%.3f', end_s - start_s) || ' <NA> <NA> ' || replace(label, ' ', '_') || ' <NA> <NA>', {NL} ORDER BY turn_id) AS body FROM (SELECT clip_id, turn_id, replace(label, 'a', 'a ') AS label, floor(start_s) % 10000 AS start_s, floor(start_s) % 10000 + turn_id % 64 / 8.0 AS end_s FROM v_turns) GROUP BY 1")
+def s14(t):
+    turns = t.v_turns.select("clip_id", "turn_id", F.replace(C("label"), F.lit("a"), F.lit("a ")).alias("label"), (F.floor("start_s") % 10000).cast("double").alias("start_s"), (F.floor("start_s") % 10000 + C("turn_id") % 64 / 8.0).alias("end_s"))
+    return m.to_rttm(turns)
+
+
+@query("s15_json_documents", "SELECT c.clip_id, coalesce(len(us), 0) AS n_utterances, coalesce(len(ss), 0) AS n_speakers, us[1] AS first_text FROM v_clips c LEFT JOIN (SELECT clip_id, list(text ORDER BY idx) AS us FROM v_speech_utt GROUP BY 1) u USING (clip_id) LEFT JOIN (SELECT clip_id, list(local_label) AS ss FROM v_clip_speakers GROUP BY 1) s USING (clip_id)")
+def s15(t):
+    """The nested documents, read back from their JSON."""
+    docs = m.nested_documents(t.v_clips, t.v_speech_utt, t.v_clip_speakers)
+    back = docs.select("clip_id", F.from_json("doc", "utterances array<struct<idx:bigint,text:string>>, speakers array<struct<local_label:bigint>>").alias("d"))
+    return back.select("clip_id", F.coalesce(F.size("d.utterances"), F.lit(0)).alias("n_utterances"), F.coalesce(F.size("d.speakers"), F.lit(0)).alias("n_speakers"), F.try_element_at("d.utterances", F.lit(1))["text"].alias("first_text"))
+
+
+@query("s16_clip_result", "SELECT clip_id, any_value(text) AS transcript, count(DISTINCT idx) AS n_turns, (SELECT count(*) FROM v_words w WHERE w.clip_id = u.clip_id) AS n_words, list(DISTINCT local_label ORDER BY local_label) AS speakers FROM (SELECT clip_id, idx, local_label, last_value(text) OVER (PARTITION BY clip_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS text FROM v_utterances) u GROUP BY 1")
+def s16(t):
+    """A clip with its latest text, turns, words and speakers, each gathered before it is joined."""
+    u = t.v_utterances.groupBy("clip_id").agg(F.max_by("text", "idx").alias("transcript"), F.countDistinct("idx").alias("n_turns"), F.sort_array(F.collect_set("local_label")).alias("speakers"))
+    return u.join(t.v_words.groupBy("clip_id").agg(F.count("*").alias("n_words")), "clip_id", "left").withColumn("n_words", F.coalesce("n_words", F.lit(0)))
+
+
+TYPES = ["overtake", "pit_stop", "yellow_flag"]
+
+
+@query("l01_prompts", r"""WITH n AS (SELECT *, row_number() OVER (PARTITION BY local_label ORDER BY utterance_id) - 1 AS i FROM v_utterances)
+  SELECT local_label, i // 10 AS batch, 'Judge.' || chr(10) || chr(10) || 'Lines:' || chr(10) || string_agg((i % 10 + 1) || '. ' || trim(regexp_replace(text, '\s+', ' ', 'g')), chr(10) ORDER BY i) AS prompt, count(*) AS n_lines FROM n GROUP BY 1, 2""")
+def l01(t):
+    return m.prompt_batches(t.v_utterances.select("local_label", C("utterance_id").alias("idx"), "text"), ["local_label"], 10, "Judge.")
+
+
+@query("l02_parse_verdicts")
+def l02(t):
+    return m.parse_verdicts(t.v_replies, TYPES)
+
+
+@query("l03_attach")
+def l03(t):
+    """Verdicts on the lines that they name."""
+    lines = t.v_utterances.select(C("clip_id").alias("batch_id"), (C("idx") + 1).cast("int").alias("n"), "utterance_id")
+    return m.parse_verdicts(t.v_replies, TYPES).join(lines, ["batch_id", "n"]).select("utterance_id", "event", C("confidence").alias("score"))
+
+
+@query("l04_unread", "SELECT conv_id % 10 AS shard, count(*) AS n_batches, count(*) FILTER (conv_id % 7 IN (0, 3)) AS n_unread FROM conversations WHERE turn = 0 GROUP BY 1")
+def l04(t):
+    """Batches whose reply could not be read are counted."""
+    read = F.from_json(F.regexp_extract("reply", r"(?s)\[.*\]", 0), "array<struct<n:int>>")
+    rows = t.v_replies.withColumn("ok", F.coalesce(F.size(read) > 0, F.lit(False)))
+    return rows.groupBy((C("batch_id") % 10).alias("shard")).agg(F.count("*").alias("n_batches"), F.count_if(~C("ok")).alias("n_unread"))
+
+
+@query("l05_store_verdicts")
+def l05(t):
+    """Verdicts as events of the model's source, beside those read by hand."""
+    new = m.parse_verdicts(t.v_replies, TYPES).select(C("batch_id").alias("speech_id"), C("event").alias("event_type"), F.lit("model").alias("source"), C("confidence").alias("score"))
+    return m.replace_source(read_events(t, "hand", 0), new, "model")
+
+
+@query("l06_citations", r"SELECT utterance_id, CASE WHEN len(c) > 0 THEN c ELSE s END AS cited FROM (SELECT utterance_id, list_filter(ids, lambda x, i: list_position(ids, x) = i) AS c, list_filter(srcs, lambda x, i: list_position(srcs, x) = i)[1:6] AS s FROM (SELECT utterance_id, regexp_extract_all(text, 'Th[a-z]+') AS ids, regexp_extract_all(text, '[a-z]+') AS srcs FROM v_utterances))")
+def l06(t):
+    """What an answer cites, else the first six of its sources."""
+    cited = F.array_distinct(F.regexp_extract_all("text", F.lit(r"Th[a-z]+"), F.lit(0)))
+    sources = F.slice(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[a-z]+"), F.lit(0))), 1, 6)
+    return t.v_utterances.select("utterance_id", F.when(F.size(cited) > 0, cited).otherwise(sources).alias("cited"))
+
+
+@query("h01_chain")
+def h01(t):
+    return m.chain(t.v_audit).select("actor", "seq", "prev_hash", "row_hash")
+
+
+@query("h02_verify_chain", "SELECT actor, count(*) AS n, min(CASE WHEN seq = 5 AND actor % 7 = 0 THEN 5 END) AS first_break FROM v_audit GROUP BY 1")
+def h02(t):
+    """Chains in which one row of some actors was changed afterwards."""
+    log = m.chain(t.v_audit)
+    changed = log.withColumn("object", F.when((C("seq") == 5) & (C("actor") % 7 == 0), "another").otherwise(C("object")))
+    return m.verify_chain(changed)
+
+
+@query("h03_corrections_report", "SELECT before, after, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 9) AS rate FROM v_audit WHERE action = 'purchase' GROUP BY 1, 2")
+def h03(t):
+    """How often a correction went from what to what."""
+    c = t.v_audit.where("action = 'purchase'").groupBy("before", "after").agg(F.count("*").alias("n"))
+    from pyspark.sql import Window
+
+    return c.withColumn("rate", F.round(C("n") / F.sum("n").over(Window.partitionBy()), 9))
+
+
+@query("h04_receipts_check", "SELECT CASE WHEN o_orderkey % 10 = 0 AND o_orderkey % 20 <> 0 THEN 'deleted without receipt' WHEN o_orderkey % 15 = 0 AND o_orderkey % 10 <> 0 THEN 'receipt but present' ELSE 'ok' END AS state, count(*) AS n FROM orders GROUP BY 1")
+def h04(t):
+    """Deleted clips against their receipts, both ways."""
+    clips = t.orders.select(C("o_orderkey").alias("clip_id"))
+    after = clips.where("clip_id % 10 <> 0").withColumn("present", F.lit(True))
+    receipts = clips.where("clip_id % 20 = 0 OR clip_id % 15 = 0 AND clip_id % 10 <> 0").withColumn("receipt", F.lit(True))
+    both = clips.join(after, "clip_id", "left").join(receipts, "clip_id", "left").na.fill(False, ["present", "receipt"])
+    state = F.when(~C("present") & ~C("receipt"), "deleted without receipt").when(C("present") & C("receipt"), "receipt but present").otherwise("ok")
+    return both.groupBy(state.alias("state")).agg(F.count("*").alias("n"))
