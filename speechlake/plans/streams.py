@@ -1 +1,163 @@
-"""Queries."""
+"""Streaming queries, run to the present end of the tables that they read."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import identity as v
+from ..operators import intervals as iv
+from ..operators import joins as j
+from ..operators.maintenance import replace_derived
+from ..params import DEFAULTS as P
+from ..sources.adapters import Tables
+from ..streaming import folds
+from ..streaming.jobs import drain, drain_batches, once, table_stream, turn_output
+from .intervals import WORDS, rounded
+from .registry import query
+
+C = F.col
+
+
+class Batch(Tables):
+    """The views over one micro-batch of a table."""
+
+    def __init__(self, t: Tables, **tables):
+        super().__init__(t.spark, t.folder)
+        self._tables = tables
+
+    def raw(self, name):
+        return self._tables[name] if name in self._tables else super().raw(name)
+
+
+def events(t):
+    return table_stream(t.spark, t.folder, "events").withColumn("ts", C("ts").cast("timestamp"))
+
+
+@query("t01_event_source", "SELECT user_id AS session_id, event_id AS seq, event_type FROM events")
+def t01(t):
+    """Chunks of sessions, some sent twice, each taken once."""
+    sent = events(t).withColumn("copy", F.explode(F.when(C("event_id") % 50 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    return drain(once(sent.select(C("user_id").alias("session_id"), C("event_id").alias("seq"), "event_type", "ts"), ["session_id", "seq"], "ts")).select("session_id", "seq", "event_type")
+
+
+def language_rows(df):
+    return df.select(C("user_id").alias("session"), C("event_id").alias("row_id"), "ts", F.unix_micros(C("ts").cast("timestamp")).alias("at"), C("event_type").alias("detected"), (C("event_id") * 37 % 100 / 100.0).alias("prob"))
+
+
+@query("t02_language_lock")
+def t02(t):
+    return drain(folds.stream(language_rows(events(t)), folds.lock_language, (None, 0), "string", "language string, n long", idle_ms=None)).withColumnRenamed("value", "language")
+
+
+@query("t03_chunk_reconcile")
+def t03(t):
+    """Words of each arriving conversation to its turns, smoothed and regrouped."""
+
+    def work(rows):
+        b = Batch(t, conversations=rows)
+        words = iv.smooth(iv.assign_words(b.v_words, b.v_word_turns, WORDS), P.smooth_conf)
+        return rounded(iv.finalize(iv.regroup(words, P.utterance_gap_s)).select("clip_id", "utt", "speaker", "n_words", "speaker_conf"), "speaker_conf")
+
+    return drain_batches(table_stream(t.spark, t.folder, "conversations"), work)
+
+
+def tone_rows(df):
+    snr = (C("event_id") % 31).cast("double")
+    return df.select(C("user_id").alias("session"), C("event_id").alias("row_id"), F.unix_micros(C("ts").cast("timestamp")).alias("at"), (C("event_id") % 17 / 10.0).alias("voiced"), (C("event_id") % 60 / 10.0).alias("rate"), (100 + snr).alias("pitch_mean"), (C("event_id") * 7 % 60).cast("double").alias("pitch_std"))
+
+
+@query("t04_tone_baseline")
+def t04(t):
+    return drain(folds.stream(tone_rows(events(t)), folds.baseline_tone, (0, 0.0, 0.0, 0.0), "string", "n long, mean double, std double, rate double", idle_ms=None)).withColumnRenamed("value", "tone")
+
+
+def voice_rows(df):
+    return df.select((C("vec_id") % 20).alias("session"), C("vec_id").alias("row_id"), C("vec_id").alias("at"), C("embedding").cast("array<double>").alias("vec"))
+
+
+@query("t05_voice_pool")
+def t05(t):
+    return drain(folds.stream(voice_rows(table_stream(t.spark, t.folder, "embeddings")), folds.pool_voice, ([], []), "long", "flat array<double>, counts array<long>", idle_ms=None)).withColumnRenamed("value", "voice")
+
+
+@query("t06_identify_stream")
+def t06(t):
+    """Arriving voices matched with the profiles; only matches and suggestions are sent on."""
+    profiles = v.centroids(t.v_enrollments)
+    anchors = t.v_voices.select("vec_id", "label", "voice", "speech_s", "snr_db", "bandwidth_hz")
+    from ..functions.scoring import reliability
+
+    def work(rows):
+        got = rows.where("vec_id % 2 = 1").select("vec_id").join(anchors, "vec_id")
+        q = got.select(C("vec_id").alias("query_id"), C("voice").alias("vec"), reliability(F.least("speech_s", F.lit(8.0)), C("snr_db"), F.lit(0.0), C("bandwidth_hz")).alias("reliability"))
+        return v.identify(q, profiles).where("result IN ('confident', 'suggested')").select("query_id", "result", "profile_id")
+
+    return drain_batches(table_stream(t.spark, t.folder, "embeddings"), work)
+
+
+@query("t07_turn_output", "SELECT event_id, coalesce(CASE event_id % 4 WHEN 0 THEN 'calm' WHEN 1 THEN 'stressed' END, 'calm') AS mood, value / 100 >= 1.0 AS embeds FROM events WHERE value / 100 >= 0.2 AND (event_id % 3 <> 0 OR event_id % 5 = 0)")
+def t07(t):
+    turns = events(t).select("event_id", F.lit(0.0).alias("start_s"), (C("value") / 100).alias("end_s"), F.when(C("event_id") % 3 != 0, "said").otherwise(" ").alias("text"), F.when(C("event_id") % 5 == 0, "driver").alias("speaker"), F.when(C("event_id") % 4 == 0, "calm").when(C("event_id") % 4 == 1, "stressed").alias("mood"))
+    return drain(turn_output(turns).select("event_id", "mood", "embeds"))
+
+
+@query("t08_radio_calls", "SELECT conv_id AS call_id, string_agg(text, ' ' ORDER BY turn) AS text, count(*) AS n_segments FROM conversations WHERE (conv_id * 31 + turn) % 9 <> 0 GROUP BY 1")
+def t08(t):
+    """Segments of calls without those that are not trusted, joined to a text per call as they arrive."""
+
+    def work(rows):
+        kept = rows.where("(conv_id * 31 + turn) % 9 <> 0").groupBy(C("conv_id").alias("call_id"))
+        return kept.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), " ").alias("text"), F.count("*").alias("n_segments"))
+
+    return drain_batches(table_stream(t.spark, t.folder, "conversations"), work)
+
+
+# fixed values: shares of the stages of a job, by which its progress is told
+STAGE_WEIGHTS = {"VALIDATING": 2, "PREPROCESSING": 14, "TRANSCRIBING": 33, "DIARIZING": 23, "RECONCILING": 3, "EMBEDDING": 5, "IDENTIFYING": 3, "POSTPROCESSING": 5, "SENTIMENT": 7, "INDEXING": 5}
+STAGES = list(STAGE_WEIGHTS)
+BEFORE = {s: sum(list(STAGE_WEIGHTS.values())[:i]) for i, s in enumerate(STAGES)}
+
+
+@query("t09_progress", "SELECT job, stage, CASE stage " + " ".join(f"WHEN '{s}' THEN {n}" for s, n in BEFORE.items()) + " END AS percent FROM (SELECT user_id AS job, arg_max(CASE event_id % 10 " + " ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(STAGES)) + " END, {'t': ts, 'e': event_id}) AS stage FROM events GROUP BY 1)")
+def t09(t):
+    """The latest stage of each job and the share of the work before it."""
+    stage = F.element_at(F.lit(STAGES), (C("event_id") % 10 + 1).cast("int"))
+    latest = events(t).groupBy(C("user_id").alias("job")).agg(F.max_by(stage, F.struct("ts", "event_id")).alias("stage"))
+    percent = F.lit(0)
+    for s, n in BEFORE.items():
+        percent = F.when(C("stage") == s, n).otherwise(percent)
+    return drain_batches(latest, lambda rows: rows.select("job", "stage", percent.alias("percent")), "complete")
+
+
+@query("t10_live_tag", "SELECT vec_id, s_suppkey AS profile_id FROM embeddings JOIN supplier ON s_suppkey = vec_id % 12 + 1 WHERE vec_id % 6 <> 0")
+def t10(t):
+    """Tags of live voices: a profile by name in any case; blank names and unknown ones are refused."""
+    names = t.supplier.select(C("s_suppkey").alias("id"), C("s_name").alias("name"))
+
+    def work(rows):
+        token = F.when(C("vec_id") % 6 == 0, " ").otherwise(F.concat(F.lit("SUPPLIER#"), F.lpad((C("vec_id") % 12 + 1).cast("string"), 9, "0")))
+        tags = rows.where(F.size("embedding") == 64).select("vec_id", token.alias("token")).where("trim(token) <> ''")
+        return j.resolve_names(tags, names).where("id IS NOT NULL").select("vec_id", C("id").alias("profile_id"))
+
+    return drain_batches(table_stream(t.spark, t.folder, "embeddings"), work)
+
+
+@query("t11_incremental_graph", "SELECT clip_id::VARCHAR AS src, race_id::VARCHAR AS dst FROM v_clips WHERE status = 'COMPLETE'")
+def t11(t):
+    """Edges of the clips that arrive, put in place of those that they had."""
+
+    def work(rows):
+        b = Batch(t, orders=rows)
+        done = b.v_clips.where("status = 'COMPLETE'").select(C("clip_id").cast("string").alias("src"), C("race_id").cast("string").alias("dst"))
+        return replace_derived(done.limit(0), done, done.select("src").distinct(), "src")
+
+    return drain_batches(table_stream(t.spark, t.folder, "orders"), work)
+
+
+def rms_rows(df):
+    return df.select((C("user_id") % 40).alias("session"), C("event_id").alias("row_id"), (C("event_id") * 0.25).alias("at"), F.when(C("event_id") % 5 < 2, 0.05).otherwise(0.01).alias("rms"))
+
+
+@query("t12_cut_chunks")
+def t12(t):
+    return drain(folds.stream(rms_rows(events(t)), folds.cut_chunk, (0, None, False, None), "long", "chunk long, since double, spoke boolean, quiet double", idle_ms=None)).withColumnRenamed("value", "chunk")
