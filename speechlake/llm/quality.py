@@ -11,12 +11,15 @@ from .common import WORD, checkpointed
 
 MIN_WORDS = 50
 #: Names of the rules, in the order of their votes.
-RULES = ("symbols", "dup_lines", "upper", "line_ends", "repeats", "bangs", "word_length")
+RULES = ("symbols", "dup_lines", "upper", "line_ends", "repeats", "bangs", "word_length", "symbol_words", "symbol_runs")
 ROUNDS = 20
+#: A word with a symbol in it, and symbols that stand three together or begin a word.
+SYMBOL_WORD = r"[^\x20\x09-\x0D#*$%&|<>]*[#*$%&|<>][^\x20\x09-\x0D]*"
+SYMBOL_RUN = r"[#*$%&|<>]{3,}|(^|[\x20\x09-\x0D])[#*$%&|<>]+"
 #: Where the estimates start, which says what a vote means: accuracy on good and on bad documents, share of good ones.
-START_GOOD, START_BAD, START_SHARE = 0.9, 0.6, 0.8
+START_GOOD, START_BAD, START_SHARE = 0.95, 0.5, 0.9
 #: Documents that the start counts for.
-WEIGHT = 10.0
+WEIGHT = 50.0
 
 
 def let(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -54,7 +57,7 @@ def features(docs: DataFrame) -> DataFrame:
 
     words = let(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), repeated_words(w).alias("n_repeat_words")))
     lines = let(F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
-    made = docs.withColumns({"_w": words, "_l": lines, "n_symbols": without(r"[#*$%&|<>]"), "n_upper": without("[A-ZÀ-ÖØ-Þ]"), "n_bangs": without("!!"), "n_ended": F.regexp_count(text, F.lit(r"[.!?][ \t\r]*(\n|\z)")).cast("long")})
+    made = docs.withColumns({"_w": words, "_l": lines, "n_symbols": without(r"[#*$%&|<>]"), "n_upper": without("[A-ZÀ-ÖØ-Þ]"), "n_bangs": without("!!"), "n_ended": F.regexp_count(text, F.lit(r"[.!?][ \t\r]*(\n|\z)")).cast("long"), "n_symbol_words": F.regexp_count(text, F.lit(SYMBOL_WORD)).cast("long"), "n_symbol_runs": F.regexp_count(text, F.lit(SYMBOL_RUN)).cast("long")})
     return made.select(*made.columns, "_w.*", "_l.*").drop("_w", "_l")
 
 
@@ -73,13 +76,15 @@ def votes() -> Column:
         vote(F.col("n_repeat_words") * 5 > n, F.col("n_repeat_words") * 20 <= n),
         vote(F.col("n_bangs") * 5 > n, F.col("n_bangs") * 25 <= n),
         vote((chars > n * 12) | (chars * 2 < n * 5), (chars <= n * 9) & (chars * 2 >= n * 7)),
+        vote(F.col("n_symbol_words") * 10 > n, F.col("n_symbol_words") * 50 <= n),
+        vote(F.col("n_symbol_runs") * 10 > n, F.col("n_symbol_runs") * 50 <= n),
     )
 
 
 def posteriors(patterns: DataFrame, n_rules: int = len(RULES), rounds: int = ROUNDS) -> DataFrame:
     """votes, n -> votes, p_good: the probability that a document with these votes is good.
 
-    One row per pattern of votes (3 ** rules at most, whatever the number of documents). Each round takes the
+    One row per pattern of votes (3 to the number of rules at most, whatever the number of documents). Each round takes the
     patterns' posterior from the rules' log odds and then the rules' accuracies on good and on bad documents
     and the share of good ones from the posteriors. Starting values count as WEIGHT documents, so that rules
     keep their meaning on tables where nothing or everything is bad.
@@ -127,12 +132,14 @@ def judged(rows: DataFrame, threshold: float = 0.5) -> DataFrame:
     """rows of features() with votes, p_good, base_failed and kept; rows is read twice.
 
     base_failed: fewer than 50 words, or more than half of them in repeated 3-word windows. The other
-    documents are kept where p_good reaches the threshold. Estimates come from the votes of all documents.
+    documents are kept where p_good reaches the threshold. Estimates come from the votes of all documents that
+    the base does not reject.
     Null and empty texts have no words and fail; repeated rows count once each; an empty table stays empty.
     """
     n = F.col("n_words")
     made = rows.withColumns({"votes": votes(), "base_failed": (n < MIN_WORDS) | (F.col("n_repeat_words") * 100 > n * 50)})
-    fitted = checkpointed(posteriors(made.groupBy("votes").agg(F.count("*").alias("n"))))  # 3 ** 7 rows at most
+    passed = F.count_if(~F.col("base_failed")).alias("n")
+    fitted = checkpointed(posteriors(made.groupBy("votes").agg(passed)))  # 3 ** 9 rows at most
     return made.join(F.broadcast(fitted), "votes").withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold))
 
 
@@ -174,7 +181,9 @@ counted AS MATERIALIZED (
     length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
     length(t) - length(regexp_replace(t, '[A-ZÀ-ÖØ-Þ]', '', 'g')) AS n_upper,
     length(t) - length(replace(t, '!!', '')) AS n_bangs,
-    len(regexp_extract_all(t, '[.!?][ \t\r]*(\n|\z)')) AS n_ended
+    len(regexp_extract_all(t, '[.!?][ \t\r]*(\n|\z)')) AS n_ended,
+    len(regexp_extract_all(t, '[^\x20\x09-\x0D#*$%&|<>]*[#*$%&|<>][^\x20\x09-\x0D]*')) AS n_symbol_words,
+    len(regexp_extract_all(t, '[#*$%&|<>]{3,}|(^|[\x20\x09-\x0D])[#*$%&|<>]+')) AS n_symbol_runs
   FROM numbered),
 places AS (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM counted),
 windows AS (SELECT r, i, w || chr(31) || lead(w, 1) OVER o || chr(31) || lead(w, 2) OVER o AS w3 FROM places WINDOW o AS (PARTITION BY r ORDER BY i)),
@@ -183,7 +192,7 @@ repeats AS (SELECT r, count(DISTINCT i + k) AS n_repeat_words FROM twice, (VALUE
 feats AS MATERIALIZED (
   SELECT r, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
     (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
-    len(ls) AS n_lines, n_upper, n_bangs, n_ended
+    len(ls) AS n_lines, n_upper, n_bangs, n_ended, n_symbol_words, n_symbol_runs
   FROM counted LEFT JOIN repeats USING (r)),
 voted AS MATERIALIZED (
   SELECT *, [CASE WHEN n_symbols * 10 > n_words THEN 0 WHEN n_symbols * 50 <= n_words THEN 1 ELSE -1 END,
@@ -192,10 +201,12 @@ voted AS MATERIALIZED (
     CASE WHEN n_ended * 10 < n_lines * 3 THEN 0 WHEN n_ended * 10 >= n_lines * 8 THEN 1 ELSE -1 END,
     CASE WHEN n_repeat_words * 5 > n_words THEN 0 WHEN n_repeat_words * 20 <= n_words THEN 1 ELSE -1 END,
     CASE WHEN n_bangs * 5 > n_words THEN 0 WHEN n_bangs * 25 <= n_words THEN 1 ELSE -1 END,
-    CASE WHEN word_chars > n_words * 12 OR word_chars * 2 < n_words * 5 THEN 0 WHEN word_chars <= n_words * 9 AND word_chars * 2 >= n_words * 7 THEN 1 ELSE -1 END] AS pat,
+    CASE WHEN word_chars > n_words * 12 OR word_chars * 2 < n_words * 5 THEN 0 WHEN word_chars <= n_words * 9 AND word_chars * 2 >= n_words * 7 THEN 1 ELSE -1 END,
+    CASE WHEN n_symbol_words * 10 > n_words THEN 0 WHEN n_symbol_words * 50 <= n_words THEN 1 ELSE -1 END,
+    CASE WHEN n_symbol_runs * 10 > n_words THEN 0 WHEN n_symbol_runs * 50 <= n_words THEN 1 ELSE -1 END] AS pat,
     n_words < 50 OR n_repeat_words * 100 > n_words * 50 AS base_failed
   FROM feats),
-pats AS MATERIALIZED (SELECT pat, count(*)::DOUBLE AS n FROM voted GROUP BY pat),
+pats AS MATERIALIZED (SELECT pat, (count(*) FILTER (NOT base_failed))::DOUBLE AS n FROM voted GROUP BY pat),
 cells AS MATERIALIZED (SELECT pat, n, unnest(pat) AS v, generate_subscripts(pat, 1) - 1 AS j FROM pats),
 """
     + _em_sql()
