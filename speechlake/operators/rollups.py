@@ -64,7 +64,7 @@ def clip_sentiment(utterances: DataFrame) -> DataFrame:
     """Mean sentiment weighted by seconds (0.1 at least), its label, the most frequent mood."""
     w = F.greatest(F.lit(0.1), F.col("speech_s"))
     per = utterances.where("sentiment_score IS NOT NULL").groupBy("clip_id").agg((F.sum(w * F.col("sentiment_score")) / F.sum(w)).alias("score"), F.mode("mood", True).alias("mood"))
-    return per.withColumn("label", band_label(F.round("score", 6)))
+    return per.withColumn("label", band_label(F.round("score", 10)))
 
 
 def clip_speaker_stats(turns: DataFrame) -> DataFrame:

@@ -27,11 +27,3 @@ def query(name: str, sql: str | None = None):
         return f
 
     return of
-
-
-def load() -> None:
-    """Imports the modules that register queries."""
-    from . import graph, identity, intervals, joins, maintenance, retrieval, rollups, scalars, sequences, streams  # noqa: F401
-
-
-load()

@@ -61,10 +61,10 @@ def a07(t):
 
 
 @query("a08_clip_sentiment", """WITH m AS (SELECT clip_id, mood FROM (SELECT clip_id, mood, row_number() OVER (PARTITION BY clip_id ORDER BY count(*) DESC, mood) AS n FROM v_speech_utt WHERE mood IS NOT NULL GROUP BY clip_id, mood) WHERE n = 1),
-  s AS (SELECT clip_id, round(sum(greatest(0.1, speech_s) * sentiment_score) / sum(greatest(0.1, speech_s)), 6) AS score FROM v_speech_utt GROUP BY 1)
+  s AS (SELECT clip_id, round(sum(greatest(0.1, speech_s) * sentiment_score) / sum(greatest(0.1, speech_s)), 10) AS score FROM v_speech_utt GROUP BY 1)
   SELECT clip_id, score, mood, CASE WHEN score > 0.2 THEN 'positive' WHEN score < -0.2 THEN 'negative' ELSE 'neutral' END AS label FROM s LEFT JOIN m USING (clip_id)""")
 def a08(t):
-    return rounded(r.clip_sentiment(t.v_speech_utt), "score")
+    return r.clip_sentiment(t.v_speech_utt).withColumn("score", F.round("score", 10))
 
 
 @query("a09_clip_speaker_stats", """WITH f AS (SELECT *, EXISTS (SELECT 1 FROM v_turns b WHERE a.clip_id = b.clip_id AND a.label <> b.label AND a.start_s < b.end_s AND b.start_s < a.end_s) AS ov FROM v_turns a),
