@@ -7,6 +7,7 @@ import zlib
 import pandas as pd
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions import scoring as s
 from ..functions.filters import filter_rows, page
@@ -72,7 +73,7 @@ def p07(t):
     return probes(t).select("event_id", F.round(q, 6).alias("quality"), F.round(C("dur") * (0.5 + 0.5 * q), 5).alias("rank"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def compression(text: pd.Series) -> pd.Series:
     """Length of a text's bytes over their zlib-compressed length."""
     raw = text.fillna("").map(str.encode)
