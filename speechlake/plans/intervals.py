@@ -49,10 +49,10 @@ def j01(t):
     return rounded(iv.assign_words(t.v_words, t.v_word_turns, WORDS).select("clip_id", "word_id", "speaker", "speaker_conf"), "speaker_conf")
 
 
-@query("j02_nearest_turn", """WITH pts AS (SELECT clip_id, word_id, (start_s + end_s) / 2 AS mid FROM v_words WHERE word_ix % 7 = 0)
+@query("j02_nearest_turn", """WITH pts AS (SELECT clip_id, word_id, (start_s + end_s) / 2 AS mid FROM v_words)
   SELECT clip_id, word_id, label FROM (SELECT p.clip_id, p.word_id, t.label, row_number() OVER (PARTITION BY p.clip_id, p.word_id ORDER BY abs((t.start_s + t.end_s) / 2 - p.mid), t.start_s, t.turn_id) AS n FROM pts p JOIN v_word_turns t ON p.clip_id = t.clip_id) WHERE n = 1""")
 def j02(t):
-    return iv.nearest_turn(t.v_words.where("word_ix % 7 = 0"), t.v_word_turns).select("clip_id", "word_id", "turn.label")
+    return iv.nearest_turn(t.v_words, t.v_word_turns).select("clip_id", "word_id", "turn.label")
 
 
 @query("j03_phantoms", """SELECT clip_id, turn_id FROM v_word_turns a WHERE NOT EXISTS (SELECT 1 FROM v_word_turns b WHERE a.clip_id = b.clip_id AND a.label <> b.label AND b.start_s >= a.start_s - 0.3::DOUBLE AND b.start_s <= a.start_s + 0.3::DOUBLE
