@@ -16,10 +16,8 @@ from .tokens import batches
 WORDS, SIMILARITY = 5, 0.8
 #: Components of a signature; bands of so many rows each (21 * 6 = 126 of them are banded).
 SLOTS, BANDS, ROWS = 128, 21, 6
-#: Estimated similarity from which a pair is verified: three standard deviations below SIMILARITY.
-LIKELY = SIMILARITY - 3 * (SIMILARITY * (1 - SIMILARITY) / SLOTS) ** 0.5
 #: Rows of a bucket that are compared at once.
-BLOCK = 1024
+BLOCK = 512
 GOLDEN = 0x9E3779B97F4A7C15
 
 
@@ -90,7 +88,7 @@ def bands(signed: np.ndarray) -> np.ndarray:
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """doc_id, digest (of the text), bands and signature (low 16 bits per slot); both null without a word."""
+    """doc_id, digest (of the text) and bands, null for a text without a word."""
 
     def of(rows):
         for pdf in rows:
@@ -98,15 +96,14 @@ def sign(docs: DataFrame) -> DataFrame:
                 owner, element, times = shingle_sets(texts, WORDS)
                 signed = signatures(owner, element, times, len(texts))
                 some = np.bincount(owner, minlength=len(texts)) > 0
-                keys, low = bands(signed), signed.astype("<u2")
+                keys = bands(signed)
                 yield pd.DataFrame({
                     "doc_id": pdf["doc_id"].iloc[first : first + len(texts)].astype("Int64"),
                     "digest": [hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in texts],
                     "bands": [keys[i] if some[i] else None for i in range(len(texts))],
-                    "signature": [low[i].tobytes() if some[i] else None for i in range(len(texts))],
                 })
 
-    return docs.select("doc_id", "text").mapInPandas(of, "doc_id long, digest binary, bands array<long>, signature binary")
+    return docs.select("doc_id", "text").mapInPandas(of, "doc_id long, digest binary, bands array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -126,41 +123,67 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInPandas(check, "a long, b long")
 
 
-def other_pairs(rows: DataFrame) -> DataFrame:
-    """(a, b) of one bucket but different labels that are likely similar. rows: key, node, label, signature.
+def other_links(rows: DataFrame) -> DataFrame:
+    """(a, b) of one bucket but different labels whose shingles overlap enough. rows: key, node, label, bands, text.
 
     In each bucket the rows of its largest label need no comparison among themselves; all others meet all
-    rows. Both are cut into blocks of about BLOCK rows, and a task holds two blocks at a time.
+    rows. Both are cut into blocks of about BLOCK rows, and a task holds two blocks at a time. A pair is
+    compared, exactly, in the first band that it shares only.
     """
     labels = rows.groupBy("key", "label").agg(F.count("*").alias("n"))
-    sizes = labels.groupBy("key").agg(F.sum("n").alias("all"), F.max("n").alias("most"), F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels"))
-    sizes = checkpointed(sizes.where("labels > 1 and all > 2").select("key", "main", F.ceil(F.col("all") / BLOCK).alias("blocks"), F.ceil((F.col("all") - F.col("most")) / BLOCK).alias("rests")))
+    sizes = labels.groupBy("key").agg(F.sum("n").alias("all"), F.max("n").alias("most"), F.max_by("label", F.struct("n", "label")).alias("main"))
+    sizes = checkpointed(sizes.select("key", "main", F.ceil(F.col("all") / BLOCK).alias("blocks"), F.ceil((F.col("all") - F.col("most")) / BLOCK).alias("rests")))
     mixed = rows.join(sizes, "key").withColumn("side", F.when(F.col("label") == F.col("main"), 0).otherwise(1))
     block = F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks"))
     rest = F.pmod(F.xxhash64("node", F.lit(5)), F.col("rests"))
-    as_any = mixed.select("key", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("rests") - 1)).alias("rest"), F.lit(0).alias("role"), "node", "label", "signature", "side")
-    as_rest = mixed.where("side = 1").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), rest.alias("rest"), F.lit(1).alias("role"), "node", "label", "signature", "side")
+    columns = ["node", "label", "bands", "text", "side"]
+    as_any = mixed.select("key", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("rests") - 1)).alias("rest"), F.lit(0).alias("role"), *columns)
+    as_rest = mixed.where("side = 1").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), rest.alias("rest"), F.lit(1).alias("role"), *columns)
     keys = ["key", "block", "rest"]
 
-    def compare(rows):
-        for pdf in whole_groups(rows, keys):
-            signed = np.frombuffer(b"".join(pdf["signature"]), "<u2").reshape(len(pdf), SLOTS)
-            node, label, role, side = (pdf[c].to_numpy() for c in ("node", "label", "role", "side"))
+    def compare(batch_rows):
+        for pdf in whole_groups(batch_rows, keys):
             cuts = np.append(np.flatnonzero(~pdf.duplicated(keys)), len(pdf))
-            found = []
-            for i, j in zip(cuts[:-1], cuts[1:]):
-                mine, others = np.flatnonzero(role[i:j] == 1) + i, np.flatnonzero(role[i:j] == 0) + i
-                for k in mine:
-                    ok = (label[others] != label[k]) & ((side[others] == 0) | (node[others] < node[k]))
-                    near = others[ok]
-                    near = near[(signed[near] == signed[k]).mean(axis=1) >= LIKELY] if len(near) else near
-                    found += [(max(node[k], x), min(node[k], x)) for x in node[near]]
+            found = [pair for i, j in zip(cuts[:-1], cuts[1:]) for pair in links_of_bucket(pdf.iloc[i:j])]
             yield pd.DataFrame(found, columns=["a", "b"])
 
     both = as_any.unionByName(as_rest)
     return both.repartition(*keys).sortWithinPartitions(*keys, "role").mapInPandas(compare, "a long, b long").distinct()
 
 
+def links_of_bucket(rows: pd.DataFrame) -> list[tuple[int, int]]:
+    """Links between the rows with role 1 and those with role 0 of one bucket."""
+    node, label, role, side = (rows[c].to_numpy() for c in ("node", "label", "role", "side"))
+    mine, others = np.flatnonzero(role == 1), np.flatnonzero(role == 0)
+    if not len(mine) or not len(others):
+        return []
+    keys = np.stack(rows["bands"].tolist())
+    band = int(np.argmax(keys[0] == rows["key"].iloc[0]))
+    owner, shingle, times = shingle_sets([t or "" for t in rows["text"]], WORDS)
+    _, number = np.unique(shingle, return_inverse=True)
+    first = np.searchsorted(owner, np.arange(len(rows) + 1))
+    total = np.add.reduceat(times, first[:-1])
+    held = np.zeros(number.max() + 1, np.int64)
+    out = []
+    for k in mine:
+        ok = (label[others] != label[k]) & ((side[others] == 0) | (node[others] < node[k])) & ~(keys[others, :band] == keys[k, :band]).any(axis=1)
+        # an overlap of SIMILARITY needs sizes as close
+        near = others[ok]
+        near = near[(total[near] >= SIMILARITY * total[k]) & (total[k] >= SIMILARITY * total[near])]
+        if not len(near):
+            continue
+        own = slice(first[k], first[k + 1])
+        held[number[own]] = times[own]
+        sizes = first[near + 1] - first[near]
+        begin = np.cumsum(sizes) - sizes
+        at = np.arange(sizes.sum()) - np.repeat(begin, sizes) + np.repeat(first[near], sizes)
+        common = np.add.reduceat(np.minimum(times[at], held[number[at]]), begin)
+        held[number[own]] = 0
+        alike = common >= SIMILARITY * (total[k] + total[near] - common)
+        out += [(max(node[k], x), min(node[k], x)) for x in node[near[alike]]]
+    return out
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, class_id, n_copies, kept for every row of docs (doc_id, text).
 
@@ -170,16 +193,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Equal texts become one node first. Its signature's bands are its keys; in each bucket all nodes are paired
     with the smallest one and verified on whole texts. What lands in a class need not be compared again: only
-    nodes of a bucket that are then in different classes are, by signature, and likely pairs are verified too.
-    So a large group costs rows, not pairs, unless its members differ. Missed are only pairs that share no band
-    (0.2 % at a similarity of 0.8, less above) or whose signatures mislead by three standard deviations.
+    nodes of a bucket that are then in different classes are, in blocks. So a large group costs rows, not
+    pairs, unless its members differ. Missed are only pairs that share no band (0.2 % at a similarity of 0.8,
+    less above).
 
     Null and empty texts, and those without a word, link with nothing. Texts of under five words are one
     shingle. Rows with a null doc_id stay by themselves (class_id null, kept). Rows that share a doc_id are
     one document and get a row each. An empty table gives no rows; extra columns are not read.
     """
     signed = checkpointed(sign(docs))
-    nodes = signed.where("bands is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.count("*").alias("n_copies"), F.first("bands").alias("bands"), F.first("signature").alias("signature"))
+    nodes = signed.where("bands is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.count("*").alias("n_copies"), F.first("bands").alias("bands"))
     nodes = checkpointed(nodes)
     keyed = nodes.select("node", F.explode("bands").alias("key"))
     centers = checkpointed(keyed.groupBy("key").agg(F.min("node").alias("center"), F.count("*").alias("n")).where("n > 1").drop("n"))
@@ -191,8 +214,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     label = components(links)
     labelled = bucketed.join(label.withColumnRenamed("component", "label"), "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     split = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low < high and n > 2").select("key")
-    rows = labelled.join(split, "key").join(nodes.select("node", "signature"), "node")
-    more = verified(other_pairs(checkpointed(rows)), texts)
+    rows = labelled.join(split, "key").join(nodes.select("node", "bands"), "node").join(texts.withColumnRenamed("doc_id", "node"), "node")
+    more = checkpointed(other_links(checkpointed(rows)))
     every = components(links.union(more))
     classes = nodes.join(every, "node", "left").select("digest", "n_copies", F.coalesce("component", "node").alias("class_id"))
     found = signed.select("doc_id", "digest").join(checkpointed(classes), "digest", "left")
