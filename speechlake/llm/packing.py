@@ -27,7 +27,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, with_ids
 
     def cut(rows):
         for pdf in rows:
-            for first, texts in batches(pdf["text"].tolist()):
+            for first, texts in batches(pdf["text"].tolist(), 8_000_000):
                 made = []
                 for doc_id, ids in zip(pdf["doc_id"].iloc[first : first + len(texts)].tolist(), encoder(tokenizer).encode(texts)):
                     ids += ending

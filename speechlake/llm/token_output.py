@@ -133,7 +133,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int, bits: b
         out = None
         n = docs_seen = 0
         for pdf in rows:
-            for first, texts in batches(pdf["text"].tolist()):
+            for first, texts in batches(pdf["text"].tolist(), 8_000_000):
                 for doc_id, ids in zip(pdf["doc_id"].iloc[first : first + len(texts)].tolist(), encoder(tokenizer).encode(texts)):
                     if out is None:
                         fs, base = filesystem(folder)
