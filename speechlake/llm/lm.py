@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,6 +21,8 @@ CLASSES = 1 + TOP + BUCKETS
 CONTEXT, DIM = 4, 16
 #: Noise samples and tokens of a training batch, and the step size.
 NOISE, BATCH, RATE = 24, 2048, 0.15
+#: Tokens that a copy learns from in a round; small tables are learnt in several passes, towards LEAST tokens.
+UNIT, LEAST, MOST_PASSES = 262_144, 4_000_000, 16
 
 
 def tokens_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -94,7 +97,7 @@ class LogBilinear:
             self.p = {k: x.reshape(s) for (k, s), x in zip(self.SHAPES.items(), np.split(flat, cuts))}
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([self.p[k].reshape(-1) for k in self.SHAPES])
+        return flattened(self.p)
 
     def predict(self, before: np.ndarray) -> np.ndarray:
         return sum(self.p["context"][c] * w for c, w in zip(before, self.p["weight"]))
@@ -134,6 +137,10 @@ class LogBilinear:
                 p[k] += RATE * g / (np.sqrt(squares[k]) + 1e-8)
 
 
+def flattened(p: dict) -> np.ndarray:
+    return np.concatenate([p[k].reshape(-1) for k in LogBilinear.SHAPES])
+
+
 def spread(rows: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Sums of values by class row."""
     return np.stack([np.bincount(rows, column, CLASSES) for column in values.T], axis=1)
@@ -199,35 +206,71 @@ def vocabulary(words: DataFrame, docs: DataFrame) -> Vocabulary:
     return Vocabulary(np.array([t[0] for t in top], np.int64), np.array([t[1] for t in top], float), tokens, once, n_tokens, n_types + (n_docs > 0), n_docs)
 
 
-def train(docs: DataFrame, vocab: Vocabulary) -> np.ndarray:
-    """The model's numbers, learnt from all training texts: each partition trains one copy, copies are averaged.
+def plan(n_tokens: int) -> tuple[int, int, int]:
+    """(copies, rounds, passes) of the training, by the number of training tokens alone."""
+    units = max(1, math.ceil(n_tokens / UNIT))
+    copies = max(1, math.isqrt(units))
+    return copies, math.ceil(units / copies), min(MOST_PASSES, max(1, math.ceil(LEAST / max(n_tokens, 1))))
+
+
+def encode(docs: DataFrame, vocab: Vocabulary, copies: int, rounds: int, folder: str) -> DataFrame:
+    """round, copy, key, classes (a byte per token) of every training text, written to folder.
 
-    Copies begin alike and count by their tokens. What comes to the driver is one row per number.
+    A document's place comes from a hash of its id and text, not from the file or partition that holds it.
     """
-    shares = vocab.class_shares()
 
-    def learn(rows):
-        model, n = LogBilinear(shares), 0
-        squares = {k: np.full(s, 1e-6) for k, s in LogBilinear.SHAPES.items()}
-        rng = np.random.default_rng(2)
-        for pdf in rows:
+    def classes(frames):
+        for pdf in frames:
+            held = []
             for _, texts in batches(pdf["text"].tolist()):
                 doc, word, bucket, end = tokens_of(texts)
-                cls = vocab.classes(word, bucket, end)
-                before = contexts(cls, doc)
+                cls = vocab.classes(word, bucket, end).astype(np.uint8)
+                held += [x.tobytes() for x in np.split(cls, np.cumsum(np.bincount(doc, minlength=len(texts)))[:-1])]
+            yield pd.DataFrame({"round": pdf["unit"] // copies, "copy": pdf["unit"] % copies, "key": pdf["key"], "classes": held})
+
+    key = F.xxhash64("doc_id", "text")
+    rows = docs.where("not held_out").select(key.alias("key"), F.pmod(key, F.lit(copies * rounds)).alias("unit"), "text")
+    rows.mapInPandas(classes, "round long, copy long, key long, classes binary").repartition("round", "copy").write.partitionBy("round").parquet(folder)
+    return docs.sparkSession.read.parquet(folder)
+
+
+def train(docs: DataFrame, vocab: Vocabulary) -> np.ndarray:
+    """The model's numbers, learnt from all training texts in rounds.
+
+    In a round each copy starts from the last mean, of the numbers and of their step sizes, and learns its share
+    of the round's texts; the copies are then averaged by their tokens. Shares hold about UNIT tokens; copies and
+    rounds both grow with the square root of the tokens, so that all tokens are learnt from and the model is the
+    same however the table is cut into files. To the driver comes one row per copy and round.
+    """
+    shares = vocab.class_shares()
+    start = LogBilinear(shares).flat()
+    if not vocab.n_tokens:
+        return start
+    copies, rounds, passes = plan(vocab.n_tokens)
+    texts = encode(docs, vocab, copies, rounds, shared_folder(docs.sparkSession, "classes"))
+    state = np.concatenate([start, np.full(len(start), 1e-6)])
+
+    def learner(turn: int, state: np.ndarray):
+        def learn(pdf):
+            pdf = pdf.sort_values(["key", "classes"])
+            cls = np.frombuffer(b"".join(pdf["classes"]), np.uint8).astype(np.int64)
+            before = contexts(cls, np.repeat(np.arange(len(pdf)), pdf["classes"].map(len)))
+            flat, of_squares = np.split(state.copy(), 2)
+            model, squares = LogBilinear(shares, flat), LogBilinear(shares, of_squares).p
+            copy = int(pdf["copy"].iloc[0])
+            rng = np.random.default_rng([2, turn, copy])
+            for _ in range(passes):
                 order = rng.permutation(len(cls))
                 model.train(before[:, order], cls[order], rng, squares)
-                n += len(cls)
-        if n:
-            flat = model.flat()
-            yield pd.DataFrame({"at": np.arange(len(flat)), "n": n, "value": flat})
+            return pd.DataFrame({"copy": [copy], "n": [len(cls)], "state": [np.concatenate([flattened(model.p), flattened(squares)]).tobytes()]})
 
-    copies = docs.where("not held_out").select("text").mapInPandas(learn, "at long, n long, value double")
-    mean = copies.groupBy("at").agg((F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("value")).collect()
-    start = LogBilinear(shares).flat()
-    for r in mean:
-        start[r[0]] = r[1]
-    return start
+        return learn
+
+    for turn in range(rounds):
+        learnt = texts.where(F.col("round") == turn).groupBy("copy").applyInPandas(learner(turn, state), "copy long, n long, state binary").collect()
+        if learnt:  # added in the copies' order, so that rounding is the same each time
+            state = sum(np.frombuffer(r["state"]) * r["n"] for r in sorted(learnt, key=lambda r: r["copy"])) / sum(r["n"] for r in learnt)
+    return state[: len(start)]
 
 
 def score(documents: DataFrame) -> DataFrame:

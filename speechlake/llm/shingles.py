@@ -20,7 +20,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def word_hashes(texts: list[str], lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text number, hash, last three bytes as a number) of every word of every text, in order.
 
-    A shorter word's last three bytes begin with white space. Words are runs of bytes other than 0x20 and 0x09-0x0D. A word's hash is a polynomial over its bytes modulo
+    A shorter word's number holds its own bytes only, whatever white space is before it. Words are runs of bytes other than 0x20 and 0x09-0x0D. A word's hash is a polynomial over its bytes modulo
     2 ** 64, taken for all words from prefix sums, and mixed with its length.
     """
     encoded = [t.encode("utf-8", "surrogatepass") for t in texts]
@@ -44,6 +44,7 @@ def word_hashes(texts: list[str], lower: bool = False) -> tuple[np.ndarray, np.n
         lengths = ends - starts
         hashed = mix(value + lengths.astype(U) * U(PLACES[2]))
         tail = data[ends - 1].astype(np.int64) | data[ends - 2].astype(np.int64) << 8 | data[ends - 3].astype(np.int64) << 16
+        tail &= (1 << 8 * np.minimum(lengths, 3)) - 1
     return np.searchsorted(begins, starts, side="right") - 1, hashed, tail
 
 

@@ -393,6 +393,15 @@ def test_model_beats_the_base_on_held_out_texts(spark):
     assert got[0] > got[1]
 
 
+def test_training_follows_the_data_and_not_the_files(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    one, many = (lm.score(x).toPandas().sort_values("doc_id") for x in (docs.coalesce(1), docs.repartition(40, "text")))
+    assert np.allclose(one["score"], many["score"], rtol=1e-6)
+    assert len(set(shingles.word_hashes(["of of\nof\tof"])[2])) == 1
+    copies, rounds, passes = lm.plan(85_000_000)
+    assert copies * rounds * lm.UNIT >= 85_000_000 and rounds > lm.plan(8_000_000)[1] and passes == 1
+
+
 def test_quality_counts_as_brute_force(spark, docs):
     rows = [(r.doc_id, r.text) for r in docs.collect()] + [(300, "a b c a b c x"), (301, "a a a a a"), (302, "l one\nl one\n\n\nl one!!\n"), (303, "#x $y | z"), (304, "ÉÀ OK é")]
     got = {r.doc_id: r for r in quality.features(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
