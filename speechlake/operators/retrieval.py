@@ -14,10 +14,17 @@ from ..functions.scoring import tone_phrase
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
-def postings(speech: DataFrame) -> DataFrame:
-    """speech_id, token, positions (from 0): lower-cased runs of letters and digits, no stemming."""
+def postings(speech: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """speech_id, token, positions (from 0): lower-cased runs of letters and digits, no stemming.
+
+    With only (term), the rows of these tokens; the others are left out before anything is shuffled.
+    """
     tokens = F.filter(F.split(F.lower("text"), NOT_WORD), lambda x: x != "")
-    return speech.select("speech_id", F.posexplode(tokens).alias("pos", "token")).groupBy("speech_id", "token").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+    rows = speech.select("speech_id", F.posexplode(tokens).alias("pos", "token"))
+    if only is not None:
+        few = only.select(F.col("term").alias("token")).distinct()
+        rows = rows.join(F.broadcast(few) if few.limit(10_001).count() <= 10_000 else few, "token", "left_semi")
+    return rows.groupBy("speech_id", "token").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
 def match(index: DataFrame, terms: DataFrame) -> DataFrame:
@@ -40,14 +47,16 @@ def cover_rank(index: DataFrame, terms: DataFrame) -> DataFrame:
     A cover ends at a position of one term and begins at the latest earlier position by which all others have
     come; covers that hold another are left out.
     """
+    of_request = Window.partitionBy("request_id")
     wanted = terms.where("kind <> 'none'").select("request_id", "term").distinct()
-    n = wanted.groupBy("request_id").agg(F.count("*").alias("n_terms"))
-    at = index.join(wanted, index["token"] == wanted["term"]).select("request_id", "speech_id", "term", F.explode("positions").alias("pos")).join(n, "request_id")
+    wanted = wanted.withColumns({"slot": F.row_number().over(of_request.orderBy("term")), "n_terms": F.count("*").over(of_request)})
+    slots, rows = wanted.agg(F.max("slot"), F.count("*")).first()
+    wanted = F.broadcast(wanted) if rows <= 10_000 else wanted
+    at = index.join(wanted, index["token"] == wanted["term"]).select("request_id", "speech_id", "slot", "n_terms", F.explode("positions").alias("pos"))
     doc = Window.partitionBy("request_id", "speech_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    seen = at.withColumn("_seen", F.collect_list(F.struct("term", "pos")).over(doc))
-    # the last position of each term so far; a map keeps the last one of a key
-    last = F.map_values(F.aggregate("_seen", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>")), lambda m, x: F.map_concat(F.map_filter(m, lambda k, v: k != x["term"]), F.create_map(x["term"], x["pos"]))))
-    covers = seen.withColumn("_last", last).where(F.size("_last") == F.col("n_terms")).select("request_id", "speech_id", "pos", "n_terms", F.array_min("_last").alias("begin"))
+    # the last position of each term so far
+    last = F.array_compact(F.array(*(F.last(F.when(F.col("slot") == i + 1, F.col("pos")), ignorenulls=True).over(doc) for i in range(slots or 1))))
+    covers = at.withColumn("_last", last).where(F.size("_last") == F.col("n_terms")).select("request_id", "speech_id", "pos", "n_terms", F.array_min("_last").alias("begin"))
     minimal = covers.groupBy("request_id", "speech_id", "begin").agg(F.min("pos").alias("end"), F.first("n_terms").alias("n_terms"))
     return minimal.groupBy("request_id", "speech_id").agg(F.sum(0.1 / (1 + (F.col("end") - F.col("begin") + 1 - F.col("n_terms")))).alias("rank"))
 

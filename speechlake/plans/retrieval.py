@@ -59,9 +59,7 @@ def r02(t):
 
 @query("r03_cover_rank")
 def r03(t):
-    index = r.postings(t.v_docs)
-    wanted = F.broadcast(terms(t).where("request_id = 1"))
-    return rounded(r.cover_rank(index, wanted), "rank")
+    return rounded(r.cover_rank(r.postings(t.v_docs, terms(t)), terms(t)), "rank")
 
 
 @query("r04_keyword_search", f"WITH {MATCH_SQL}, rk AS (SELECT f.*, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, speech_id) AS rk FROM freq f JOIN v_docs d USING (speech_id) WHERE d.mood = 'calm') SELECT * FROM rk WHERE rk <= 20")

@@ -179,6 +179,31 @@ def test_cover_rank_prefers_near_words(spark):
     assert set(got) == {1, 2, 4} and got[4] > got[1] > got[2]
 
 
+def test_cover_rank_as_brute_force_on_long_texts_and_all_requests(spark):
+    from speechlake.operators import retrieval as t
+    from speechlake.plans.catalogue import QUERIES
+
+    rng = random.Random(3)
+    texts = {i: rng.choices("abcx", k=n) for i, n in enumerate([3, 8, 40, 200, 60_000])}
+    wanted = {1: "ab", 2: "abc", 3: "c"}
+    speech = spark.createDataFrame([(i, " ".join(x)) for i, x in texts.items()], "speech_id long, text string")
+    terms = spark.createDataFrame([(q_, k, "all", w, 0) for q_, ws in wanted.items() for k, w in enumerate(ws)], "request_id long, clause_id long, kind string, term string, offset int")
+    want = {}
+    for q_, ws in wanted.items():
+        for i, x in texts.items():
+            last, ends = {}, {}
+            for pos, w in enumerate(x):
+                if w in ws:
+                    last[w] = pos
+                    if len(last) == len(ws):
+                        ends.setdefault(min(last.values()), pos)
+            if ends:
+                want[q_, i] = round(sum(0.1 / (1 + e - b + 1 - len(ws)) for b, e in ends.items()), 6)
+    assert {(x.request_id, x.speech_id): round(x["rank"], 6) for x in t.cover_rank(t.postings(speech), terms).collect()} == want
+    assert t.postings(speech, terms).exceptAll(t.postings(speech).where("token <> 'x'")).isEmpty() and t.postings(speech).where("token <> 'x'").exceptAll(t.postings(speech, terms)).isEmpty()
+    assert {x.request_id for x in QUERIES["r03_cover_rank"](spark, "/root/testdata/sf0.001").select("request_id").distinct().collect()} > {1}
+
+
 def test_verdicts(spark):
     replies = [(1, 5, 'ok ```[{"n": 1, "event": "overtake", "confidence": 0.9, "why": " x "}, {"n": 9, "event": "overtake", "confidence": 0.9}, {"n": 2, "event": "none", "confidence": 1}, {"n": 3, "event": "overtake", "confidence": 0.1}]```'), (2, 5, "no json"), (3, 5, None), (4, 5, "[broken")]
     got = [tuple(x) for x in m.parse_verdicts(spark.createDataFrame(replies, "batch_id long, batch_size int, reply string"), ["overtake"]).collect()]
