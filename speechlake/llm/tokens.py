@@ -22,7 +22,8 @@ class Encoder:
 
     Neither kind of pre-tokenizer joins a character with white space after it, nor a letter or digit with a
     comma or full stop that ends a word; so a text's ids are those of the pieces between such places in turn.
-    Arrow finds the distinct pieces of a batch; only those that were not seen lately are encoded.
+    Arrow finds the distinct pieces of a batch; only those that were not seen lately are encoded. A text that
+    holds one of the tokenizer's added tokens as written is encoded whole, as the library does it.
     `drops_space` tells that the tokenizer drops white space altogether.
     """
 
@@ -31,7 +32,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.whole = (*ODD, *sorted(t.content for t in self.tok.get_added_tokens_decoder().values()))
         self.drops_space = len(self.tok.encode(" \n", add_special_tokens=False).ids) == 0
         self.kept: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -53,7 +54,7 @@ class Encoder:
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        odd = [any(c in t for c in ODD) for t in texts]
+        odd = [any(c in t for c in self.whole) for t in texts]
         encoded = [b"" if o else t.encode() for o, t in zip(odd, texts)]
         ends = np.cumsum([len(e) for e in encoded])
         starts = ends - [len(e) for e in encoded]

@@ -105,8 +105,7 @@ def test_pieces_encode_as_the_whole_text(name):
 
     path = public_tokenizers.path(name)
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
-    texts = ["", " ", "a  b\n\n c", "don't  STOP", "é́ à ̈x", "tab\t\tx \n", "x\xa0 y", "a\x1cb", "<|endoftext|> x", "İ Σ ς end  ", "日本 語　x", "a\r\nb", "\n\n\nq", "1234 56,7"]
+    texts = ["<|endoftext|>", "a <|startoftext|>b , c.<|endoftext|>", "<|ENDOFTEXT|> x", "<|end oftext|>", "", " ", "a  b\n\n c", "don't  STOP", "é́ à ̈x", "tab\t\tx \n", "x\xa0 y", "a\x1cb", "<|endoftext|> x", "İ Σ ς end  ", "日本 語　x", "a\r\nb", "\n\n\nq", "1234 56,7"]
     rng = np.random.default_rng(3)
     alphabet = list("ab 1,.'\n\tÉß\xa0語")
     texts += ["".join(rng.choice(alphabet, 30)) for _ in range(300)]
