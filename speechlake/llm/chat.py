@@ -103,6 +103,7 @@ EXTRA = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[IN
 
 
 def op3_event_fold(spark, sf_dir: str) -> DataFrame:
+    """All conversations and the contract's own, logged, folded, rendered and read back; null texts are empty."""
     table = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     turns = table.unionByName(spark.createDataFrame(EXTRA, "conv_id long, turn long, role string, text string"))
     return digest(render(fold(events_of_turns(turns))))

@@ -14,10 +14,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's shared spark.checkpoint.dir; only where the session names none (in tests), a local folder."""
+    """The cluster's shared spark.checkpoint.dir. A local session may go without and gets a folder of its own."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     return sc.getCheckpointDir()
 
 
@@ -43,16 +46,17 @@ def hash52(*cols: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long")
 
 
-def lookup(big: DataFrame, small: DataFrame, on: list[str], max_rows: int = 10_000, salts: int = 32) -> DataFrame:
+def lookup(big: DataFrame, small: DataFrame, on: list[str], by: str, max_rows: int = 10_000, salts: int = 32) -> DataFrame:
     """Inner join of big to a table with one row per key, whatever the skew of big's keys.
 
     small is broadcast only if it is counted to hold at most max_rows rows. Otherwise each of its rows is
-    dealt to `salts` sub-keys and big's rows choose one of them, so that a hot key meets in many tasks.
+    dealt to `salts` sub-keys and big's rows choose one of them by the column `by`, so that a hot key meets in many
+    tasks, and a task that is run again deals its rows in the same way.
     """
     if small.limit(max_rows + 1).count() <= max_rows:
         return big.join(F.broadcast(small), on)
     salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    mine = big.withColumn("_salt", F.floor(F.rand(7) * salts).cast("int"))
+    mine = big.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
     return mine.join(salted, [*on, "_salt"]).drop("_salt")
 
 

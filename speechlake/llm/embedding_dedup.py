@@ -207,4 +207,5 @@ def unit_of(v: np.ndarray) -> np.ndarray:
 
 
 def op7_spherical_caps(spark, sf_dir: str) -> DataFrame:
+    """All rows of embeddings, whatever their labels."""
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))

@@ -6,7 +6,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, components, whole_groups
@@ -226,12 +226,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """docs without near duplicates: one row of each class stays, the one with its smallest doc_id.
 
-    Repeated rows of a doc_id become one. Rows with a null doc_id all stay.
+    Repeated rows (of one doc_id and one text) become one; a doc_id that stays keeps each of its different texts.
+    Rows with a null doc_id all stay, as do empty texts and those without a word. An empty table stays empty;
+    other columns pass through whatever their names.
     """
     kept = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    rows = docs.join(kept, "doc_id").withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
-    return rows.where("_nth = 1").select(docs.columns).unionByName(docs.where("doc_id is null"))
+    rows = docs.select(F.struct("*").alias("doc"), "doc_id", F.md5("text").alias("digest")).join(kept, "doc_id")
+    one = rows.groupBy("doc_id", "digest").agg(F.first("doc").alias("doc")).select("doc.*")
+    return one.unionByName(docs.where("doc_id is null"))
 
 
 def op8_bag_minhash(spark, sf_dir: str) -> DataFrame:
+    """Class, copies and verdict of every document."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -42,8 +42,9 @@ def mix(rows: DataFrame, size: str, targets: DataFrame | None = None, seed: int
     Prefix sums go by bucket, so that a hot source never meets in one task.
 
     rows needs doc_id, source and the size column (not null). Equal rows get the same or neighbouring shares;
-    empty tables give empty results; a source with size 0 gets no copies. Extra columns pass through, except
-    the names that start with an underscore. Reruns agree: nothing depends on partitions.
+    empty tables give empty results; a source with size 0 gets no copies. Extra columns pass through; those
+    named source_size, target or copies are replaced, and names that start with an underscore are reserved (put
+    rows of unknown columns into a struct, as `mixed_documents` does). Reruns agree: nothing depends on partitions.
     """
     targets = checkpointed(source_targets(rows, size) if targets is None else targets)
     one = 1 << UNIT_BITS
@@ -57,7 +58,7 @@ def mix(rows: DataFrame, size: str, targets: DataFrame | None = None, seed: int
         "target",
     )
     keyed = rows.drop("source_size", "target", "copies").withColumn("_source", source_key())
-    keyed = lookup(keyed, plan, ["_source"]).withColumn("_hash", hash52(F.col("doc_id")))
+    keyed = lookup(keyed.withColumn("_hash", hash52(F.col("doc_id"))), plan, ["_source"], "_hash")
     keyed = keyed.withColumn("_bucket", F.col("_hash") % F.col("_buckets"))
     snake = F.when(F.col("_bucket") % 2 == 0, F.col(size)).otherwise(-F.col(size))
     placed = running_before(keyed, ["_source"], "_bucket", [snake, "_hash", "doc_id"], {"_before": "_share"})
@@ -66,17 +67,22 @@ def mix(rows: DataFrame, size: str, targets: DataFrame | None = None, seed: int
 
 
 def emit(mixed: DataFrame) -> DataFrame:
-    """The mix itself: each row as often as copies says, with copy (from 0)."""
+    """The mix itself: each row as often as copies says, with copy (from 0, in place of a column of that name)."""
     return mixed.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies").cast("int") - 1)))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """Rows of docs as often as the mix by words takes them, with their own columns only."""
+    """Rows of docs as often as the mix by words takes them, with their own columns only, whatever their names.
+
+    Null and empty texts have no words: they expect as many copies as their source's other rows. Repeated rows and
+    ties are taken one by one; an empty table stays empty.
+    """
     rows = docs.select(F.struct("*").alias("_doc"), "doc_id", "source", n_words(F.col("text")).alias("size"))
     return emit(mix(rows, "size")).select("_doc.*")
 
 
 def op1_systematic_mix(spark, sf_dir: str) -> DataFrame:
+    """The mix of all documents by words: what it takes of each. Null texts have size 0, null sources come last."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = checkpointed(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")))
     return mix(rows, "size").select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))

@@ -80,7 +80,8 @@ def pack(rows: DataFrame, capacity: int, order: tuple[str, ...] = ("doc_id", "pi
     Lengths are counted (capacity rows at most), the supersteps of `sweeps` match their runs, and every row
     finds its place by its rank among rows of its length. Ranks come from sums by length and hash bucket, so
     that a length which a third of all rows share is spread over many tasks. rows is read three times: pass a
-    checkpointed, narrow table. Equal rows are packed each; an empty table stays empty.
+    checkpointed, narrow table. Equal rows are packed each; an empty table stays empty. Columns named sequence_id
+    or offset are replaced; names that start with an underscore are reserved.
     """
     counts = {r[0]: r[1] for r in rows.groupBy("length").count().collect()}
     n = sum(counts.values())
@@ -108,6 +109,10 @@ def sequences(packed: DataFrame) -> DataFrame:
 
 
 def packed_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, capacity: int = 1024) -> DataFrame:
+    """The pieces of docs (doc_id, text; other columns are not read) with their sequences and places.
+
+    Null and empty texts are a piece with the end alone; very long ones are cut; repeated rows are packed each.
+    """
     import public_tokenizers
 
     rows = checkpointed(pieces(docs, tokenizer or public_tokenizers.path("byte_bpe_50k.json"), end_id, capacity))
@@ -115,4 +120,5 @@ def packed_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int
 
 
 def op4_best_fit(spark, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 1,024 tokens."""
     return packed_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))

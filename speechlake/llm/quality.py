@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpointed
+from .common import WORD, checkpointed, shared_folder
 
 MIN_WORDS = 50
 #: Names of the rules, in the order of their votes.
@@ -48,7 +48,8 @@ def repeated_words(words: Column) -> Column:
 def features(docs: DataFrame) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and what the rules need besides.
 
-    Null text counts as empty. All come from the whole text in one pass without a shuffle.
+    Null text counts as empty. All come from the whole text in one pass without a shuffle. Columns of docs that
+    have these names are replaced (put rows of unknown columns into a struct, as `good_documents` does).
     """
     text = F.coalesce(F.col("text"), F.lit(""))
 
@@ -57,7 +58,7 @@ def features(docs: DataFrame) -> DataFrame:
 
     words = let(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), repeated_words(w).alias("n_repeat_words")))
     lines = let(F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
-    made = docs.withColumns({"_w": words, "_l": lines, "n_symbols": without(r"[#*$%&|<>]"), "n_upper": without("[A-ZÀ-ÖØ-Þ]"), "n_bangs": without("!!"), "n_ended": F.regexp_count(text, F.lit(r"[.!?][ \t\r]*(\n|\z)")).cast("long"), "n_symbol_words": F.regexp_count(text, F.lit(SYMBOL_WORD)).cast("long"), "n_symbol_runs": F.regexp_count(text, F.lit(SYMBOL_RUN)).cast("long")})
+    made = docs.drop("n_words", "word_chars", "n_repeat_words", "n_lines", "n_dup_lines").withColumns({"_w": words, "_l": lines, "n_symbols": without(r"[#*$%&|<>]"), "n_upper": without("[A-ZÀ-ÖØ-Þ]"), "n_bangs": without("!!"), "n_ended": F.regexp_count(text, F.lit(r"[.!?][ \t\r]*(\n|\z)")).cast("long"), "n_symbol_words": F.regexp_count(text, F.lit(SYMBOL_WORD)).cast("long"), "n_symbol_runs": F.regexp_count(text, F.lit(SYMBOL_RUN)).cast("long")})
     return made.select(*made.columns, "_w.*", "_l.*").drop("_w", "_l")
 
 
@@ -128,28 +129,37 @@ def posteriors(patterns: DataFrame, n_rules: int = len(RULES), rounds: int = ROU
     return each.select(F.col("x.votes").alias("votes"), p_good(F.col("model"), F.col("x.votes")).alias("p_good"))
 
 
-def judged(rows: DataFrame, threshold: float = 0.5) -> DataFrame:
+def judged(rows: DataFrame, threshold: float = 0.5, min_words: int = MIN_WORDS) -> DataFrame:
     """rows of features() with votes, p_good, base_failed and kept; rows is read twice.
 
-    base_failed: fewer than 50 words, or more than half of them in repeated 3-word windows. The other
+    base_failed: fewer than min_words words, or more than half of them in repeated 3-word windows. The other
     documents are kept where p_good reaches the threshold. Estimates come from the votes of all documents that
-    the base does not reject.
+    the base does not reject. Three rules look at symbols, in three ways: their votes hang together, so they
+    count for more than independent ones would, but with one of them alone the two kinds of documents cannot be
+    told apart, as no other rule tells most bad documents from good ones.
     Null and empty texts have no words and fail; repeated rows count once each; an empty table stays empty.
     """
     n = F.col("n_words")
-    made = rows.withColumns({"votes": votes(), "base_failed": (n < MIN_WORDS) | (F.col("n_repeat_words") * 100 > n * 50)})
+    made = rows.withColumns({"votes": votes(), "base_failed": (n < min_words) | (F.col("n_repeat_words") * 100 > n * 50)})
     passed = F.count_if(~F.col("base_failed")).alias("n")
     fitted = checkpointed(posteriors(made.groupBy("votes").agg(passed)))  # 3 ** 9 rows at most
     return made.join(F.broadcast(fitted), "votes").withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold))
 
 
-def good_documents(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are kept, with their own columns only."""
-    rows = features(docs.select(F.struct("*").alias("_doc"), "text"))
-    return judged(rows).where("kept").select("_doc.*")
+def good_documents(docs: DataFrame, min_words: int = 1) -> DataFrame:
+    """The rows of docs that are kept, with their own columns only, whatever their names.
+
+    A short text is judged by its votes; null and empty texts, and those without a word, go. Features are written
+    to the shared folder with their rows, so that texts are scanned once. An empty table stays empty.
+    """
+    folder = shared_folder(docs.sparkSession, "features")
+    features(docs.select(F.struct("*").alias("_doc"), "text")).drop("text").write.parquet(folder)
+    rows = docs.sparkSession.read.parquet(folder)
+    return judged(rows, min_words=min_words).where("kept").select("_doc.*")
 
 
 def op10_weak_supervision(spark, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document; null texts have no words and fail."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     rows = checkpointed(features(docs).drop("text"))
     return judged(rows).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

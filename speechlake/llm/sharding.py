@@ -31,7 +31,8 @@ def shard(rows: DataFrame, n_shards: int, key: str = "key", size: str = "size",
     falls in: a shard is off by one record's size at most. Each task sorts one range only.
 
     rows should be narrow and cheap to read twice (checkpointed), with key (string) and size (positive) not
-    null. Equal keys get any order among themselves; an empty table gives no rows. Extra columns pass through.
+    null. Equal keys get any order among themselves; an empty table gives no rows. Extra columns pass through;
+    those named shard or slot are replaced, and names that start with an underscore are reserved.
     """
     n, total = rows.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
     wanted = min(MOST_SPLITTERS, max(per_shard * n_shards, math.isqrt(n)))
@@ -62,6 +63,7 @@ def write_shards(docs: DataFrame, placed: DataFrame, path: str, on: str = "doc_i
 
 
 def op6_sampled_splitters(spark, sf_dir: str, n_shards: int = 40) -> DataFrame:
+    """Shard and slot of every document by law `bytes`; null texts are empty, equal texts lie side by side."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = checkpointed(docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), sort_key().alias("key")))

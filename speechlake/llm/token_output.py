@@ -183,6 +183,7 @@ def read_ids(spark, folder: str, digest: bool = False) -> DataFrame:
 
 
 def op2_byte_planes(spark, sf_dir: str, tokenizer: str | None = None, end_id: int = 2) -> DataFrame:
+    """All documents written as ids and read back; null texts are empty and have the end alone."""
     import public_tokenizers
 
     folder = shared_folder(spark, "ids")

@@ -25,7 +25,7 @@ def rule_table(rules: DataFrame) -> DataFrame:
     kept = rules.where("host <> ''").select(F.translate("host", UPPER, LOWER).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict")
     one = kept.groupBy("host", "path").agg(F.max("verdict").alias("rule_verdict"))
     digest = F.sha2(F.concat_ws("\n", "host", "path"), 256)
-    return one.select(digest.alias("rule_digest"), F.substring(digest, 1, SHORT).alias("short"), F.concat("host", "path").alias("rule"), "rule_verdict", F.length("host").alias("host_len"), F.length(F.concat("host", "path")).alias("rule_len"), F.length("path").alias("path_len"))
+    return one.select(digest.alias("rule_digest"), F.substring(digest, 1, SHORT).alias("rule_short"), F.concat("host", "path").alias("rule"), "rule_verdict", F.length("host").alias("host_len"), F.length(F.concat("host", "path")).alias("rule_len"), F.length("path").alias("path_len"))
 
 
 def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow", max_rules: int = 100_000, salts: int = 64) -> DataFrame:
@@ -38,30 +38,32 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     that a suffix that most urls share does not meet in one task.
 
     Null urls and urls without '://' have an empty host and path and no rule. Repeated pages are judged one by
-    one. Extra columns pass through, except the four that are set.
+    one; an empty table gives no rows. Other columns pass through whatever their names, as the page travels
+    as one struct; the four that are set replace columns of their names.
     """
     table = rule_table(rules)
     bounds = table.agg(F.max("host_len"), F.collect_set("path_len")).first()
     longest, lengths = bounds[0] or 0, sorted(bounds[1])
     host, path = host_and_path(F.col(url))
-    rows = pages.drop("host", "path", "rule", "verdict").withColumns({"host": host, "path": path, "_row": F.monotonically_increasing_id()})
+    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    page = F.struct(*(F.col(f"`{c}`") for c in kept)) if kept else F.struct(F.lit(True))
+    rows = pages.select(page.alias("page"), host.alias("host"), path.alias("path"), F.monotonically_increasing_id().alias("row"))
     # every suffix that can match starts after a dot of this tail; the dot put before the host stands for its start
     tail = F.right(F.concat(F.lit("."), "host"), F.lit(longest + 1))
     starts = F.filter(F.sequence(F.lit(2), F.greatest(F.length(tail), F.lit(2))), lambda i: F.substr(tail, i - 1, F.lit(1)) == ".")
     suffixes = F.transform(starts, lambda i: F.substr(tail, i))
     heads = F.array(*(F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths)) if lengths else F.array().cast("array<string>")
     pairs = F.flatten(F.transform(suffixes, lambda s: F.transform(F.array_compact(heads), lambda p: F.sha2(F.concat_ws("\n", s, p), 256))))
-    exprs = rows.withColumn("digest", F.explode_outer(pairs)).withColumn("short", F.substring("digest", 1, SHORT))
+    exprs = rows.withColumn("digest", F.explode_outer(pairs)).withColumn("rule_short", F.substring("digest", 1, SHORT))
     if table.limit(max_rules + 1).count() <= max_rules:
-        hits = exprs.join(F.broadcast(table), "short", "left")
+        hits = exprs.join(F.broadcast(table), "rule_short", "left")
     else:
-        dealt = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        hits = exprs.withColumn("_salt", (F.col("_row") % salts).cast("int")).join(dealt, ["short", "_salt"], "left").drop("_salt")
+        dealt = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        hits = exprs.withColumn("salt", (F.col("row") % salts).cast("int")).join(dealt, ["rule_short", "salt"], "left")
     fits = F.col("digest") == F.col("rule_digest")
-    best = F.max(F.when(fits, F.struct("rule_len", "host_len", F.col("rule_verdict"), "rule"))).alias("_best")
-    keep = [c for c in rows.columns if c != "_row"]
-    found = hits.groupBy("_row").agg(*(F.first(c).alias(c) for c in keep), best)
-    return found.select(*keep, F.col("_best.rule").alias("rule"), F.coalesce("_best.rule_verdict", F.lit(default)).alias("verdict"))
+    best = F.max(F.when(fits, F.struct("rule_len", "host_len", F.col("rule_verdict"), "rule"))).alias("best")
+    found = hits.groupBy("row").agg(*(F.first(c).alias(c) for c in ("page", "host", "path")), best)
+    return found.select(*(F.col("page").getField(c).alias(c) for c in kept), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.rule_verdict", F.lit(default)).alias("verdict"))
 
 
 #: The rules of the contract (host, path, verdict).
@@ -69,6 +71,7 @@ RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.
 
 
 def op5_url_rules(spark, sf_dir: str) -> DataFrame:
+    """Every page judged by the contract's rules; what `judge` says of null urls and ties holds."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
     return judge(pages, rules).select("page_id", "host", "path", "rule", "verdict")

@@ -160,6 +160,23 @@ def test_sweeps_are_best_fit_decreasing():
         assert len(used) == len(bins)
 
 
+def test_pieces_as_brute_force(spark, docs):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok, cap = Tokenizer.from_file(path), 100
+    odd = spark.createDataFrame([(400, "a <|endoftext|> b"), (401, "x" * 5000)], "doc_id long, text string")
+    want = collections.Counter()
+    for r in docs.select("doc_id", "text").union(odd).collect():
+        ids = tok.encode(r.text or "", add_special_tokens=False).ids + [2]
+        cuts = [0, *range(len(ids) % cap or cap, len(ids), cap), len(ids)] if len(ids) > cap else [0, len(ids)]
+        for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
+            want[(r.doc_id, i, a, b - a, zlib.crc32(struct.pack(f"<{b - a}I", *ids[a:b])))] += 1
+    got = packing.pieces(docs.select("doc_id", "text").union(odd), path, 2, cap).collect()
+    assert collections.Counter(tuple(r) for r in got) == want
+
+
 def test_packing_is_gapless_and_whole(spark, docs, empty):
     import public_tokenizers
 
@@ -217,6 +234,35 @@ def test_shards_are_even_and_gapless(spark, docs, empty):
     assert sharding.shard(none, 5).count() == 0
 
 
+def test_url_rules_carry_any_columns(spark):
+    names = ["digest", "short", "row", "page", "salt", "best", "rule_len", "host_len", "path_len", "rule_digest", "rule_short", "rule_verdict", "host", "rule"]
+    pages = spark.createDataFrame([(1, "http://a.com/", *names), (1, "http://a.com/", *names)], "page_id long, url string, " + ", ".join(f"{n} string" for n in names))
+    table = spark.createDataFrame(url_filters.RULES, "host string, path string, verdict string")
+    for limit in (100_000, 2):
+        got = url_filters.judge(pages, table, max_rules=limit).collect()
+        assert [(r["digest"], r["salt"], r["rule_len"], r["host"], r["rule"], r["verdict"]) for r in got] == [("digest", "salt", "rule_len", "a.com", "com/", "allow")] * 2
+        assert url_filters.judge(pages.limit(0), table, max_rules=limit).count() == 0
+
+
+def test_sharding_query_as_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = sharding.op6_sampled_splitters(spark, sf).collect()
+    assert sorted(r.doc_id for r in got) == sorted(texts)
+    by, shards_of = collections.defaultdict(list), collections.defaultdict(set)
+    for r in got:
+        raw = texts[r.doc_id].encode()
+        assert (r["size"], r.text_crc32, r.law, r.grown_shard) == (len(raw) + 16, zlib.crc32(raw), "bytes", None) and 0 <= r.shard < 40
+        by[r.shard].append((r.slot, r["size"]))
+        shards_of[raw].add(r.shard)
+    mean, big = sum(r["size"] for r in got) / 40, max(r["size"] for r in got)
+    for v in by.values():
+        assert sorted(s for s, _ in v) == list(range(len(v)))
+        assert sum(s for _, s in v) <= mean + big
+    # equal texts lie side by side: more than one shard only where a boundary falls among them
+    assert all(max(s) - min(s) < len(s) for s in shards_of.values())
+
+
 def test_components_as_union_find(spark):
     rng = np.random.default_rng(6)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(1000 + i, 1001 + i) for i in range(60)] + [(2000, 2000 + i) for i in range(1, 100)]
@@ -426,6 +472,32 @@ def test_quality_keeps_clean_and_rejects_bad(spark):
     counts = {(r.quality, r.kept): r["count"] for r in rows.groupBy("quality", "kept").count().collect()}
     assert counts.get((1, True), 0) >= 0.99 * (counts.get((1, True), 0) + counts.get((1, False), 0))
     assert counts.get((0, False), 0) >= 0.9 * (counts.get((0, True), 0) + counts.get((0, False), 0))
+    kept = quality.good_documents(d).join(labels, "doc_id").groupBy("quality").count().collect()
+    every = {r.quality: r["count"] for r in d.join(labels, "doc_id").groupBy("quality").count().collect()}
+    assert {r.quality: r["count"] for r in kept}[1] >= 0.99 * every[1]
+
+
+def test_pipeline_on_odd_rows(docs, empty):
+    """Each stage by itself and after the others, on nulls, repeats, ties, long texts, clashing columns and no rows."""
+    import corpus_pipeline
+
+    for rows, least in ((docs, 1), (empty, 0)):
+        now = rows
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(rows.sparkSession, now, "")
+            assert stage(rows.sparkSession, rows, "").count() >= least
+            if name != "packing":
+                assert out.columns == rows.columns
+                folder = shared_folder(rows.sparkSession, "test-stage")
+                out.write.parquet(folder)
+                now = rows.sparkSession.read.parquet(folder)
+            if name == "quality" and least:
+                kept = {r.doc_id for r in now.collect()}
+                assert not kept & {200, 201, 202, 207} and kept >= {203, 204, 205}
+            if name == "near_duplicates" and least:
+                rest = [r.doc_id for r in now.collect()]
+                assert len(rest) == len(set(rest)) and not set(rest) & {204, 205, 206} and None in rest
+        assert (out.count() > 0) == bool(least)
 
 
 def test_pipeline_runs(spark):
