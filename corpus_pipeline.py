@@ -12,22 +12,31 @@ from speechlake.llm.quality import good_documents
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the weighed rules keep, unchanged. Null and empty texts go; an empty table stays empty."""
+    """Documents that the weighed rules keep, unchanged; short ones are judged by their votes alone.
+
+    Null and empty texts go; repeated rows are judged each; an empty table stays empty, as in every stage.
+    """
     return good_documents(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the smallest doc_id."""
+    """One document of each group of near copies stays, the one with the smallest doc_id.
+
+    Texts without a word and rows without doc_id all stay; repeated rows of a doc_id become one.
+    """
     return drop_near_duplicates(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix to the sources' targets: a document is there as often as the mix takes it, 0 to 3 times."""
+    """The mix to the sources' targets: a document is there as often as the mix takes it, 0 to 3 times.
+
+    A null source is a source; texts without a word have size 0 and are taken as often as others of their source.
+    """
     return mixed_documents(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their sequence and place; a repeated row is packed each time."""
+    """Pieces of documents with their sequence and place; a repeated row is packed each time, an empty text as its end."""
     return packed_documents(docs)
 
 
