@@ -26,7 +26,7 @@ TONE_WORDS = {
 }
 PLACEHOLDERS = ("", "null", "none", "undefined", "nil", "n/a", "na", "-")
 MOOD_SHIFT = {"stressed": -0.18, "tired": -0.10, "calm": 0.03}
-NEUTRAL_BAND = 0.20
+NEUTRAL_BAND = DEFAULTS.neutral_band
 
 
 def clamp01(x: Column) -> Column:
@@ -114,11 +114,13 @@ def fused_score(signed: Column, mood: Column) -> Column:
 
 def tone(voiced: Column, rate: Column, pitch_std: Column, base: Column | None = None) -> Column:
     """calm, tired or stressed; base: struct n, pitch_mean, pitch_std, rate of a session's calm speech."""
-    fixed = F.when((rate < 1.8) & (pitch_std < 15), "tired").when((rate > 3.8) | (pitch_std > 40), "stressed").otherwise("calm")
+    p = DEFAULTS
+    read = lambda slow, flat, fast, lively: F.when((rate < slow) & (pitch_std < flat), "tired").when((rate > fast) | (pitch_std > lively), "stressed").otherwise("calm")
+    fixed = read(p.tone_slow, p.tone_flat, p.tone_fast, p.tone_lively)
     if base is not None:
-        own = F.when((rate < base["rate"] * 0.55) & (pitch_std < base["pitch_std"] * 0.6), "tired").when((rate > base["rate"] * 1.45) | (pitch_std > base["pitch_std"] * 1.8), "stressed").otherwise("calm")
-        fixed = F.when((base["n"] >= 3) & (base["pitch_mean"] > 0), own).otherwise(fixed)
-    return F.when(voiced < 0.15, "calm").otherwise(fixed)
+        own = read(base["rate"] * p.tone_slow_x, base["pitch_std"] * p.tone_flat_x, base["rate"] * p.tone_fast_x, base["pitch_std"] * p.tone_lively_x)
+        fixed = F.when((base["n"] >= p.tone_calm_least) & (base["pitch_mean"] > 0), own).otherwise(fixed)
+    return F.when(voiced < p.tone_voiced_s, "calm").otherwise(fixed)
 
 
 def is_placeholder(x: Column) -> Column:

@@ -108,12 +108,12 @@ def clean_turns(raw: DataFrame, regions: DataFrame, width: float, p: Params = DE
 
 
 def nearest_turn(points: DataFrame, turns: DataFrame) -> DataFrame:
-    """clip_id, word_id -> the turn whose middle is nearest, the earliest of equals; found in one sorted pass."""
+    """clip_id, word_id -> the turn whose middle is nearest, the earliest of equals; a sorted pass each way."""
     mids = turns.groupBy("clip_id", ((F.col("start_s") + F.col("end_s")) / 2).alias("at")).agg(F.min(F.struct("start_s", "turn_id", "label")).alias("turn"))
     both = mids.select("clip_id", "at", "turn", F.lit(None).cast("long").alias("word_id")).unionByName(points.select("clip_id", ((F.col("start_s") + F.col("end_s")) / 2).alias("at"), F.lit(None).cast(mids.schema["turn"].dataType).alias("turn"), "word_id"))
     mark = F.when(F.col("turn").isNotNull(), F.struct("at", "turn"))
-    order = Window.partitionBy("clip_id").orderBy("at")
-    near = both.withColumns({"_l": F.last(mark, True).over(order.rangeBetween(Window.unboundedPreceding, 0)), "_r": F.first(mark, True).over(order.rangeBetween(0, Window.unboundedFollowing))}).where("word_id IS NOT NULL")
+    up, down = (Window.partitionBy("clip_id").orderBy(o).rangeBetween(Window.unboundedPreceding, 0) for o in (F.asc("at"), F.desc("at")))
+    near = both.withColumns({"_l": F.last(mark, True).over(up), "_r": F.last(mark, True).over(down)}).where("word_id IS NOT NULL")
     gap_l, gap_r = F.col("at") - F.col("_l.at"), F.col("_r.at") - F.col("at")
     best = F.when(F.col("_l").isNull(), F.col("_r.turn")).when(F.col("_r").isNull(), F.col("_l.turn")).when(gap_l < gap_r, F.col("_l.turn")).when(gap_r < gap_l, F.col("_r.turn")).otherwise(F.least("_l.turn", "_r.turn"))
     return near.select("clip_id", "word_id", best.alias("turn"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..params import DEFAULTS, Params
+from .folds import fold_rows
 
 C = F.col
 
@@ -140,24 +143,16 @@ def parse_verdicts(replies: DataFrame, types: list[str], p: Params = DEFAULTS) -
 # H: chains of hashes
 
 
-def payload(prev: Column) -> Column:
-    """What a row's hash covers: the hash before, then the event's fields in a fixed order."""
-    return F.sha2(F.concat_ws("|", prev, C("at_s").cast("string"), "actor", "action", "object", "before", "after"), 256)
-
-
 def chain(events: DataFrame, seed: str = "start") -> DataFrame:
     """Events with prev_hash and row_hash, chained per actor by seq. A hash needs the one before: a fold."""
-    item = F.struct("seq", F.concat_ws("|", C("at_s").cast("string"), C("actor").cast("string"), "action", "object", "before", "after").alias("body"))
-    per = events.groupBy("actor").agg(F.sort_array(F.collect_list(item)).alias("rows"))
-    out = "array<struct<seq:bigint,prev_hash:string,row_hash:string>>"
-    start = F.struct(F.lit(seed).alias("prev"), F.array().cast(out).alias("out"))
+    body = F.concat_ws("|", C("at_s").cast("string"), C("actor").cast("string"), "action", "object", "before", "after")
 
-    def step(s: Column, x: Column) -> Column:
-        h = F.sha2(F.concat_ws("|", s["prev"], x["body"]), 256)
-        return F.get(F.transform(F.array(h), lambda v: F.struct(v.alias("prev"), F.concat(s["out"], F.array(F.struct(x["seq"].alias("seq"), s["prev"].alias("prev_hash"), v.alias("row_hash")))).alias("out"))), F.lit(0))
+    def step(state: tuple, x) -> tuple[tuple, tuple]:
+        made = hashlib.sha256(f"{state[0]}|{x.body}".encode()).hexdigest()
+        return (made,), (state[0], made)
 
-    folded = per.select("actor", F.explode(F.aggregate("rows", start, step)["out"]).alias("x")).select("actor", "x.*")
-    return events.join(folded, ["actor", "seq"])
+    rows = events.withColumn("body", body)
+    return fold_rows(rows, ["actor"], ["seq"], step, (seed,), [c for c in events.columns if c != "actor"], "prev_hash string, row_hash string").select(*events.columns, "prev_hash", "row_hash")
 
 
 def verify_chain(log: DataFrame, seed: str = "start") -> DataFrame:

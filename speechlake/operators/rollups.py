@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scoring import band_label
 from ..params import DEFAULTS, Params
+from .folds import fold_rows
 
 
 def race_list(races: DataFrame, clips: DataFrame) -> DataFrame:
@@ -77,10 +78,16 @@ def clip_speaker_stats(turns: DataFrame) -> DataFrame:
 
 def clip_quality(frames: DataFrame, frame_s: float = 1.0, p: Params = DEFAULTS) -> DataFrame:
     """Per clip from tagged frames: snr_db, clipping and silence ratio, speech seconds, offset. Noise of 0.1 s or less does not count."""
-    power = F.pow("amp", 2)
+
+    def mean(x, of=None):
+        """The mean from an exact sum, the same in whatever order rows meet."""
+        kept = x if of is None else F.when(of, x)
+        return F.sum(kept.cast("decimal(20,12)")).cast("double") / F.count(kept)
+
+    power = F.col("amp") * F.col("amp")
     per = frames.groupBy("clip_id").agg(
-        F.avg(F.when(F.col("in_speech"), power)).alias("_sp"), F.avg(F.when(~F.col("in_speech"), power)).alias("_ns"), F.count_if(~F.col("in_speech")).alias("_nn"),
-        F.avg((F.abs("amp") >= p.clipping).cast("double")).alias("clipping_ratio"), (1 - F.avg(F.col("in_speech").cast("double"))).alias("silence_ratio"), (F.count_if("in_speech") * frame_s).alias("speech_s"), F.avg("amp").alias("dc_offset"),
+        mean(power, F.col("in_speech")).alias("_sp"), mean(power, ~F.col("in_speech")).alias("_ns"), F.count_if(~F.col("in_speech")).alias("_nn"),
+        F.avg((F.abs("amp") >= p.clipping).cast("double")).alias("clipping_ratio"), (1 - F.avg(F.col("in_speech").cast("double"))).alias("silence_ratio"), (F.count_if("in_speech") * frame_s).alias("speech_s"), mean(F.col("amp")).alias("dc_offset"),
     )
     return per.select("clip_id", snr(F.coalesce("_sp", F.lit(1e-12)), F.when(F.col("_nn") * frame_s > 0.1, F.col("_ns")).otherwise(1e-12)).alias("snr_db"), "clipping_ratio", "silence_ratio", "speech_s", "dc_offset")
 
@@ -123,7 +130,7 @@ def lap_notes(laps: DataFrame) -> DataFrame:
 
 
 def montage(clip_speakers: DataFrame, turns: DataFrame, min_turn: float = 0.4, per_clip: float = 25.0, total: float = 75.0) -> DataFrame:
-    """cluster_id, clip_id, turn_id: turns taken greedily by reliability, then length, under both caps of seconds.
+    """cluster_id, clip_id, turn_id, dur: turns taken greedily by reliability, then length, under both caps of seconds.
 
     What does not fit is skipped and the next tried, which no window can say; each cluster's candidates are
     folded in order. Only turns that could ever be taken are candidates: under the caps by themselves.
@@ -131,16 +138,13 @@ def montage(clip_speakers: DataFrame, turns: DataFrame, min_turn: float = 0.4, p
     length = F.col("end_s") - F.col("start_s")
     ok = turns.where(~F.col("is_overlap")).where((length >= min_turn) & (length <= min(per_clip, total)))
     rows = clip_speakers.where("cluster_id IS NOT NULL").join(ok.withColumn("dur", length), ["clip_id", "local_label"])
-    item = F.struct(F.coalesce(-F.col("reliability"), F.lit(1.0)).alias("r"), (-F.col("dur")).alias("d"), "clip_id", "turn_id")
-    per = rows.groupBy("cluster_id").agg(F.sort_array(F.collect_list(item)).alias("items"))
-    picked = "array<struct<clip_id:bigint,turn_id:bigint,dur:double>>"
-    start = F.struct(F.lit(0.0).alias("t"), F.array().cast(picked).alias("p"))
-
-    def take(s, x):
-        dur = -x["d"]
-        used = F.aggregate(F.filter(s["p"], lambda y: y["clip_id"] == x["clip_id"]), F.lit(0.0), lambda a, y: a + y["dur"])
-        fits = (s["t"] + dur <= total) & (used + dur <= per_clip)
-        one = F.array(F.struct(x["clip_id"].alias("clip_id"), x["turn_id"].alias("turn_id"), dur.alias("dur")))
-        return F.when(fits, F.struct((s["t"] + dur).alias("t"), F.concat(s["p"], one).alias("p"))).otherwise(s)
-
-    return per.select("cluster_id", F.explode(F.aggregate("items", start, take)["p"]).alias("x")).select("cluster_id", "x.*")
+    rows = rows.select("cluster_id", "clip_id", "turn_id", "dur", F.coalesce(-F.col("reliability"), F.lit(1.0)).alias("r"), (-F.col("dur")).alias("d"))
+
+    def take(state: tuple, x) -> tuple[tuple, bool]:
+        taken, used = state
+        fits = taken + x.dur <= total and used.get(x.clip_id, 0.0) + x.dur <= per_clip
+        if fits:
+            taken, used[x.clip_id] = taken + x.dur, used.get(x.clip_id, 0.0) + x.dur
+        return (taken, used), fits
+
+    return fold_rows(rows, ["cluster_id"], ["r", "d", "clip_id", "turn_id"], take, (0.0, {}), ["clip_id", "turn_id", "dur"], "fits boolean").where("fits").drop("fits")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scoring import is_protocol, tone, word_list
-from ..params import DEFAULTS, Params
+from ..functions.scoring import is_protocol, word_list
+from ..functions.steps import baseline_tone, cut_chunk
+from .folds import fold_rows
 
 
 def next_edges(rows: DataFrame, keys: list[str], order: list[str], node: str) -> DataFrame:
@@ -31,18 +32,17 @@ def sentiment_groups(utterances: DataFrame, max_gap: float = 2.0, min_words: int
     and neither it nor the turn before is procedure talk. The word count starts anew with each group, so this is a
     fold over the clip's turns in order.
     """
-    item = F.struct("idx", "utterance_id", F.col("local_label").alias("who"), "start_s", "end_s", F.size(word_list(F.col("text"))).alias("n"), is_protocol(F.col("text")).alias("proto"))
-    per = utterances.groupBy("clip_id").agg(F.sort_array(F.collect_list(item)).alias("turns"))
-    out = "array<struct<utterance_id:bigint,grp:bigint>>"
-    start = F.struct(F.lit(-1).cast("bigint").alias("grp"), F.lit(0).alias("words"), F.lit("").alias("who"), F.lit(0.0).alias("end"), F.lit(True).alias("proto"), F.array().cast(out).alias("out"))
+    rows = utterances.select("clip_id", "utterance_id", "idx", F.coalesce("local_label", F.lit("")).alias("who"), "start_s", "end_s", F.size(word_list(F.col("text"))).alias("n"), is_protocol(F.col("text")).alias("proto"))
 
-    def step(s: Column, x: Column) -> Column:
-        joins = ~x["proto"] & ~s["proto"] & x["who"].eqNullSafe(s["who"]) & (x["start_s"] - s["end"] <= max_gap) & (s["words"] < min_words)
-        group = F.when(joins, s["grp"]).otherwise(x["idx"])
-        return F.struct(group.alias("grp"), F.when(joins, s["words"] + x["n"]).otherwise(x["n"]).alias("words"), x["who"].alias("who"), x["end_s"].alias("end"), x["proto"].alias("proto"), F.concat(s["out"], F.array(F.struct(x["utterance_id"].alias("utterance_id"), group.alias("grp")))).alias("out"))
+    def step(state: tuple, x) -> tuple[tuple, int]:
+        group, words, who, end, proto = state
+        if group is not None and not x.proto and not proto and x.who == who and x.start_s - end <= max_gap and words < min_words:
+            words += x.n
+        else:
+            group, words = x.idx, x.n
+        return (group, words, x.who, x.end_s, x.proto), group
 
-    folded = per.select("clip_id", F.explode(F.aggregate("turns", start, step)["out"]).alias("x"))
-    return folded.select("clip_id", "x.utterance_id", F.col("x.grp").alias("group"))
+    return fold_rows(rows, ["clip_id"], ["idx", "utterance_id"], step, (None, 0, None, 0.0, True), ["utterance_id"], "`group` long")
 
 
 def context_prefix(utterances: DataFrame, n: int = 2, short: int = 4) -> DataFrame:
@@ -54,28 +54,12 @@ def context_prefix(utterances: DataFrame, n: int = 2, short: int = 4) -> DataFra
     return out.withColumns({"used_context": used, "judged": F.when(used, F.concat_ws(" ", "_lead", F.trim("text"))).otherwise(F.trim("text"))}).drop("_lead", "_short")
 
 
-def tone_with_baseline(features: DataFrame, p: Params = DEFAULTS, alpha: float = 0.2) -> DataFrame:
-    """session, at, tone: each reading against a running mean of the session's calm ones.
+def tone_with_baseline(features: DataFrame) -> DataFrame:
+    """session, feature_id, tone: each reading against a running mean of the session's calm ones.
 
     What counts as calm depends on the mean so far, so this is a fold. The mean starts at the first calm reading.
     """
-    item = F.struct("at", "feature_id", "voiced", "rate", "pitch_mean", "pitch_std")
-    per = features.groupBy("session").agg(F.sort_array(F.collect_list(item)).alias("rows"))
-    zero = F.lit(0.0)
-    base = F.struct(F.lit(0).alias("n"), zero.alias("pitch_mean"), zero.alias("pitch_std"), zero.alias("rate"))
-    start = F.struct(base.alias("base"), F.array().cast("array<struct<feature_id:bigint,tone:string>>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        return F.get(F.transform(F.array(tone(x["voiced"], x["rate"], x["pitch_std"], s["base"])), lambda read: grown(s, x, read)), F.lit(0))
-
-    def grown(s: Column, x: Column, read: Column) -> Column:
-        b = s["base"]
-        moved = {k: F.when(b["n"] == 0, x[k]).otherwise(b[k] + alpha * (x[k] - b[k])) for k in ("pitch_mean", "pitch_std", "rate")}
-        new = F.when(read == "calm", F.struct((b["n"] + 1).alias("n"), *(v.alias(k) for k, v in moved.items()))).otherwise(b)
-        return F.struct(new.alias("base"), F.concat(s["out"], F.array(F.struct(x["feature_id"].alias("feature_id"), read.alias("tone")))).alias("out"))
-
-    folded = per.select("session", F.explode(F.aggregate("rows", start, step)["out"]).alias("x"))
-    return folded.select("session", "x.feature_id", "x.tone")
+    return fold_rows(features, ["session"], ["at", "feature_id"], baseline_tone, (0, 0.0, 0.0, 0.0), ["feature_id"], "tone string")
 
 
 def split_halves(segments: DataFrame, floor_s: float = 3.0) -> DataFrame:
@@ -102,24 +86,9 @@ def share(df: DataFrame, col: str, keys: list[str]) -> DataFrame:
     return df.withColumn("share", F.when(whole != 0, F.col(col) / whole))
 
 
-def cut_chunks(rms: DataFrame, threshold: float = 0.02, pause: float = 0.6, least: float = 1.2, most: float = 12.0) -> DataFrame:
+def cut_chunks(rms: DataFrame) -> DataFrame:
     """session, sample_id, chunk: a chunk ends at a sample after a pause once it is long enough, or at its longest."""
-    item = F.struct("at", "sample_id", "rms")
-    per = rms.groupBy("session").agg(F.sort_array(F.collect_list(item)).alias("rows"))
-    none = F.lit(None).cast("double")
-    start = F.struct(F.lit(0).cast("bigint").alias("chunk"), none.alias("since"), F.lit(False).alias("spoke"), none.alias("quiet"), F.array().cast("array<struct<sample_id:bigint,chunk:bigint>>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        loud = x["rms"] > threshold
-        begin = F.coalesce(s["since"], x["at"])
-        spoke = s["spoke"] | loud
-        quiet = F.when(~loud, F.coalesce(s["quiet"], x["at"]))
-        cut = ((x["at"] - begin >= least) & spoke & F.coalesce(x["at"] - quiet >= pause, F.lit(False))) | (x["at"] - begin >= most)
-        row = F.array(F.struct(x["sample_id"].alias("sample_id"), s["chunk"].alias("chunk")))
-        return F.struct((s["chunk"] + cut.cast("bigint")).alias("chunk"), F.when(~cut, begin).alias("since"), (spoke & ~cut).alias("spoke"), F.when(~cut, quiet).alias("quiet"), F.concat(s["out"], row).alias("out"))
-
-    folded = per.select("session", F.explode(F.aggregate("rows", start, step)["out"]).alias("x"))
-    return folded.select("session", "x.sample_id", "x.chunk")
+    return fold_rows(rms, ["session"], ["at", "sample_id"], cut_chunk, (0, None, False, None), ["sample_id"], "chunk long")
 
 
 def truncate_blocks(blocks: DataFrame, key: str, most: int) -> DataFrame:

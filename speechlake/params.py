@@ -47,6 +47,17 @@ class Params:
     verdict_confidence: float = 0.6
     rrf_k: int = 60
     leg_cap: int = 200
+    neutral_band: float = 0.20
+    tone_voiced_s: float = 0.15
+    tone_calm_least: int = 3
+    tone_slow: float = 1.8
+    tone_flat: float = 15.0
+    tone_fast: float = 3.8
+    tone_lively: float = 40.0
+    tone_slow_x: float = 0.55
+    tone_flat_x: float = 0.6
+    tone_fast_x: float = 1.45
+    tone_lively_x: float = 1.8
 
 
 DEFAULTS = Params()

@@ -67,26 +67,26 @@ def v06(t):
     return got.where("result = 'confident' AND reliability >= 0.5 AND score >= 0.85 AND profile_id % 2 = 0").select("query_id", "profile_id")
 
 
-@query("v07_corrections", """WITH c AS (SELECT clip_id, local_label, 'Supplier#' || lpad((clip_id % 10 + 1)::VARCHAR, 9, '0') AS name, reliability FROM v_clip_speakers WHERE clip_id % 11 = 0 AND local_label = 1)
+@query("v07_corrections", """WITH c AS (SELECT clip_id, local_label, 'Supplier#' || lpad((clip_id % 10 + 1)::VARCHAR, 9, '0') AS name, reliability FROM v_clip_speakers)
   SELECT clip_id, local_label, s_suppkey AS profile_id, 'confident' AS match_result, CASE WHEN reliability >= 0.45 THEN NULL ELSE 'reliability too low' END AS skipped FROM c LEFT JOIN supplier ON lower(s_name) = lower(name)""")
 def v07(t):
     """Names given by hand: matched in any case, set as sure; enrolled unless too unreliable, with the reason."""
     from ..operators.joins import resolve_names
 
-    c = t.v_clip_speakers.where("clip_id % 11 = 0 AND local_label = 1").withColumn("token", F.concat(F.lit("SUPPLIER#"), F.lpad((C("clip_id") % 10 + 1).cast("string"), 9, "0")))
+    c = t.v_clip_speakers.withColumn("token", F.concat(F.lit("SUPPLIER#"), F.lpad((C("clip_id") % 10 + 1).cast("string"), 9, "0")))
     named = resolve_names(c, t.supplier.select(C("s_suppkey").alias("id"), C("s_name").alias("name")))
     return named.select("clip_id", "local_label", C("id").alias("profile_id"), F.lit("confident").alias("match_result"), F.when(~(C("reliability") >= 0.45), "reliability too low").alias("skipped"))
 
 
 def start_clusters(t):
-    """Clusters that the voices of vec_id under 20 founded."""
-    seeds = t.v_enrollments.where("vec_id < 20")
+    """A cluster per profile, founded by all of its enrollments."""
+    seeds = t.v_enrollments
     base = weighted_centroid(seeds, "profile_id")
     sums = seeds.groupBy("profile_id").agg(F.sum(C("reliability") * C("speech_s")).alias("weight"), F.count("*").alias("n_members"), F.sum("speech_s").alias("speech_s"))
     return base.join(sums, "profile_id").withColumnRenamed("profile_id", "cluster_id")
 
 
-START = """seeds AS (SELECT * FROM v_enrollments WHERE vec_id < 20), sx AS (SELECT profile_id, i, sum(reliability * x) AS sx FROM (SELECT profile_id, reliability, unnest(vec) AS x, generate_subscripts(vec, 1) AS i FROM seeds) GROUP BY 1, 2),
+START = """seeds AS (SELECT * FROM v_enrollments), sx AS (SELECT profile_id, i, sum(reliability * x) AS sx FROM (SELECT profile_id, reliability, unnest(vec) AS x, generate_subscripts(vec, 1) AS i FROM seeds) GROUP BY 1, 2),
   cl AS (SELECT profile_id AS cluster_id, list_transform(s, lambda x: x / sqrt(list_inner_product(s, s))) AS centroid FROM (SELECT profile_id, list(sx ORDER BY i) AS s FROM sx GROUP BY 1)),
   h AS (SELECT query_id, cluster_id, sim, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, cluster_id) AS r FROM (SELECT query_id, cluster_id, list_inner_product(vec, centroid) AS sim FROM v_queries CROSS JOIN cl)),
   t AS (SELECT query_id, max(cluster_id) FILTER (r = 1) AS c, max(sim) FILTER (r = 1) AS sim, coalesce(max(sim) FILTER (r = 2), 0) AS second FROM h GROUP BY 1)"""
@@ -97,7 +97,11 @@ def v08(t):
     return v.assign_clusters(t.v_queries.select("query_id", "vec", "speech_s", "reliability"), start_clusters(t))[0]
 
 
-@query("v08_updated_clusters")
+@query("v08_updated_clusters", f"""WITH {START}, a AS (SELECT query_id, CASE WHEN sim >= 0.52 THEN c ELSE -query_id END AS cluster_id, sim >= 0.52 AS hit, sim >= 0.52 AND sim - second >= 0.04 AS teaches FROM t),
+  parts AS (SELECT profile_id AS cluster_id, centroid AS vec, sum(reliability * s.speech_s) AS w, true AS moves, count(*) AS n, sum(s.speech_s) AS speech_s FROM seeds s JOIN (SELECT cluster_id AS profile_id, centroid FROM cl) USING (profile_id) GROUP BY 1, 2
+    UNION ALL SELECT a.cluster_id, q.vec, greatest(reliability * speech_s, 1e-6), teaches OR NOT hit, 1, speech_s FROM a JOIN v_queries q USING (query_id)),
+  mv AS (SELECT cluster_id, max(sx) / sqrt(sum(sx * sx)) AS largest FROM (SELECT cluster_id, i, sum(w * x) AS sx FROM (SELECT cluster_id, w, unnest(vec) AS x, generate_subscripts(vec, 1) AS i FROM parts WHERE moves) GROUP BY 1, 2) GROUP BY 1)
+  SELECT cluster_id, sum(n)::BIGINT AS n_members, sum(speech_s) AS speech_s, round(sum(CASE WHEN moves THEN w ELSE 0 END), 6) AS weight, round(any_value(largest), 6) AS largest FROM parts JOIN mv USING (cluster_id) GROUP BY 1""")
 def v08_updated(t):
     """The clusters after the batch: members, speech and weight, the centroid's largest number."""
     made = v.assign_clusters(t.v_queries.select("query_id", "vec", "speech_s", "reliability"), start_clusters(t))[1]
@@ -111,7 +115,25 @@ def small_clusters(t):
     return weighted_centroid(rows, "cluster_id", "vec", "speech_s").join(weights, "cluster_id")
 
 
-@query("v09_consolidate")
+def consolidate_sql(rounds: int = 8) -> str:
+    """Rounds of mutual nearest merges, written out; the data settle in fewer."""
+    out = """WITH c0 AS MATERIALIZED (SELECT cluster_id, list_transform(s, lambda x: x / sqrt(list_inner_product(s, s))) AS centroid, weight FROM (SELECT cluster_id, list(sx ORDER BY i) AS s FROM (
+      SELECT cluster_id, i, sum(speech_s * x) AS sx FROM (SELECT label * 5 + vec_id % 5 AS cluster_id, speech_s, unnest(voice) AS x, generate_subscripts(voice, 1) AS i FROM v_voices) GROUP BY 1, 2) GROUP BY 1)
+      JOIN (SELECT label * 5 + vec_id % 5 AS cluster_id, sum(speech_s) AS weight FROM v_voices GROUP BY 1) USING (cluster_id)),
+    n0 AS (SELECT cluster_id, cluster_id AS survivor FROM c0)"""
+    for k in range(rounds):
+        out += f""",
+    b{k} AS MATERIALIZED (SELECT a, b, wa, wb FROM (SELECT x.cluster_id AS a, y.cluster_id AS b, x.weight AS wa, y.weight AS wb, list_inner_product(x.centroid, y.centroid) AS sim, row_number() OVER (PARTITION BY x.cluster_id ORDER BY list_inner_product(x.centroid, y.centroid) DESC, y.cluster_id) AS r
+      FROM c{k} x JOIN c{k} y ON x.cluster_id <> y.cluster_id) WHERE r = 1 AND sim >= 0.62),
+    m{k} AS MATERIALIZED (SELECT p.a AS loser, p.b AS winner FROM b{k} p JOIN b{k} q ON p.a = q.b AND p.b = q.a WHERE p.wa < p.wb OR (p.wa = p.wb AND p.a > p.b)),
+    n{k + 1} AS MATERIALIZED (SELECT cluster_id, coalesce(winner, survivor) AS survivor FROM n{k} LEFT JOIN m{k} ON loser = survivor),
+    g{k} AS MATERIALIZED (SELECT coalesce(winner, cluster_id) AS cluster_id, centroid, weight FROM c{k} LEFT JOIN m{k} ON loser = cluster_id),
+    c{k + 1} AS MATERIALIZED (SELECT cluster_id, list_transform(s, lambda x: x / sqrt(list_inner_product(s, s))) AS centroid, weight FROM (SELECT cluster_id, list(sx ORDER BY i) AS s FROM (
+      SELECT cluster_id, i, sum(weight * x) AS sx FROM (SELECT cluster_id, weight, unnest(centroid) AS x, generate_subscripts(centroid, 1) AS i FROM g{k}) GROUP BY 1, 2) GROUP BY 1) JOIN (SELECT cluster_id, sum(weight) AS weight FROM g{k} GROUP BY 1) USING (cluster_id))"""
+    return out + f" SELECT * FROM n{rounds}"
+
+
+@query("v09_consolidate", consolidate_sql())
 def v09(t):
     return v.consolidate(small_clusters(t))
 

@@ -25,12 +25,13 @@ def s02(t):
     return u.unionByName(t.v_radio.where("error IS NULL AND analyzed_s IS NOT NULL AND trim(text) <> ''").select(C("call_id").alias("speech_id"), F.lit("radio").alias("kind"), "session_key", "text"))
 
 
-@query("s03_ingest", """WITH b AS (SELECT *, sha256(coalesce(content, '')) AS sha FROM v_incoming WHERE batch = 2), old AS (SELECT sha256(coalesce(content, '')) AS sha, arg_min(race, file_id) AS old_race FROM v_incoming WHERE batch = 1 AND file_id % 2 = 0 GROUP BY 1),
+@query("s03_ingest", """WITH b AS (SELECT *, sha256(coalesce(content, '')) AS sha FROM v_incoming WHERE batch = 1), old AS (SELECT sha256(coalesce(content, '')) AS sha, arg_min(race, file_id) AS old_race FROM v_incoming WHERE batch = 2 GROUP BY 1),
   f AS (SELECT sha, min(file_id) AS first_id, arg_min(race, file_id) AS first_race FROM b GROUP BY 1)
   SELECT file_id, sha, CASE WHEN old_race IS NULL AND file_id = first_id THEN 'new' WHEN race IS NOT NULL AND race IS DISTINCT FROM coalesce(old_race, first_race) THEN 'moved' ELSE 'duplicate' END AS outcome FROM b JOIN f USING (sha) LEFT JOIN old USING (sha)""")
 def s03(t):
-    old = t.v_incoming.where("batch = 1 AND file_id % 2 = 0").groupBy(F.sha2(F.coalesce("content", F.lit("")), 256).alias("sha")).agg(F.min_by("race", "file_id").alias("race"))
-    return m.ingest(t.v_incoming.where("batch = 2"), old)
+    """All documents as files, against a state that knows the contents of the other batch."""
+    old = t.v_incoming.where("batch = 2").groupBy(F.sha2(F.coalesce("content", F.lit("")), 256).alias("sha")).agg(F.min_by("race", "file_id").alias("race"))
+    return m.ingest(t.v_incoming.where("batch = 1"), old)
 
 
 def base(t):
@@ -135,6 +136,9 @@ def s16(t):
 
 
 TYPES = ["overtake", "pit_stop", "yellow_flag"]
+VERDICTS = r"""vd AS (SELECT batch_id, batch_size, unnest(from_json(j, '["JSON"]')) AS v FROM (SELECT batch_id, batch_size, CASE WHEN json_valid(j) THEN j END AS j FROM (SELECT *, regexp_extract(reply, '(?s)\[.*\]', 0) AS j FROM v_replies))),
+  vx AS (SELECT batch_id, batch_size, try_cast(v->>'$.n' AS INT) AS n, trim(v->>'$.event') AS event, try_cast(coalesce(v->>'$.confidence', '0') AS DOUBLE) AS confidence, nullif(trim(v->>'$.other_car'), '') AS other_car, substr(nullif(trim(v->>'$.why'), ''), 1, 200) AS why FROM vd),
+  verdicts AS (SELECT * EXCLUDE (batch_size) FROM vx WHERE event IN ('overtake', 'pit_stop', 'yellow_flag') AND n BETWEEN 1 AND batch_size AND confidence >= 0.6::DOUBLE)"""
 
 
 @query("l01_prompts", r"""WITH n AS (SELECT *, row_number() OVER (PARTITION BY local_label ORDER BY utterance_id) - 1 AS i FROM v_utterances)
@@ -143,19 +147,19 @@ def l01(t):
     return m.prompt_batches(t.v_utterances.select("local_label", C("utterance_id").alias("idx"), "text"), ["local_label"], 10, "Judge.")
 
 
-@query("l02_parse_verdicts")
+@query("l02_parse_verdicts", f"WITH {VERDICTS} SELECT * FROM verdicts")
 def l02(t):
     return m.parse_verdicts(t.v_replies, TYPES)
 
 
-@query("l03_attach")
+@query("l03_attach", f"WITH {VERDICTS} SELECT utterance_id, event, confidence AS score FROM verdicts JOIN v_utterances ON clip_id = batch_id AND idx + 1 = n")
 def l03(t):
     """Verdicts on the lines that they name."""
     lines = t.v_utterances.select(C("clip_id").alias("batch_id"), (C("idx") + 1).cast("int").alias("n"), "utterance_id")
     return m.parse_verdicts(t.v_replies, TYPES).join(lines, ["batch_id", "n"]).select("utterance_id", "event", C("confidence").alias("score"))
 
 
-@query("l04_unread", "SELECT conv_id % 10 AS shard, count(*) AS n_batches, count(*) FILTER (conv_id % 7 IN (0, 3)) AS n_unread FROM conversations WHERE turn = 0 GROUP BY 1")
+@query("l04_unread", r"SELECT batch_id % 10 AS shard, count(*) AS n_batches, count(*) FILTER (NOT coalesce(CASE WHEN json_valid(j) THEN json_array_length(j) END, 0) > 0) AS n_unread FROM (SELECT batch_id, regexp_extract(reply, '(?s)\[.*\]', 0) AS j FROM v_replies) GROUP BY 1")
 def l04(t):
     """Batches whose reply could not be read are counted."""
     read = F.from_json(F.regexp_extract("reply", r"(?s)\[.*\]", 0), "array<struct<n:int>>")
@@ -163,7 +167,8 @@ def l04(t):
     return rows.groupBy((C("batch_id") % 10).alias("shard")).agg(F.count("*").alias("n_batches"), F.count_if(~C("ok")).alias("n_unread"))
 
 
-@query("l05_store_verdicts")
+@query("l05_store_verdicts", f"""WITH {VERDICTS}, b AS (SELECT event_id % 200 AS speech_id, event_type, 'hand' AS source, max(value) AS score, 0 AS k FROM events WHERE event_id % 3 = 0 GROUP BY ALL UNION ALL SELECT batch_id, event, 'model', confidence, 1 FROM verdicts)
+  SELECT speech_id, event_type, source, score FROM (SELECT *, row_number() OVER (PARTITION BY speech_id, event_type ORDER BY k, score DESC, source) AS r FROM b) WHERE r = 1""")
 def l05(t):
     """Verdicts as events of the model's source, beside those read by hand."""
     new = m.parse_verdicts(t.v_replies, TYPES).select(C("batch_id").alias("speech_id"), C("event").alias("event_type"), F.lit("model").alias("source"), C("confidence").alias("score"))
@@ -178,12 +183,19 @@ def l06(t):
     return t.v_utterances.select("utterance_id", F.when(F.size(cited) > 0, cited).otherwise(sources).alias("cited"))
 
 
-@query("h01_chain")
+CHAIN = """WITH RECURSIVE f AS (SELECT DISTINCT actor, 0::BIGINT AS seq, '' AS prev_hash, 'start' AS row_hash FROM v_audit
+    UNION ALL SELECT a.actor, a.seq, f.row_hash, sha256(concat_ws('|', f.row_hash, at_s, a.actor, action, object, before, after)) FROM f JOIN v_audit a ON a.actor = f.actor AND a.seq = f.seq + 1)
+  """
+
+
+@query("h01_chain", CHAIN + "SELECT * FROM f WHERE seq > 0")
 def h01(t):
     return m.chain(t.v_audit).select("actor", "seq", "prev_hash", "row_hash")
 
 
-@query("h02_verify_chain", "SELECT actor, count(*) AS n, min(CASE WHEN seq = 5 AND actor % 7 = 0 THEN 5 END) AS first_break FROM v_audit GROUP BY 1")
+@query("h02_verify_chain", CHAIN.rstrip() + """, log AS (SELECT a.* REPLACE (CASE WHEN seq = 5 AND actor % 7 = 0 THEN 'another' ELSE object END AS object), prev_hash, row_hash FROM v_audit a JOIN f USING (actor, seq)),
+  ok AS (SELECT *, prev_hash = coalesce(lag(row_hash) OVER (PARTITION BY actor ORDER BY seq), 'start') AND row_hash = sha256(concat_ws('|', prev_hash, at_s, actor, action, object, before, after)) AS ok FROM log)
+  SELECT actor, count(*) AS n, min(seq) FILTER (NOT ok) AS first_break FROM ok GROUP BY 1""")
 def h02(t):
     """Chains in which one row of some actors was changed afterwards."""
     log = m.chain(t.v_audit)

@@ -57,7 +57,14 @@ def r02(t):
     return matched(t)
 
 
-@query("r03_cover_rank")
+COVER_SQL = f"""{POST_SQL}, {TERM_SQL}, wt AS (SELECT request_id, term, row_number() OVER (PARTITION BY request_id ORDER BY term) AS slot, count(*) OVER (PARTITION BY request_id) AS k FROM (SELECT DISTINCT request_id, term FROM terms WHERE kind <> 'none')),
+  ps AS (SELECT request_id, speech_id, slot, k, unnest(positions) AS pos FROM post JOIN wt ON token = term),
+  ls AS (SELECT request_id, speech_id, pos, k, {", ".join(f"max(CASE WHEN slot = {i} THEN pos END) OVER w AS l{i}" for i in (1, 2, 3))} FROM ps WINDOW w AS (PARTITION BY request_id, speech_id ORDER BY pos)),
+  cv AS (SELECT request_id, speech_id, k, least(l1, l2, l3) AS b, min(pos) AS e FROM ls WHERE l1 IS NOT NULL AND (k < 2 OR l2 IS NOT NULL) AND (k < 3 OR l3 IS NOT NULL) GROUP BY ALL),
+  cover AS (SELECT request_id, speech_id, sum(0.1::DOUBLE / (1 + (e - b + 1 - k))) AS rank FROM cv GROUP BY 1, 2)"""
+
+
+@query("r03_cover_rank", f"WITH {COVER_SQL} SELECT request_id, speech_id, round(rank, 6) AS rank FROM cover")
 def r03(t):
     return rounded(r.cover_rank(r.postings(t.v_docs, terms(t)), terms(t)), "rank")
 
@@ -68,12 +75,12 @@ def r04(t):
     return r.ranked(rows, "score", 20).select("request_id", "speech_id", "score", "rk")
 
 
-VEC_SQL = "reqs AS (SELECT query_id AS request_id, vec FROM v_queries WHERE query_id % 50 = 1), vs AS (SELECT request_id, s.speech_id, list_inner_product(q.vec, s.vec) AS sim FROM v_speech_vectors s CROSS JOIN reqs q)"
+VEC_SQL = "reqs AS (SELECT speech_id AS request_id, vec FROM v_speech_vectors WHERE speech_id % 50 = 0), vs AS (SELECT request_id, s.speech_id, list_inner_product(q.vec, s.vec) AS sim FROM v_speech_vectors s CROSS JOIN reqs q)"
 
 
 def vector_requests(t):
-    """Searches: the queries whose id leaves 1 at division by 50, against all vectors."""
-    return t.v_queries.where("query_id % 50 = 1").select(C("query_id").alias("request_id"), "vec")
+    """Searches: the vectors whose id 50 divides, against all vectors."""
+    return t.v_speech_vectors.where("speech_id % 50 = 0").select(C("speech_id").alias("request_id"), "vec")
 
 
 def vector_leg(t, cap):
@@ -143,7 +150,14 @@ def expanded(t):
     return j.expand(call_anchors(t), call_speech(t), lap_facts(t), call_mentions(t))
 
 
-@query("r11_render_context")
+#: An expanded anchor as the lines that are shown of it; what is missing is left out.
+BLOCKS = """lt AS (SELECT speech_id, string_agg('  lap ' || lap_number || ': ' || printf('%.1f', duration_s) || 's' || coalesce(' (' || printf('%+.1f', duration_s - prev_s) || 's vs previous)', ''), chr(10) ORDER BY lap_number) AS lines FROM (SELECT DISTINCT speech_id, lap_number, duration_s, prev_s FROM lf) GROUP BY 1),
+  blocks AS (SELECT e.request_id, e.rank, concat_ws(chr(10), '[' || e.speech_id || '] ' || concat_ws(' ', e.session, e.year::VARCHAR) || ' | ' || coalesce(e.driver, 'unidentified speaker'), '  tone: voice reads ' || e.mood, '  "' || trim(e.text) || '"', lt.lines, '  mentions: ' || e.name || ' (part)', '  before: "' || trim(e.prev_text) || '"', '  after: "' || trim(e.next_text) || '"') AS block FROM expanded e LEFT JOIN lt USING (speech_id)),
+  sized AS (SELECT *, sum(length(block) + 2) OVER (PARTITION BY request_id ORDER BY rank) AS upto, sum(length(block) + 2) OVER (PARTITION BY request_id) - 2 AS total FROM blocks)"""
+BODY = "SELECT request_id, string_agg(block, chr(10) || chr(10) ORDER BY rank) AS body FROM sized WHERE total <= {n} OR upto <= {n} GROUP BY 1"
+
+
+@query("r11_render_context", f"WITH {EXPANDED}, {BLOCKS} {BODY.format(n=4000)}")
 def r11(t):
     return q.truncate_blocks(r.block(expanded(t)).select("request_id", "rank", "block"), "request_id", 4000)
 
@@ -168,8 +182,10 @@ def r13(t):
     return laps.join(said, ["session_key", "driver_number", "lap_number"])
 
 
-@query("r14_graph_context")
+@query("r14_graph_context", f"WITH {EXPANDED}, {BLOCKS} SELECT request_id, body, (SELECT count(*) FROM blocks b WHERE b.request_id = x.request_id) AS n_anchors FROM ({BODY.format(n=1200)}) x")
 def r14(t):
     """Anchors to expanded, rendered evidence for a table of requests."""
-    made = q.truncate_blocks(r.block(expanded(t)).select("request_id", "rank", "block"), "request_id", 1200)
-    return made.join(expanded(t).groupBy("request_id").agg(F.count("*").alias("n_anchors")), "request_id")
+    from ..operators.shared import checkpointed
+
+    blocks = checkpointed(r.block(expanded(t)).select("request_id", "rank", "block"))
+    return q.truncate_blocks(blocks, "request_id", 1200).join(blocks.groupBy("request_id").agg(F.count("*").alias("n_anchors")), "request_id")

@@ -78,7 +78,7 @@ def a09(t):
 TAGGED = "tagged AS (SELECT *, EXISTS (SELECT 1 FROM v_vad v WHERE v.clip_id = f.clip_id AND f.at_s >= v.start_s AND f.at_s < v.end_s) AS in_speech FROM v_frames f)"
 
 
-@query("a11_clip_quality", f"""WITH {TAGGED}, q AS (SELECT clip_id, avg(amp * amp) FILTER (in_speech) AS sp, avg(amp * amp) FILTER (NOT in_speech) AS ns, count(*) FILTER (NOT in_speech) AS nn, avg((abs(amp) >= 0.99)::INT::DOUBLE) AS c, avg(in_speech::INT::DOUBLE) AS i, count(*) FILTER (in_speech) AS n, avg(amp) AS dc FROM tagged GROUP BY 1)
+@query("a11_clip_quality", f"""WITH {TAGGED}, q AS (SELECT clip_id, sum((amp * amp)::DECIMAL(20, 12)) FILTER (in_speech)::DOUBLE / nullif(count(*) FILTER (in_speech), 0) AS sp, sum((amp * amp)::DECIMAL(20, 12)) FILTER (NOT in_speech)::DOUBLE / nullif(count(*) FILTER (NOT in_speech), 0) AS ns, count(*) FILTER (NOT in_speech) AS nn, avg((abs(amp) >= 0.99)::INT::DOUBLE) AS c, avg(in_speech::INT::DOUBLE) AS i, count(*) FILTER (in_speech) AS n, sum(amp::DECIMAL(20, 12))::DOUBLE / count(*) AS dc FROM tagged GROUP BY 1)
   SELECT clip_id, round(least(60, greatest(-20, 10 * log10(greatest(coalesce(sp, 1e-12), 1e-12) / greatest(CASE WHEN nn > 0.1 THEN ns ELSE 1e-12 END, 1e-12)))), 6) AS snr_db, round(c, 6) AS clipping_ratio, round(1 - i, 6) AS silence_ratio, n::DOUBLE AS speech_s, round(dc, 6) AS dc_offset FROM q""")
 def a11(t):
     return rounded(r.clip_quality(iv.tag_frames(t.v_frames, t.v_vad, HOURS)), "snr_db", "clipping_ratio", "silence_ratio", "dc_offset")
@@ -185,7 +185,12 @@ def montage_turns(t):
     return t.v_clip_speakers.selectExpr("clip_id", "local_label", "clip_id * 100 + local_label AS turn_id", "0D AS start_s", "speech_s * 0.5D AS end_s", "part % 5 = 0 AS is_overlap")
 
 
-@query("a26_montage")
+@query("a26_montage", """WITH RECURSIVE c AS (SELECT cluster_id, s.clip_id, clip_id * 100 + local_label AS turn_id, speech_s * 0.5::DOUBLE AS dur, row_number() OVER (PARTITION BY cluster_id ORDER BY coalesce(-reliability, 1.0), -(speech_s * 0.5::DOUBLE), clip_id, clip_id * 100 + local_label) AS k
+    FROM v_clip_speakers s WHERE cluster_id IS NOT NULL AND part % 5 <> 0 AND speech_s * 0.5::DOUBLE >= 0.4::DOUBLE AND speech_s * 0.5::DOUBLE <= 25),
+  f AS (SELECT DISTINCT cluster_id, 0::BIGINT AS clip_id, 0::BIGINT AS turn_id, 0::DOUBLE AS dur, 0::BIGINT AS k, false AS fits, 0::DOUBLE AS t, []::STRUCT(c BIGINT, d DOUBLE)[] AS p FROM c
+    UNION ALL SELECT cluster_id, clip_id, turn_id, dur, k, fits, CASE WHEN fits THEN t + dur ELSE t END, CASE WHEN fits THEN list_append(p, {'c': clip_id, 'd': dur}) ELSE p END
+    FROM (SELECT c.*, f.t, f.p, f.t + c.dur <= 75 AND coalesce(list_sum([x.d for x in f.p if x.c = c.clip_id]), 0) + c.dur <= 25 AS fits FROM f JOIN c ON c.cluster_id = f.cluster_id AND c.k = f.k + 1))
+  SELECT cluster_id, clip_id, turn_id, dur FROM f WHERE fits""")
 def a26(t):
     return r.montage(t.v_clip_speakers.select("clip_id", "local_label", "cluster_id", "reliability"), montage_turns(t))
 

@@ -102,18 +102,18 @@ def p08_repetitive(t):
 
 PHRASES = ", ".join(f"'{p}'" for p in s.PROTOCOL_PHRASES)
 TOKENS = ", ".join(f"'{p}'" for p in s.PROTOCOL_TOKENS)
-#: A text of an utterance with procedure talk mixed in, so that the rules have something to find.
-SAID_SQL = "CASE utterance_id % 6 WHEN 0 THEN 'Box, box!' WHEN 1 THEN 'Copy that.' WHEN 2 THEN 'ok yes' WHEN 3 THEN '...' ELSE text END"
+#: A phrase, or procedure talk here and there, so that the rules have something to find.
+SAID_SQL = "CASE utterance_id % 60 WHEN 0 THEN 'Box, box!' WHEN 1 THEN 'Copy that.' WHEN 2 THEN 'ok yes' WHEN 3 THEN '...' ELSE text END"
 PROTOCOL_SQL = f"""len(regexp_extract_all(regexp_replace(lower(x), '[^\\p{{L}}\\p{{N}}_\\s'']', ' ', 'g'), '\\S+')) = 0 OR array_to_string(regexp_extract_all(regexp_replace(lower(x), '[^\\p{{L}}\\p{{N}}_\\s'']', ' ', 'g'), '\\S+'), ' ') IN ({PHRASES})
   OR len(list_filter(regexp_extract_all(regexp_replace(lower(x), '[^\\p{{L}}\\p{{N}}_\\s'']', ' ', 'g'), '\\S+'), lambda w: w NOT IN ({TOKENS}))) = 0"""
 
 
 def said(t):
-    k = C("utterance_id") % 6
-    return t.v_short_utterances.withColumn("x", F.when(k == 0, "Box, box!").when(k == 1, "Copy that.").when(k == 2, "ok yes").when(k == 3, "...").otherwise(C("text")))
+    k = C("utterance_id") % 60
+    return t.v_phrases.withColumn("x", F.when(k == 0, "Box, box!").when(k == 1, "Copy that.").when(k == 2, "ok yes").when(k == 3, "...").otherwise(C("text")))
 
 
-@query("p09_protocol", f"SELECT utterance_id, {PROTOCOL_SQL} AS protocol FROM (SELECT utterance_id, {SAID_SQL} AS x FROM v_short_utterances)")
+@query("p09_protocol", f"SELECT utterance_id, {PROTOCOL_SQL} AS protocol FROM (SELECT utterance_id, {SAID_SQL} AS x FROM v_phrases)")
 def p09(t):
     return said(t).select("utterance_id", s.is_protocol(C("x")).alias("protocol"))
 
@@ -154,9 +154,9 @@ def p13(t):
     return probes(t).select("event_id", s.tone(C("voiced"), C("rate"), C("pstd")).alias("tone"), s.tone(C("voiced"), C("rate"), C("pstd"), base).alias("own_tone"))
 
 
-@query("p14_too_short", "SELECT utterance_id, n_words < 6 AS too_short FROM v_short_utterances")
+@query("p14_too_short", "SELECT utterance_id, n_words < 6 AS too_short FROM v_phrases")
 def p14(t):
-    return t.v_short_utterances.select("utterance_id", s.too_short(C("text"), 6).alias("too_short"))
+    return t.v_phrases.select("utterance_id", s.too_short(C("text"), 6).alias("too_short"))
 
 
 @query("p15_filter", "SELECT utterance_id FROM v_speech_utt WHERE mood = 'stressed' AND sentiment = 'negative' AND cluster_id IS NOT NULL AND text ILIKE '%part 1%'")

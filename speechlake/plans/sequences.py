@@ -10,7 +10,7 @@ from ..functions.scoring import band_label
 from ..operators import sequences as q
 from .intervals import rounded
 from .registry import query
-from .scalars import PROTOCOL_SQL, probes, said
+from .scalars import PROBES, PROTOCOL_SQL, probes
 
 C = F.col
 
@@ -39,23 +39,23 @@ def w03_number(t):
     return q.lap_deltas(t.v_laps.where("lap_number % 4 <> 3"), "number").select("session_key", "driver_number", "lap_number", "prev_s")
 
 
-GROUPS = f"""WITH RECURSIVE s AS (SELECT clip_id, utterance_id, idx, local_label, start_s, end_s, n_words AS n, {PROTOCOL_SQL.replace('(x)', '(text)')} AS proto, row_number() OVER (PARTITION BY clip_id ORDER BY idx) AS k FROM v_short_utterances),
+GROUPS = f"""WITH RECURSIVE s AS (SELECT clip_id, utterance_id, idx, local_label, start_s, end_s, n_words AS n, {PROTOCOL_SQL.replace('(x)', '(text)')} AS proto, row_number() OVER (PARTITION BY clip_id ORDER BY idx) AS k FROM (SELECT * REPLACE (CASE WHEN idx % 3 = 2 THEN local_label ELSE 'driver' END AS local_label) FROM v_phrases)),
   f AS (SELECT clip_id, utterance_id, k, idx AS grp, n AS words, local_label, end_s, proto FROM s WHERE k = 1
-    UNION ALL SELECT s.clip_id, s.utterance_id, s.k, CASE WHEN j THEN f.grp ELSE s.idx END, CASE WHEN j THEN f.words + s.n ELSE s.n END, s.local_label, s.end_s, s.proto
-    FROM f JOIN (SELECT * FROM s) s ON s.clip_id = f.clip_id AND s.k = f.k + 1, LATERAL (SELECT NOT s.proto AND NOT f.proto AND s.local_label = f.local_label AND s.start_s - f.end_s <= 2.0 AND f.words < 6 AS j))
+    UNION ALL SELECT clip_id, utterance_id, k, CASE WHEN j THEN grp ELSE idx END, CASE WHEN j THEN words + n ELSE n END, local_label, end_s, proto
+    FROM (SELECT s.*, f.grp, f.words, NOT s.proto AND NOT f.proto AND s.local_label = f.local_label AND s.start_s - f.end_s <= 2.0::DOUBLE AND f.words < 6 AS j FROM f JOIN s ON s.clip_id = f.clip_id AND s.k = f.k + 1))
   SELECT clip_id, utterance_id, grp AS "group" FROM f"""
 
 
-@query("w07_sentiment_groups")
+@query("w07_sentiment_groups", GROUPS)
 def w07(t):
-    u = t.v_short_utterances.withColumn("local_label", F.when(C("idx") % 3 == 2, C("local_label")).otherwise("driver"))
+    u = t.v_phrases.withColumn("local_label", F.when(C("idx") % 3 == 2, C("local_label")).otherwise("driver"))
     return q.sentiment_groups(u)
 
 
-@query("w08_context_prefix", """WITH l AS (SELECT *, array_to_string(list_filter([trim(coalesce(lag(text, 2) OVER w, '')), trim(coalesce(lag(text, 1) OVER w, ''))], lambda x: x <> ''), ' ') AS lead_in FROM v_short_utterances WINDOW w AS (PARTITION BY clip_id ORDER BY idx))
+@query("w08_context_prefix", """WITH l AS (SELECT *, array_to_string(list_filter([trim(coalesce(lag(text, 2) OVER w, '')), trim(coalesce(lag(text, 1) OVER w, ''))], lambda x: x <> ''), ' ') AS lead_in FROM v_phrases WINDOW w AS (PARTITION BY clip_id ORDER BY idx))
   SELECT utterance_id, n_words < 4 AND lead_in <> '' AS used_context, CASE WHEN n_words < 4 AND lead_in <> '' THEN lead_in || ' ' || trim(text) ELSE trim(text) END AS judged FROM l""")
 def w08(t):
-    return q.context_prefix(t.v_short_utterances).select("utterance_id", "used_context", "judged")
+    return q.context_prefix(t.v_phrases).select("utterance_id", "used_context", "judged")
 
 
 @query("w09_fan_out", """WITH g AS (SELECT *, clip_id * 10 + local_label // 2 AS gid FROM v_speech_utt), v AS (SELECT gid, round(avg(sentiment_score) * CASE WHEN gid % 2 = 0 THEN 0.6 ELSE 1 END, 6) AS score FROM g GROUP BY gid)
@@ -71,7 +71,29 @@ def features(t):
     return probes(t).join(t.events.select("event_id", "user_id", "ts"), "event_id").select(C("user_id").alias("session"), C("ts").alias("at"), C("event_id").alias("feature_id"), "voiced", "rate", (100 + C("snr")).alias("pitch_mean"), C("pstd").alias("pitch_std"))
 
 
-@query("w10_tone_baseline")
+
+def tone_sql(rows: str) -> str:
+    """SQL for the tone of rows (session, row_id, k from 1, voiced, rate, pm, ps) against the session's calm ones."""
+    return f"""WITH RECURSIVE s AS ({rows}),
+  f AS (SELECT DISTINCT session, 0::BIGINT AS row_id, 0::BIGINT AS k, '' AS read, 0::BIGINT AS n, 0::DOUBLE AS mean, 0::DOUBLE AS sd, 0::DOUBLE AS br FROM s
+    UNION ALL SELECT session, row_id, k, read, CASE WHEN read = 'calm' THEN n + 1 ELSE n END, CASE WHEN read <> 'calm' THEN mean WHEN n = 0 THEN pm ELSE mean + 0.2::DOUBLE * (pm - mean) END,
+      CASE WHEN read <> 'calm' THEN sd WHEN n = 0 THEN ps ELSE sd + 0.2::DOUBLE * (ps - sd) END, CASE WHEN read <> 'calm' THEN br WHEN n = 0 THEN rate ELSE br + 0.2::DOUBLE * (rate - br) END
+    FROM (SELECT s.*, f.n, f.mean, f.sd, f.br, CASE WHEN voiced < 0.15::DOUBLE THEN 'calm' WHEN f.n >= 3 AND f.mean > 0 THEN CASE WHEN rate < f.br * 0.55::DOUBLE AND ps < f.sd * 0.6::DOUBLE THEN 'tired' WHEN rate > f.br * 1.45::DOUBLE OR ps > f.sd * 1.8::DOUBLE THEN 'stressed' ELSE 'calm' END
+        WHEN rate < 1.8::DOUBLE AND ps < 15 THEN 'tired' WHEN rate > 3.8::DOUBLE OR ps > 40 THEN 'stressed' ELSE 'calm' END AS read FROM f JOIN s ON s.session = f.session AND s.k = f.k + 1))
+  """
+
+
+def chunk_sql(rows: str) -> str:
+    """SQL for the chunk of rows (session, row_id, k from 1, tm, rms)."""
+    return f"""WITH RECURSIVE s AS ({rows}),
+  f AS (SELECT DISTINCT session, 0::BIGINT AS row_id, 0::BIGINT AS k, 0::BIGINT AS chunk, 0::BIGINT AS next, NULL::DOUBLE AS since, false AS spoke, NULL::DOUBLE AS quiet FROM s
+    UNION ALL SELECT session, row_id, k, chunk, chunk + cut::INT, CASE WHEN NOT cut THEN began END, spoke AND NOT cut, CASE WHEN NOT cut THEN quiet END
+    FROM (SELECT *, (tm - began >= 1.2::DOUBLE AND spoke AND coalesce(tm - quiet >= 0.6::DOUBLE, false)) OR tm - began >= 12 AS cut
+      FROM (SELECT s.*, f.next AS chunk, coalesce(f.since, s.tm) AS began, f.spoke OR s.rms > 0.02::DOUBLE AS spoke, CASE WHEN s.rms <= 0.02::DOUBLE THEN coalesce(f.quiet, s.tm) END AS quiet FROM f JOIN s ON s.session = f.session AND s.k = f.k + 1)))
+  """
+
+
+@query("w10_tone_baseline", tone_sql(f"SELECT user_id AS session, event_id AS row_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, voiced, rate, 100 + snr AS pm, pstd AS ps FROM ({PROBES}) JOIN (SELECT event_id, user_id, ts FROM events) USING (event_id)") + "SELECT session, row_id AS feature_id, read AS tone FROM f WHERE k > 0")
 def w10(t):
     return q.tone_with_baseline(features(t))
 
@@ -108,7 +130,7 @@ def rms(t):
     return t.events.select(C("user_id").alias("session"), C("event_id").alias("sample_id"), (F.row_number().over(w) * 0.25).alias("at"), F.when(C("event_id") % 5 < 2, 0.05).otherwise(0.01).alias("rms"))
 
 
-@query("w15_cut_chunks")
+@query("w15_cut_chunks", chunk_sql("SELECT user_id AS session, event_id AS row_id, k, k * 0.25::DOUBLE AS tm, CASE WHEN event_id % 5 < 2 THEN 0.05 ELSE 0.01 END::DOUBLE AS rms FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events)") + "SELECT session, row_id AS sample_id, chunk FROM f WHERE k > 0")
 def w15(t):
     return q.cut_chunks(rms(t))
 

@@ -12,8 +12,10 @@ from ..params import DEFAULTS as P
 from ..sources.adapters import Tables
 from ..streaming import folds
 from ..streaming.jobs import drain, drain_batches, once, table_stream, turn_output
-from .intervals import WORDS, rounded
+from .identity import IDENTIFIED
+from .intervals import ASSIGN, REGROUP, SMOOTH, WORDS, rounded
 from .registry import query
+from .sequences import chunk_sql, tone_sql
 
 C = F.col
 
@@ -29,6 +31,10 @@ class Batch(Tables):
         return self._tables[name] if name in self._tables else super().raw(name)
 
 
+#: Arriving voices, of which no more than eight seconds are believed.
+LIVE = """live AS (SELECT vec_id AS query_id, label AS true_label, speech_s, sqrt(least(1, least(speech_s, 8) / 8)) * (0.5 + 0.5 * (0.5 * greatest(0, least(1, (snr_db - 5) / 20)) + 0.3 + 0.2 * greatest(0, least(1, (bandwidth_hz - 3000) / 5000)))) AS reliability FROM v_voices WHERE vec_id % 2 = 1)"""
+
+
 def events(t):
     return table_stream(t.spark, t.folder, "events").withColumn("ts", C("ts").cast("timestamp"))
 
@@ -44,12 +50,15 @@ def language_rows(df):
     return df.select(C("user_id").alias("session"), C("event_id").alias("row_id"), "ts", F.unix_micros(C("ts").cast("timestamp")).alias("at"), C("event_type").alias("detected"), (C("event_id") * 37 % 100 / 100.0).alias("prob"))
 
 
-@query("t02_language_lock")
+@query("t02_language_lock", """WITH RECURSIVE s AS (SELECT user_id AS session, event_id AS row_id, event_type AS detected, event_id * 37 % 100 / 100.0::DOUBLE AS prob, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+  f AS (SELECT session, row_id, k, CASE WHEN prob > 0.6::DOUBLE THEN detected END AS language FROM s WHERE k = 1
+    UNION ALL SELECT s.session, s.row_id, s.k, CASE WHEN (f.language IS NULL OR s.k % 6 = 0) AND s.prob > 0.6::DOUBLE THEN s.detected ELSE f.language END FROM f JOIN s ON s.session = f.session AND s.k = f.k + 1)
+  SELECT session, row_id, language FROM f""")
 def t02(t):
     return drain(folds.stream(language_rows(events(t)), folds.lock_language, (None, 0), "string", "language string, n long", idle_ms=None)).withColumnRenamed("value", "language")
 
 
-@query("t03_chunk_reconcile")
+@query("t03_chunk_reconcile", f"WITH {ASSIGN}, {SMOOTH}, {REGROUP} SELECT clip_id, utt, any_value(speaker) AS speaker, count(*) AS n_words, round(avg(speaker_conf), 6) AS speaker_conf FROM grouped GROUP BY clip_id, utt")
 def t03(t):
     """Words of each arriving conversation to its turns, smoothed and regrouped."""
 
@@ -66,7 +75,7 @@ def tone_rows(df):
     return df.select(C("user_id").alias("session"), C("event_id").alias("row_id"), F.unix_micros(C("ts").cast("timestamp")).alias("at"), (C("event_id") % 17 / 10.0).alias("voiced"), (C("event_id") % 60 / 10.0).alias("rate"), (100 + snr).alias("pitch_mean"), (C("event_id") * 7 % 60).cast("double").alias("pitch_std"))
 
 
-@query("t04_tone_baseline")
+@query("t04_tone_baseline", tone_sql("SELECT user_id AS session, event_id AS row_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, (event_id % 17) / 10.0::DOUBLE AS voiced, (event_id % 60) / 10.0::DOUBLE AS rate, 100 + (event_id % 31)::DOUBLE AS pm, (event_id * 7 % 60)::DOUBLE AS ps FROM events") + "SELECT session, row_id, read AS tone FROM f WHERE k > 0")
 def t04(t):
     return drain(folds.stream(tone_rows(events(t)), folds.baseline_tone, (0, 0.0, 0.0, 0.0), "string", "n long, mean double, std double, rate double", idle_ms=None)).withColumnRenamed("value", "tone")
 
@@ -75,12 +84,17 @@ def voice_rows(df):
     return df.select((C("vec_id") % 20).alias("session"), C("vec_id").alias("row_id"), C("vec_id").alias("at"), C("embedding").cast("array<double>").alias("vec"))
 
 
-@query("t05_voice_pool")
+@query("t05_voice_pool", """WITH RECURSIVE s AS (SELECT vec_id % 20 AS session, vec_id AS row_id, embedding::DOUBLE[] AS vec, row_number() OVER (PARTITION BY vec_id % 20 ORDER BY vec_id) AS k FROM embeddings),
+  f AS (SELECT DISTINCT session, 0::BIGINT AS row_id, 0::BIGINT AS k, 0::BIGINT AS voice, []::DOUBLE[][] AS cs, []::BIGINT[] AS ns FROM s
+    UNION ALL SELECT session, row_id, k, CASE WHEN hit THEN b - 1 ELSE len(ns) END, CASE WHEN hit THEN cs[1:b - 1] || [list_transform(m, lambda x: x / greatest(sqrt(list_inner_product(m, m)), 1e-6::DOUBLE))] || cs[b + 1:] ELSE list_append(cs, vec) END, CASE WHEN hit THEN ns[1:b - 1] || [ns[b] + 1] || ns[b + 1:] ELSE list_append(ns, 1) END
+    FROM (SELECT *, [(x[1] * ns[b] + x[2]) / (ns[b] + 1) for x in list_zip(cs[b], vec)] AS m FROM (SELECT *, list_position(sims, list_max(sims))::BIGINT AS b, coalesce(list_max(sims) >= 0.52::DOUBLE, false) AS hit
+      FROM (SELECT s.*, f.cs, f.ns, [list_inner_product(c, s.vec) for c in f.cs] AS sims FROM f JOIN s ON s.session = f.session AND s.k = f.k + 1))))
+  SELECT session, row_id, voice FROM f WHERE k > 0""")
 def t05(t):
     return drain(folds.stream(voice_rows(table_stream(t.spark, t.folder, "embeddings")), folds.pool_voice, ([], []), "long", "flat array<double>, counts array<long>", idle_ms=None)).withColumnRenamed("value", "voice")
 
 
-@query("t06_identify_stream")
+@query("t06_identify_stream", f"WITH {IDENTIFIED.replace('FROM v_queries q LEFT', 'FROM live q LEFT').replace('sims AS', LIVE + ', sims AS')} SELECT query_id, result, top AS profile_id FROM identified WHERE result <> 'unknown'")
 def t06(t):
     """Arriving voices matched with the profiles; only matches and suggestions are sent on."""
     profiles = v.centroids(t.v_enrollments)
@@ -158,6 +172,6 @@ def rms_rows(df):
     return df.select((C("user_id") % 40).alias("session"), C("event_id").alias("row_id"), (C("event_id") * 0.25).alias("at"), F.when(C("event_id") % 5 < 2, 0.05).otherwise(0.01).alias("rms"))
 
 
-@query("t12_cut_chunks")
+@query("t12_cut_chunks", chunk_sql("SELECT user_id % 40 AS session, event_id AS row_id, row_number() OVER (PARTITION BY user_id % 40 ORDER BY event_id) AS k, event_id * 0.25::DOUBLE AS tm, CASE WHEN event_id % 5 < 2 THEN 0.05 ELSE 0.01 END::DOUBLE AS rms FROM events") + "SELECT session, row_id, chunk FROM f WHERE k > 0")
 def t12(t):
     return drain(folds.stream(rms_rows(events(t)), folds.cut_chunk, (0, None, False, None), "long", "chunk long, since double, spoke boolean, quiet double", idle_ms=None)).withColumnRenamed("value", "chunk")

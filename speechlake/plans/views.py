@@ -9,8 +9,11 @@ VIEWS = {
         0.4::DOUBLE * prior + 0.5::DOUBLE * turn AS start_s, 0.4::DOUBLE * prior + 0.5::DOUBLE * turn + 0.4::DOUBLE * n_words AS end_s
       FROM (SELECT *, coalesce(sum(n_words) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS prior
             FROM (SELECT *, len(regexp_extract_all(text, '\S+'))::BIGINT AS n_words FROM conversations))""",
-    "v_short_utterances": r"""SELECT utterance_id, clip_id, idx, local_label, array_to_string(ws, ' ') AS text, len(ws)::BIGINT AS n_words, start_s, end_s
-      FROM (SELECT *, regexp_extract_all(text, '\S+')[1:1 + (7 * clip_id + 3 * idx) % 12] AS ws FROM v_utterances)""",
+    "v_phrases": r"""SELECT utterance_id * 10000 + pos AS utterance_id, clip_id, idx * 10000 + pos AS idx, local_label, text, n_words, start_s + 0.4::DOUBLE * prior + 0.25::DOUBLE * pos AS start_s, start_s + 0.4::DOUBLE * prior + 0.25::DOUBLE * pos + 0.4::DOUBLE * n_words AS end_s
+      FROM (SELECT *, coalesce(sum(n_words) OVER (PARTITION BY utterance_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS prior
+            FROM (SELECT utterance_id, clip_id, idx, local_label, start_s, text, pos, len(regexp_extract_all(text, '\S+'))::BIGINT AS n_words
+                  FROM (SELECT utterance_id, clip_id, idx, local_label, start_s, unnest(ps) AS text, generate_subscripts(ps, 1) - 1 AS pos FROM (SELECT * REPLACE (NULL AS text), regexp_split_to_array(text, '[.,!?;:]+') AS ps FROM v_utterances)))
+            WHERE n_words > 0)""",
     "v_words": r"""SELECT clip_id, idx, word_ix, idx * 100000 + word_ix AS word_id, word, local_label,
         start_s + 0.4::DOUBLE * word_ix AS start_s, start_s + 0.4::DOUBLE * word_ix + 0.35::DOUBLE AS end_s, 0.5::DOUBLE + ((word_ix * 37) % 50) / 100.0::DOUBLE AS probability
       FROM (SELECT clip_id, idx, local_label, start_s, unnest(ws) AS word, generate_subscripts(ws, 1)::INT - 1 AS word_ix
@@ -55,7 +58,7 @@ VIEWS = {
     "v_enrollments": "SELECT vec_id, label AS profile_id, voice AS vec, speech_s, reliability FROM v_reliable WHERE vec_id % 2 = 0",
     "v_queries": "SELECT vec_id AS query_id, label AS true_label, voice AS vec, speech_s, reliability FROM v_reliable WHERE vec_id % 2 = 1",
     "v_exemplars": "SELECT vec_id AS exemplar_id, CASE WHEN label = 9 THEN 'none' ELSE 'type_' || label END AS event_type, voice AS vec FROM v_voices WHERE vec_id < 40",
-    "v_speech_vectors": "SELECT vec_id AS speech_id, voice AS vec, vec_id % 11 + 2 AS n_words, label FROM v_voices WHERE vec_id >= 40",
+    "v_speech_vectors": "SELECT vec_id AS speech_id, voice AS vec, vec_id % 11 + 2 AS n_words, label FROM v_voices",
     "v_centroids": """SELECT profile_id, list_transform(s, lambda x: x / sqrt(list_inner_product(s, s))) AS centroid FROM (
         SELECT profile_id, list(sx ORDER BY i) AS s FROM (SELECT profile_id, i, sum(reliability * x) AS sx FROM (SELECT profile_id, reliability, unnest(vec) AS x, generate_subscripts(vec, 1) AS i FROM v_enrollments) GROUP BY profile_id, i) GROUP BY profile_id)""",
     "v_docs": "SELECT doc_id AS speech_id, text, source, lang, regexp_extract(source, '[0-9]+$')::BIGINT AS session_key, CASE doc_id % 4 WHEN 0 THEN 'calm' WHEN 1 THEN 'stressed' WHEN 2 THEN 'tired' END AS mood FROM documents",
@@ -64,6 +67,9 @@ VIEWS = {
       UNION ALL SELECT lower(n_name), 'nation', n_nationkey::VARCHAR FROM nation""",
     "v_incoming": """SELECT 1 AS batch, doc_id AS file_id, text AS content, source AS race FROM documents
       UNION ALL SELECT 2, doc_id + 1000000000, text, source || '-b' FROM documents WHERE doc_id % 3 = 0""",
+    "v_replies": r"""SELECT conv_id AS batch_id, 5 AS batch_size, CASE WHEN conv_id % 7 = 0 THEN 'sorry, ' || text WHEN conv_id % 7 = 3 THEN '[{"n": 1, "event": "overtake" broken'
+      ELSE 'Here: ```json [{"n": ' || conv_id % 8 || ', "event": "' || CASE conv_id % 5 WHEN 0 THEN 'none' WHEN 1 THEN 'overtake' WHEN 2 THEN 'pit_stop' WHEN 3 THEN 'invented' ELSE 'yellow_flag' END || '", "confidence": ' || conv_id % 11 / 10.0::DOUBLE || ', "other_car": " car ' || conv_id % 20 || ' ", "why": "' || substr(regexp_replace(text, '[^A-Za-z ]', ' ', 'g'), 1, 250) || '"}, {"n": 2, "event": "overtake", "confidence": 0.9}]``` done' END AS reply
+      FROM conversations WHERE turn = 0""",
     "v_audit": "SELECT user_id AS actor, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, event_type AS action, epoch_us(ts) // 1000000 AS at_s, 'object-' || event_id AS object, strftime(ts, '%Y-%m-%d') AS day, (event_id % 3)::VARCHAR AS before, (event_id % 4)::VARCHAR AS after FROM events",
 }
 
@@ -83,4 +89,5 @@ def with_views(sql: str) -> str:
         return sql
     head = ",\n".join(f"{n} AS MATERIALIZED ({VIEWS[n]})" for n in needed)
     body = sql.strip()
-    return f"WITH {head}{',' + body[4:] if body.upper().startswith('WITH') else chr(10) + body}"
+    recursive = body.upper().startswith("WITH RECURSIVE")
+    return f"WITH {'RECURSIVE ' * recursive}{head}{',' + body[4 + 10 * recursive :] if body.upper().startswith('WITH') else chr(10) + body}"

@@ -1,7 +1,7 @@
-"""Sequential rules of live sessions, as steps over a session's rows in order.
+"""Sequential rules of live sessions (functions.steps) over a session's rows in order.
 
-Each step takes (state, row) and gives (state, output). `batch` runs one over a static DataFrame, `stream` over a
-streaming one with the state kept by Spark; both give the same rows.
+`batch` runs a step over a static DataFrame, `stream` over a streaming one with the state kept by Spark; both
+give the same rows.
 """
 
 from __future__ import annotations
@@ -13,59 +13,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from ..functions.steps import baseline_tone, cut_chunk, lock_language, pool_voice
+from ..operators.folds import fold_rows
 
-def lock_language(state: tuple, row) -> tuple[tuple, str | None]:
-    """state (language, chunks so far): adopts a language said with 0.6 or more, on the first chunk and every sixth."""
-    language, n = state
-    n += 1
-    if (language is None or n == 1 or n % 6 == 0) and row.prob > 0.6:
-        language = row.detected
-    return (language, n), language
-
-
-def baseline_tone(state: tuple, row) -> tuple[tuple, str]:
-    """state (calm readings, pitch mean, pitch deviation, rate): tone against the session's calm speech so far."""
-    n, mean, std, rate = state
-    if row.voiced < 0.15:
-        read = "calm"
-    elif n >= 3 and mean > 0:
-        read = "tired" if row.rate < rate * 0.55 and row.pitch_std < std * 0.6 else "stressed" if row.rate > rate * 1.45 or row.pitch_std > std * 1.8 else "calm"
-    else:
-        read = "tired" if row.rate < 1.8 and row.pitch_std < 15 else "stressed" if row.rate > 3.8 or row.pitch_std > 40 else "calm"
-    if read == "calm":
-        new = (row.pitch_mean, row.pitch_std, row.rate)
-        mean, std, rate = new if n == 0 else tuple(a + 0.2 * (b - a) for a, b in zip((mean, std, rate), new))
-        n += 1
-    return (n, mean, std, rate), read
-
-
-def pool_voice(state: tuple, row, threshold: float = 0.52) -> tuple[tuple, int]:
-    """state (centroids flat, turns per voice): the session's voice that is nearest, or a new one; voices keep their number."""
-    flat, counts = state
-    vec = np.asarray(row.vec, float)
-    if counts:
-        all_voices = np.asarray(flat).reshape(len(counts), -1)
-        sims = all_voices @ vec
-        best = int(np.argmax(sims))
-        if sims[best] >= threshold:
-            c = (all_voices[best] * counts[best] + vec) / (counts[best] + 1)
-            all_voices[best] = c / max(float(np.linalg.norm(c)), 1e-6)
-            counts = [*counts[:best], counts[best] + 1, *counts[best + 1 :]]
-            return (all_voices.reshape(-1).tolist(), counts), best
-    return ([*flat, *vec.tolist()], [*counts, 1]), len(counts)
-
-
-def cut_chunk(state: tuple, row, threshold: float = 0.02, pause: float = 0.6, least: float = 1.2, most: float = 12.0) -> tuple[tuple, int]:
-    """state (chunk, since, spoke, quiet since): the chunk of a sample; it ends after a pause, or at its longest."""
-    chunk, since, spoke, quiet = state
-    loud = row.rms > threshold
-    since = row.at if since is None else since
-    spoke = spoke or loud
-    quiet = None if loud else row.at if quiet is None else quiet
-    out = chunk
-    if (row.at - since >= least and spoke and quiet is not None and row.at - quiet >= pause) or row.at - since >= most:
-        chunk, since, spoke, quiet = chunk + 1, None, False, None
-    return (chunk, since, spoke, quiet), out
+__all__ = ["baseline_tone", "batch", "cut_chunk", "lock_language", "pool_voice", "stream"]
 
 
 def _run(step: Callable, state: tuple, pdf: pd.DataFrame, order: list[str]) -> tuple[tuple, list]:
@@ -78,8 +29,7 @@ def _run(step: Callable, state: tuple, pdf: pd.DataFrame, order: list[str]) -> t
 
 def batch(df: DataFrame, step: Callable, start: tuple, schema: str, order: tuple[str, ...] = ("at", "row_id")) -> DataFrame:
     """df: session, row_id, at, ... -> session, row_id, value."""
-    names = ["session", "row_id", "value"]
-    return df.groupBy("session").applyInPandas(lambda pdf: pd.DataFrame(_run(step, start, pdf, list(order))[1], columns=names), f"session long, row_id long, value {schema}")
+    return fold_rows(df, ["session"], list(order), step, start, ["row_id"], f"value {schema}")
 
 
 def stream(df: DataFrame, step: Callable, start: tuple, schema: str, state_schema: str, order: tuple[str, ...] = ("at", "row_id"), idle_ms: int | None = 3_600_000) -> DataFrame:
