@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import fold_rows
 from .intervals import bucketed
 
 
@@ -36,30 +37,50 @@ def talked_with(clip_speakers: DataFrame, clips: DataFrame) -> DataFrame:
     return per.join(other, "clip_id").where("profile_id < b").groupBy(F.col("profile_id").alias("a"), "b").agg(F.sum(F.col("m") * F.col("k")).alias("n"))
 
 
-def quoted(text: str) -> str:
-    """text as a literal within a Java pattern."""
-    return "".join(c if c.isalnum() or c == " " else "\\" + c for c in text)
+#: Aliases that are broadcast; more are dealt to salted keys.
+MOST_BROADCAST = 50_000
 
 
-#: Aliases in one pattern, and patterns that are broadcast; larger vocabularies are scanned in several passes.
-PATTERN_SIZE = 5_000
-
-
-def mentions(speech: DataFrame, aliases: DataFrame) -> DataFrame:
+def mentions(speech: DataFrame, aliases: DataFrame, most_broadcast: int = MOST_BROADCAST, salts: int = 16) -> DataFrame:
     """(speech_id, entity_type, entity_key) for every alias that a text names, each once.
 
-    Whole words, any case; at a position the longest alias wins and the scan goes on behind it. Aliases are
-    a curated vocabulary: their distinct texts become one pattern, longest first. Empty texts name nothing.
+    Whole words, any case; at a position the longest alias wins and the scan goes on behind it. A text's runs of
+    as many words as aliases have, with what stands between them, meet the aliases by equality, so the vocabulary
+    may have any size: runs that begin with no alias's first word are left out first, and a frequent one is dealt
+    to several tasks. What overlaps is settled by a fold over a text's hits alone. Aliases count from their first to
+    their last word character; those without any, and empty texts, name nothing. speech_id may not be null.
     """
-    names = sorted((r[0] for r in aliases.where("alias <> ''").select(F.lower("alias").alias("alias")).distinct().collect()), key=lambda a: (-len(a), a))
-    if not names:
-        return speech.select("speech_id", F.lit("").alias("entity_type"), F.lit("").alias("entity_key")).limit(0)
-    if len(names) > PATTERN_SIZE:
-        raise ValueError(f"{len(names)} aliases; split the vocabulary by kind")
-    pattern = r"(?iU)\b(" + "|".join(map(quoted, names)) + r")\b"
-    found = speech.select("speech_id", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)), F.lower))).alias("alias"))
-    table = aliases.select(F.lower("alias").alias("alias"), "entity_type", "entity_key")
-    return found.join(table, "alias").select("speech_id", "entity_type", "entity_key").distinct()
+    parts = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"(?U)\w+|\W+"), F.lit(0))
+    alias = F.regexp_replace(F.lower("alias"), r"(?U)^\W+|\W+$", "")
+    table = aliases.select(alias.alias("alias"), "entity_type", "entity_key").where("alias <> ''")
+    names = table.select("alias").distinct().withColumns({"first": F.element_at(parts(F.col("alias")), 1), "n": ((F.size(parts(F.col("alias"))) + 1) / 2).cast("int")})
+    lengths = sorted(r[0] for r in names.select("n").distinct().collect())
+    few = names.limit(most_broadcast + 1).count() <= most_broadcast
+    hint = F.broadcast if few else lambda df: df
+    longest = 2 * lengths[-1] - 1 if lengths else 1
+    cut = parts(F.col("text"))
+    places = F.transform(cut, lambda x, i: F.struct(i.alias("pos"), x.alias("first"), F.slice(F.col("_p"), i + 1, F.lit(longest)).alias("ahead")))
+    words = F.filter(places, lambda x: x["first"].rlike(r"(?U)^\w"))
+    at = speech.select("speech_id", "text", cut.alias("_p")).select("speech_id", F.explode(words).alias("x")).select("speech_id", "x.*")
+    at = at.join(hint(names.select("first").distinct()), "first", "left_semi")
+    runs = F.array(*(F.when(F.size("ahead") >= 2 * n - 1, F.struct(F.lit(n).alias("n"), F.array_join(F.slice("ahead", 1, 2 * n - 1), "").alias("alias"))) for n in lengths))
+    runs = F.array_compact(runs) if lengths else F.array().cast("array<struct<n:int,alias:string>>")
+    grams = at.select("speech_id", "pos", F.explode(runs).alias("r")).select("speech_id", "pos", "r.n", "r.alias")
+    known = names.select("alias")
+    if few:
+        hits = grams.join(F.broadcast(known), "alias")
+    else:
+        dealt = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        hits = grams.withColumn("_salt", F.pmod(F.xxhash64("speech_id", "pos"), F.lit(salts)).cast("int")).join(dealt, ["alias", "_salt"]).drop("_salt")
+
+    def scan(state: tuple, x) -> tuple[tuple, bool]:
+        free = x.pos >= state[0]
+        return ((x.pos + 2 * x.n - 1,) if free else state), free
+
+    ordered = hits.withColumn("_n", -F.col("n"))
+    kept = fold_rows(ordered, ["speech_id"], ["pos", "_n"], scan, (0,), ["alias"], "free boolean").where("free").select("speech_id", "alias").distinct()
+    small = F.broadcast(table) if table.limit(most_broadcast + 1).count() <= most_broadcast else table
+    return kept.join(small, "alias").select("speech_id", "entity_type", "entity_key").distinct()
 
 
 def target_driver(mentioned: DataFrame) -> DataFrame:

@@ -227,3 +227,36 @@ def test_select_and_truncate(spark):
     b = spark.createDataFrame([(1, 1, "aaaa"), (1, 2, "bbbb"), (1, 3, "cc"), (2, 1, "dddd")], "k long, rank long, block string")
     assert {x.k: x.body for x in q.truncate_blocks(b, "k", 13).collect()} == {1: "aaaa\n\nbbbb", 2: "dddd"}
     assert P.event_floor == 0.60
+
+
+def test_mentions_as_brute_force_with_many_aliases(spark):
+    import re as _re
+
+    from speechlake.operators import joins as j
+
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(60)] + ["l\u00e9", "o_k", "x2"]
+    names = sorted({" ".join(rng.choice(words) for _ in range(rng.randint(1, 3))) for _ in range(400)} | {"w1-w2", "W3", "(w4)", "...", ""})
+    texts = [(i, "".join(rng.choice(words) + rng.choice([" ", " ", " ", ", ", "-", "  "]) for _ in range(40)).title()) for i in range(60)] + [(100, None), (101, ""), (102, "w1 " * 20_000)]
+    alias = spark.createDataFrame([(a, "k", a) for a in names] + [("w3", "other", "w3")], "alias string, entity_type string, entity_key string")
+    speech = spark.createDataFrame(texts, "speech_id long, text string")
+    clean = {_re.sub(r"^\W+|\W+$", "", a.lower()) for a in names} - {""}
+    pattern = _re.compile(r"\b(" + "|".join(_re.escape(a) for a in sorted(clean, key=lambda a: (-len(a.split()), -len(a)))) + r")\b")
+    want = {(i, a) for i, x in texts for a in pattern.findall((x or "").lower())}
+    for most in (50_000, 10):
+        got = {(r.speech_id, _re.sub(r"^\W+|\W+$", "", r.entity_key.lower())) for r in j.mentions(speech, alias, most_broadcast=most).collect()}
+        assert got == want
+    many = spark.range(100_000).select(F.concat(F.lit("name"), F.col("id")).alias("alias"), F.lit("k").alias("entity_type"), F.col("id").cast("string").alias("entity_key"))
+    said = spark.createDataFrame([(1, "name5 and name99999, name100000"), (2, "NAME7name8")], "speech_id long, text string")
+    assert {tuple(r) for r in j.mentions(said, many).collect()} == {(1, "k", "5"), (1, "k", "99999")}
+    assert j.mentions(speech, alias.limit(0)).count() == 0
+
+
+def test_folds_of_one_long_session(spark):
+    """200,000 rows of one session, in time that is linear in them."""
+    import time
+
+    rows = spark.range(200_000).select(F.lit(1).cast("long").alias("session"), F.col("id").alias("sample_id"), (F.col("id") * 0.25).alias("at"), F.when(F.col("id") % 5 < 2, 0.05).otherwise(0.01).alias("rms"))
+    began = time.time()
+    out = q.cut_chunks(rows).agg(F.count("*"), F.max("chunk")).first()
+    assert out[0] == 200_000 and out[1] > 1000 and time.time() - began < 60
