@@ -14,6 +14,8 @@ from ..params import DEFAULTS, Params
 
 #: Profiles up to which every query's comparison with all of them is one broadcast.
 MOST_PROFILES = 20_000
+#: Tasks that queries of one block of profiles are dealt to.
+SALTS = 64
 
 
 def centroids(enrollments: DataFrame) -> DataFrame:
@@ -24,12 +26,15 @@ def _met(queries: DataFrame, profiles: DataFrame, key: str, vec: str, limit: int
     """Queries beside the profiles in sorted blocks (an array column, _set), and the number of blocks.
 
     The profiles are counted: up to limit they travel as one broadcast row; beyond it they go in several blocks
-    by hash, each of bounded size.
+    by hash, each of bounded size, which are salted so that queries meet a block in many tasks.
     """
     blocks = max(1, -(-profiles.count() // limit))
     block = profiles.groupBy(F.pmod(F.xxhash64(key), F.lit(blocks)).alias("_block")).agg(F.sort_array(F.collect_list(F.struct(F.col(key).alias("k"), F.col(vec).alias("v")))).alias("_set"))
     spread = queries.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    return spread.join(F.broadcast(block) if blocks == 1 else block, "_block"), blocks
+    if blocks == 1:
+        return spread.join(F.broadcast(block), "_block"), blocks
+    salted = block.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return spread.withColumn("_salt", F.pmod(F.xxhash64("query_id"), F.lit(SALTS)).cast("int")).join(salted, ["_block", "_salt"]).drop("_salt"), blocks
 
 
 def similarities(queries: DataFrame, profiles: DataFrame, key: str, vec: str = "centroid", limit: int = MOST_PROFILES) -> DataFrame:
@@ -178,11 +183,22 @@ def consolidate(clusters: DataFrame, p: Params = DEFAULTS, rounds: int = 20) ->
     return names
 
 
-def score_events(speech: DataFrame, exemplars: DataFrame) -> DataFrame:
-    """speech_id, event_type, score: the best exemplar of each type, the none type too."""
-    sims = similarities(speech.select(F.col("speech_id").alias("query_id"), "vec"), exemplars.withColumnRenamed("vec", "centroid"), "exemplar_id")
-    kinds = exemplars.select("exemplar_id", "event_type")
-    return sims.join(F.broadcast(kinds), "exemplar_id").groupBy(F.col("query_id").alias("speech_id"), "event_type").agg(F.max("sim").alias("score"))
+def score_events(speech: DataFrame, exemplars: DataFrame, limit: int = MOST_PROFILES) -> DataFrame:
+    """speech_id, event_type, score: the best exemplar of each type, the none type too.
+
+    The best of each type is taken within the speech's row; rows meet again only where exemplars fill several blocks.
+    """
+    kinds = sorted(r[0] for r in exemplars.select("event_type").distinct().collect())  # a fixed taxonomy
+    keyed = exemplars.select(F.struct("event_type", "exemplar_id").alias("k"), "vec")
+    met, blocks = _met(speech.select(F.col("speech_id").alias("query_id"), F.col("vec").alias("mine")), keyed, "k", "vec", limit)
+    scored = F.transform("_set", lambda p: F.struct(p["k"]["event_type"].alias("t"), dot(F.col("mine"), p["v"]).alias("sim")))
+
+    def top(kind: str) -> Column:
+        return F.array_max(F.transform(F.filter("_s", lambda p: p["t"] == kind), lambda p: p["sim"]))
+
+    best = F.array(*(F.struct(F.lit(k).alias("event_type"), top(k).alias("score")) for k in kinds)) if kinds else F.array().cast("array<struct<event_type:string,score:double>>")
+    rows = met.select("query_id", scored.alias("_s")).select(F.col("query_id").alias("speech_id"), F.explode(best).alias("x")).select("speech_id", "x.*").where("score IS NOT NULL")
+    return rows if blocks == 1 else rows.groupBy("speech_id", "event_type").agg(F.max("score").alias("score"))
 
 
 def classify_events(scores: DataFrame, speech: DataFrame, p: Params = DEFAULTS) -> DataFrame:

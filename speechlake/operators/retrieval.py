@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import tone_phrase
+from .identity import similarities
 
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
@@ -67,6 +68,17 @@ def ranked(rows: DataFrame, score: str, cap: int) -> DataFrame:
     return rows.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= cap)
 
 
+def nearest(requests: DataFrame, speech: DataFrame, cap: int, only: DataFrame | None = None, most: int = 2_000) -> DataFrame:
+    """request_id, speech_id, sim, rk: the cap speech rows nearest to each request (request_id, vec), ties by id.
+
+    Speech (speech_id, vec) stays where it is; the requests are counted and travel to it in blocks of at most
+    `most`, and each task keeps its own best before rows meet by request. only: speech ids that filters leave.
+    """
+    rows = speech if only is None else speech.join(only, "speech_id", "left_semi")
+    sims = similarities(rows.withColumnRenamed("speech_id", "query_id"), requests, "request_id", "vec", most)
+    return ranked(sims.withColumnRenamed("query_id", "speech_id"), "sim", cap)
+
+
 def fuse(a: DataFrame, b: DataFrame, k: int = 60) -> DataFrame:
     """Reciprocal ranks of two legs added: request_id, speech_id, score; a leg that lacks a row adds nothing."""
     left, right = a.select("request_id", "speech_id", F.col("rk").alias("ra")), b.select("request_id", "speech_id", F.col("rk").alias("rb"))

@@ -6,7 +6,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import tone_word
-from ..functions.vectors import dot
 from ..operators import joins as j
 from ..operators import retrieval as r
 from ..operators import sequences as q
@@ -35,16 +34,26 @@ def terms(t):
     return t.spark.createDataFrame(TERMS, "request_id long, clause_id long, kind string, term string, offset int")
 
 
+def index_of(t):
+    """The postings of the requests' terms alone, kept for the several uses of a search."""
+    from ..operators.shared import checkpointed
+
+    return checkpointed(r.postings(t.v_docs, terms(t)))
+
+
+def few(t):
+    return F.broadcast(terms(t))  # eleven rows
+
+
 def matched(t):
-    return r.match(r.postings(t.v_docs), F.broadcast(terms(t)))
+    return r.match(r.postings(t.v_docs, terms(t)), few(t))
 
 
 def by_count(t):
     """Matches with how often their terms occur."""
-    index = r.postings(t.v_docs)
-    wanted = F.broadcast(terms(t).where("kind <> 'none'"))
+    index, wanted = index_of(t), F.broadcast(terms(t).where("kind <> 'none'"))
     n = index.join(wanted, index["token"] == wanted["term"]).groupBy("request_id", "speech_id").agg(F.sum(F.size("positions")).alias("score"))
-    return r.match(index, F.broadcast(terms(t))).join(n, ["request_id", "speech_id"])
+    return r.match(index, few(t)).join(n, ["request_id", "speech_id"])
 
 
 @query("r01_postings", f"WITH {POST_SQL} SELECT speech_id, token, len(positions) AS n, positions[1] AS first_pos FROM post")
@@ -83,11 +92,9 @@ def vector_requests(t):
     return t.v_speech_vectors.where("speech_id % 50 = 0").select(C("speech_id").alias("request_id"), "vec")
 
 
-def vector_leg(t, cap):
-    from ..operators.identity import knn
-
-    best = knn(vector_requests(t).withColumnRenamed("request_id", "query_id"), t.v_speech_vectors.select("speech_id", C("vec").alias("centroid")), "speech_id", cap)
-    return best.withColumnsRenamed({"query_id": "request_id", "rank": "rk"})
+def vector_leg(t, cap, only=None):
+    """The speech nearest to each request; only: the speech (speech_id) that filters leave."""
+    return r.nearest(vector_requests(t), t.v_speech_vectors.select("speech_id", "vec"), cap, only)
 
 
 @query("r05_semantic_search", f"WITH {VEC_SQL} SELECT request_id, speech_id, round(sim, 6) AS sim, rk FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY sim DESC, speech_id) AS rk FROM vs) WHERE rk <= 20")
@@ -95,14 +102,18 @@ def r05(t):
     return rounded(vector_leg(t, 20).select("request_id", "speech_id", "sim", "rk"), "sim")
 
 
-@query("r06_hybrid", f"""WITH {VEC_SQL}, a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY sim DESC, speech_id) AS rk FROM vs) WHERE rk <= 200),
-  b AS (SELECT * FROM (SELECT request_id, speech_id, row_number() OVER (PARTITION BY request_id ORDER BY n_chars DESC, speech_id) AS rk FROM (SELECT q.request_id, d.doc_id AS speech_id, n_chars FROM documents d JOIN reqs q ON d.doc_id % 7 = q.request_id % 7)) WHERE rk <= 200)
+@query("r06_hybrid", f"""WITH {MATCH_SQL}, {COVER_SQL.split(TERM_SQL + ", ")[1]}, {VEC_SQL}, ok AS (SELECT speech_id FROM v_docs WHERE mood = 'calm'),
+  a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY sim DESC, speech_id) AS rk FROM vs JOIN ok USING (speech_id)) WHERE rk <= 200),
+  b AS (SELECT * FROM (SELECT q.request_id, c.speech_id, row_number() OVER (PARTITION BY q.request_id ORDER BY round(rank, 9) DESC, c.speech_id) AS rk FROM matched m JOIN cover c USING (request_id, speech_id) JOIN ok USING (speech_id) JOIN reqs q ON (q.request_id // 50) % 4 + 1 = m.request_id) WHERE rk <= 200)
   SELECT coalesce(a.request_id, b.request_id) AS request_id, coalesce(a.speech_id, b.speech_id) AS speech_id, round(coalesce(1.0::DOUBLE / (60 + a.rk), 0) + coalesce(1.0::DOUBLE / (60 + b.rk), 0), 9) AS score FROM a FULL JOIN b ON a.request_id = b.request_id AND a.speech_id = b.speech_id""")
 def r06(t):
-    """A vector leg and a text leg fused by reciprocal rank, 200 of each."""
-    req = F.broadcast(vector_requests(t).select("request_id", (C("request_id") % 7).alias("k")))
-    text = t.documents.select(C("doc_id").alias("speech_id"), "n_chars", (C("doc_id") % 7).alias("k")).join(req, "k")
-    return r.fuse(vector_leg(t, 200), r.ranked(text, "n_chars", 200)).select("request_id", "speech_id", F.round("score", 9).alias("score"))
+    """Requests of words and a vector: text leg (matches by how near their words stand) and vector leg, both over calm speech alone, 200 of each, fused by reciprocal rank."""
+    calm = t.v_docs.where("mood = 'calm'").select("speech_id")
+    index = index_of(t)
+    found = r.match(index, few(t)).join(r.cover_rank(index, terms(t)), ["request_id", "speech_id"]).join(calm, "speech_id", "left_semi")
+    asks = vector_requests(t).select("request_id", (F.floor(C("request_id") / 50) % 4 + 1).alias("words"))
+    text = found.withColumnRenamed("request_id", "words").join(asks, "words").withColumn("rank", F.round("rank", 9))
+    return r.fuse(vector_leg(t, 200, calm), r.ranked(text, "rank", 200)).select("request_id", "speech_id", F.round("score", 9).alias("score"))
 
 
 @query("r07_radio_search", """SELECT call_id AS speech_id, score, rk FROM (SELECT call_id, score, row_number() OVER (ORDER BY score DESC, call_id) AS rk FROM (SELECT call_id, len(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x IN ('red', 'steel', 'small'))) AS score FROM v_radio WHERE error IS NULL AND analyzed_s IS NOT NULL AND mood = 'stressed') WHERE score > 0) WHERE rk <= 50""")
