@@ -14,15 +14,19 @@ from .common import shared_folder
 from .shingles import U, mix, word_hashes
 from .tokens import batches
 
-#: Classes: the end, so many most frequent words, and buckets of the others by their last bytes.
-TOP, BUCKETS = 127, 128
-CLASSES = 1 + TOP + BUCKETS
+#: A word has units of its own (embeddings and a bias) from this count and this share of all training tokens on;
+#: the others share a unit with those that end alike.
+LEAST_COUNT, LEAST_SHARE, BUCKETS = 16, 2.0**-16, 1024
 #: Words before that predict the next; numbers per embedding.
 CONTEXT, DIM = 4, 16
-#: Noise samples and tokens of a training batch, and the step size.
-NOISE, BATCH, RATE = 24, 2048, 0.15
-#: Tokens that a copy learns from in a round; small tables are learnt in several passes, towards LEAST tokens.
-UNIT, LEAST, MOST_PASSES = 262_144, 4_000_000, 16
+#: Noise units and noise groups of a training batch, tokens in it, and the step size.
+NOISE, NOISE_GROUPS, BATCH, RATE = 64, 16, 4096, 0.15
+#: Bytes of text that a copy learns from in a round, and of a chunk, whose words a task holds at once.
+UNIT_BYTES, CHUNK_BYTES = 1_600_000, 6_000_000
+#: Small tables are learnt in several passes, towards LEAST tokens.
+LEAST, MOST_PASSES = 4_000_000, 16
+#: Numbers of the model that are averaged at once.
+BLOCK = 65_536
 
 
 def tokens_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -41,129 +45,200 @@ def tokens_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
 
 @dataclass
 class Vocabulary:
-    """Statistics of the training tokens: the frequent words, and of each bucket the tokens, types and words seen once."""
+    """Statistics of the training tokens, and the network's units: the end, the words above the threshold, the buckets.
 
-    top: np.ndarray  # hashes, ascending
+    Units are numbered by falling count and cut into about the square root of their number of groups with about
+    equal shares of the tokens, so that a token's probability is that of its group times that within the group.
+    """
+
+    top: np.ndarray  # hashes of the words with a unit, ascending
     top_counts: np.ndarray
-    bucket_tokens: np.ndarray
+    bucket_tokens: np.ndarray  # without the words that have a unit
     bucket_once: np.ndarray
     n_tokens: int
     n_types: int
     n_docs: int
 
-    def classes(self, hashes: np.ndarray, bucket: np.ndarray, end: np.ndarray) -> np.ndarray:
-        out = 1 + TOP + bucket
+    def __post_init__(self):
+        counts = np.concatenate([[self.n_docs], self.top_counts, self.bucket_tokens])
+        order = np.argsort(-counts, kind="stable")
+        number = np.empty(len(order), np.int64)
+        number[order] = np.arange(len(order))
+        self.end_unit, self.top_unit, self.bucket_unit = number[0], number[1 : 1 + len(self.top)], number[1 + len(self.top) :]
+        self.bucket_of = np.full(len(order), -1)
+        self.bucket_of[self.bucket_unit] = np.arange(BUCKETS)
+        weights = counts[order] + 0.5
+        self.shares = weights / weights.sum()
+        groups = math.isqrt(len(order) - 1) + 1
+        place = np.minimum((np.cumsum(self.shares) - self.shares / 2) * groups, groups - 1).astype(np.int64)
+        starts = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+        self.bounds = np.append(starts, len(order))
+        self.group = np.repeat(np.arange(len(starts)), np.diff(self.bounds))
+
+    def units(self, hashes: np.ndarray, bucket: np.ndarray, end: np.ndarray) -> np.ndarray:
+        out = self.bucket_unit[bucket]
         if len(self.top):
             i = np.minimum(np.searchsorted(self.top, hashes), len(self.top) - 1)
-            out = np.where(self.top[i] == hashes, 1 + i, out)
-        return np.where(end, 0, out)
-
-    def class_shares(self) -> np.ndarray:
-        top = np.zeros(TOP)
-        top[: len(self.top)] = self.top_counts
-        n = np.concatenate([[self.n_docs], top, self.bucket_tokens]) + 0.5
-        return n / n.sum()
-
-    def within(self, cls: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """Natural log of a token's share of its class. A bucket leaves what Good and Turing give to words never seen."""
-        b = np.maximum(cls - 1 - TOP, 0)
+            out = np.where(self.top[i] == hashes, self.top_unit[i], out)
+        return np.where(end, self.end_unit, out)
+
+    def within(self, unit: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Natural log of a token's share of its unit. A bucket leaves what Good and Turing give to words never seen."""
+        b = self.bucket_of[unit]
         total = self.bucket_tokens[b]
         unseen = np.where(total > 0, (self.bucket_once[b] + 0.5) / (total + 1), 1.0)
         seen = (1 - unseen) * count / np.maximum(total, 1)
-        return np.where(cls > TOP, np.log(np.where(count > 0, np.maximum(seen, 1e-300), unseen)), 0.0)
+        return np.where(b >= 0, np.log(np.where(count > 0, np.maximum(seen, 1e-300), unseen)), 0.0)
+
+    def dtype(self) -> str:
+        return "<u2" if len(self.shares) <= 1 << 16 else "<u4"
 
 
-def contexts(cls: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """The classes of the CONTEXT tokens before each token of its text; the end's class stands before the text."""
-    out = np.zeros((CONTEXT, len(cls)), np.int64)
+def contexts(unit: np.ndarray, doc: np.ndarray, end_unit: int) -> np.ndarray:
+    """The units of the CONTEXT tokens before each token of its text; the end stands before the text."""
+    out = np.full((CONTEXT, len(unit)), end_unit, np.int64)
     for i in range(CONTEXT):
         k = i + 1
-        out[i, k:] = np.where(doc[k:] == doc[:-k], cls[:-k], 0)
+        out[i, k:] = np.where(doc[k:] == doc[:-k], unit[:-k], end_unit)
     return out
 
 
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
 class LogBilinear:
-    """Prediction = sum over places of weight[place] * context[word]; score = prediction . target[word] + bias[word]."""
+    """Prediction = sum over places of weight[place] * context[unit]; a unit's score = prediction . target[unit] + bias[unit].
 
-    SHAPES = {"context": (CLASSES, DIM), "target": (CLASSES, DIM), "weight": (CONTEXT, DIM), "bias": (CLASSES,)}
+    Groups have scores of their own, from the same prediction.
+    """
 
-    def __init__(self, shares: np.ndarray, flat: np.ndarray | None = None, seed: int = 1):
-        self.noise = shares
+    def __init__(self, vocab: Vocabulary, flat: np.ndarray | None = None, seed: int = 1):
+        self.vocab = vocab
+        n, g = len(vocab.shares), len(vocab.bounds) - 1
+        self.group_shares = np.add.reduceat(vocab.shares, vocab.bounds[:-1])
+        self.shapes = {"context": (n, DIM), "target": (n, DIM), "bias": (n,), "head": (g, DIM), "head_bias": (g,), "weight": (CONTEXT, DIM)}
         if flat is None:
             rng = np.random.default_rng(seed)
-            self.p = {"context": rng.normal(0, 0.3, (CLASSES, DIM)), "target": rng.normal(0, 0.3, (CLASSES, DIM)), "weight": np.full((CONTEXT, DIM), 1 / CONTEXT), "bias": np.log(shares)}
+            draw = lambda k: rng.normal(0, 0.3, (k, DIM)).astype(np.float32)
+            self.p = {"context": draw(n), "target": draw(n), "bias": np.log(vocab.shares).astype(np.float32), "head": draw(g), "head_bias": np.log(self.group_shares).astype(np.float32), "weight": np.full((CONTEXT, DIM), 1 / CONTEXT, np.float32)}
         else:
-            cuts = np.cumsum([int(np.prod(s)) for s in self.SHAPES.values()])[:-1]
-            self.p = {k: x.reshape(s) for (k, s), x in zip(self.SHAPES.items(), np.split(flat, cuts))}
+            cuts = np.cumsum([math.prod(s) for s in self.shapes.values()])[:-1]
+            self.p = {k: x.reshape(s) for (k, s), x in zip(self.shapes.items(), np.split(flat, cuts))}
 
     def flat(self) -> np.ndarray:
-        return flattened(self.p)
+        return np.concatenate([self.p[k].reshape(-1) for k in self.shapes]).astype(np.float32)
 
     def predict(self, before: np.ndarray) -> np.ndarray:
         return sum(self.p["context"][c] * w for c, w in zip(before, self.p["weight"]))
 
-    def log_probs(self, before: np.ndarray, cls: np.ndarray) -> np.ndarray:
-        """Natural log of the probability of each class after its context, normalised over all classes."""
-        out = np.empty(len(cls))
-        target, bias = self.p["target"].T.astype(np.float32), self.p["bias"].astype(np.float32)
-        for i in range(0, len(cls), 8192):
-            scores = self.predict(before[:, i : i + 8192]).astype(np.float32) @ target + bias
+    def log_probs(self, before: np.ndarray, unit: np.ndarray) -> np.ndarray:
+        """Natural log of the probability of each unit after its context, normalised over all units."""
+        out, bounds, p = np.empty(len(unit)), self.vocab.bounds, self.p
+
+        def own_log(scores: np.ndarray, own: np.ndarray) -> np.ndarray:
             scores -= scores.max(axis=1, keepdims=True)
-            own = scores[np.arange(len(scores)), cls[i : i + 8192]].astype(np.float64)
+            mine = scores[np.arange(len(own)), own].astype(np.float64)
             np.exp(scores, out=scores)
-            out[i : i + 8192] = own - np.log(scores.sum(axis=1, dtype=np.float64))
+            return mine - np.log(scores.sum(axis=1, dtype=np.float64))
+
+        for i in range(0, len(unit), 65_536):
+            q, w = self.predict(before[:, i : i + 65_536]), unit[i : i + 65_536]
+            g = self.vocab.group[w]
+            made = own_log(q @ p["head"].T + p["head_bias"], g)
+            order = np.argsort(g, kind="stable")
+            cuts = np.searchsorted(g[order], np.arange(len(bounds)))
+            for k in np.flatnonzero((np.diff(cuts) > 0) & (np.diff(bounds) > 1)):
+                rows, a, b = order[cuts[k] : cuts[k + 1]], bounds[k], bounds[k + 1]
+                made[rows] += own_log(q[rows] @ p["target"][a:b].T + p["bias"][a:b], w[rows] - a)
+            out[i : i + 65_536] = made
         return out
 
-    def train(self, before: np.ndarray, cls: np.ndarray, rng: np.random.Generator, squares: dict) -> None:
-        """One pass of noise-contrastive estimation: each token against NOISE classes drawn for its batch."""
-        p = self.p
-        odds = np.log(NOISE * self.noise)
-        cumulative = np.cumsum(self.noise)
-        for i in range(0, len(cls), BATCH):
-            b, w = before[:, i : i + BATCH], cls[i : i + BATCH]
-            v = np.minimum(np.searchsorted(cumulative, rng.random(NOISE)), CLASSES - 1)
+    def train(self, before: np.ndarray, unit: np.ndarray, rng: np.random.Generator, squares: dict) -> None:
+        """One pass of noise-contrastive estimation: each token's unit against NOISE units, its group against NOISE_GROUPS."""
+        p, group = self.p, self.vocab.group
+        pairs = []
+        for of, bias, shares, k in (("target", "bias", self.vocab.shares, NOISE), ("head", "head_bias", self.group_shares, NOISE_GROUPS)):
+            pairs.append((of, bias, np.cumsum(shares), np.log(k * shares).astype(np.float32), k))
+        for i in range(0, len(unit), BATCH):
+            b, w = before[:, i : i + BATCH], unit[i : i + BATCH]
             held = [p["context"][c] for c in b]
             q = sum(h * x for h, x in zip(held, p["weight"]))
-            # 1 - sigmoid for the true words, sigmoid for the noise
-            up = 1 / (1 + np.exp(np.clip((q * p["target"][w]).sum(axis=1) + p["bias"][w] - odds[w], -30, 30)))
-            down = 1 / (1 + np.exp(-np.clip(q @ p["target"][v].T + p["bias"][v] - odds[v], -30, 30)))
-            dq = up[:, None] * p["target"][w] - down @ p["target"][v]
-            grads = {"target": spread(w, up[:, None] * q), "bias": np.bincount(w, up, CLASSES), "context": sum(spread(c, dq * x) for c, x in zip(b, p["weight"])), "weight": np.stack([(dq * h).sum(axis=0) for h in held])}
-            np.add.at(grads["target"], v, -(down.T @ q))
-            np.add.at(grads["bias"], v, -down.sum(axis=0))
-            for k, g in grads.items():
-                g /= len(w)
-                squares[k] += g * g
-                p[k] += RATE * g / (np.sqrt(squares[k]) + 1e-8)
-
-
-def flattened(p: dict) -> np.ndarray:
-    return np.concatenate([p[k].reshape(-1) for k in LogBilinear.SHAPES])
-
-
-def spread(rows: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Sums of values by class row."""
-    return np.stack([np.bincount(rows, column, CLASSES) for column in values.T], axis=1)
+            dq, grads = 0, {}
+            for of, bias, cumulative, odds, k in pairs:
+                v = np.minimum(np.searchsorted(cumulative, rng.random(k)), len(cumulative) - 1)
+                own = w if of == "target" else group[w]
+                # 1 - sigmoid for the true ones, sigmoid for the noise
+                up = sigmoid(odds[own] - (q * p[of][own]).sum(axis=1) - p[bias][own])
+                down = sigmoid(q @ p[of][v].T + p[bias][v] - odds[v])
+                dq = dq + up[:, None] * p[of][own] - down @ p[of][v]
+                grads[of], grads[bias] = spread(own, up[:, None] * q, len(p[of])), np.bincount(own, up, len(p[of]))
+                np.add.at(grads[of], v, -(down.T @ q))
+                np.add.at(grads[bias], v, -down.sum(axis=0))
+            grads["context"] = spread(b.reshape(-1), np.concatenate([dq * x for x in p["weight"]]), len(p["context"]))
+            grads["weight"] = np.stack([(dq * h).sum(axis=0) for h in held])
+            for name, g in grads.items():
+                g = (g / len(w)).astype(np.float32)
+                squares[name] += g * g
+                p[name] += RATE * g / (np.sqrt(squares[name]) + np.float32(1e-8))
+
+
+def spread(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of values by row."""
+    return np.stack([np.bincount(rows, column, n) for column in values.T], axis=1)
+
+
+def plan(n_bytes: int) -> tuple[int, int, int]:
+    """(copies, rounds, chunks), by the bytes of all texts alone; a round is made of whole chunks."""
+    units = max(1, math.ceil(n_bytes / UNIT_BYTES))
+    copies = math.isqrt(units)
+    rounds = math.ceil(units / copies)
+    return copies, rounds, rounds * max(1, round(copies * UNIT_BYTES / CHUNK_BYTES))
+
+
+def with_chunk(docs: DataFrame, chunks: int) -> DataFrame:
+    """doc_id, has_id, text, held_out (crc32 of doc_id as text, modulo 7, is 2; false for null), key and chunk, from a hash."""
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
+    rows = docs.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"), F.col("doc_id").isNotNull().alias("has_id"), F.coalesce("text", F.lit("")).alias("text"), held.alias("held_out"), F.xxhash64("doc_id", "text").alias("key"))
+    return rows.withColumn("chunk", F.pmod("key", F.lit(chunks)).cast("int"))
 
 
-def with_chunk(docs: DataFrame) -> DataFrame:
-    """doc_id, text, held_out (crc32 of doc_id as text, modulo 7, is 2; false for null) and the partition it is read in."""
-    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
-    return docs.select("doc_id", "text", held.alias("held_out"), F.spark_partition_id().alias("chunk"))
+def runs(frames, column: str):
+    """(value, rows) for each run of equal values of a column, over frames sorted by it; a run may come in parts."""
+    for pdf in frames:
+        of = pdf[column].to_numpy()
+        cuts = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else []
+        for a, b in zip(cuts, [*cuts[1:], len(of)]):
+            yield of[a], pdf.iloc[a:b]
 
 
-def count_words(docs: DataFrame, folder: str) -> DataFrame:
+def count_words(docs: DataFrame, chunks: int, folder: str) -> DataFrame:
     """chunk, word, bucket, count (over all training tokens), first: the words of each chunk, written to folder.
 
     A chunk counts its own words first; only its distinct ones are shuffled, by word, to get their total. A
     word has a row per chunk at most, so that no frequent word makes a hot key.
     """
 
-    def count(rows):
+    def distinct(word, bucket, n):
+        order = np.argsort(word, kind="stable")
+        word, bucket, n = word[order], bucket[order], n[order]
+        at = np.flatnonzero(np.append(True, word[1:] != word[:-1])) if len(word) else np.zeros(0, int)
+        return word[at], bucket[at], np.add.reduceat(n, at) if len(at) else n
+
+    def count(frames):
         held: list[tuple[np.ndarray, ...]] = []
-        chunk = None
-        for pdf in rows:
-            chunk = pdf["chunk"].iloc[0] if len(pdf) else chunk
+        now = None
+
+        def counted():
+            word, bucket, n = distinct(*(np.concatenate(x) for x in zip(*held)))
+            for i in range(0, len(word), 100_000):
+                yield pd.DataFrame({"chunk": np.int32(now), "word": word[i : i + 100_000], "bucket": bucket[i : i + 100_000].astype(np.int16), "n": n[i : i + 100_000]})
+
+        for chunk, pdf in runs(frames, "chunk"):
+            if chunk != now and held:
+                yield from counted()
+                held = []
+            now = chunk
             out = pdf["held_out"].to_numpy(bool)
             for first, texts in batches(pdf["text"].tolist()):
                 doc, word, bucket, end = tokens_of(texts)
@@ -172,17 +247,9 @@ def count_words(docs: DataFrame, folder: str) -> DataFrame:
                 if sum(len(x[0]) for x in held) > 2_000_000:
                     held = [distinct(*(np.concatenate(x) for x in zip(*held)))]
         if held:
-            word, bucket, n = distinct(*(np.concatenate(x) for x in zip(*held)))
-            for i in range(0, len(word), 100_000):
-                yield pd.DataFrame({"chunk": np.int32(chunk), "word": word[i : i + 100_000], "bucket": bucket[i : i + 100_000].astype(np.int16), "n": n[i : i + 100_000]})
+            yield from counted()
 
-    def distinct(word, bucket, n):
-        order = np.argsort(word, kind="stable")
-        word, bucket, n = word[order], bucket[order], n[order]
-        at = np.flatnonzero(np.append(True, word[1:] != word[:-1])) if len(word) else np.zeros(0, int)
-        return word[at], bucket[at], np.add.reduceat(n, at) if len(at) else n
-
-    local = docs.mapInPandas(count, "chunk int, word long, bucket short, n long")
+    local = docs.select("chunk", "held_out", "text").repartition(chunks, "chunk").sortWithinPartitions("chunk").mapInPandas(count, "chunk int, word long, bucket short, n long")
     of_word = Window.partitionBy("word")
     total = local.select("chunk", "word", "bucket", F.sum("n").over(of_word).alias("count"), (F.row_number().over(of_word.orderBy("chunk")) == 1).alias("first"))
     total.write.parquet(folder)
@@ -190,9 +257,11 @@ def count_words(docs: DataFrame, folder: str) -> DataFrame:
 
 
 def vocabulary(words: DataFrame, docs: DataFrame) -> Vocabulary:
-    """Statistics of the training tokens. To the driver come the TOP words and a row per bucket."""
+    """Statistics of the training tokens. To the driver come a row per bucket and the words above the threshold.
+
+    A word needs a share of LEAST_SHARE, so there are 65,536 of them at most, whatever the input.
+    """
     seen = words.where("first and count > 0").select("word", "bucket", "count")
-    top = sorted((r[0], r[2], r[1]) for r in seen.orderBy(F.desc("count"), "word").limit(TOP).collect())
     tokens, once = np.zeros(BUCKETS), np.zeros(BUCKETS)
     n_types = 0
     for bucket, t, o, types in seen.groupBy("bucket").agg(F.sum("count"), F.count_if(F.col("count") == 1), F.count("*")).collect():
@@ -200,128 +269,154 @@ def vocabulary(words: DataFrame, docs: DataFrame) -> Vocabulary:
         n_types += types
     n_docs = docs.where("not held_out").count()
     n_tokens = int(tokens.sum()) + n_docs
+    least = max(LEAST_COUNT, math.ceil(n_tokens * LEAST_SHARE))
+    top = sorted((r[0], r[2], r[1]) for r in seen.where(F.col("count") >= least).collect())
     for _, count, bucket in top:
         tokens[bucket] -= count
-        once[bucket] -= count == 1
     return Vocabulary(np.array([t[0] for t in top], np.int64), np.array([t[1] for t in top], float), tokens, once, n_tokens, n_types + (n_docs > 0), n_docs)
 
 
-def plan(n_tokens: int) -> tuple[int, int, int]:
-    """(copies, rounds, passes) of the training, by the number of training tokens alone."""
-    units = max(1, math.ceil(n_tokens / UNIT))
-    copies = max(1, math.isqrt(units))
-    return copies, math.ceil(units / copies), min(MOST_PASSES, max(1, math.ceil(LEAST / max(n_tokens, 1))))
-
-
-def encode(docs: DataFrame, vocab: Vocabulary, copies: int, rounds: int, folder: str) -> DataFrame:
-    """round, copy, key, classes (a byte per token) of every training text, written to folder.
+def encode(docs: DataFrame, words: DataFrame, vocab: Vocabulary, chunks: int, copies: int, rounds: int, folder: str) -> DataFrame:
+    """A row per document, written to folder: what needs no network (counts, base_score, inner: the log of the
+    tokens' shares of their units), the units of its tokens, and its round and copy in training.
 
-    A document's place comes from a hash of its id and text, not from the file or partition that holds it.
+    A chunk's words come before its texts in one sorted partition: a task holds the words of one chunk and a few
+    texts at a time.
     """
+    floor, kind = vocab.n_tokens + vocab.n_types + 1, vocab.dtype()
 
-    def classes(frames):
-        for pdf in frames:
-            held = []
-            for _, texts in batches(pdf["text"].tolist()):
-                doc, word, bucket, end = tokens_of(texts)
-                cls = vocab.classes(word, bucket, end).astype(np.uint8)
-                held += [x.tobytes() for x in np.split(cls, np.cumsum(np.bincount(doc, minlength=len(texts)))[:-1])]
-            yield pd.DataFrame({"round": pdf["unit"] // copies, "copy": pdf["unit"] % copies, "key": pdf["key"], "classes": held})
-
-    key = F.xxhash64("doc_id", "text")
-    rows = docs.where("not held_out").select(key.alias("key"), F.pmod(key, F.lit(copies * rounds)).alias("unit"), "text")
-    rows.mapInPandas(classes, "round long, copy long, key long, classes binary").repartition("round", "copy").write.partitionBy("round").parquet(folder)
-    return docs.sparkSession.read.parquet(folder)
-
-
-def train(docs: DataFrame, vocab: Vocabulary) -> np.ndarray:
+    def of_texts(pdf: pd.DataFrame, known: np.ndarray, counts: np.ndarray):
+        for first, texts in batches(pdf["text"].tolist()):
+            n = len(texts)
+            part = pdf.iloc[first : first + n]
+            doc, word, bucket, end = tokens_of(texts)
+            count = np.full(len(word), vocab.n_docs)
+            count[~end] = counts[np.searchsorted(known, word[~end])]
+            unit = vocab.units(word, bucket, end)
+            each = np.split(unit.astype(kind), np.cumsum(np.bincount(doc, minlength=n))[:-1])
+            yield pd.DataFrame({
+                "doc_id": part["doc_id"], "has_id": part["has_id"], "held_out": part["held_out"], "n_tokens": np.bincount(doc, minlength=n), "n_known": np.bincount(doc, count > 0, n).astype(np.int64),
+                "base_score": np.bincount(doc, np.log10((count + 1) / floor), n), "inner": np.bincount(doc, vocab.within(unit, count), n), "units": [x.tobytes() for x in each],
+                "key": part["key"], "copy": part["key"] // chunks % copies, "round": part["chunk"] % rounds,
+            })
+
+    def made(frames):
+        now, held, known, counts = None, [], None, None
+        for chunk, pdf in runs(frames, "chunk"):
+            if chunk != now:
+                now, held, known = chunk, [], None
+            text = pdf["is_text"].to_numpy(bool)
+            if not text.all():
+                held.append(pdf.loc[~text, ["word", "count"]].to_numpy(np.int64))
+            if text.any():
+                if known is None:
+                    own = np.concatenate(held) if held else np.zeros((0, 2), np.int64)
+                    own = own[np.argsort(own[:, 0], kind="stable")]
+                    known, counts = own[:, 0], own[:, 1]
+                yield from of_texts(pdf[text], known, counts)
+
+    no = lambda kind, name: F.lit(0).cast(kind).alias(name)
+    mine = docs.select("chunk", F.lit(True).alias("is_text"), no("long", "word"), no("long", "count"), "doc_id", "has_id", "held_out", "key", "text")
+    theirs = words.select("chunk", F.lit(False).alias("is_text"), "word", "count", no("long", "doc_id"), F.lit(False).alias("has_id"), F.lit(False).alias("held_out"), no("long", "key"), F.lit("").alias("text"))
+    both = theirs.unionByName(mine).repartition(chunks, "chunk").sortWithinPartitions("chunk", "is_text")
+    schema = "doc_id long, has_id boolean, held_out boolean, n_tokens long, n_known long, base_score double, inner double, units binary, key long, copy long, round int"
+    both.mapInPandas(made, schema).write.partitionBy("round").parquet(folder)
+    return docs.sparkSession.read.schema(schema).parquet(folder)
+
+
+def unpacked(rows, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, unit, contexts) of the tokens of packed texts."""
+    unit = np.frombuffer(b"".join(rows), vocab.dtype()).astype(np.int64)
+    doc = np.repeat(np.arange(len(rows)), [len(r) // np.dtype(vocab.dtype()).itemsize for r in rows])
+    return doc, unit, contexts(unit, doc, vocab.end_unit)
+
+
+def train(encoded: DataFrame, vocab: Vocabulary, rounds: int) -> np.ndarray:
     """The model's numbers, learnt from all training texts in rounds.
 
     In a round each copy starts from the last mean, of the numbers and of their step sizes, and learns its share
-    of the round's texts; the copies are then averaged by their tokens. Shares hold about UNIT tokens; copies and
-    rounds both grow with the square root of the tokens, so that all tokens are learnt from and the model is the
-    same however the table is cut into files. To the driver comes one row per copy and round.
+    of the round's texts; the copies are then averaged by their tokens, in blocks on the cluster, and one state
+    comes to the driver. Shares hold about UNIT_BYTES of text; copies and rounds both grow with the square root of
+    the input, so that all tokens are learnt from and the model is the same however the table is cut into files.
     """
-    shares = vocab.class_shares()
-    start = LogBilinear(shares).flat()
+    start = LogBilinear(vocab).flat()
     if not vocab.n_tokens:
         return start
-    copies, rounds, passes = plan(vocab.n_tokens)
-    texts = encode(docs, vocab, copies, rounds, shared_folder(docs.sparkSession, "classes"))
-    state = np.concatenate([start, np.full(len(start), 1e-6)])
+    passes = min(MOST_PASSES, max(1, math.ceil(LEAST / vocab.n_tokens)))
+    state = np.concatenate([start, np.full(len(start), 1e-6, np.float32)])
 
     def learner(turn: int, state: np.ndarray):
         def learn(pdf):
-            pdf = pdf.sort_values(["key", "classes"])
-            cls = np.frombuffer(b"".join(pdf["classes"]), np.uint8).astype(np.int64)
-            before = contexts(cls, np.repeat(np.arange(len(pdf)), pdf["classes"].map(len)))
-            flat, of_squares = np.split(state.copy(), 2)
-            model, squares = LogBilinear(shares, flat), LogBilinear(shares, of_squares).p
+            pdf = pdf.sort_values(["key", "units"])
+            _, unit, before = unpacked(pdf["units"].tolist(), vocab)
+            numbers, of_squares = np.split(state.copy(), 2)
+            model, squares = LogBilinear(vocab, numbers), LogBilinear(vocab, of_squares).p
             copy = int(pdf["copy"].iloc[0])
             rng = np.random.default_rng([2, turn, copy])
             for _ in range(passes):
-                order = rng.permutation(len(cls))
-                model.train(before[:, order], cls[order], rng, squares)
-            return pd.DataFrame({"copy": [copy], "n": [len(cls)], "state": [np.concatenate([flattened(model.p), flattened(squares)]).tobytes()]})
+                order = rng.permutation(len(unit))
+                model.train(before[:, order], unit[order], rng, squares)
+            done = np.concatenate([model.flat(), LogBilinear(vocab, of_squares).flat()])
+            cuts = range(0, len(done), BLOCK)
+            return pd.DataFrame({"copy": copy, "n": len(unit), "block": [c // BLOCK for c in cuts], "part": [done[c : c + BLOCK].tobytes() for c in cuts]})
 
         return learn
 
+    def mean(pdf):  # added in the copies' order, so that rounding is the same each time
+        pdf = pdf.sort_values("copy")
+        total = sum(np.frombuffer(p, np.float32).astype(np.float64) * n for p, n in zip(pdf["part"], pdf["n"]))
+        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "part": [(total / pdf["n"].sum()).astype(np.float32).tobytes()]})
+
     for turn in range(rounds):
-        learnt = texts.where(F.col("round") == turn).groupBy("copy").applyInPandas(learner(turn, state), "copy long, n long, state binary").collect()
-        if learnt:  # added in the copies' order, so that rounding is the same each time
-            state = sum(np.frombuffer(r["state"]) * r["n"] for r in sorted(learnt, key=lambda r: r["copy"])) / sum(r["n"] for r in learnt)
+        mine = encoded.where((F.col("round") == turn) & ~F.col("held_out")).select("copy", "key", "units")
+        learnt = mine.groupBy("copy").applyInPandas(learner(turn, state), "copy long, n long, block int, part binary")
+        blocks = learnt.groupBy("block").applyInPandas(mean, "block int, part binary").collect()
+        if blocks:
+            state = np.concatenate([np.frombuffer(r["part"], np.float32) for r in sorted(blocks, key=lambda r: r["block"])])
     return state[: len(start)]
 
 
 def score(documents: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every document (doc_id, text).
 
-    Words fall into classes: frequent words have one each, the others share buckets by their last bytes. A
-    log-bilinear network predicts the class from the classes before; it is trained on all training texts with
-    noise-contrastive estimation and normalised over all classes when scoring. Within a bucket, a word has its
-    share of all training tokens there, and one share is left to words never seen. So the probabilities of
-    all known words and of an unknown word per bucket add up to 1.
-
-    Counts are exact over all training tokens; each partition of documents is given the counts of its own
-    words. Null and empty texts have one token, the end. Without any training document the probabilities are
-    the network's start. Repeated rows are scored each; extra columns are not read.
+    Every training word above a threshold (a count of 16 and 1 / 65,536 of the tokens) is a unit with embeddings
+    and a bias of its own; the others share units by their last bytes. A log-bilinear network predicts the unit
+    from those before; it is trained on all training texts with noise-contrastive estimation and normalised when
+    scoring, over the groups and within the group. Within a shared unit, a word has its share of all training
+    tokens there, and one share is left to words never seen. So the probabilities of all known words and of an
+    unknown word per shared unit add up to 1.
+
+    Counts are exact over all training tokens. Nothing depends on how the table is cut into partitions. Null and
+    empty texts have one token, the end; very long ones are read whole. Without any training document the
+    probabilities are the network's start. Repeated rows are scored each; extra columns are not read; an empty
+    table gives no rows.
     """
     spark = documents.sparkSession
-    docs = with_chunk(documents)
-    words = count_words(docs, shared_folder(spark, "words"))
+    n_bytes = documents.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    copies, rounds, chunks = plan(n_bytes)
+    docs = with_chunk(documents, chunks)
+    words = count_words(docs, chunks, shared_folder(spark, "words"))
     vocab = vocabulary(words, docs)
-    flat, shares = train(docs, vocab), vocab.class_shares()
-    floor = vocab.n_tokens + vocab.n_types + 1
-
-    def scored(pdf, own):
-        own = own.sort_values("word")
-        known, counts = own["word"].to_numpy(), own["count"].to_numpy()
-        model = LogBilinear(shares, flat)
-        out = []
-        for first, texts in batches(pdf["text"].tolist()):
-            doc, word, bucket, end = tokens_of(texts)
-            at = np.minimum(np.searchsorted(known, word), max(len(known) - 1, 0))
-            if len(known):
-                if not (known[at] == word)[~end].all():
-                    raise RuntimeError("the documents were dealt to other partitions than when they were counted")
-                count = np.where(end, vocab.n_docs, counts[at])
-            else:
-                count = np.where(end, vocab.n_docs, 0)
-            cls = vocab.classes(word, bucket, end)
-            logs = model.log_probs(contexts(cls, doc), cls) + vocab.within(cls, count)
-            base = np.log10((count + 1) / floor)
-            n = len(texts)
-            out.append(pd.DataFrame({
-                "doc_id": pdf["doc_id"].iloc[first : first + n].astype("Int64").to_numpy(), "held_out": pdf["held_out"].iloc[first : first + n].to_numpy(),
-                "n_tokens": np.bincount(doc, minlength=n), "n_known": np.bincount(doc, count > 0, n).astype(np.int64), "train_tokens": vocab.n_tokens,
-                "base_score": np.bincount(doc, base, n), "score": np.bincount(doc, logs, n) / np.log(10),
-            }))
-        columns = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-        return pd.concat(out)[columns] if out else pd.DataFrame(columns=columns)
+    encoded = encode(docs, words.select("chunk", "word", "count"), vocab, chunks, copies, rounds, shared_folder(spark, "units"))
+    flat = train(encoded, vocab, rounds)
+
+    def scored(frames):
+        model = LogBilinear(vocab, flat)
+        for pdf in frames:
+            size = pdf["units"].map(len).cumsum() // 2_000_000
+            for _, part in pdf.groupby(size, sort=False):
+                n = len(part)
+                doc, unit, before = unpacked(part["units"].tolist(), vocab)
+                logs = np.bincount(doc, model.log_probs(before, unit), n) + part["inner"].to_numpy()
+                yield pd.DataFrame({
+                    "doc_id": part["doc_id"].astype("Int64").where(part["has_id"]), "held_out": part["held_out"], "n_tokens": part["n_tokens"], "n_known": part["n_known"],
+                    "train_tokens": vocab.n_tokens, "base_score": part["base_score"], "score": logs / np.log(10),
+                })
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return docs.groupBy("chunk").cogroup(words.select("chunk", "word", "count").groupBy("chunk")).applyInPandas(scored, schema)
+    return encoded.select("doc_id", "has_id", "held_out", "n_tokens", "n_known", "base_score", "inner", "units").mapInPandas(scored, schema)
 
 
 def op9_log_bilinear(spark, sf_dir: str) -> DataFrame:
+    """Scores of all documents, learnt from all that are not held out."""
     return score(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -409,28 +409,35 @@ def test_scores_as_brute_force(spark, docs, empty):
     assert lm.score(empty).count() == 0
 
 
-def test_model_is_normalised():
+def small_vocabulary(n_top: int, counts=None) -> lm.Vocabulary:
     rng = np.random.default_rng(10)
-    shares = rng.random(lm.CLASSES)
-    model = lm.LogBilinear(shares / shares.sum())
-    before = rng.integers(0, lm.CLASSES, (lm.CONTEXT, 1))
-    every = np.repeat(before, lm.CLASSES, axis=1)
-    assert math.isclose(np.exp(model.log_probs(every, np.arange(lm.CLASSES))).sum(), 1, rel_tol=1e-5)
+    counts = rng.integers(20, 900, n_top).astype(float) if counts is None else counts
+    return lm.Vocabulary(np.sort(rng.integers(0, 1 << 60, n_top)), counts, rng.integers(0, 50, lm.BUCKETS).astype(float), np.ones(lm.BUCKETS), 10_000, 500, 40)
+
+
+def test_model_is_normalised():
+    vocab = small_vocabulary(300)
+    n = len(vocab.shares)
+    assert n == 301 + lm.BUCKETS and (np.diff(vocab.group) >= 0).all() and sorted([vocab.end_unit, *vocab.top_unit, *vocab.bucket_unit]) == list(range(n))
+    before = np.random.default_rng(1).integers(0, n, (lm.CONTEXT, 1))
+    assert math.isclose(np.exp(lm.LogBilinear(vocab).log_probs(np.repeat(before, n, axis=1), np.arange(n))).sum(), 1, rel_tol=1e-5)
 
 
-def test_model_learns_context():
+def test_model_learns_context_of_words():
+    """Two words of one group and of equal frequency are told apart by what stands before them."""
     rng = np.random.default_rng(11)
-    cls = np.tile(np.arange(10, 20), 4000)
-    doc = np.zeros(len(cls), int)
-    shares = np.bincount(cls, minlength=lm.CLASSES) + 0.5
-    model = lm.LogBilinear(shares / shares.sum())
-    before = lm.contexts(cls, doc)
-    start = model.log_probs(before, cls).mean()
-    squares = {k: np.full(s, 1e-6) for k, s in lm.LogBilinear.SHAPES.items()}
-    for _ in range(4):
-        order = rng.permutation(len(cls))
-        model.train(before[:, order], cls[order], rng, squares)
-    assert model.log_probs(before, cls).mean() > start + 1
+    vocab = small_vocabulary(40, np.full(40, 1000.0))
+    unit = np.tile(vocab.top_unit[:10], 4000)
+    before = lm.contexts(unit, np.zeros(len(unit), int), vocab.end_unit)
+    model = lm.LogBilinear(vocab)
+    start = model.log_probs(before, unit).mean()
+    squares = {k: np.full(s, 1e-6, np.float32) for k, s in model.shapes.items()}
+    for _ in range(6):
+        order = rng.permutation(len(unit))
+        model.train(before[:, order], unit[order], rng, squares)
+    assert model.log_probs(before, unit).mean() > start + 1
+    again = lm.LogBilinear(vocab, model.flat())
+    assert np.allclose(again.log_probs(before[:, :50], unit[:50]), model.log_probs(before[:, :50], unit[:50]))
 
 
 def test_model_beats_the_base_on_held_out_texts(spark):
@@ -441,10 +448,10 @@ def test_model_beats_the_base_on_held_out_texts(spark):
 def test_training_follows_the_data_and_not_the_files(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     one, many = (lm.score(x).toPandas().sort_values("doc_id") for x in (docs.coalesce(1), docs.repartition(40, "text")))
-    assert np.allclose(one["score"], many["score"], rtol=1e-6)
+    assert np.allclose(one["score"], many["score"], rtol=1e-6) and (one["n_known"].to_numpy() == many["n_known"].to_numpy()).all()
     assert len(set(shingles.word_hashes(["of of\nof\tof"])[2])) == 1
-    copies, rounds, passes = lm.plan(85_000_000)
-    assert copies * rounds * lm.UNIT >= 85_000_000 and rounds > lm.plan(8_000_000)[1] and passes == 1
+    copies, rounds, chunks = lm.plan(500_000_000)
+    assert copies * rounds * lm.UNIT_BYTES >= 500_000_000 and rounds > lm.plan(50_000_000)[1] and chunks % rounds == 0
 
 
 def test_quality_counts_as_brute_force(spark, docs):
