@@ -16,15 +16,15 @@ from .tokens import batches
 
 #: A word has units of its own (embeddings and a bias) from this count and this share of all training tokens on;
 #: the others share a unit with those that end alike.
-LEAST_COUNT, LEAST_SHARE, BUCKETS = 16, 2.0**-16, 1024
+LEAST_COUNT, LEAST_SHARE, BUCKETS = 16, 2.0**-15, 512
 #: Words before that predict the next; numbers per embedding.
 CONTEXT, DIM = 4, 16
 #: Noise units and noise groups of a training batch, tokens in it, and the step size.
-NOISE, NOISE_GROUPS, BATCH, RATE = 64, 16, 4096, 0.15
+NOISE, NOISE_GROUPS, BATCH, RATE = 32, 12, 4096, 0.15
 #: Bytes of text that a copy learns from in a round, and of a chunk, whose words a task holds at once.
-UNIT_BYTES, CHUNK_BYTES = 1_600_000, 6_000_000
+UNIT_BYTES, CHUNK_BYTES = 1_600_000, 16_000_000
 #: Small tables are learnt in several passes, towards LEAST tokens.
-LEAST, MOST_PASSES = 4_000_000, 16
+LEAST, MOST_PASSES = 8_000_000, 16
 #: Numbers of the model that are averaged at once.
 BLOCK = 65_536
 
@@ -104,7 +104,9 @@ def contexts(unit: np.ndarray, doc: np.ndarray, end_unit: int) -> np.ndarray:
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    x = np.exp(-np.clip(x, -30, 30))
+    x += 1
+    return np.divide(1, x, out=x)
 
 
 class LogBilinear:
@@ -137,14 +139,19 @@ class LogBilinear:
         out, bounds, p = np.empty(len(unit)), self.vocab.bounds, self.p
 
         def own_log(scores: np.ndarray, own: np.ndarray) -> np.ndarray:
-            scores -= scores.max(axis=1, keepdims=True)
+            if not safe:
+                scores -= scores.max(axis=1, keepdims=True)
             mine = scores[np.arange(len(own)), own].astype(np.float64)
             np.exp(scores, out=scores)
-            return mine - np.log(scores.sum(axis=1, dtype=np.float64))
+            return mine - np.log(scores @ np.ones(scores.shape[1], np.float32))
 
+        longest = math.sqrt(max((p[k] * p[k]).sum(axis=1).max() for k in ("head", "target")))
+        steepest = max(np.abs(p[k]).max() for k in ("head_bias", "bias"))
         for i in range(0, len(unit), 65_536):
             q, w = self.predict(before[:, i : i + 65_536]), unit[i : i + 65_536]
             g = self.vocab.group[w]
+            # no score can overflow or vanish then
+            safe = math.sqrt((q * q).sum(axis=1).max()) * longest + steepest < 60
             made = own_log(q @ p["head"].T + p["head_bias"], g)
             order = np.argsort(g, kind="stable")
             cuts = np.searchsorted(g[order], np.arange(len(bounds)))
@@ -169,23 +176,31 @@ class LogBilinear:
                 v = np.minimum(np.searchsorted(cumulative, rng.random(k)), len(cumulative) - 1)
                 own = w if of == "target" else group[w]
                 # 1 - sigmoid for the true ones, sigmoid for the noise
-                up = sigmoid(odds[own] - (q * p[of][own]).sum(axis=1) - p[bias][own])
+                true = p[of][own]
+                up = sigmoid(odds[own] - np.einsum("ij,ij->i", q, true) - p[bias][own])
                 down = sigmoid(q @ p[of][v].T + p[bias][v] - odds[v])
-                dq = dq + up[:, None] * p[of][own] - down @ p[of][v]
+                true *= up[:, None]
+                true -= down @ p[of][v]
+                dq = dq + true
                 grads[of], grads[bias] = spread(own, up[:, None] * q, len(p[of])), np.bincount(own, up, len(p[of]))
                 np.add.at(grads[of], v, -(down.T @ q))
                 np.add.at(grads[bias], v, -down.sum(axis=0))
             grads["context"] = spread(b.reshape(-1), np.concatenate([dq * x for x in p["weight"]]), len(p["context"]))
-            grads["weight"] = np.stack([(dq * h).sum(axis=0) for h in held])
+            grads["weight"] = np.stack([np.einsum("ij,ij->j", dq, h) for h in held])
             for name, g in grads.items():
-                g = (g / len(w)).astype(np.float32)
+                g = np.asarray(g, np.float32) * np.float32(1 / len(w))
                 squares[name] += g * g
-                p[name] += RATE * g / (np.sqrt(squares[name]) + np.float32(1e-8))
+                g *= np.float32(RATE)
+                g /= np.sqrt(squares[name])
+                p[name] += g
 
 
 def spread(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     """Sums of values by row."""
-    return np.stack([np.bincount(rows, column, n) for column in values.T], axis=1)
+    out = np.empty((n, values.shape[1]), np.float32)
+    for i, column in enumerate(np.ascontiguousarray(values.T, np.float64)):
+        out[:, i] = np.bincount(rows, column, n)
+    return out
 
 
 def plan(n_bytes: int) -> tuple[int, int, int]:
@@ -256,10 +271,10 @@ def count_words(docs: DataFrame, chunks: int, folder: str) -> DataFrame:
     return docs.sparkSession.read.parquet(folder)
 
 
-def vocabulary(words: DataFrame, docs: DataFrame) -> Vocabulary:
+def vocabulary(words: DataFrame, n_docs: int) -> Vocabulary:
     """Statistics of the training tokens. To the driver come a row per bucket and the words above the threshold.
 
-    A word needs a share of LEAST_SHARE, so there are 65,536 of them at most, whatever the input.
+    A word needs a share of LEAST_SHARE, so there are 32,768 of them at most, whatever the input.
     """
     seen = words.where("first and count > 0").select("word", "bucket", "count")
     tokens, once = np.zeros(BUCKETS), np.zeros(BUCKETS)
@@ -267,7 +282,6 @@ def vocabulary(words: DataFrame, docs: DataFrame) -> Vocabulary:
     for bucket, t, o, types in seen.groupBy("bucket").agg(F.sum("count"), F.count_if(F.col("count") == 1), F.count("*")).collect():
         tokens[bucket], once[bucket] = t, o
         n_types += types
-    n_docs = docs.where("not held_out").count()
     n_tokens = int(tokens.sum()) + n_docs
     least = max(LEAST_COUNT, math.ceil(n_tokens * LEAST_SHARE))
     top = sorted((r[0], r[2], r[1]) for r in seen.where(F.col("count") >= least).collect())
@@ -379,7 +393,7 @@ def train(encoded: DataFrame, vocab: Vocabulary, rounds: int) -> np.ndarray:
 def score(documents: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every document (doc_id, text).
 
-    Every training word above a threshold (a count of 16 and 1 / 65,536 of the tokens) is a unit with embeddings
+    Every training word above a threshold (a count of 16 and 1 / 32,768 of the tokens) is a unit with embeddings
     and a bias of its own; the others share units by their last bytes. A log-bilinear network predicts the unit
     from those before; it is trained on all training texts with noise-contrastive estimation and normalised when
     scoring, over the groups and within the group. Within a shared unit, a word has its share of all training
@@ -392,11 +406,11 @@ def score(documents: DataFrame) -> DataFrame:
     table gives no rows.
     """
     spark = documents.sparkSession
-    n_bytes = documents.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n_bytes, n_docs = with_chunk(documents, 1).agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_if(~F.col("held_out"))).first()
     copies, rounds, chunks = plan(n_bytes)
     docs = with_chunk(documents, chunks)
     words = count_words(docs, chunks, shared_folder(spark, "words"))
-    vocab = vocabulary(words, docs)
+    vocab = vocabulary(words, n_docs)
     encoded = encode(docs, words.select("chunk", "word", "count"), vocab, chunks, copies, rounds, shared_folder(spark, "units"))
     flat = train(encoded, vocab, rounds)
 
