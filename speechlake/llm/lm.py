@@ -18,7 +18,7 @@ from .tokens import batches
 #: the others share a unit with those that end alike.
 LEAST_COUNT, LEAST_SHARE, BUCKETS = 16, 2.0**-15, 512
 #: Words before that predict the next; numbers per embedding.
-CONTEXT, DIM = 4, 16
+CONTEXT, DIM = 3, 16
 #: Noise units and noise groups of a training batch, tokens in it, and the step size.
 NOISE, NOISE_GROUPS, BATCH, RATE = 32, 12, 4096, 0.15
 #: Bytes of text that a copy learns from in a round, and of a chunk, whose words a task holds at once.
@@ -259,7 +259,7 @@ def count_words(docs: DataFrame, chunks: int, folder: str) -> DataFrame:
                 doc, word, bucket, end = tokens_of(texts)
                 learn = ~out[first : first + len(texts)][doc]
                 held.append(distinct(word[~end], bucket[~end], learn[~end].astype(np.int64)))
-                if sum(len(x[0]) for x in held) > 2_000_000:
+                if sum(len(x[0]) for x in held) > 1_000_000:
                     held = [distinct(*(np.concatenate(x) for x in zip(*held)))]
         if held:
             yield from counted()
@@ -299,13 +299,13 @@ def encode(docs: DataFrame, words: DataFrame, vocab: Vocabulary, chunks: int, co
     """
     floor, kind = vocab.n_tokens + vocab.n_types + 1, vocab.dtype()
 
-    def of_texts(pdf: pd.DataFrame, known: np.ndarray, counts: np.ndarray):
+    def of_texts(pdf: pd.DataFrame, known: pd.Index, counts: np.ndarray):
         for first, texts in batches(pdf["text"].tolist()):
             n = len(texts)
             part = pdf.iloc[first : first + n]
             doc, word, bucket, end = tokens_of(texts)
             count = np.full(len(word), vocab.n_docs)
-            count[~end] = counts[np.searchsorted(known, word[~end])]
+            count[~end] = counts[known.get_indexer(word[~end])]
             unit = vocab.units(word, bucket, end)
             each = np.split(unit.astype(kind), np.cumsum(np.bincount(doc, minlength=n))[:-1])
             yield pd.DataFrame({
@@ -325,8 +325,7 @@ def encode(docs: DataFrame, words: DataFrame, vocab: Vocabulary, chunks: int, co
             if text.any():
                 if known is None:
                     own = np.concatenate(held) if held else np.zeros((0, 2), np.int64)
-                    own = own[np.argsort(own[:, 0], kind="stable")]
-                    known, counts = own[:, 0], own[:, 1]
+                    known, counts = pd.Index(own[:, 0]), own[:, 1]
                 yield from of_texts(pdf[text], known, counts)
 
     no = lambda kind, name: F.lit(0).cast(kind).alias(name)
@@ -417,7 +416,7 @@ def score(documents: DataFrame) -> DataFrame:
     def scored(frames):
         model = LogBilinear(vocab, flat)
         for pdf in frames:
-            size = pdf["units"].map(len).cumsum() // 2_000_000
+            size = pdf["units"].map(len).cumsum() // 500_000
             for _, part in pdf.groupby(size, sort=False):
                 n = len(part)
                 doc, unit, before = unpacked(part["units"].tolist(), vocab)
