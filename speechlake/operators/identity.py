@@ -102,12 +102,13 @@ def recompute_profiles(profiles: DataFrame, enrollments: DataFrame) -> DataFrame
 
 
 def calibration_scores(enrollments: DataFrame) -> DataFrame:
-    """kind (genuine, impostor), vec_id, profile_id, score; profiles with two enrollments, if three have them.
+    """kind (genuine, impostor), vec_id, profile_id, score; profiles with two enrollments, if three have them. Outliers are left out.
 
     Genuine: against the centroid of the profile's other enrollments, which is the sum less the own part.
     Impostor: against all other profiles' centroids.
     """
-    rows = enrollments.withColumn("_n", F.count("*").over(Window.partitionBy("profile_id"))).where("_n >= 2").drop("_n")
+    sound = flag_outliers(enrollments).where("NOT is_outlier").select(enrollments.columns)
+    rows = sound.withColumn("_n", F.count("*").over(Window.partitionBy("profile_id"))).where("_n >= 2").drop("_n")
     parts = rows.select("profile_id", "reliability", F.posexplode("vec").alias("_i", "_x"))
     sums = parts.groupBy("profile_id", "_i").agg(F.sum(F.col("reliability") * F.col("_x")).alias("_s"))
     whole = sums.groupBy("profile_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("_i", "_s"))), lambda p: p["_s"]).alias("total"))
@@ -122,23 +123,121 @@ def calibration_scores(enrollments: DataFrame) -> DataFrame:
 
 
 def equal_error_rate(scores: DataFrame, steps: int = 500) -> DataFrame:
-    """threshold, far, frr, eer at the first of `steps` thresholds from -1 to 1 where both rates are closest.
+    """threshold, far, frr, eer at the first of `steps` even thresholds, from the lowest score to the highest, where both rates are closest.
 
     Scores are binned to the grid and counted; running sums over the bins give both rates, whatever the number
-    of scores.
+    of scores. Without scores of both kinds: threshold 0.5, eer 1.
     """
-    grid = scores.sparkSession.range(steps).select(F.col("id").alias("i"), (-1 + F.col("id") * (2.0 / (steps - 1))).alias("threshold"))
+    low, high, g, m = scores.agg(F.min("score"), F.max("score"), F.count_if(F.col("kind") == "genuine"), F.count_if(F.col("kind") == "impostor")).first()
+    if not g or not m:
+        return scores.sparkSession.range(1).select(F.lit(0.5).alias("threshold"), F.lit(1.0).alias("far"), F.lit(1.0).alias("frr"), F.lit(1.0).alias("eer"))
+    step = max(high - low, 1e-12) / (steps - 1)
+    grid = scores.sparkSession.range(steps).select(F.col("id").alias("i"), (F.lit(low) + F.col("id") * step).alias("threshold"))
     # the last grid index at or under the score
-    bin_of = F.floor((F.col("score") + 1) * ((steps - 1) / 2.0) + 1e-9).cast("long")
-    counts = scores.groupBy(F.least(F.lit(steps - 1).cast("long"), F.greatest(F.lit(-1).cast("long"), bin_of)).alias("i")).agg(F.count_if(F.col("kind") == "genuine").alias("g"), F.count_if(F.col("kind") == "impostor").alias("m"))
-    both = grid.join(counts, "i", "full").na.fill(0, ["g", "m"])
-    upto, every = Window.partitionBy(F.lit(1)).orderBy("i").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(F.lit(1))
-    # a score with bin j is at or over all thresholds up to j
-    rates = both.withColumns({"frr": F.coalesce(F.sum("g").over(upto), F.lit(0)) / F.sum("g").over(every), "far": 1 - F.coalesce(F.sum("m").over(upto), F.lit(0)) / F.sum("m").over(every)}).where("threshold IS NOT NULL")
+    bin_of = F.least(F.lit(steps - 1), F.floor((F.col("score") - low) / step + 1e-9)).cast("long")
+    counts = scores.groupBy(bin_of.alias("i")).agg(F.count_if(F.col("kind") == "genuine").alias("g"), F.count_if(F.col("kind") == "impostor").alias("m"))
+    both = grid.join(counts, "i", "left").na.fill(0, ["g", "m"])
+    upto = Window.partitionBy(F.lit(1)).orderBy("i").rowsBetween(Window.unboundedPreceding, -1)  # a row per threshold
+    rates = both.withColumns({"frr": F.coalesce(F.sum("g").over(upto), F.lit(0)) / g, "far": 1 - F.coalesce(F.sum("m").over(upto), F.lit(0)) / m})
     best = rates.agg(F.min_by(F.struct("threshold", "far", "frr"), F.struct(F.round(F.abs(F.col("far") - F.col("frr")), 12), "i")).alias("x")).select("x.*")
     return best.withColumn("eer", (F.col("far") + F.col("frr")) / 2)
 
 
+def calibration_report(enrollments: DataFrame, shown: int = 500) -> DataFrame:
+    """One row: numbers and means of both kinds of score, their separation, the equal error rate, suggested thresholds, and the first scores of each kind."""
+    from .shared import checkpointed
+
+    scores = checkpointed(calibration_scores(enrollments))
+    of = lambda kind: F.col("kind") == kind
+    sums = scores.agg(
+        F.countDistinct("profile_id").alias("n_profiles"), F.count_if(of("genuine")).alias("n_genuine"), F.count_if(of("impostor")).alias("n_impostor"),
+        F.avg(F.when(of("genuine"), F.col("score"))).alias("genuine_mean"), F.avg(F.when(of("impostor"), F.col("score"))).alias("impostor_mean"),
+    ).withColumn("separation", F.col("genuine_mean") - F.col("impostor_mean"))
+    first = scores.withColumn("_n", F.row_number().over(Window.partitionBy("kind").orderBy("vec_id", "profile_id"))).where(F.col("_n") <= shown)
+    pick = lambda kind: F.transform(F.sort_array(F.collect_list(F.when(of(kind), F.struct("_n", "score")))), lambda x: x["score"]).alias(f"{kind}_scores")
+    rate = equal_error_rate(scores).select("eer", F.col("threshold").alias("eer_threshold"), (F.col("threshold") + 0.03).alias("suggested_id"), (F.col("threshold") + 0.08).alias("suggested_verify"))
+    # three tables of one row
+    return sums.withColumn("_k", F.lit(1)).join(F.broadcast(rate.withColumn("_k", F.lit(1))), "_k").join(F.broadcast(first.agg(pick("genuine"), pick("impostor")).withColumn("_k", F.lit(1))), "_k").drop("_k")
+
+
+def auto_enroll(identified: DataFrame, queries: DataFrame, profiles: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """query_id, profile_id: matches good enough to enroll by themselves: sure, reliable, close, of a confirmed profile. profiles: profile_id, status."""
+    sure = identified.where((F.col("result") == "confident") & (F.col("score") >= p.auto_match)).join(queries.where(F.col("reliability") >= p.auto_reliability).select("query_id"), "query_id", "left_semi")
+    return sure.join(profiles.where("status = 'confirmed'").select("profile_id"), "profile_id", "left_semi").select("query_id", "profile_id")
+
+
+def name_profiles(names: DataFrame, profiles: DataFrame) -> DataFrame:
+    """profiles (id, name) with a row for each name in names that none has in any case; new ids go on from the largest, by name."""
+    low = F.lower(F.trim("name"))
+    new = names.select(low.alias("_low"), "name").where("_low <> ''").join(profiles.select(low.alias("_low")), "_low", "left_anti").groupBy("_low").agg(F.min(F.trim("name")).alias("name"))
+    last = profiles.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    order = Window.partitionBy(F.lit(1)).orderBy("_low")  # new names of one batch, given by hand
+    return profiles.select("id", "name").unionByName(new.select((F.row_number().over(order) + last).cast("long").alias("id"), "name"))
+
+
+def apply_corrections(corrections: DataFrame, speakers: DataFrame, utterances: DataFrame, profiles: DataFrame, p: Params = DEFAULTS) -> dict[str, DataFrame]:
+    """State after names given by hand: profiles, speakers, utterances, and enrollments with the reason of those skipped.
+
+    corrections: clip_id, local_label, name. Names are matched in any case and new ones become profiles; the rows are
+    then sure and manual, their cluster is cleared and their utterances follow.
+    """
+    known = name_profiles(corrections, profiles)
+    ids = known.groupBy(F.lower(F.trim("name")).alias("_low")).agg(F.min("id").alias("_id"))
+    given = corrections.withColumn("_low", F.lower(F.trim("name"))).where("_low <> ''").join(ids, "_low").select("clip_id", "local_label", "_id")
+    keys = ["clip_id", "local_label"]
+    rows = speakers.join(given, keys, "left")
+    hit = F.col("_id").isNotNull()
+    changed = rows.withColumns({"profile_id": F.coalesce("_id", "profile_id"), "match_result": F.when(hit, "confident").otherwise(F.col("match_result")), "cluster_id": F.when(~hit, F.col("cluster_id")), "is_manual": hit})
+    said = utterances.join(given, keys, "left").withColumn("profile_id", F.coalesce("_id", "profile_id")).select(utterances.columns)
+    enrolled = rows.where(hit).select(*keys, F.col("_id").alias("profile_id"), F.when(~F.coalesce(F.col("reliability") >= p.reliability_fair, F.lit(False)), "reliability too low").alias("skipped"))
+    return {"profiles": known, "speakers": changed.select(*speakers.columns, "is_manual"), "utterances": said, "enrollments": enrolled}
+
+
+def promote_clusters(chosen: DataFrame, members: DataFrame, utterances: DataFrame, profiles: DataFrame, p: Params = DEFAULTS) -> dict[str, DataFrame]:
+    """State after clusters became profiles: profiles (with their facts recomputed), enrollments, members, utterances.
+
+    chosen: cluster_id, name. members: member_id, cluster_id, profile_id, vec, reliability, speech_s. utterances: utterance_id, member_id,
+    profile_id. Utterances are found through the members while these still hold their cluster.
+    """
+    named = name_profiles(chosen, profiles)
+    ids = named.groupBy(F.lower(F.trim("name")).alias("_low")).agg(F.max("id").alias("_id"))
+    into = chosen.withColumn("_low", F.lower(F.trim("name"))).join(ids, "_low").select("cluster_id", "_id", "name")
+    before = members.join(into.select("cluster_id", "_id"), "cluster_id", "left")
+    hit = F.col("_id").isNotNull()
+    said = utterances.join(before.where(hit).select("member_id", "_id"), "member_id", "left").withColumn("profile_id", F.coalesce("_id", "profile_id")).select(utterances.columns)
+    enrolled = before.where(hit & F.col("vec").isNotNull() & (F.col("reliability") >= p.reliability_fair)).select(F.col("_id").alias("profile_id"), "member_id", "vec", "reliability", "speech_s")
+    after = before.withColumns({"profile_id": F.coalesce("_id", "profile_id"), "cluster_id": F.when(~hit, F.col("cluster_id"))}).select(members.columns)
+    facts = recompute_profiles(into.select(F.col("_id").alias("profile_id")).distinct(), enrolled)
+    return {"profiles": into.select(F.col("_id").alias("profile_id"), "name", "cluster_id").join(facts, "profile_id"), "enrollments": enrolled, "members": after, "utterances": said}
+
+
+def split_half_discount(halves: DataFrame, suspect: float = 0.60) -> DataFrame:
+    """clip_id, label, agreement, factor: the cosine of the voices of both halves, and the discount of reliability where they differ.
+
+    halves: clip_id, label, half (a or b), vec.
+    """
+    both = halves.groupBy("clip_id", "label").agg(F.max(F.when(F.col("half") == "a", F.col("vec"))).alias("a"), F.max(F.when(F.col("half") == "b", F.col("vec"))).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
+    s = dot(F.col("a"), F.col("b"))
+    return both.select("clip_id", "label", s.alias("agreement"), F.when(s < suspect, F.greatest(F.lit(0.0), F.least(F.lit(1.0), s / suspect))).otherwise(1.0).alias("factor"))
+
+
+def extract_events(speech: DataFrame, read: DataFrame, exemplars: DataFrame, targets: DataFrame, events: DataFrame, source: str, p: Params = DEFAULTS) -> DataFrame:
+    """events (speech_id, event_type, source, score, target) after reading all speech that is not in read.
+
+    Scored, classified, given the only driver that its text names (targets: speech_id, target), and put in place of
+    the source's earlier rows of that speech; of a (speech, type) the row that was there first stays.
+    """
+    unread = speech.join(read.select("speech_id"), "speech_id", "left_anti")
+    found = classify_events(score_events(unread, exemplars), unread, p).join(targets, "speech_id", "left")
+    new = found.select("speech_id", "event_type", F.lit(source).alias("source"), "score", "target")
+    old = events.select(new.columns)
+    others = old.where(F.col("source") != source)
+    mine = old.where(F.col("source") == source).join(unread.select("speech_id"), "speech_id", "left_anti")
+    w = Window.partitionBy("speech_id", "event_type").orderBy("_new", F.desc("score"), "source")
+    both = others.unionByName(mine).withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+    return both.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_new")
+
+
 def assign_clusters(batch: DataFrame, clusters: DataFrame, p: Params = DEFAULTS) -> tuple[DataFrame, DataFrame]:
     """(assignments, updated clusters) of a batch of voices without a name, against the clusters at its start.
 

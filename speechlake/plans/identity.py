@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.vectors import dot, weighted_centroid
+from ..functions.vectors import weighted_centroid
 from ..operators import identity as v
 from .intervals import rounded
 from .registry import query
@@ -60,22 +60,28 @@ def v05(t):
     return rounded(v.centroids(every).join(n, "profile_id").select("profile_id", F.array_max("centroid").alias("largest"), "n"), "largest")
 
 
-@query("v06_auto_enroll", f"WITH {IDENTIFIED} SELECT query_id, top AS profile_id FROM identified WHERE result = 'confident' AND reliability >= 0.5 AND score >= 0.85 AND top % 2 = 0")
+@query("v06_auto_enroll", f"WITH {IDENTIFIED} SELECT query_id, top AS profile_id FROM identified JOIN v_profiles_named p ON p.profile_id = top AND p.status = 'confirmed' WHERE result = 'confident' AND reliability >= 0.75 AND score >= 0.85")
 def v06(t):
-    """Matches good enough to enroll by themselves: sure, reliable, of a confirmed profile."""
-    got = v.identify(t.v_queries, profiles(t)).join(t.v_queries.select("query_id", "reliability"), "query_id")
-    return got.where("result = 'confident' AND reliability >= 0.5 AND score >= 0.85 AND profile_id % 2 = 0").select("query_id", "profile_id")
+    return v.auto_enroll(v.identify(t.v_queries, profiles(t)), t.v_queries, t.v_profiles_named)
 
 
-@query("v07_corrections", """WITH c AS (SELECT clip_id, local_label, 'Supplier#' || lpad((clip_id % 10 + 1)::VARCHAR, 9, '0') AS name, reliability FROM v_clip_speakers)
-  SELECT clip_id, local_label, s_suppkey AS profile_id, 'confident' AS match_result, CASE WHEN reliability >= 0.45 THEN NULL ELSE 'reliability too low' END AS skipped FROM c LEFT JOIN supplier ON lower(s_name) = lower(name)""")
+@query("v07_corrections", """WITH c AS (SELECT clip_id, local_label, CASE WHEN clip_id % 12 = 11 THEN ' New Voice ' || clip_id % 5 ELSE upper('supplier#') || lpad((clip_id % 10 + 1)::VARCHAR, 9, '0') END AS name FROM v_clip_speakers WHERE match_result <> 'confident'),
+  fresh AS (SELECT low, (SELECT max(s_suppkey) FROM supplier) + row_number() OVER (ORDER BY low) AS id FROM (SELECT DISTINCT lower(trim(name)) AS low FROM c) WHERE low NOT IN (SELECT lower(s_name) FROM supplier)),
+  ids AS (SELECT lower(s_name) AS low, min(s_suppkey) AS id FROM supplier GROUP BY 1 UNION ALL SELECT * FROM fresh), g AS (SELECT clip_id, local_label, id FROM c JOIN ids ON low = lower(trim(name)))
+  SELECT clip_id, local_label, coalesce(id, s.profile_id) AS profile_id, CASE WHEN id IS NOT NULL THEN 'confident' ELSE match_result END AS match_result, CASE WHEN id IS NULL THEN s.cluster_id END AS cluster_id, id IS NOT NULL AS is_manual,
+    CASE WHEN id IS NOT NULL AND NOT coalesce(reliability >= 0.45, false) THEN 'reliability too low' END AS skipped, (SELECT count(*) FROM v_speech_utt u WHERE u.clip_id = s.clip_id AND u.local_label = s.local_label AND coalesce(id, u.profile_id) IS NOT DISTINCT FROM coalesce(id, s.profile_id)) AS n_utterances FROM v_clip_speakers s LEFT JOIN g USING (clip_id, local_label)""")
 def v07(t):
-    """Names given by hand: matched in any case, set as sure; enrolled unless too unreliable, with the reason."""
-    from ..operators.joins import resolve_names
-
-    c = t.v_clip_speakers.withColumn("token", F.concat(F.lit("SUPPLIER#"), F.lpad((C("clip_id") % 10 + 1).cast("string"), 9, "0")))
-    named = resolve_names(c, t.supplier.select(C("s_suppkey").alias("id"), C("s_name").alias("name")))
-    return named.select("clip_id", "local_label", C("id").alias("profile_id"), F.lit("confident").alias("match_result"), F.when(~(C("reliability") >= 0.45), "reliability too low").alias("skipped"))
+    """Names given by hand to all speakers that are not sure: profiles made where needed, rows set, utterances moved, enrollments refused with a reason."""
+    name = F.when(C("clip_id") % 12 == 11, F.concat(F.lit(" New Voice "), C("clip_id") % 5)).otherwise(F.concat(F.lit("SUPPLIER#"), F.lpad((C("clip_id") % 10 + 1).cast("string"), 9, "0")))
+    given = t.v_clip_speakers.where("match_result <> 'confident'").select("clip_id", "local_label", name.alias("name"))
+    speakers = t.v_clip_speakers.select("clip_id", "local_label", "profile_id", "cluster_id", "reliability", "match_result")
+    out = v.apply_corrections(given, speakers, t.v_speech_utt.select("utterance_id", "clip_id", "local_label", "profile_id"), t.supplier.select(C("s_suppkey").alias("id"), C("s_name").alias("name")))
+    moved = out["utterances"].groupBy("clip_id", "local_label", "profile_id").agg(F.count("*").alias("n_utterances"))
+    skipped = out["enrollments"].select("clip_id", "local_label", "skipped")
+    s = out["speakers"].join(skipped, ["clip_id", "local_label"], "left")
+    m = moved.select(C("clip_id").alias("c"), C("local_label").alias("l"), C("profile_id").alias("p"), "n_utterances")
+    s = s.join(m, (C("clip_id") == C("c")) & (C("local_label") == C("l")) & C("profile_id").eqNullSafe(C("p")), "left")
+    return s.select("clip_id", "local_label", "profile_id", "match_result", "cluster_id", "is_manual", "skipped", F.coalesce("n_utterances", F.lit(0)).alias("n_utterances"))
 
 
 def start_clusters(t):
@@ -138,12 +144,24 @@ def v09(t):
     return v.consolidate(small_clusters(t))
 
 
-@query("v10_promote", """WITH m AS (SELECT * FROM v_clip_speakers WHERE cluster_id IS NOT NULL AND cluster_id % 4 = 0) SELECT cluster_id, count(*) AS n_members, count(*) FILTER (reliability >= 0.45) AS n_enrolled, (SELECT count(*) FROM v_speech_utt u WHERE u.cluster_id = m.cluster_id) AS n_repointed FROM m GROUP BY 1""")
+@query("v10_promote", f"""WITH {START}, m AS (SELECT query_id, CASE WHEN sim >= 0.52 THEN c ELSE -query_id END AS cluster_id FROM t), mm AS (SELECT * FROM m JOIN v_queries USING (query_id) WHERE cluster_id % 2 <> 0),
+  ids AS (SELECT cluster_id, 'Voice ' || cluster_id AS name, (SELECT max(s_suppkey) FROM supplier) + row_number() OVER (ORDER BY lower('Voice ' || cluster_id)) AS profile_id FROM (SELECT DISTINCT cluster_id FROM mm)),
+  en AS (SELECT profile_id, vec, reliability, speech_s FROM mm JOIN ids USING (cluster_id) WHERE reliability >= 0.45),
+  ct AS (SELECT profile_id, list_transform(s, lambda x: x / sqrt(list_inner_product(s, s))) AS centroid FROM (SELECT profile_id, list(sx ORDER BY i) AS s FROM (SELECT profile_id, i, sum(reliability * x) AS sx FROM (SELECT profile_id, reliability, unnest(vec) AS x, generate_subscripts(vec, 1) AS i FROM en) GROUP BY 1, 2) GROUP BY 1)),
+  f AS (SELECT profile_id, count(*) AS n_enrollments, avg(list_inner_product(vec, centroid)) AS cohesion, sum(speech_s) AS speech_s FROM en JOIN ct USING (profile_id) GROUP BY 1)
+  SELECT profile_id, name, cluster_id, coalesce(n_enrollments, 0) AS n_enrollments, round(cohesion, 6) AS cohesion, coalesce(f.speech_s, 0) AS speech_s, (SELECT count(*) FROM mm WHERE mm.cluster_id = ids.cluster_id) AS n_members, (SELECT count(*) FROM mm WHERE mm.cluster_id = ids.cluster_id) AS n_utterances FROM ids LEFT JOIN f USING (profile_id)""")
 def v10(t):
-    """A cluster's members and utterances when it becomes a profile; utterances are found before the cluster is cleared."""
-    m = t.v_clip_speakers.where("cluster_id IS NOT NULL AND cluster_id % 4 = 0")
-    u = t.v_speech_utt.select("clip_id", "local_label").join(m.select("clip_id", "local_label", "cluster_id"), ["clip_id", "local_label"]).groupBy("cluster_id").agg(F.count("*").alias("n_repointed"))
-    return m.groupBy("cluster_id").agg(F.count("*").alias("n_members"), F.count_if(C("reliability") >= 0.45).alias("n_enrolled")).join(u, "cluster_id")
+    """Clusters of voices that become profiles: their members and utterances repointed, the reliable ones enrolled, facts computed."""
+    from ..operators.shared import checkpointed
+
+    rows = v.assign_clusters(t.v_queries.select("query_id", "vec", "speech_s", "reliability"), start_clusters(t))[0].select("query_id", "cluster_id").join(t.v_queries, "query_id")
+    members = checkpointed(rows.select(C("query_id").alias("member_id"), "cluster_id", F.lit(None).cast("long").alias("profile_id"), "vec", "reliability", "speech_s"))
+    chosen = members.where("cluster_id % 2 <> 0").select("cluster_id", F.concat(F.lit("Voice "), "cluster_id").alias("name")).distinct()
+    said = members.select((C("member_id") * 10).alias("utterance_id"), "member_id", F.lit(None).cast("long").alias("profile_id"))
+    out = v.promote_clusters(chosen, members, said, t.supplier.select(C("s_suppkey").alias("id"), C("s_name").alias("name")))
+    n = lambda df, name: df.where("profile_id IS NOT NULL").groupBy("profile_id").agg(F.count("*").alias(name))
+    made = out["profiles"].join(n(out["members"], "n_members"), "profile_id", "left").join(n(out["utterances"], "n_utterances"), "profile_id", "left")
+    return rounded(made, "cohesion").select("profile_id", "name", "cluster_id", "n_enrollments", "cohesion", "speech_s", "n_members", "n_utterances")
 
 
 @query("v11_merge_profiles", "SELECT utterance_id, CASE WHEN profile_id % 3 = 0 THEN profile_id - profile_id % 10 WHEN profile_id % 7 = 0 THEN NULL ELSE profile_id END AS profile_id FROM v_speech_utt")
@@ -155,7 +173,7 @@ def v11(t):
     return out.select("utterance_id", F.when(F.coalesce("gone", F.lit(False)), F.lit(None)).otherwise(F.coalesce("into", "profile_id")).alias("profile_id"))
 
 
-CALIBRATION = """r AS (SELECT * FROM v_enrollments WHERE profile_id IN (SELECT profile_id FROM v_enrollments GROUP BY 1 HAVING count(*) >= 2)), s AS (SELECT profile_id, list(sx ORDER BY i) AS total FROM (SELECT profile_id, i, sum(reliability * x) AS sx FROM (SELECT profile_id, reliability, unnest(vec) AS x, generate_subscripts(vec, 1) AS i FROM r) GROUP BY 1, 2) GROUP BY 1),
+CALIBRATION = FLAGGED + """, ok AS (SELECT * FROM fl WHERE NOT bad), r AS (SELECT * FROM ok WHERE profile_id IN (SELECT profile_id FROM ok GROUP BY 1 HAVING count(*) >= 2)), s AS (SELECT profile_id, list(sx ORDER BY i) AS total FROM (SELECT profile_id, i, sum(reliability * x) AS sx FROM (SELECT profile_id, reliability, unnest(vec) AS x, generate_subscripts(vec, 1) AS i FROM r) GROUP BY 1, 2) GROUP BY 1),
   g AS (SELECT vec_id, profile_id, vec, list_transform(list_zip(total, vec), lambda p: p[1] - reliability * p[2]) AS rest FROM r JOIN s USING (profile_id)),
   scores AS (SELECT 'genuine' AS kind, vec_id, profile_id, list_inner_product(vec, rest) / sqrt(list_inner_product(rest, rest)) AS score FROM g UNION ALL SELECT 'impostor', r.vec_id, s.profile_id, list_inner_product(vec, total) / sqrt(list_inner_product(total, total)) FROM r JOIN s ON r.profile_id <> s.profile_id)"""
 
@@ -165,7 +183,7 @@ def v12(t):
     return rounded(v.calibration_scores(t.v_enrollments), "score")
 
 
-EER = f"""{CALIBRATION}, grid AS (SELECT i, -1 + i * (2.0::DOUBLE / 499) AS th FROM range(500) t(i)), b AS (SELECT kind, least(499, greatest(-1, floor((score + 1) * (499 / 2.0::DOUBLE) + 1e-9)::BIGINT)) AS j FROM scores),
+EER = f"""{CALIBRATION}, ends AS (SELECT min(score) AS low, (max(score) - min(score)) / 499 AS step FROM scores), grid AS (SELECT i, low + i * step AS th FROM range(500) t(i), ends), b AS (SELECT kind, least(499, floor((score - low) / step + 1e-9)::BIGINT) AS j FROM scores, ends),
   rates AS (SELECT i, th, (SELECT count(*) FROM b WHERE kind = 'impostor' AND j >= i) / (SELECT count(*) FROM b WHERE kind = 'impostor')::DOUBLE AS far, (SELECT count(*) FROM b WHERE kind = 'genuine' AND j < i) / (SELECT count(*) FROM b WHERE kind = 'genuine')::DOUBLE AS frr FROM grid)"""
 
 
@@ -174,22 +192,32 @@ def v13(t):
     return rounded(v.equal_error_rate(v.calibration_scores(t.v_enrollments)), "threshold", "far", "frr", "eer")
 
 
-@query("v14_calibration_report", f"WITH {CALIBRATION} SELECT kind, count(*) AS n, round(avg(score), 6) AS mean, round(min(score), 6) AS low, round(max(score), 6) AS high FROM scores GROUP BY 1")
+@query("v14_calibration_report", f"""WITH {EER}, best AS (SELECT th, (far + frr) / 2 AS eer FROM rates ORDER BY round(abs(far - frr), 12), i LIMIT 1), firsts AS (SELECT kind, score, row_number() OVER (PARTITION BY kind ORDER BY vec_id, profile_id) AS n FROM scores),
+  m AS (SELECT count(DISTINCT profile_id) AS n_profiles, count(*) FILTER (kind = 'genuine') AS n_genuine, count(*) FILTER (kind = 'impostor') AS n_impostor, avg(score) FILTER (kind = 'genuine') AS gm, avg(score) FILTER (kind = 'impostor') AS im FROM scores)
+  SELECT n_profiles, n_genuine, n_impostor, round(gm, 6) AS genuine_mean, round(im, 6) AS impostor_mean, round(gm - im, 6) AS separation, round(eer, 6) AS eer, round(th, 6) AS eer_threshold, round(th + 0.03::DOUBLE, 6) AS suggested_id, round(th + 0.08::DOUBLE, 6) AS suggested_verify,
+    (SELECT list(round(score, 5) ORDER BY n) FROM firsts WHERE kind = 'genuine' AND n <= 500) AS genuine_scores, (SELECT list(round(score, 5) ORDER BY n) FROM firsts WHERE kind = 'impostor' AND n <= 500) AS impostor_scores FROM m, best""")
 def v14(t):
-    """Means and ranges of both kinds of score."""
-    s = v.calibration_scores(t.v_enrollments)
-    return rounded(s.groupBy("kind").agg(F.count("*").alias("n"), F.avg("score").alias("mean"), F.min("score").alias("low"), F.max("score").alias("high")), "mean", "low", "high")
+    made = rounded(v.calibration_report(t.v_enrollments), "genuine_mean", "impostor_mean", "separation", "eer", "eer_threshold", "suggested_id", "suggested_verify")
+    return made.withColumns({c: F.transform(c, lambda x: F.round(x, 5)) for c in ("genuine_scores", "impostor_scores")})
+
+
+#: Halves of a clip's label by summed length (W11), each with the mean voice of its turns.
+HALVES = """hs AS (SELECT *, end_s - start_s AS d FROM v_turns), ha AS (SELECT *, sum(d) OVER k AS al, count(*) OVER k AS n, coalesce(sum(d) OVER (PARTITION BY clip_id, label ORDER BY start_s, turn_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bef FROM hs WINDOW k AS (PARTITION BY clip_id, label)),
+  hh AS (SELECT * FROM (SELECT *, count(DISTINCT half) OVER (PARTITION BY clip_id, label) AS k FROM (SELECT *, CASE WHEN bef < al / 2 THEN 'a' ELSE 'b' END AS half FROM ha WHERE al >= 3 AND n >= 2)) WHERE k = 2),
+  hv AS (SELECT clip_id, label, half, list(sx ORDER BY i) AS s FROM (SELECT clip_id, h.label, half, i, sum(x) AS sx FROM hh h JOIN (SELECT vec_id, unnest(voice) AS x, generate_subscripts(voice, 1) AS i FROM v_voices) w ON w.vec_id = h.turn_id % (SELECT count(*) FROM v_voices) GROUP BY ALL) GROUP BY ALL),
+  ag AS (SELECT a.clip_id, a.label, list_inner_product(a.s, b.s) / sqrt(list_inner_product(a.s, a.s)) / sqrt(list_inner_product(b.s, b.s)) AS g FROM hv a JOIN hv b ON a.clip_id = b.clip_id AND a.label = b.label AND a.half = 'a' AND b.half = 'b')"""
 
 
-@query("v15_split_half", "SELECT a.label, a.vec_id, round(list_inner_product(a.voice, b.voice), 6) AS agreement, CASE WHEN list_inner_product(a.voice, b.voice) < 0.6 THEN 0.5 ELSE 1.0 END AS factor FROM v_voices a JOIN v_voices b ON b.label = a.label AND b.vec_id = (SELECT min(vec_id) FROM v_voices c WHERE c.label = a.label AND c.vec_id > a.vec_id)")
+@query("v15_split_half", f"WITH {HALVES} SELECT clip_id, label, round(g, 6) AS agreement, round(CASE WHEN g < 0.6 THEN greatest(0, least(1, g / 0.6)) ELSE 1 END, 6) AS factor FROM ag")
 def v15(t):
-    """Agreement of a voice's two halves, and the discount where they differ."""
-    from pyspark.sql import Window
+    """Agreement of the voices of the two halves of a clip's label, and the discount where they differ."""
+    from ..operators.sequences import split_halves
 
-    w = Window.partitionBy("label").orderBy("vec_id")
-    pairs = t.v_voices.withColumn("other", F.lead("voice").over(w)).where("other IS NOT NULL")
-    s = dot(C("voice"), C("other"))
-    return pairs.select("label", "vec_id", F.round(s, 6).alias("agreement"), F.when(s < 0.6, 0.5).otherwise(1.0).alias("factor"))
+    n = t.v_voices.count()
+    turns = split_halves(t.v_turns).withColumn("vec_id", C("turn_id") % n).join(t.v_voices.select("vec_id", C("voice").alias("vec")), "vec_id")
+    half = F.struct("clip_id", "label", "half")
+    made = weighted_centroid(turns.withColumns({"k": half, "one": F.lit(1.0)}), "k", "vec", "one").select("k.*", C("centroid").alias("vec"))
+    return rounded(v.split_half_discount(made), "agreement", "factor")
 
 
 SCORED = "scored AS (SELECT speech_id, event_type, max(list_inner_product(s.vec, e.vec)) AS score FROM v_speech_vectors s CROSS JOIN v_exemplars e GROUP BY 1, 2)"
@@ -220,13 +248,20 @@ def v18(t):
     return rounded(scored(t).where("event_type <> 'none'").groupBy("speech_id").agg(F.max("score").alias("score")).where("score >= 0.42"), "score")
 
 
-@query("v19_extract_events", f"""WITH {READ} SELECT r.speech_id, r.event_type, round(r.score, 6) AS score, CASE WHEN s.label % 2 = 0 THEN s.label END AS target FROM rd r JOIN v_speech_vectors s USING (speech_id) WHERE r.speech_id % 4 <> 0""")
+@query("v19_extract_events", f"""WITH {READ}, b AS (SELECT event_id % 400 AS speech_id, 'type_' || event_id % 5 AS event_type, CASE event_id % 3 WHEN 0 THEN 'hand' ELSE 'similarity' END AS source, max(value) AS score, NULL::BIGINT AS target, 0 AS k FROM events GROUP BY ALL),
+  un AS (SELECT speech_id FROM v_speech_vectors WHERE speech_id NOT IN (SELECT doc_id FROM labels)),
+  al AS (SELECT * FROM b WHERE source = 'hand' OR speech_id NOT IN (SELECT speech_id FROM un) UNION ALL SELECT r.speech_id, r.event_type, 'similarity', r.score, CASE WHEN s.label % 2 = 0 THEN s.label END, 1 FROM rd r JOIN un USING (speech_id) JOIN v_speech_vectors s USING (speech_id)),
+  kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY speech_id, event_type ORDER BY k, score DESC, source) AS n FROM al) WHERE n = 1)
+  SELECT speech_id, event_type, source, round(score, 6) AS score, target, count(*) OVER (PARTITION BY event_type, source) AS n_of_type FROM kept""")
 def v19(t):
-    """Unread speech only: scored, classified, its target attached."""
-    read = t.v_speech_vectors.where("speech_id % 4 = 0").select("speech_id")
-    unread = t.v_speech_vectors.join(read, "speech_id", "left_anti")
-    found = v.classify_events(v.score_events(unread, t.v_exemplars), unread)
-    return found.join(unread.select("speech_id", "label"), "speech_id").select("speech_id", "event_type", F.round("score", 6).alias("score"), F.when(C("label") % 2 == 0, C("label")).alias("target"))
+    """Unread speech scored, classified, given its target and stored beside the events that are there, with counts by type and source."""
+    from pyspark.sql import Window
+
+    old = t.events.select((C("event_id") % 400).alias("speech_id"), F.concat(F.lit("type_"), C("event_id") % 5).alias("event_type"), F.when(C("event_id") % 3 == 0, "hand").otherwise("similarity").alias("source"), "value")
+    old = old.groupBy("speech_id", "event_type", "source").agg(F.max("value").alias("score")).withColumn("target", F.lit(None).cast("long"))
+    targets = t.v_speech_vectors.select("speech_id", F.when(C("label") % 2 == 0, C("label")).alias("target"))
+    out = v.extract_events(t.v_speech_vectors, t.labels.select(C("doc_id").alias("speech_id")), t.v_exemplars, targets, old, "similarity")
+    return rounded(out, "score").withColumn("n_of_type", F.count("*").over(Window.partitionBy("event_type", "source")))
 
 
 @query("v20_needs_vector", "SELECT call_id FROM v_radio WHERE error IS NULL AND analyzed_s IS NOT NULL AND mood IS NULL ORDER BY recorded_s, call_id LIMIT 100")
