@@ -6,9 +6,10 @@ checks are loops over it. Only finished clips and analysed calls without an erro
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from . import joins as j
@@ -51,16 +52,31 @@ def speech(t) -> DataFrame:
 
 def events(t) -> DataFrame:
     """Events read from speech: a type, a score and perhaps a driver meant."""
-    return done_utterances(t).where("mood = 'stressed'").select(C("utterance_id").cast("string").alias("speech_id"), F.concat(F.lit("type_"), C("clip_id") % 5).alias("event_type"), F.abs("sentiment_score").alias("score"), F.when(C("idx") % 2 == 0, C("race_id")).alias("target"))
+    return done_utterances(t).where("mood = 'stressed'").select(C("utterance_id").cast("string").alias("speech_id"), F.concat(F.lit("type_"), C("clip_id") % 5).alias("event_type"), F.abs("sentiment_score").alias("score"), F.abs(C("sentiment_score") - C("text_score")).alias("margin"), F.concat(F.lit("family_"), C("clip_id") % 2).alias("family"), F.when(C("idx") % 2 == 0, C("race_id")).alias("target"))
 
 
-def call_laps(t) -> DataFrame:
+def speech_laps(t) -> DataFrame:
+    """Speech of both kinds with the laps that it was said on."""
     calls = good_calls(t).withColumnsRenamed({"call_id": "speech_id", "recorded_s": "at_s"})
-    return j.during_lap(calls, t.v_laps, 86400.0, 30 * 86400.0)
+    timed = j.speech_times(t.v_speech_utt, t.v_clips, t.v_races, t.v_drivers, calls)
+    return j.during_lap(timed, t.v_laps, 86400.0, 30 * 86400.0)
 
 
-def part_aliases(t) -> DataFrame:
-    return t.v_aliases.where("entity_type <> 'word'")
+def mention_edges(t) -> DataFrame:
+    """Speech and the drivers, teams and circuits that it names; a driver only where the speech's session has one of that number."""
+    calls = good_calls(t).select(C("call_id").alias("speech_id"), "session_key", "text")
+    done = done_utterances(t).join(t.v_races.select("race_id", "session_key"), "race_id", "left").select(C("utterance_id").cast("string").alias("speech_id"), "session_key", "text")
+    said = calls.unionByName(done)
+    found = j.mentions(said.select("speech_id", "text"), t.v_graph_aliases)
+    others = found.where("entity_type <> 'driver'").select("speech_id", "entity_type", "entity_key")
+    drivers = j.session_drivers(found, said, t.v_drivers).select("speech_id", F.lit("driver").alias("entity_type"), C("driver_number").cast("string").alias("entity_key"))
+    return others.unionByName(drivers).select(C("speech_id").alias("src"), F.concat_ws(":", "entity_type", "entity_key").alias("dst"))
+
+
+def entities(t) -> DataFrame:
+    """What can be named, as key: kind:key."""
+    of = lambda rows, kind, key: rows.select(F.concat_ws(":", F.lit(kind), C(key).cast("string")).alias("key"))
+    return of(t.v_drivers, "driver", "driver_number").unionByName(of(t.v_drivers, "team", "team_key")).unionByName(of(t.v_sessions, "circuit", "circuit")).distinct()
 
 
 @dataclass(frozen=True)
@@ -99,21 +115,19 @@ EDGES = [
     Projection("LAP_NEXT", lambda t: next_edges(t.v_laps.withColumn("id", lap_key()), ["session_key", "driver_number"], ["lap_number"], "id"), ("Lap", "Lap")),
     Projection("CALL_IN_SESSION", lambda t: edge(good_calls(t), C("call_id"), C("session_key").cast("string")), ("RadioCall", "Session")),
     Projection("CALL_BY_DRIVER", lambda t: edge(good_calls(t), C("call_id"), C("driver_number").cast("string")), ("RadioCall", "Driver")),
-    Projection("DURING_LAP", lambda t: edge(call_laps(t), C("speech_id"), lap_key()), ("RadioCall", "Lap")),
+    Projection("DURING_LAP", lambda t: edge(speech_laps(t), C("speech_id"), lap_key()), ("Speech", "Lap")),
     Projection("TALKED_WITH", lambda t: j.talked_with(t.v_clip_speakers, t.v_clips).select(C("a").cast("string").alias("src"), C("b").cast("string").alias("dst"), C("n").alias("n_clips")), ("Speaker", "Speaker")),
-    Projection("READS_AS", lambda t: edge(events(t), C("speech_id"), C("event_type"), "score").groupBy("src", "dst").agg(F.max("score").alias("score")), ("Utterance", "EventType")),
+    Projection("READS_AS", lambda t: edge(events(t), C("speech_id"), C("event_type"), "score", "margin", "family").groupBy("src", "dst").agg(F.max(F.struct("score", "margin", "family")).alias("x")).select("src", "dst", "x.*"), ("Utterance", "EventType")),
     Projection("INVOLVES", lambda t: edge(events(t), C("speech_id"), C("target").cast("string"), "event_type", "score"), ("Utterance", "Driver")),
-    Projection("MENTIONS", lambda t: edge(j.mentions(good_calls(t).select(C("call_id").alias("speech_id"), "text"), part_aliases(t)), C("speech_id"), F.concat_ws(":", "entity_type", "entity_key")), None),
+    Projection("MENTIONS", mention_edges, ("Speech", "Entity")),
 ]
+#: Ends of edges that are no nodes of their own.
+ENDS = {**{p.name: p.build for p in NODES}, "Entity": entities}
 
 
 def landed(t, p: Projection) -> DataFrame:
     """An edge's rows whose both ends exist."""
-    rows = p.build(t)
-    if p.ends is None:
-        return rows
-    by = {n.name: n for n in NODES}
-    return j.land_edges(rows, by[p.ends[0]].build(t), by[p.ends[1]].build(t))
+    return j.land_edges(p.build(t), ENDS[p.ends[0]](t), ENDS[p.ends[1]](t))
 
 
 def alias_vocabulary(drivers: DataFrame, sessions: DataFrame, manual: DataFrame) -> DataFrame:
@@ -125,23 +139,30 @@ def alias_vocabulary(drivers: DataFrame, sessions: DataFrame, manual: DataFrame)
     return manual.select(*keys, F.lit("manual").alias("source")).unionByName(auto.join(manual.select(*keys), keys, "left_anti").withColumn("source", F.lit("auto")))
 
 
-def rebuild(t, folder: str) -> DataFrame:
-    """Writes all nodes and landed edges below folder; kind, name, sent, landed."""
+#: Views that many projections are made of; a rebuild writes them once.
+SHARED = ("v_clips", "v_clip_speakers", "v_speech_utt", "v_radio", "v_laps", "v_drivers")
+
+
+def rebuild(t, folder: str, at_once: int = 4) -> DataFrame:
+    """Writes all nodes and landed edges below folder; kind, name, sent, landed.
+
+    Shared views are written first. Each projection is then built once: what is sent and what lands is counted
+    while it is written. Projections do not depend on each other, so a few run at a time.
+    """
     spark = t.spark
-    rows = []
-    for p in NODES:
-        path = f"{folder}/node={p.name}"
-        p.build(t).write.mode("overwrite").parquet(path)
-        n = spark.read.parquet(path).count()
-        rows.append(("node", p.name, n, n))
-    for p in EDGES:
-        path = f"{folder}/edge={p.name}"
-        sent = p.build(t)
-        kept = sent
+    base = t.stored(SHARED, f"{folder}/views")
+
+    def write(p: Projection, kind: str) -> tuple:
+        sent, kept = Observation(f"{p.name} sent"), Observation(f"{p.name} landed")
+        rows = p.build(base).observe(sent, F.count(F.lit(1)).alias("n"))
         if p.ends is not None:
-            kept = j.land_edges(sent, spark.read.parquet(f"{folder}/node={p.ends[0]}"), spark.read.parquet(f"{folder}/node={p.ends[1]}"))
-        kept.write.mode("overwrite").parquet(path)
-        rows.append(("edge", p.name, sent.count(), spark.read.parquet(path).count()))
+            ends = [spark.read.parquet(f"{folder}/node={e}") if e != "Entity" else entities(base) for e in p.ends]
+            rows = j.land_edges(rows, *ends)
+        rows.observe(kept, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{folder}/{kind}={p.name}")
+        return kind, p.name, sent.get["n"], kept.get["n"]
+
+    with ThreadPoolExecutor(at_once) as pool:
+        rows = list(pool.map(lambda p: write(p, "node"), NODES)) + list(pool.map(lambda p: write(p, "edge"), EDGES))
     return spark.createDataFrame(rows, "kind string, name string, sent long, landed long")
 
 

@@ -83,6 +83,22 @@ def mentions(speech: DataFrame, aliases: DataFrame, most_broadcast: int = MOST_B
     return kept.join(small, "alias").select("speech_id", "entity_type", "entity_key").distinct()
 
 
+def session_drivers(mentioned: DataFrame, speech: DataFrame, drivers: DataFrame) -> DataFrame:
+    """Named drivers as the session of the speech has them: speech_id, session_key, driver_number, name; other numbers name nobody."""
+    found = mentioned.where("entity_type = 'driver'").where(F.col("entity_key").rlike("^[0-9]{1,18}$"))
+    keyed = found.join(speech.select("speech_id", "session_key"), "speech_id").where("session_key IS NOT NULL").withColumn("driver_number", F.col("entity_key").cast("long"))
+    return keyed.join(drivers.select("session_key", "driver_number", "name"), ["session_key", "driver_number"]).select("speech_id", "session_key", "driver_number", "name")
+
+
+def speech_times(utterances: DataFrame, clips: DataFrame, races: DataFrame, drivers: DataFrame, calls: DataFrame) -> DataFrame:
+    """speech_id, session_key, driver_number, at_s: an utterance by its finished clip's time and place in it, a call by its own."""
+    u = utterances.select("utterance_id", "clip_id", "idx", "profile_id").where("profile_id IS NOT NULL")
+    c = clips.where("status = 'COMPLETE'").select("clip_id", "race_id", "created_at").join(races.select("race_id", "session_key"), "race_id")
+    said = u.join(c, "clip_id").join(drivers.select("session_key", "driver_number", "profile_id"), ["session_key", "profile_id"])
+    mine = said.select(F.col("utterance_id").cast("string").alias("speech_id"), "session_key", "driver_number", (F.unix_seconds(F.col("created_at").cast("timestamp")) + F.col("idx")).alias("at_s"))
+    return mine.unionByName(calls.select("speech_id", "session_key", "driver_number", "at_s"))
+
+
 def target_driver(mentioned: DataFrame) -> DataFrame:
     """speech_id -> the only driver named; nothing where several are, or none."""
     return mentioned.groupBy("speech_id").agg(F.countDistinct("driver_number").alias("n"), F.min("driver_number").alias("target")).where("n = 1").drop("n")

@@ -24,15 +24,10 @@ def j10(t):
     return j.during_lap(calls(t), t.v_laps, DAY, 30 * DAY)
 
 
-@query("j11_speech_ts", """SELECT u.utterance_id::VARCHAR AS speech_id, r.session_key, d.driver_number, epoch(c.created_at::TIMESTAMP)::BIGINT + u.idx AS at_s FROM v_speech_utt u JOIN v_clips c USING (clip_id) JOIN v_races r USING (race_id) JOIN v_drivers d ON d.profile_id = u.profile_id AND d.session_key = r.session_key
+@query("j11_speech_ts", """SELECT u.utterance_id::VARCHAR AS speech_id, r.session_key, d.driver_number, epoch(c.created_at::TIMESTAMP)::BIGINT + u.idx AS at_s FROM v_speech_utt u JOIN v_clips c USING (clip_id) JOIN v_races r USING (race_id) JOIN v_drivers d ON d.profile_id = u.profile_id AND d.session_key = r.session_key WHERE c.status = 'COMPLETE'
   UNION ALL SELECT call_id, session_key, driver_number, recorded_s FROM v_radio WHERE error IS NULL AND analyzed_s IS NOT NULL""")
 def j11(t):
-    """When each speech was said: an utterance by its clip's time and place in it, a call by its own."""
-    u = t.v_speech_utt.select("utterance_id", "clip_id", "idx", "profile_id").where("profile_id IS NOT NULL")
-    c = t.v_clips.select("clip_id", "race_id", "created_at").join(t.v_races.select("race_id", "session_key"), "race_id")
-    said = u.join(c, "clip_id").join(t.v_drivers.select("session_key", "driver_number", "profile_id"), ["session_key", "profile_id"])
-    mine = said.select(C("utterance_id").cast("string").alias("speech_id"), "session_key", "driver_number", (F.unix_seconds(C("created_at").cast("timestamp")) + C("idx")).alias("at_s"))
-    return mine.unionByName(good_calls(t).select("speech_id", "session_key", "driver_number", "at_s"))
+    return j.speech_times(t.v_speech_utt, t.v_clips, t.v_races, t.v_drivers, good_calls(t))
 
 
 @query("j12_resolve_speaker", """SELECT u.utterance_id, coalesce(u.profile_id, s.profile_id) AS profile_id, p.name FROM (SELECT utterance_id, clip_id, local_label, CASE WHEN utterance_id % 2 = 0 THEN profile_id END AS profile_id FROM v_speech_utt) u
@@ -78,9 +73,8 @@ def j16(t):
 
 
 def driver_mentions(t):
-    found = j.mentions(spoken(t), t.v_aliases).where("entity_type = 'nation'").where(C("entity_key").rlike("^[0-9]+$"))
-    keyed = found.join(spoken(t).select("speech_id", "session_key"), "speech_id").where("session_key IS NOT NULL").withColumn("driver_number", C("entity_key").cast("long"))
-    return keyed.join(t.v_drivers.select("session_key", "driver_number", "name"), ["session_key", "driver_number"])
+    found = j.mentions(spoken(t), t.v_aliases).where("entity_type = 'nation'").withColumn("entity_type", F.lit("driver"))
+    return j.session_drivers(found, spoken(t), t.v_drivers)
 
 
 DRIVERS = f"{SPOKEN}, {FOUND}, named AS (SELECT speech_id, session_key, d.driver_number, d.name FROM found JOIN spoken USING (speech_id) JOIN v_drivers d USING (session_key) WHERE entity_type = 'nation' AND d.driver_number = entity_key::BIGINT)"

@@ -65,6 +65,7 @@ VIEWS = {
     "v_aliases": """SELECT DISTINCT lower(p_name) AS alias, 'part' AS entity_type, lower(p_name) AS entity_key FROM part
       UNION ALL SELECT DISTINCT lower(split_part(p_name, ' ', 1)), 'word', lower(split_part(p_name, ' ', 1)) FROM part
       UNION ALL SELECT lower(n_name), 'nation', n_nationkey::VARCHAR FROM nation""",
+    "v_graph_aliases": "SELECT alias, entity_type, CASE entity_type WHEN 'driver' THEN (n * 7)::VARCHAR WHEN 'team' THEN n::VARCHAR ELSE n_name END AS entity_key FROM (SELECT alias, length(alias) AS n, CASE length(alias) % 3 WHEN 0 THEN 'driver' WHEN 1 THEN 'team' ELSE 'circuit' END AS entity_type FROM (SELECT DISTINCT lower(p_name) AS alias FROM part)) LEFT JOIN nation ON n_nationkey = n % 12",
     "v_incoming": """SELECT 1 AS batch, doc_id AS file_id, text AS content, source AS race FROM documents
       UNION ALL SELECT 2, doc_id + 1000000000, text, source || '-b' FROM documents WHERE doc_id % 3 = 0""",
     "v_replies": r"""SELECT conv_id AS batch_id, 5 AS batch_size, CASE WHEN conv_id % 7 = 0 THEN 'sorry, ' || text WHEN conv_id % 7 = 3 THEN '[{"n": 1, "event": "overtake" broken'

@@ -20,6 +20,14 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def stored(self, names, folder: str) -> Tables:
+        """The same tables, with the views of these names written below folder and read from there."""
+        out = type(self)(self.spark, self.folder)
+        for name in names:
+            getattr(self, name).write.mode("overwrite").parquet(f"{folder}/{name}")
+            out._made[name] = self.spark.read.parquet(f"{folder}/{name}")
+        return out
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
@@ -188,6 +196,14 @@ def aliases(t: Tables) -> DataFrame:
     return names.unionByName(firsts).unionByName(nations)
 
 
+def graph_aliases(t: Tables) -> DataFrame:
+    """Part names as names of drivers, teams and circuits, by their length."""
+    names = t.part.select(F.lower("p_name").alias("alias")).distinct().withColumn("n", F.length("alias"))
+    kinds = names.selectExpr("alias", "n", "CASE n % 3 WHEN 0 THEN 'driver' WHEN 1 THEN 'team' ELSE 'circuit' END AS entity_type")
+    nations = t.nation.selectExpr("n_nationkey AS k", "n_name")
+    return kinds.join(F.broadcast(nations), F.col("k") == F.col("n") % 12, "left").selectExpr("alias", "entity_type", "CASE entity_type WHEN 'driver' THEN cast(n * 7 AS string) WHEN 'team' THEN cast(n AS string) ELSE n_name END AS entity_key")
+
+
 def incoming(t: Tables) -> DataFrame:
     """Two batches of files: all documents, then every third again for another race."""
     first = t.documents.selectExpr("1 AS batch", "doc_id AS file_id", "text AS content", "source AS race")
@@ -212,5 +228,5 @@ VIEWS = {
     "v_utterances": utterances, "v_phrases": phrases, "v_words": words, "v_word_turns": word_turns, "v_turns": turns, "v_vad": vad, "v_frames": frames,
     "v_clips": clips, "v_clip_speakers": clip_speakers, "v_speech_utt": speech_utt, "v_laps": laps, "v_radio": radio, "v_drivers": drivers, "v_sessions": sessions, "v_races": races,
     "v_profiles_named": profiles_named, "v_voices": voices, "v_enrollments": enrollments, "v_queries": queries_of_voices, "v_exemplars": exemplars, "v_speech_vectors": speech_vectors,
-    "v_docs": docs, "v_aliases": aliases, "v_incoming": incoming, "v_replies": replies, "v_audit": audit,
+    "v_docs": docs, "v_aliases": aliases, "v_graph_aliases": graph_aliases, "v_incoming": incoming, "v_replies": replies, "v_audit": audit,
 }
