@@ -66,6 +66,18 @@ def delete_clips(tables: dict[str, DataFrame], ids: DataFrame, reason: str) -> t
     return left, receipts
 
 
+def delete_races(races: DataFrame, clips: DataFrame, tables: dict[str, DataFrame], ids: DataFrame, reason: str) -> tuple[DataFrame, DataFrame, dict[str, DataFrame], DataFrame]:
+    """(races, clips, tables, receipts) without the races of ids (race_id, with_clips).
+
+    Where with_clips is set, the race's clips go with all their rows, each with a receipt; else they stay without a race.
+    """
+    marked = clips.join(ids.select("race_id", "with_clips"), "race_id", "left")
+    gone = marked.where("with_clips").select("clip_id")
+    left, receipts = delete_clips(tables, gone, reason)
+    kept = marked.where("NOT coalesce(with_clips, false)").withColumn("race_id", F.when(C("with_clips").isNull(), C("race_id"))).select(clips.columns)
+    return races.join(ids.select("race_id"), "race_id", "left_anti"), kept, left, receipts
+
+
 def stamp(seconds: Column, dot: str) -> Column:
     """HH:MM:SS and cut (not rounded) thousandths."""
     whole = F.floor(seconds)
@@ -106,12 +118,35 @@ def write_text(bodies: DataFrame, folder: str) -> None:
     bodies.select("body", "clip_id").write.mode("overwrite").partitionBy("clip_id").text(folder)
 
 
-def nested_documents(clips: DataFrame, utterances: DataFrame, speakers: DataFrame) -> DataFrame:
-    """clip_id, doc: a clip with its speakers and utterances as JSON; each child gathered by itself."""
-    u = utterances.groupBy("clip_id").agg(F.sort_array(F.collect_list(F.struct("idx", "text", "mood"))).alias("utterances"))
-    s = speakers.groupBy("clip_id").agg(F.sort_array(F.collect_list(F.struct("local_label", "profile_id", "speech_s"))).alias("speakers"))
-    rows = clips.join(u, "clip_id", "left").join(s, "clip_id", "left")
-    return rows.select("clip_id", F.to_json(F.struct("clip_id", "status", "language", "speakers", "utterances")).alias("doc"))
+def nested_documents(clips: DataFrame, utterances: DataFrame, speakers: DataFrame, warnings: DataFrame) -> DataFrame:
+    """clip_id, doc: a clip with its quality, warnings, speakers by label and utterances as JSON; each child gathered by itself."""
+    u = utterances.groupBy("clip_id").agg(F.sort_array(F.collect_list(F.struct("idx", "local_label", "text", "mood"))).alias("utterances"))
+    facts = F.struct("profile_id", "cluster_id", "match_result", "speech_s", "reliability")
+    s = speakers.groupBy("clip_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(C("local_label").cast("string").alias("k"), facts.alias("v"))))).alias("speakers"))
+    rows = clips.join(u, "clip_id", "left").join(s, "clip_id", "left").join(warnings.select("clip_id", "warnings"), "clip_id", "left")
+    return rows.select("clip_id", F.to_json(F.struct("clip_id", "status", "language", F.struct("grade", "duration_s").alias("quality"), "warnings", "speakers", "utterances")).alias("doc"))
+
+
+def clip_results(clips: DataFrame, regions: DataFrame, turns: DataFrame, transcripts: DataFrame, utterances: DataFrame, words: DataFrame, speakers: DataFrame, profiles: DataFrame, runs: DataFrame) -> DataFrame:
+    """A row per clip with all that was made of it: clip, quality, regions, turns, latest transcript, utterances, words, named speakers, latest run decoded.
+
+    Each child is gathered by clip before it is joined, so nothing fans out; embeddings stay behind.
+    """
+
+    def of(rows: DataFrame, name: str, *cols: str) -> DataFrame:
+        return rows.groupBy("clip_id").agg(F.sort_array(F.collect_list(F.struct(*cols))).alias(name))
+
+    newest = lambda rows, at, *cols: rows.groupBy("clip_id").agg(*(F.max_by(c, F.struct(*at)).alias(c) for c in cols))
+    named = speakers.join(profiles.select("profile_id", "name"), "profile_id", "left")
+    run = newest(runs, ["at", "run_id"], "run_id", "outcome", "timings").select("clip_id", F.struct("run_id", "outcome", F.from_json("timings", "map<string,double>").alias("timings")).alias("run"))
+    parts = [
+        of(regions, "regions", "start_s", "end_s"), of(turns, "turns", "start_s", "turn_id", "label", "end_s"), newest(transcripts, ["version"], "transcript"), of(utterances, "utterances", "idx", "local_label", "text"),
+        of(words, "words", "start_s", "word_id", "word"), of(named, "speakers", "local_label", "profile_id", "name", "match_result", "speech_s"), run,
+    ]
+    out = clips.select("clip_id", "status", F.struct("grade", "duration_s").alias("quality"))
+    for part in parts:
+        out = out.join(part, "clip_id", "left")
+    return out
 
 
 # L: tables around a model that judges lines
@@ -140,6 +175,20 @@ def parse_verdicts(replies: DataFrame, types: list[str], p: Params = DEFAULTS) -
     return good.select("batch_id", "n", "event", "confidence", text("other_car").alias("other_car"), F.substring(text("why"), 1, 200).alias("why"))
 
 
+def store_verdicts(verdicts: DataFrame, aliases: DataFrame, sessions: DataFrame, drivers: DataFrame, events: DataFrame, source: str) -> DataFrame:
+    """events (speech_id, event_type, source, score, target) with the verdicts in place of the source's.
+
+    verdicts: speech_id, text, event, confidence, other_car. The target is the only driver that the other car and the text
+    name together, in the session of the speech (sessions: speech_id, session_key).
+    """
+    from .joins import mentions, session_drivers, target_driver
+
+    said = verdicts.select("speech_id", F.concat_ws(" ", "other_car", "text").alias("text")).groupBy("speech_id").agg(F.concat_ws(" ", F.sort_array(F.collect_set("text"))).alias("text"))
+    targets = target_driver(session_drivers(mentions(said, aliases), sessions, drivers))
+    new = verdicts.join(targets, "speech_id", "left").select("speech_id", C("event").alias("event_type"), F.lit(source).alias("source"), C("confidence").alias("score"), "target")
+    return replace_source(events.select(new.columns), new, source)
+
+
 # H: chains of hashes
 
 

@@ -148,3 +148,53 @@ def montage(clip_speakers: DataFrame, turns: DataFrame, min_turn: float = 0.4, p
         return (taken, used), fits
 
     return fold_rows(rows, ["cluster_id"], ["r", "d", "clip_id", "turn_id"], take, (0.0, {}), ["clip_id", "turn_id", "dur"], "fits boolean").where("fits").drop("fits")
+
+
+def clip_warnings(measures: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """clip_id, warnings: names of all rules that a clip breaks, in a fixed order; a measure that is null warns of nothing.
+
+    measures: clip_id, overlap_ratio, n_labels, smooth_rate, language_confidence, grade, least_reliability, least_speech_s.
+    """
+    c = F.col
+    rules = [
+        ("HIGH_OVERLAP", c("overlap_ratio") > p.overlap_warn), ("SPEAKER_COUNT_AT_CEILING", c("n_labels") >= p.most_speakers), ("HIGH_SMOOTH_RATE", c("smooth_rate") > p.smooth_warn),
+        ("LOW_LANGUAGE_CONFIDENCE", c("language_confidence") < p.language_warn), ("POOR_AUDIO_QUALITY", c("grade") == "poor"), ("LOW_RELIABILITY_EMBEDDING", c("least_reliability") < p.reliability_fair), ("SPEAKER_TOO_SHORT", c("least_speech_s") < p.embed_floor_s),
+    ]
+    return measures.select("clip_id", F.array_compact(F.array(*(F.when(rule, name) for name, rule in rules))).alias("warnings"))
+
+
+def stage_stats(runs: DataFrame) -> DataFrame:
+    """stage, outcome, version: n, mean_s, p50_s, p95_s, max_s of the seconds of all runs.
+
+    runs: outcome, version, timings (JSON of stage -> seconds). Percentiles are taken over whole milliseconds, so
+    that what a group gathers is bounded by the range of its times and not by its runs.
+    """
+    rows = runs.select("outcome", "version", F.explode(F.from_json("timings", "map<string,double>")).alias("stage", "s")).where("s IS NOT NULL")
+    ms = F.round(F.col("s") * 1000).cast("long")
+    per = rows.groupBy("stage", "outcome", "version").agg(F.count("*").alias("n"), F.avg("s").alias("mean_s"), F.percentile(ms, F.array(F.lit(0.5), F.lit(0.95))).alias("_p"), F.max("s").alias("max_s"))
+    return per.withColumns({"p50_s": F.get("_p", F.lit(0)) / 1000, "p95_s": F.get("_p", F.lit(1)) / 1000}).drop("_p")
+
+
+def driver_timeline(laps: DataFrame, said: DataFrame, first: int | None = None, last: int | None = None) -> DataFrame:
+    """session_key, driver_number, body: a driver's laps with their times and what was said on them, under a line of pace.
+
+    said: session_key, driver_number, lap_number, speech_id, text, mood. With a range (first, last) all its laps are
+    shown, else those with speech only.
+    """
+    key = ["session_key", "driver_number"]
+    w = Window.partitionBy(*key).orderBy("lap_number")
+    before = F.when(F.lag("lap_number").over(w) == F.col("lap_number") - 1, F.lag("duration_s").over(w))
+    tone = F.coalesce(F.concat(F.lit(" ("), "mood", F.lit(")")), F.lit(""))
+    quote = F.concat(F.lit("    ["), "speech_id", F.lit("]"), tone, F.lit(' "'), F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")), F.lit('"'))
+    quotes = said.select(*key, "lap_number", F.struct("speech_id", quote.alias("q")).alias("q")).groupBy(*key, "lap_number").agg(F.transform(F.sort_array(F.collect_set("q")), lambda x: x["q"]).alias("quotes"))
+    rows = laps.withColumn("_prev", before).join(quotes, [*key, "lap_number"], "left")
+    change = F.when(F.col("_prev").isNotNull(), F.concat(F.lit(" ("), F.format_string("%+.1f", F.col("duration_s") - F.col("_prev")), F.lit("s)"))).otherwise("")
+    time = F.when(F.col("duration_s").isNotNull(), F.concat(F.lit(": "), F.format_string("%.1f", "duration_s"), F.lit("s"), change)).otherwise("")
+    line = F.concat_ws("\n", F.concat(F.lit("  lap "), F.col("lap_number").cast("string"), time), F.array_join(F.col("quotes"), "\n"))
+    shown = F.col("quotes").isNotNull() if first is None and last is None else F.coalesce(F.col("lap_number") >= F.lit(first), F.lit(True)) & F.coalesce(F.col("lap_number") <= F.lit(last), F.lit(True))
+    blocks = rows.where(shown).groupBy(*key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("lap_number", line.alias("l")))), lambda x: x["l"]), "\n").alias("lines"))
+    of = pace(laps)
+    head = laps.groupBy(*key).agg(F.count("*").alias("n")).join(of, key, "left")
+    at = lambda name, c: F.coalesce(F.concat(F.lit(f" | {name} "), F.format_string("%.1f", c), F.lit("s")), F.lit(""))
+    top = F.concat(F.col("n").cast("string"), F.lit(" laps"), *(F.when(F.col("n_laps").isNotNull(), at(x, x)).otherwise("") for x in ("fastest", "median", "slowest")))
+    return head.join(blocks, key, "left").select(*key, F.concat_ws("\n", top, F.coalesce("lines", F.lit("  (no radio landed on any lap in this session)"))).alias("body"))

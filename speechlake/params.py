@@ -48,6 +48,9 @@ class Params:
     rrf_k: int = 60
     leg_cap: int = 200
     neutral_band: float = 0.20
+    most_speakers: int = 5
+    smooth_warn: float = 0.05
+    language_warn: float = 0.5
     tone_voiced_s: float = 0.15
     tone_calm_least: int = 3
     tone_slow: float = 1.8

@@ -86,10 +86,26 @@ def s09(t):
     return m.replace_source(old, read_events(t, "model", 2), "model")
 
 
-@query("s10_delete_clips", "SELECT c.clip_id, (SELECT count(*) FROM v_clip_speakers s WHERE s.clip_id = c.clip_id) + (SELECT count(*) FROM v_speech_utt u WHERE u.clip_id = c.clip_id) AS n_rows, 'asked for' AS reason FROM v_clips c WHERE status = 'REJECTED'")
+@query("s10_delete_clips", """SELECT c.clip_id, status = 'REJECTED' AS deleted, CASE WHEN status = 'REJECTED' THEN ns + nu END AS receipt_rows, CASE WHEN status = 'REJECTED' THEN 'asked for' END AS reason, CASE WHEN status = 'REJECTED' THEN 0 ELSE ns END AS speakers_left, CASE WHEN status = 'REJECTED' THEN 0 ELSE nu END AS utterances_left
+  FROM (SELECT *, (SELECT count(*) FROM v_clip_speakers s WHERE s.clip_id = c.clip_id) AS ns, (SELECT count(*) FROM v_speech_utt u WHERE u.clip_id = c.clip_id) AS nu FROM v_clips c) c""")
 def s10(t):
-    tables = {"clip_speakers": t.v_clip_speakers.select("clip_id"), "utterances": t.v_speech_utt.select("clip_id")}
-    return m.delete_clips(tables, t.v_clips.where("status = 'REJECTED'").select("clip_id"), "asked for")[1]
+    """What is left of every clip after some were deleted, and the receipts of these."""
+    tables = {"speakers_left": t.v_clip_speakers.select("clip_id"), "utterances_left": t.v_speech_utt.select("clip_id")}
+    left, receipts = m.delete_clips(tables, t.v_clips.where("status = 'REJECTED'").select("clip_id"), "asked for")
+    out = t.v_clips.select("clip_id").join(receipts.withColumnRenamed("n_rows", "receipt_rows"), "clip_id", "left").withColumn("deleted", C("reason").isNotNull())
+    for name, rows in left.items():
+        out = out.join(rows.groupBy("clip_id").agg(F.count("*").alias(name)), "clip_id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return out
+
+
+@query("s10_delete_races", """WITH d AS (SELECT race_id, race_id % 10 = 3 AS wc FROM v_races WHERE race_id % 5 = 3), c AS (SELECT clip_id, c.race_id, wc FROM v_clips c LEFT JOIN d USING (race_id))
+  SELECT clip_id, CASE WHEN wc IS NULL THEN race_id END AS race_id, CASE WHEN wc THEN 'deleted' WHEN NOT wc THEN 'without race' ELSE 'kept' END AS state, CASE WHEN wc THEN (SELECT count(*) FROM v_clip_speakers s WHERE s.clip_id = c.clip_id) END AS receipt_rows FROM c""")
+def s10_races(t):
+    """Races deleted with their clips, or without."""
+    ids = t.v_races.where("race_id % 5 = 3").select("race_id", (C("race_id") % 10 == 3).alias("with_clips"))
+    _, clips, _, receipts = m.delete_races(t.v_races, t.v_clips.select("clip_id", "race_id"), {"speakers": t.v_clip_speakers.select("clip_id")}, ids, "race deleted")
+    gone = receipts.select("clip_id", F.lit(None).cast("long").alias("race_id"), F.lit("deleted").alias("state"), C("n_rows").alias("receipt_rows"))
+    return clips.select("clip_id", "race_id", F.when(C("race_id").isNull(), "without race").otherwise("kept").alias("state"), F.lit(None).cast("long").alias("receipt_rows")).unionByName(gone)
 
 
 def stamp_sql(x: str, dot: str) -> str:
@@ -120,19 +136,33 @@ def s14(t):
     return m.to_rttm(turns)
 
 
-@query("s15_json_documents", "SELECT c.clip_id, coalesce(len(us), 0) AS n_utterances, coalesce(len(ss), 0) AS n_speakers, us[1] AS first_text FROM v_clips c LEFT JOIN (SELECT clip_id, list(text ORDER BY idx) AS us FROM v_speech_utt GROUP BY 1) u USING (clip_id) LEFT JOIN (SELECT clip_id, list(local_label) AS ss FROM v_clip_speakers GROUP BY 1) s USING (clip_id)")
+@query("s15_json_documents", """SELECT c.clip_id, status, grade, duration_s, CASE WHEN grade = 'poor' THEN ['POOR_AUDIO_QUALITY'] ELSE [] END AS warnings, coalesce(len(us), 0) AS n_utterances, us[1] AS first_text, coalesce(len(ss), 0) AS n_speakers, coalesce(ss, []) AS labels, coalesce(pr, []) AS profiles FROM v_clips c
+  LEFT JOIN (SELECT clip_id, list(text ORDER BY idx) AS us FROM v_speech_utt GROUP BY 1) u USING (clip_id) LEFT JOIN (SELECT clip_id, list(local_label::VARCHAR ORDER BY local_label::VARCHAR) AS ss, list(coalesce(profile_id, 0) ORDER BY local_label::VARCHAR) AS pr FROM v_clip_speakers GROUP BY 1) s USING (clip_id)""")
 def s15(t):
     """The nested documents, read back from their JSON."""
-    docs = m.nested_documents(t.v_clips, t.v_speech_utt, t.v_clip_speakers)
-    back = docs.select("clip_id", F.from_json("doc", "utterances array<struct<idx:bigint,text:string>>, speakers array<struct<local_label:bigint>>").alias("d"))
-    return back.select("clip_id", F.coalesce(F.size("d.utterances"), F.lit(0)).alias("n_utterances"), F.coalesce(F.size("d.speakers"), F.lit(0)).alias("n_speakers"), F.try_element_at("d.utterances", F.lit(1))["text"].alias("first_text"))
-
-
-@query("s16_clip_result", "SELECT clip_id, any_value(text) AS transcript, count(DISTINCT idx) AS n_turns, (SELECT count(*) FROM v_words w WHERE w.clip_id = u.clip_id) AS n_words, list(DISTINCT local_label ORDER BY local_label) AS speakers FROM (SELECT clip_id, idx, local_label, last_value(text) OVER (PARTITION BY clip_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS text FROM v_utterances) u GROUP BY 1")
+    warnings = t.v_clips.select("clip_id", F.array_compact(F.array(F.when(C("grade") == "poor", "POOR_AUDIO_QUALITY"))).alias("warnings"))
+    docs = m.nested_documents(t.v_clips, t.v_speech_utt, t.v_clip_speakers, warnings)
+    schema = "status string, quality struct<grade:string,duration_s:double>, warnings array<string>, utterances array<struct<idx:bigint,text:string>>, speakers map<string,struct<profile_id:bigint>>"
+    back = docs.select("clip_id", F.from_json("doc", schema).alias("d"))
+    labels = F.coalesce(F.sort_array(F.map_keys("d.speakers")), F.array().cast("array<string>"))
+    return back.select(
+        "clip_id", "d.status", "d.quality.grade", "d.quality.duration_s", "d.warnings", F.coalesce(F.size("d.utterances"), F.lit(0)).alias("n_utterances"), F.try_element_at("d.utterances", F.lit(1))["text"].alias("first_text"),
+        F.size(labels).alias("n_speakers"), labels.alias("labels"), F.transform(labels, lambda k: F.coalesce(F.try_element_at("d.speakers", k)["profile_id"], F.lit(0))).alias("profiles"),
+    )
+
+
+@query("s16_clip_result", """WITH ids AS (SELECT clip_id, status, grade FROM v_clips), rg AS (SELECT clip_id, count(*) AS n_regions FROM v_vad GROUP BY 1), tn AS (SELECT clip_id, count(*) AS n_turns FROM v_turns GROUP BY 1), tr AS (SELECT clip_id, arg_max(text, idx) AS transcript, count(*) AS n_utterances FROM v_utterances GROUP BY 1),
+  w AS (SELECT clip_id, count(*) AS n_words, arg_min(word, {'s': start_s, 'w': word_id}) AS first_word FROM v_words GROUP BY 1), sp AS (SELECT clip_id, list(coalesce(p.name, '?') ORDER BY local_label) AS names FROM v_clip_speakers LEFT JOIN v_profiles_named p USING (profile_id) GROUP BY 1),
+  rn AS (SELECT user_id AS clip_id, arg_max(event_type, {'t': ts, 'e': event_id}) AS run_outcome, arg_max(json_extract(props, '$.k')::DOUBLE, {'t': ts, 'e': event_id}) AS run_k FROM events GROUP BY 1)
+  SELECT clip_id, status, grade, coalesce(n_regions, 0) AS n_regions, coalesce(n_turns, 0) AS n_turns, transcript, coalesce(n_utterances, 0) AS n_utterances, coalesce(n_words, 0) AS n_words, first_word, coalesce(names, []) AS names, run_outcome, run_k FROM ids LEFT JOIN rg USING (clip_id) LEFT JOIN tn USING (clip_id) LEFT JOIN tr USING (clip_id) LEFT JOIN w USING (clip_id) LEFT JOIN sp USING (clip_id) LEFT JOIN rn USING (clip_id)""")
 def s16(t):
-    """A clip with its latest text, turns, words and speakers, each gathered before it is joined."""
-    u = t.v_utterances.groupBy("clip_id").agg(F.max_by("text", "idx").alias("transcript"), F.countDistinct("idx").alias("n_turns"), F.sort_array(F.collect_set("local_label")).alias("speakers"))
-    return u.join(t.v_words.groupBy("clip_id").agg(F.count("*").alias("n_words")), "clip_id", "left").withColumn("n_words", F.coalesce("n_words", F.lit(0)))
+    """Every clip's result document, seen by its parts."""
+    runs = t.events.select(C("user_id").alias("clip_id"), C("event_id").alias("run_id"), C("ts").alias("at"), C("event_type").alias("outcome"), C("props").alias("timings"))
+    transcripts = t.v_utterances.select("clip_id", C("idx").alias("version"), C("text").alias("transcript"))
+    d = m.clip_results(t.v_clips, t.v_vad, t.v_turns, transcripts, t.v_utterances, t.v_words, t.v_clip_speakers, t.v_profiles_named, runs)
+    n = lambda c, name: F.coalesce(F.size(c), F.lit(0)).alias(name)
+    names = F.coalesce(F.transform("speakers", lambda x: F.coalesce(x["name"], F.lit("?"))), F.array().cast("array<string>"))
+    return d.select("clip_id", "status", "quality.grade", n("regions", "n_regions"), n("turns", "n_turns"), "transcript", n("utterances", "n_utterances"), n("words", "n_words"), F.try_element_at("words", F.lit(1))["word"].alias("first_word"), names.alias("names"), C("run.outcome").alias("run_outcome"), F.try_element_at("run.timings", F.lit("k")).alias("run_k"))
 
 
 TYPES = ["overtake", "pit_stop", "yellow_flag"]
@@ -167,12 +197,16 @@ def l04(t):
     return rows.groupBy((C("batch_id") % 10).alias("shard")).agg(F.count("*").alias("n_batches"), F.count_if(~C("ok")).alias("n_unread"))
 
 
-@query("l05_store_verdicts", f"""WITH {VERDICTS}, b AS (SELECT event_id % 200 AS speech_id, event_type, 'hand' AS source, max(value) AS score, 0 AS k FROM events WHERE event_id % 3 = 0 GROUP BY ALL UNION ALL SELECT batch_id, event, 'model', confidence, 1 FROM verdicts)
-  SELECT speech_id, event_type, source, score FROM (SELECT *, row_number() OVER (PARTITION BY speech_id, event_type ORDER BY k, score DESC, source) AS r FROM b) WHERE r = 1""")
+@query("l05_store_verdicts", f"""WITH {VERDICTS}, x AS (SELECT batch_id AS speech_id, event, confidence, other_car FROM verdicts), tg AS (SELECT speech_id, min(n) AS target FROM (SELECT DISTINCT speech_id, regexp_extract(other_car, '[0-9]+')::BIGINT AS n FROM x WHERE other_car IS NOT NULL) k JOIN v_drivers d ON d.session_key = speech_id % 10 AND d.driver_number = n GROUP BY 1 HAVING count(*) = 1),
+  b AS (SELECT event_id % 200 AS speech_id, event_type, 'hand' AS source, max(value) AS score, NULL::BIGINT AS target, 0 AS k FROM events WHERE event_id % 3 = 0 GROUP BY ALL UNION ALL SELECT speech_id, event, 'model', confidence, target, 1 FROM x LEFT JOIN tg USING (speech_id))
+  SELECT speech_id, event_type, source, score, target FROM (SELECT *, row_number() OVER (PARTITION BY speech_id, event_type ORDER BY k, score DESC, source) AS r FROM b) WHERE r = 1""")
 def l05(t):
-    """Verdicts as events of the model's source, beside those read by hand."""
-    new = m.parse_verdicts(t.v_replies, TYPES).select(C("batch_id").alias("speech_id"), C("event").alias("event_type"), F.lit("model").alias("source"), C("confidence").alias("score"))
-    return m.replace_source(read_events(t, "hand", 0), new, "model")
+    """Verdicts as events of the model's source, with the driver that the other car names, beside those read by hand."""
+    verdicts = m.parse_verdicts(t.v_replies, TYPES).select(C("batch_id").alias("speech_id"), "event", "confidence", "other_car", F.lit("said").alias("text"))
+    cars = t.v_drivers.select(F.concat(F.lit("car "), "driver_number").alias("alias"), F.lit("driver").alias("entity_type"), C("driver_number").cast("string").alias("entity_key")).distinct()
+    sessions = t.v_replies.select(C("batch_id").alias("speech_id"), (C("batch_id") % 10).alias("session_key"))
+    old = read_events(t, "hand", 0).withColumn("target", F.lit(None).cast("long"))
+    return m.store_verdicts(verdicts, cars, sessions, t.v_drivers, old, "model")
 
 
 @query("l06_citations", r"SELECT utterance_id, CASE WHEN len(c) > 0 THEN c ELSE s END AS cited FROM (SELECT utterance_id, list_filter(ids, lambda x, i: list_position(ids, x) = i) AS c, list_filter(srcs, lambda x, i: list_position(srcs, x) = i)[1:6] AS s FROM (SELECT utterance_id, regexp_extract_all(text, 'Th[a-z]+') AS ids, regexp_extract_all(text, '[a-z]+') AS srcs FROM v_utterances))")

@@ -182,15 +182,19 @@ def r12(t):
 
 
 @query("r13_driver_timeline", """WITH l AS (SELECT *, CASE WHEN lag(lap_number) OVER w = lap_number - 1 THEN lag(duration_s) OVER w END AS prev_s FROM v_laps WINDOW w AS (PARTITION BY session_key, driver_number ORDER BY lap_number)),
-  s AS (SELECT l.session_key, l.driver_number, lap_number, count(DISTINCT call_id) AS n FROM v_laps l JOIN v_radio r ON r.session_key = l.session_key AND r.driver_number = l.driver_number AND recorded_s >= start_s - 86400 AND recorded_s < start_s + duration_s + 86400 WHERE error IS NULL AND analyzed_s IS NOT NULL AND duration_s IS NOT NULL GROUP BY ALL)
-  SELECT session_key, driver_number, lap_number, duration_s, duration_s - prev_s AS delta, n AS n_speech FROM l JOIN s USING (session_key, driver_number, lap_number)""")
+  s AS (SELECT DISTINCT l.session_key, l.driver_number, lap_number, call_id, r.text, mood FROM v_laps l JOIN v_radio r ON r.session_key = l.session_key AND r.driver_number = l.driver_number AND recorded_s >= start_s - 86400 AND recorded_s < start_s + duration_s + 86400 WHERE error IS NULL AND analyzed_s IS NOT NULL AND duration_s IS NOT NULL),
+  q AS (SELECT session_key, driver_number, lap_number, string_agg('    [' || call_id || ']' || coalesce(' (' || mood || ')', '') || ' "' || trim(regexp_replace(text, '\\s+', ' ', 'g')) || '"', chr(10) ORDER BY call_id) AS quotes FROM s GROUP BY ALL),
+  b AS (SELECT session_key, driver_number, string_agg('  lap ' || lap_number || coalesce(': ' || printf('%.1f', duration_s) || 's' || coalesce(' (' || printf('%+.1f', duration_s - prev_s) || 's)', ''), '') || chr(10) || quotes, chr(10) ORDER BY lap_number) AS lines FROM l JOIN q USING (session_key, driver_number, lap_number) GROUP BY ALL),
+  h AS (SELECT session_key, driver_number, count(*) || ' laps' || coalesce(' | fastest ' || printf('%.1f', min(duration_s)) || 's | median ' || printf('%.1f', (list(duration_s ORDER BY duration_s) FILTER (duration_s IS NOT NULL))[count(duration_s) // 2 + 1]) || 's | slowest ' || printf('%.1f', max(duration_s)) || 's', '') AS head FROM v_laps GROUP BY ALL)
+  SELECT session_key, driver_number, head || chr(10) || coalesce(lines, '  (no radio landed on any lap in this session)') AS body FROM h LEFT JOIN b USING (session_key, driver_number)""")
 def r13(t):
-    """Laps with speech, their change to the lap before and how much was said."""
+    """Every driver's laps with what was said on them, under the pace of all laps."""
+    from ..operators.rollups import driver_timeline
     from .joins import DAY, good_calls
 
-    laps = q.lap_deltas(t.v_laps, "number").select("session_key", "driver_number", "lap_number", "duration_s", "delta")
-    said = j.during_lap(good_calls(t), t.v_laps, DAY, 30 * DAY).groupBy("session_key", "driver_number", "lap_number").agg(F.countDistinct("speech_id").alias("n_speech"))
-    return laps.join(said, ["session_key", "driver_number", "lap_number"])
+    calls = good_calls(t)
+    said = j.during_lap(calls, t.v_laps, DAY, 30 * DAY).join(calls.select("speech_id", "text", "mood"), "speech_id")
+    return driver_timeline(t.v_laps, said)
 
 
 @query("r14_graph_context", f"WITH {EXPANDED}, {BLOCKS} SELECT request_id, body, (SELECT count(*) FROM blocks b WHERE b.request_id = x.request_id) AS n_anchors FROM ({BODY.format(n=1200)}) x")

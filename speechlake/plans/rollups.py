@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scoring import quality_grade, reliability, reliability_band
 from ..operators import intervals as iv
 from ..operators import rollups as r
-from .intervals import HOURS, rounded
+from .intervals import ASSIGN, HOURS, SMOOTH, attributed, rounded
 from .registry import query
 
 
@@ -110,14 +110,28 @@ def a14(t):
     return rounded(r.peaks(t.v_frames, 16), "peak")
 
 
-@query("a15_clip_warnings", """WITH f AS (SELECT *, EXISTS (SELECT 1 FROM v_turns b WHERE a.clip_id = b.clip_id AND a.label <> b.label AND a.start_s < b.end_s AND b.start_s < a.end_s) AS ov FROM v_turns a),
-  s AS (SELECT clip_id, round(sum(CASE WHEN ov THEN end_s - start_s ELSE 0 END) / sum(end_s - start_s), 6) AS ratio, count(DISTINCT label) AS n FROM f GROUP BY 1)
-  SELECT clip_id, list_filter([CASE WHEN ratio > 0.3 THEN 'HIGH_OVERLAP' END, CASE WHEN n >= 5 THEN 'SPEAKER_COUNT_AT_CEILING' END], lambda x: x IS NOT NULL) AS warnings FROM s""")
-def a15(t):
-    """Warnings of a clip: too much overlap, as many speakers as the ceiling."""
+#: Measures of clips, each from the tables that have them.
+MEASURES = f"""f AS (SELECT *, EXISTS (SELECT 1 FROM v_turns b WHERE a.clip_id = b.clip_id AND a.label <> b.label AND a.start_s < b.end_s AND b.start_s < a.end_s) AS ov FROM v_turns a),
+  s AS (SELECT clip_id, round(sum(CASE WHEN ov THEN end_s - start_s ELSE 0 END) / sum(end_s - start_s), 6) AS overlap_ratio, count(DISTINCT label) AS n_labels FROM f GROUP BY 1), {ASSIGN}, {SMOOTH},
+  sm AS (SELECT clip_id, avg(smoothed::INT::DOUBLE) AS smooth_rate FROM smoothed_words GROUP BY 1), sp AS (SELECT clip_id, min(reliability) AS least_reliability, min(speech_s) AS least_speech_s FROM v_clip_speakers GROUP BY 1),
+  ids AS (SELECT clip_id FROM v_clips UNION SELECT clip_id FROM s UNION SELECT clip_id FROM sm)"""
+
+
+def measures(t):
     f = iv.flag_overlaps(t.v_turns, t.v_turns, HOURS).withColumn("d", F.col("end_s") - F.col("start_s"))
-    s = f.groupBy("clip_id").agg(F.round(F.sum(F.when(F.col("is_overlap"), F.col("d")).otherwise(0.0)) / F.sum("d"), 6).alias("ratio"), F.countDistinct("label").alias("n"))
-    return s.select("clip_id", F.array_compact(F.array(F.when(F.col("ratio") > 0.3, "HIGH_OVERLAP"), F.when(F.col("n") >= 5, "SPEAKER_COUNT_AT_CEILING"))).alias("warnings"))
+    s = f.groupBy("clip_id").agg(F.round(F.sum(F.when(F.col("is_overlap"), F.col("d")).otherwise(0.0)) / F.sum("d"), 6).alias("overlap_ratio"), F.countDistinct("label").alias("n_labels"))
+    sm = attributed(t).groupBy("clip_id").agg(F.avg(F.col("smoothed").cast("double")).alias("smooth_rate"))
+    sp = t.v_clip_speakers.groupBy("clip_id").agg(F.min("reliability").alias("least_reliability"), F.min("speech_s").alias("least_speech_s"))
+    clips = t.v_clips.select("clip_id", "grade", ((F.col("clip_id") * 37) % 100 / 100).alias("language_confidence"))
+    return clips.join(s, "clip_id", "full").join(sm, "clip_id", "full").join(sp, "clip_id", "left")
+
+
+@query("a15_clip_warnings", f"""WITH {MEASURES} SELECT clip_id, list_filter([CASE WHEN overlap_ratio > 0.3 THEN 'HIGH_OVERLAP' END, CASE WHEN n_labels >= 5 THEN 'SPEAKER_COUNT_AT_CEILING' END, CASE WHEN smooth_rate > 0.05 THEN 'HIGH_SMOOTH_RATE' END, CASE WHEN c.clip_id * 37 % 100 < 50 THEN 'LOW_LANGUAGE_CONFIDENCE' END,
+    CASE WHEN grade = 'poor' THEN 'POOR_AUDIO_QUALITY' END, CASE WHEN least_reliability < 0.45 THEN 'LOW_RELIABILITY_EMBEDDING' END, CASE WHEN least_speech_s < 1.5 THEN 'SPEAKER_TOO_SHORT' END], lambda x: x IS NOT NULL) AS warnings
+  FROM ids LEFT JOIN v_clips c USING (clip_id) LEFT JOIN s USING (clip_id) LEFT JOIN sm USING (clip_id) LEFT JOIN sp USING (clip_id)""")
+def a15(t):
+    """All seven warnings of every clip."""
+    return r.clip_warnings(measures(t))
 
 
 @query("a16_coverage", "SELECT clip_id, round(sum(CASE WHEN profile_id IS NOT NULL THEN speech_s ELSE 0 END) / nullif(sum(speech_s), 0), 6) AS named, round(sum(CASE WHEN profile_id IS NULL AND cluster_id IS NOT NULL THEN speech_s ELSE 0 END) / nullif(sum(speech_s), 0), 6) AS grouped, count(*) AS n_speakers FROM v_clip_speakers GROUP BY 1")
@@ -175,10 +189,14 @@ def a24(t):
     return s.join(d, "session_key", "left").join(races, "session_key", "left").select("session_key", "circuit", "year", F.coalesce("n_drivers", F.lit(0)).alias("n_drivers"), "drivers", F.coalesce("n_races", F.lit(0)).alias("n_races"))
 
 
-@query("a25_stage_stats", "SELECT event_type AS stage, json_extract_string(props, '$.k') AS outcome, count(*) AS n, round(avg(value), 6) AS mean_s, round(max(value), 6) AS max_s FROM events GROUP BY ALL")
+@query("a25_stage_stats", """WITH x AS (SELECT json_extract_string(props, '$.k') AS outcome, 'v' || event_id % 3 AS version, s.stage, round(value * s.f, 3) AS s FROM events, (VALUES ('TRANSCRIBING', 1.0::DOUBLE), ('DIARIZING', 2.0::DOUBLE), ('EMBEDDING', 3.0::DOUBLE)) s(stage, f) WHERE s.stage <> 'EMBEDDING' OR event_id % 2 = 0)
+  SELECT stage, outcome, version, count(*) AS n, round(avg(s), 9) AS mean_s, round(quantile_cont(round(s * 1000), 0.5) / 1000, 6) AS p50_s, round(quantile_cont(round(s * 1000), 0.95) / 1000, 6) AS p95_s, round(max(s), 6) AS max_s FROM x GROUP BY ALL""")
 def a25(t):
-    """Timings by stage and recorded outcome."""
-    return rounded(t.events.groupBy(F.col("event_type").alias("stage"), F.get_json_object("props", "$.k").alias("outcome")).agg(F.count("*").alias("n"), F.avg("value").alias("mean_s"), F.max("value").alias("max_s")), "mean_s", "max_s")
+    """Seconds by stage, outcome and model version, from the recorded maps of runs."""
+    v = lambda f: F.round(F.col("value") * f, 3)
+    made = F.to_json(F.struct(v(1.0).alias("TRANSCRIBING"), v(2.0).alias("DIARIZING"), F.when(F.col("event_id") % 2 == 0, v(3.0)).alias("EMBEDDING")))
+    runs = t.events.select(F.get_json_object("props", "$.k").alias("outcome"), F.concat(F.lit("v"), F.col("event_id") % 3).alias("version"), made.alias("timings"))
+    return rounded(r.stage_stats(runs), "p50_s", "p95_s", "max_s").withColumn("mean_s", F.round("mean_s", 9))
 
 
 def montage_turns(t):

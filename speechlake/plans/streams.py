@@ -11,7 +11,7 @@ from ..operators.maintenance import replace_derived
 from ..params import DEFAULTS as P
 from ..sources.adapters import Tables
 from ..streaming import folds
-from ..streaming.jobs import drain, drain_batches, once, table_stream, turn_output
+from ..streaming.jobs import drain, drain_batches, once, place, table_stream, turn_output
 from .identity import IDENTIFIED
 from .intervals import ASSIGN, REGROUP, SMOOTH, WORDS, rounded
 from .registry import query
@@ -115,13 +115,23 @@ def t07(t):
     return drain(turn_output(turns).select("event_id", "mood", "embeds"))
 
 
-@query("t08_radio_calls", "SELECT conv_id AS call_id, string_agg(text, ' ' ORDER BY turn) AS text, count(*) AS n_segments FROM conversations WHERE (conv_id * 31 + turn) % 9 <> 0 GROUP BY 1")
+@query("t08_radio_calls", f"""{tone_sql("SELECT conv_id AS session, conv_id * 1000 + turn AS row_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, (conv_id + turn) % 17 / 10.0::DOUBLE AS voiced, (conv_id * 7 + turn * 3) % 60 / 10.0::DOUBLE AS rate, 100 + ((conv_id + turn * 5) % 31)::DOUBLE AS pm, (conv_id * 3 + turn * 7) % 60::DOUBLE AS ps FROM conversations WHERE (conv_id * 31 + turn) % 9 <> 0")},
+  tn AS (SELECT session AS call_id, arg_max(read, k) AS tone FROM f WHERE k > 0 GROUP BY 1), tx AS (SELECT conv_id AS call_id, string_agg(text, ' ' ORDER BY turn) AS text, count(*) AS n_segments FROM conversations WHERE (conv_id * 31 + turn) % 9 <> 0 GROUP BY 1)
+  SELECT call_id, coalesce(b.text, tx.text) AS text, coalesce(b.tone, CASE WHEN trim(tx.text) <> '' THEN tn.tone END) AS tone, coalesce(tx.n_segments, 0) AS n_segments FROM (SELECT doc_id AS call_id, CASE WHEN doc_id % 2 = 0 THEN left(text, 20) END AS text, NULL::VARCHAR AS tone FROM documents WHERE doc_id % 5 = 0) b FULL JOIN (tx JOIN tn USING (call_id)) USING (call_id)""")
 def t08(t):
-    """Segments of calls without those that are not trusted, joined to a text per call as they arrive."""
+    """Segments of calls without those that are not trusted: joined to a text per call, with the tone of the last one, and put into the table of calls, whose own values stay."""
+    from ..operators.maintenance import upsert
+
+    known = t.documents.where("doc_id % 5 = 0").select(C("doc_id").alias("call_id"), F.when(C("doc_id") % 2 == 0, F.left("text", F.lit(20))).alias("text"), F.lit(None).cast("string").alias("tone"), F.lit(None).cast("long").alias("n_segments"))
 
     def work(rows):
-        kept = rows.where("(conv_id * 31 + turn) % 9 <> 0").groupBy(C("conv_id").alias("call_id"))
-        return kept.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), " ").alias("text"), F.count("*").alias("n_segments"))
+        kept = rows.where("(conv_id * 31 + turn) % 9 <> 0")
+        read = kept.selectExpr("conv_id AS session", "conv_id * 1000 + turn AS row_id", "turn AS at", "(conv_id + turn) % 17 / 10D AS voiced", "(conv_id * 7 + turn * 3) % 60 / 10D AS rate", "100 + cast((conv_id + turn * 5) % 31 AS double) AS pitch_mean", "cast((conv_id * 3 + turn * 7) % 60 AS double) AS pitch_std")
+        tones = folds.batch(read, folds.baseline_tone, (0, 0.0, 0.0, 0.0), "string").groupBy(C("session").alias("call_id")).agg(F.max_by("value", "row_id").alias("tone"))
+        text = kept.groupBy(C("conv_id").alias("call_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), " ").alias("text"), F.count("*").alias("n_segments"))
+        made = text.join(tones, "call_id").withColumn("tone", F.when(F.trim("text") != "", C("tone")))
+        out = upsert(known, made, ["call_id"], ["text", "tone", "n_segments"], fill_only=True)
+        return out.withColumn("n_segments", F.coalesce("n_segments", F.lit(0)))
 
     return drain_batches(table_stream(t.spark, t.folder, "conversations"), work)
 
@@ -143,29 +153,47 @@ def t09(t):
     return drain_batches(latest, lambda rows: rows.select("job", "stage", percent.alias("percent")), "complete")
 
 
-@query("t10_live_tag", "SELECT vec_id, s_suppkey AS profile_id FROM embeddings JOIN supplier ON s_suppkey = vec_id % 12 + 1 WHERE vec_id % 6 <> 0")
+@query("t10_live_tag", """WITH tg AS (SELECT vec_id, label, voice AS vec, reliability, speech_s, s_suppkey AS profile_id FROM v_reliable JOIN supplier ON s_suppkey = vec_id % 12 + 1 WHERE vec_id % 6 <> 0), e AS (SELECT profile_id, vec, reliability FROM v_enrollments UNION ALL SELECT profile_id, vec, reliability FROM tg),
+  s AS (SELECT profile_id, max(sx) / sqrt(sum(sx * sx)) AS largest FROM (SELECT profile_id, i, sum(reliability * x) AS sx FROM (SELECT profile_id, reliability, unnest(vec) AS x, generate_subscripts(vec, 1) AS i FROM e) GROUP BY 1, 2) GROUP BY 1)
+  SELECT profile_id, count(*) AS n_live, (SELECT count(*) FROM e WHERE e.profile_id = tg.profile_id) AS n_enrollments, round(any_value(largest), 6) AS largest FROM tg JOIN s USING (profile_id) GROUP BY 1""")
 def t10(t):
-    """Tags of live voices: a profile by name in any case; blank names and unknown ones are refused."""
+    """Live voices tagged with a name: enrolled under the profile of that name in any case; blank and unknown names and vectors of a wrong length are refused."""
     names = t.supplier.select(C("s_suppkey").alias("id"), C("s_name").alias("name"))
+    from ..functions.scoring import reliability
+
+    voices = t.v_voices.select("vec_id", C("voice").alias("vec"), reliability(C("speech_s"), C("snr_db"), F.lit(0.0), C("bandwidth_hz")).alias("reliability"))
 
     def work(rows):
         token = F.when(C("vec_id") % 6 == 0, " ").otherwise(F.concat(F.lit("SUPPLIER#"), F.lpad((C("vec_id") % 12 + 1).cast("string"), 9, "0")))
         tags = rows.where(F.size("embedding") == 64).select("vec_id", token.alias("token")).where("trim(token) <> ''")
-        return j.resolve_names(tags, names).where("id IS NOT NULL").select("vec_id", C("id").alias("profile_id"))
+        return j.resolve_names(tags, names).where("id IS NOT NULL").select("vec_id", C("id").alias("profile_id")).join(voices, "vec_id")
 
-    return drain_batches(table_stream(t.spark, t.folder, "embeddings"), work)
+    live = drain_batches(table_stream(t.spark, t.folder, "embeddings"), work)
+    every = t.v_enrollments.select("profile_id", "vec", "reliability").unionByName(live.select("profile_id", "vec", "reliability"))
+    counts = live.groupBy("profile_id").agg(F.count("*").alias("n_live")).join(every.groupBy("profile_id").agg(F.count("*").alias("n_enrollments")), "profile_id")
+    return rounded(counts.join(v.centroids(every), "profile_id").select("profile_id", "n_live", "n_enrollments", F.array_max("centroid").alias("largest")), "largest")
 
 
-@query("t11_incremental_graph", "SELECT clip_id::VARCHAR AS src, race_id::VARCHAR AS dst FROM v_clips WHERE status = 'COMPLETE'")
+@query("t11_incremental_graph", "SELECT clip_id::VARCHAR AS src, race_id::VARCHAR AS dst FROM v_clips WHERE status = 'COMPLETE' UNION ALL SELECT 'gone-' || n_nationkey, 'x' FROM nation")
 def t11(t):
-    """Edges of the clips that arrive, put in place of those that they had."""
+    """Edges of the clips that arrive, put in place of those that the stored graph has of them; edges of other clips stay."""
+    old = t.v_clips.select(C("clip_id").cast("string").alias("src"), F.lit("an earlier race").alias("dst"))
+    others = t.nation.select(F.concat(F.lit("gone-"), "n_nationkey").alias("src"), F.lit("x").alias("dst"))
+    at = f"{place(t.spark)}/graph"
+    old.unionByName(others).write.parquet(f"{at}/0")
+    made = [f"{at}/0"]
 
     def work(rows):
         b = Batch(t, orders=rows)
+        ids = b.v_clips.select(C("clip_id").cast("string").alias("src"))
         done = b.v_clips.where("status = 'COMPLETE'").select(C("clip_id").cast("string").alias("src"), C("race_id").cast("string").alias("dst"))
-        return replace_derived(done.limit(0), done, done.select("src").distinct(), "src")
+        # every batch writes the next state of the graph from the one before
+        made.append(f"{at}/{len(made)}")
+        replace_derived(t.spark.read.parquet(made[-2]), done, ids, "src").write.mode("overwrite").parquet(made[-1])
+        return t.spark.createDataFrame([(made[-1],)], "state string")
 
-    return drain_batches(table_stream(t.spark, t.folder, "orders"), work)
+    drain_batches(table_stream(t.spark, t.folder, "orders"), work)
+    return t.spark.read.parquet(made[-1])
 
 
 def rms_rows(df):
