@@ -143,10 +143,9 @@ def test_chat_reads_back_what_it_wrote(spark):
         assert back[c].loss_text == "".join(x for role, x in w if role == "assistant")
 
 
-def test_sweeps_are_best_fit_decreasing():
+def test_supersteps_pack_as_best_fit_decreasing(spark):
     rng = np.random.default_rng(5)
-    for _ in range(30):
-        lengths = rng.integers(1, 65, int(rng.integers(1, 200))).tolist()
+    for lengths in (rng.integers(1, 65, 3000).tolist(), [10] * 500 + [64] * 3 + [33] * 40 + rng.integers(1, 9, 200).tolist(), [40, 24, 40, 24]):
         bins: list[int] = []
         for x in sorted(lengths, reverse=True):
             fit = [i for i, gap in enumerate(bins) if gap >= x]
@@ -154,10 +153,17 @@ def test_sweeps_are_best_fit_decreasing():
                 bins[min(fit, key=lambda i: bins[i])] -= x
             else:
                 bins.append(64 - x)
-        used = set()
-        for length, a, b, first, offset, per in packing.sweeps(collections.Counter(lengths), 64):
-            used |= {first + k // per for k in range(b - a)}
-        assert len(used) == len(bins)
+        rows = spark.createDataFrame([(i, 0, x) for i, x in enumerate(lengths)], "doc_id long, piece int, length long")
+        got = packing.pack(rows, 64).collect()
+        assert sorted(r.length for r in got) == sorted(lengths)
+        by = collections.defaultdict(list)
+        for r in got:
+            by[r.sequence_id].append((r.offset, r.length))
+        for v in by.values():
+            v.sort()
+            assert [o for o, _ in v] == list(np.cumsum([0] + [n for _, n in v])[:-1]) and sum(n for _, n in v) <= 64
+        assert len(by) <= 1.01 * len(bins) + 1
+    assert packing.bands(1024)[:4] == [(512, 1024), (341, 512), (256, 341), (204, 256)] and packing.bands(1024)[-1][0] == 0
 
 
 def test_pieces_as_brute_force(spark, docs):
