@@ -80,13 +80,16 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """(node, component): the smallest node reachable over edges (a, b), for each node that has an edge.
 
     Rounds of large-star and small-star: every round joins each node to the smallest of its neighbours, first
-    those above it, then those below it, until nothing changes. A hub's edges are spread by the join's skew
-    handling; its minimum is pre-aggregated. Every round is checkpointed to the shared folder.
+    those above it, then those below it, until nothing changes. A node's minimum is pre-aggregated; those of hubs,
+    of which there are 2,000 at most, are broadcast, so that a hub's edges stay where they are. Every round is
+    checkpointed to the shared folder.
     """
 
-    def star(pairs: DataFrame) -> DataFrame:
-        lowest = pairs.groupBy("u").agg(F.min("v").alias("m"))
-        return pairs.join(lowest.withColumn("m", F.least("m", "u")), "u")
+    def star(pairs: DataFrame, n: int) -> DataFrame:
+        lowest = pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+        hubs = F.broadcast(lowest.where(F.col("n") > max(1000, n // 1000)).select("u", "m"))
+        rest = pairs.join(hubs.select("u"), "u", "left_anti").join(lowest.select("u", "m"), "u")
+        return pairs.join(hubs, "u").unionByName(rest)
 
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first())
@@ -98,8 +101,8 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         if not was[0]:
             break
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        large = star(both).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        small = star(large.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        large = star(both, was[0]).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        small = star(large.select(F.col("a").alias("u"), F.col("b").alias("v")), was[0])
         small = small.select(F.explode(F.array(F.struct(F.col("v").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
         now = checkpointed(small.where("a <> b").distinct())
         if (state_now := state(now)) == was:

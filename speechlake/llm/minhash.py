@@ -107,9 +107,16 @@ def sign(docs: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts' shingles overlap by SIMILARITY or more. texts: doc_id, text."""
+    """The pairs (a, b) whose texts' shingles overlap by SIMILARITY or more. texts: doc_id, text.
+
+    A b with many pairs is dealt to a part for each BLOCK of them, so that a large group meets its text in many tasks.
+    """
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")).join(parts, "b").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+    hot = checkpointed(parts.where("parts > 1"))  # a row per BLOCK pairs at most
+    dealt = pairs.join(F.broadcast(hot) if hot.count() <= 10_000 else hot, "b", "left")
+    dealt = dealt.select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(1))).alias("part"))
 
     def check(rows):
         for pdf in rows:
@@ -120,7 +127,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 yield part.loc[ok, ["a", "b"]]
                 at += len(mine)
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInPandas(check, "a long, b long")
+    return dealt.join(left, "a").join(right, ["b", "part"]).select("a", "b", "text_a", "text_b").mapInPandas(check, "a long, b long")
 
 
 def other_links(rows: DataFrame) -> DataFrame:
@@ -210,7 +217,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = bucketed.where("node <> center").select(F.col("node").alias("a"), F.col("center").alias("b")).distinct()
     involved = bucketed.select(F.col("node").alias("doc_id")).distinct()
     texts = checkpointed(docs.select("doc_id", "text").join(involved, "doc_id"))
-    links = checkpointed(verified(pairs, texts))
+    links = checkpointed(verified(checkpointed(pairs), texts))
     label = components(links)
     labelled = bucketed.join(label.withColumnRenamed("component", "label"), "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     split = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low < high and n > 2").select("key")

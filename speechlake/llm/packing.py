@@ -42,6 +42,10 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, with_ids
     return docs.select("doc_id", "text").mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids)
 
 
+#: Documents in a file of the range-sorted table.
+DOCS_OF_A_FILE = 100_000
+
+
 def bands(capacity: int) -> list[tuple[int, int]]:
     """(low, high]: the lengths of each superstep, from long to short: those of which 1, 2, 3 or 4 fill a sequence, then 5 to 9, 10 to 19, ..."""
     out, k = [], 1
@@ -131,11 +135,11 @@ class Sequences:
         rows = self.table([(k, a, b, n, sinks[k], self.done.get(k, 0)) for k, (a, b, n) in plan.items()], "size long, height long, top long, taken long, sinks long, done long")
         tries = F.least(F.lit(most), F.floor((F.col("gap") - small) / big) + 1)
         offered = self.gaps.where(F.col("gap") >= small).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), tries - 1))).withColumn("size", F.col("gap") - F.col("j") * big)
-        wide = max(1, math.isqrt(sum(slots.values())) // 16)
+        wide = max(1, math.isqrt(sum(slots.values())))
         offered = offered.withColumns({"bucket": F.pmod(F.xxhash64("sequence"), F.lit(wide)), "one": F.lit(1)})
         offered = running_before(offered, ["size"], "bucket", ["sequence", "j"], {"nth": "one"}).join(rows, "size").withColumn("level", F.col("height") + F.col("nth") + 1)
         free = offered.where(F.col("level") > F.col("sinks")).select("level", "size", F.lit(0).alias("kind"), F.struct("sequence", "gap", "j").alias("slot"), F.lit(None).cast("long").alias("rank"))
-        mine = self.docs.join(rows, F.col("length") == F.col("size")).where((F.col("rank") >= F.col("done")) & (F.col("rank") < F.col("done") + F.col("taken")))
+        mine = self.docs.where(F.col("length").between(small, big)).join(rows, F.col("length") == F.col("size")).where((F.col("rank") >= F.col("done")) & (F.col("rank") < F.col("done") + F.col("taken")))
         mine = mine.select((F.col("top") - (F.col("rank") - F.col("done"))).alias("level"), "size", F.lit(1).alias("kind"), F.lit(None).cast("struct<sequence:bigint,gap:bigint,j:bigint>").alias("slot"), "rank")
         # at a height there are a slot and a document of any size at most
         pile = Window.partitionBy("level").orderBy(F.desc("size"), "kind")
@@ -163,7 +167,7 @@ class Sequences:
             base[k] = base.get(k, 0) + docs[n]
         plan = self.table(rows, "size long, k long, first long, base long, done long")
         nth = F.col("base") + F.col("rank") - F.col("done")
-        mine = self.docs.join(plan, F.col("length") == F.col("size")).where("rank >= done").select("length", "rank", (F.col("first") + F.floor(nth / F.col("k"))).alias("sequence"), (nth % F.col("k")).alias("j"), F.lit(self.capacity).cast("long").alias("gap"))
+        mine = self.docs.where(F.col("length").between(min(docs), max(docs))).join(plan, F.col("length") == F.col("size")).where("rank >= done").select("length", "rank", (F.col("first") + F.floor(nth / F.col("k"))).alias("sequence"), (nth % F.col("k")).alias("j"), F.lit(self.capacity).cast("long").alias("gap"))
         within = Window.partitionBy("sequence").orderBy("j").rowsBetween(Window.unboundedPreceding, -1)
         placed = mine.withColumn("offset", F.coalesce(F.sum("length").over(within), F.lit(0)))
         for n in docs:
@@ -192,7 +196,11 @@ def pack(rows: DataFrame, capacity: int, order: tuple[str, ...] = ("doc_id", "pi
     keyed = rows.drop("sequence_id", "offset").withColumns({"_hash": hash52(*(F.col(c) for c in order)), "_one": F.lit(1)})
     keyed = keyed.withColumn("_bucket", F.col("_hash") % max(1, n // max(256, math.isqrt(n))))
     ranked = checkpointed(running_before(keyed, ["length"], "_bucket", ["_hash", *order], {"_rank": "_one"}).drop("_hash", "_one", "_bucket"))
-    state = Sequences(ranked.select(F.col("length").cast("long").alias("length"), F.col("_rank").alias("rank")), counts, capacity)
+    # range-sorted by length, in few files: a superstep reads its band only
+    folder = shared_folder(rows.sparkSession, "packing-docs")
+    narrow = ranked.select(F.col("length").cast("long").alias("length"), F.col("_rank").cast("long").alias("rank"))
+    narrow.repartitionByRange(max(1, -(-n // DOCS_OF_A_FILE)), "length", "rank").sortWithinPartitions("length", "rank").write.parquet(folder)
+    state = Sequences(rows.sparkSession.read.schema("length long, rank long").parquet(folder), counts, capacity)
     for low, high in bands(capacity):
         while state.sweep(low, high):
             pass

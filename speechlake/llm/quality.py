@@ -153,7 +153,7 @@ def good_documents(docs: DataFrame, min_words: int = 1) -> DataFrame:
     to the shared folder with their rows, so that texts are scanned once. An empty table stays empty.
     """
     folder = shared_folder(docs.sparkSession, "features")
-    features(docs.select(F.struct("*").alias("_doc"), "text")).drop("text").write.parquet(folder)
+    features(docs.select(F.struct("*").alias("_doc"), "text")).drop("text").write.option("compression", "zstd").parquet(folder)
     rows = docs.sparkSession.read.parquet(folder)
     return judged(rows, min_words=min_words).where("kept").select("_doc.*")
 
