@@ -35,6 +35,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Narrow rows (a few numbers each) that a task takes.
+ROWS_OF_A_TASK = 100_000
+
+
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    """df, of which about `rows` narrow rows are counted, in a partition for each ROWS_OF_A_TASK of them, without a shuffle.
+
+    Rounds over small tables then do not pay for all of the session's partitions; where one partition is enough,
+    joins, windows and sums after it need no shuffle.
+    """
+    return df.coalesce(max(1, -(-rows // ROWS_OF_A_TASK)))
+
+
 def n_words(text: Column) -> Column:
     """Words in a text as a long; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -82,7 +95,7 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     Rounds of large-star and small-star: every round joins each node to the smallest of its neighbours, first
     those above it, then those below it, until nothing changes. A node's minimum is pre-aggregated; those of hubs,
     of which there are 2,000 at most, are broadcast, so that a hub's edges stay where they are. Every round is
-    checkpointed to the shared folder.
+    checkpointed to the shared folder, in as many partitions as its edges need.
     """
 
     def star(pairs: DataFrame, n: int) -> DataFrame:
@@ -94,20 +107,21 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first())
 
-    now = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now = checkpointed(now)
+    now = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     was = state(now)
+    now = sized(now, was[0])
     for _ in range(max_rounds):
         if not was[0]:
             break
-        both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        large = star(both, was[0]).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        n = 2 * was[0]
+        both = sized(now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b").alias("u"), F.col("a").alias("v"))), n)
+        large = sized(star(both, was[0]), n).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         small = star(large.select(F.col("a").alias("u"), F.col("b").alias("v")), was[0])
         small = small.select(F.explode(F.array(F.struct(F.col("v").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
-        now = checkpointed(small.where("a <> b").distinct())
+        now = checkpointed(sized(sized(small, n).where("a <> b").distinct(), n))
         if (state_now := state(now)) == was:
             break
-        was = state_now
+        was, now = state_now, sized(now, state_now[0])
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     tops = now.select(F.col("b").alias("node")).distinct()

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, hash52, running_before, shared_folder
+from .common import ROWS_OF_A_TASK, checkpointed, hash52, running_before, shared_folder, sized
 from .tokens import batches, encoder
 
 
@@ -42,10 +42,6 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, with_ids
     return docs.select("doc_id", "text").mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids)
 
 
-#: Documents in a file of the range-sorted table.
-DOCS_OF_A_FILE = 100_000
-
-
 def bands(capacity: int) -> list[tuple[int, int]]:
     """(low, high]: the lengths of each superstep, from long to short: those of which 1, 2, 3 or 4 fill a sequence, then 5 to 9, 10 to 19, ..."""
     out, k = [], 1
@@ -89,23 +85,28 @@ class Sequences:
     def left(self, low: int, high: int) -> dict[int, int]:
         return {n: c - self.done[n] for n, c in self.counts.items() if low < n <= high and c > self.done[n]}
 
+    def read(self, docs: dict[int, int]) -> int:
+        """Documents of these lengths, placed ones too: so many rows a superstep reads."""
+        return sum(self.counts[n] for n in docs)
+
     def table(self, rows: list[tuple], schema: str) -> DataFrame:
         return F.broadcast(self.spark.createDataFrame(rows, schema))  # a row per size
 
-    def place(self, placed: DataFrame, gaps: DataFrame | None) -> None:
-        """Writes what a superstep placed (length, rank, sequence, gap before, offset) and the gaps after it."""
+    def place(self, placed: DataFrame, n: int) -> None:
+        """Writes the n rows that a superstep placed (length, rank, sequence, gap before, offset) and the gaps after it."""
         self.step += 1
         at = f"{self.folder}/placed/step={self.step}"
-        placed.select("length", "rank", "sequence", "gap", "offset").write.parquet(at)
-        used = self.spark.read.parquet(at).groupBy("sequence").agg(F.sum("length").alias("used"), F.first("gap").alias("gap"))
+        sized(placed.select("length", "rank", "sequence", "gap", "offset"), n).write.parquet(at)
+        used = sized(self.spark.read.schema("length long, rank long, sequence long, gap long, offset long").parquet(at), n).groupBy("sequence").agg(F.sum("length").alias("used"), F.first("gap").alias("gap"))
         least = min((n for n, c in self.counts.items() if c > self.done[n]), default=self.capacity + 1)
-        if gaps is None:
+        if self.gaps is None:
             now = used.select("sequence", (F.col("gap") - F.col("used")).alias("gap"))
         else:
-            now = gaps.join(used.drop("gap"), "sequence", "full").select("sequence", (F.coalesce("gap", F.lit(self.capacity)) - F.coalesce("used", F.lit(0))).alias("gap"))
+            now = self.gaps.join(used.drop("gap"), "sequence", "full").select("sequence", (F.coalesce("gap", F.lit(self.capacity)) - F.coalesce("used", F.lit(0))).alias("gap"))
         path = f"{self.folder}/gaps-{self.step}"
-        now.where(F.col("gap") >= least).write.parquet(path)
-        self.gaps = self.spark.read.schema("sequence long, gap long").parquet(path)
+        n += sum(self.sizes.values())
+        sized(now.where(F.col("gap") >= least), n).write.parquet(path)
+        self.gaps = sized(self.spark.read.schema("sequence long, gap long").parquet(path), n)
         self.sizes = {r[0]: r[1] for r in self.gaps.groupBy("gap").count().collect()}
 
     def sweep(self, low: int, high: int) -> bool:
@@ -134,22 +135,23 @@ class Sequences:
             sinks[size] = later
         rows = self.table([(k, a, b, n, sinks[k], self.done.get(k, 0)) for k, (a, b, n) in plan.items()], "size long, height long, top long, taken long, sinks long, done long")
         tries = F.least(F.lit(most), F.floor((F.col("gap") - small) / big) + 1)
-        offered = self.gaps.where(F.col("gap") >= small).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), tries - 1))).withColumn("size", F.col("gap") - F.col("j") * big)
-        wide = max(1, math.isqrt(sum(slots.values())))
+        n, found = sum(slots.values()), sum(taken for _, _, taken in plan.values())
+        offered = sized(self.gaps, max(n, sum(self.sizes.values()))).where(F.col("gap") >= small).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), tries - 1))).withColumn("size", F.col("gap") - F.col("j") * big)
+        wide = max(1, math.isqrt(n))
         offered = offered.withColumns({"bucket": F.pmod(F.xxhash64("sequence"), F.lit(wide)), "one": F.lit(1)})
         offered = running_before(offered, ["size"], "bucket", ["sequence", "j"], {"nth": "one"}).join(rows, "size").withColumn("level", F.col("height") + F.col("nth") + 1)
         free = offered.where(F.col("level") > F.col("sinks")).select("level", "size", F.lit(0).alias("kind"), F.struct("sequence", "gap", "j").alias("slot"), F.lit(None).cast("long").alias("rank"))
-        mine = self.docs.where(F.col("length").between(small, big)).join(rows, F.col("length") == F.col("size")).where((F.col("rank") >= F.col("done")) & (F.col("rank") < F.col("done") + F.col("taken")))
+        mine = sized(self.docs, self.read(docs)).where(F.col("length").between(small, big)).join(rows, F.col("length") == F.col("size")).where((F.col("rank") >= F.col("done")) & (F.col("rank") < F.col("done") + F.col("taken")))
         mine = mine.select((F.col("top") - (F.col("rank") - F.col("done"))).alias("level"), "size", F.lit(1).alias("kind"), F.lit(None).cast("struct<sequence:bigint,gap:bigint,j:bigint>").alias("slot"), "rank")
         # at a height there are a slot and a document of any size at most
         pile = Window.partitionBy("level").orderBy(F.desc("size"), "kind")
-        met = free.unionByName(mine).withColumn("slot", F.lag("slot").over(pile)).where("kind = 1").select(F.col("size").alias("length"), "rank", "slot.*")
+        met = sized(free.unionByName(mine), max(n, sum(self.sizes.values())) + self.read(docs)).withColumn("slot", F.lag("slot").over(pile)).where("kind = 1").select(F.col("size").alias("length"), "rank", "slot.*")
         within = Window.partitionBy("sequence").orderBy("j").rowsBetween(Window.unboundedPreceding, -1)
         placed = met.withColumn("offset", F.lit(self.capacity) - F.col("gap") + F.coalesce(F.sum("length").over(within), F.lit(0)))
         for size, (_, _, taken) in plan.items():
             if taken:
                 self.done[size] += taken
-        self.place(placed, self.gaps)
+        self.place(placed, found)
         return True
 
     def open(self, low: int, high: int) -> None:
@@ -158,21 +160,22 @@ class Sequences:
         if not docs:
             return
         rows, base, of = [], {}, {}
-        for n in sorted(docs, reverse=True):
-            k = self.capacity // n
+        for size in sorted(docs, reverse=True):
+            k = self.capacity // size
             if k not in of:
                 of[k] = self.opened
                 self.opened += -(-sum(c for x, c in docs.items() if self.capacity // x == k) // k)
-            rows.append((n, k, of[k], base.get(k, 0), self.done[n]))
-            base[k] = base.get(k, 0) + docs[n]
+            rows.append((size, k, of[k], base.get(k, 0), self.done[size]))
+            base[k] = base.get(k, 0) + docs[size]
         plan = self.table(rows, "size long, k long, first long, base long, done long")
         nth = F.col("base") + F.col("rank") - F.col("done")
-        mine = self.docs.where(F.col("length").between(min(docs), max(docs))).join(plan, F.col("length") == F.col("size")).where("rank >= done").select("length", "rank", (F.col("first") + F.floor(nth / F.col("k"))).alias("sequence"), (nth % F.col("k")).alias("j"), F.lit(self.capacity).cast("long").alias("gap"))
+        n = sum(docs.values())
+        mine = sized(self.docs, self.read(docs)).where(F.col("length").between(min(docs), max(docs))).join(plan, F.col("length") == F.col("size")).where("rank >= done").select("length", "rank", (F.col("first") + F.floor(nth / F.col("k"))).alias("sequence"), (nth % F.col("k")).alias("j"), F.lit(self.capacity).cast("long").alias("gap"))
         within = Window.partitionBy("sequence").orderBy("j").rowsBetween(Window.unboundedPreceding, -1)
         placed = mine.withColumn("offset", F.coalesce(F.sum("length").over(within), F.lit(0)))
-        for n in docs:
-            self.done[n] = self.counts[n]
-        self.place(placed, self.gaps)
+        for size in docs:
+            self.done[size] = self.counts[size]
+        self.place(placed, n)
 
     def placed(self) -> DataFrame:
         rows = self.spark.read.parquet(f"{self.folder}/placed") if self.step else self.spark.createDataFrame([], "length long, rank long, sequence long, offset long")
@@ -199,7 +202,7 @@ def pack(rows: DataFrame, capacity: int, order: tuple[str, ...] = ("doc_id", "pi
     # range-sorted by length, in few files: a superstep reads its band only
     folder = shared_folder(rows.sparkSession, "packing-docs")
     narrow = ranked.select(F.col("length").cast("long").alias("length"), F.col("_rank").cast("long").alias("rank"))
-    narrow.repartitionByRange(max(1, -(-n // DOCS_OF_A_FILE)), "length", "rank").sortWithinPartitions("length", "rank").write.parquet(folder)
+    narrow.repartitionByRange(max(1, -(-n // ROWS_OF_A_TASK)), "length", "rank").sortWithinPartitions("length", "rank").write.parquet(folder)
     state = Sequences(rows.sparkSession.read.schema("length long, rank long").parquet(folder), counts, capacity)
     for low, high in bands(capacity):
         while state.sweep(low, high):
