@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from speechlake.llm import chat, embedding_dedup, lm, minhash, mixing, packing, quality, sharding, shingles, token_output, url_filters
+from speechlake.llm import chat, common, embedding_dedup, lm, minhash, mixing, packing, quality, sharding, shingles, token_output, url_filters
 from speechlake.llm.common import components, shared_folder
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -143,7 +143,10 @@ def test_chat_reads_back_what_it_wrote(spark):
         assert back[c].loss_text == "".join(x for role, x in w if role == "assistant")
 
 
-def test_supersteps_pack_as_best_fit_decreasing(spark):
+@pytest.mark.parametrize("rows_of_a_task", [common.ROWS_OF_A_TASK, 400])
+def test_supersteps_pack_as_best_fit_decreasing(spark, monkeypatch, rows_of_a_task):
+    monkeypatch.setattr(common, "ROWS_OF_A_TASK", rows_of_a_task)
+    monkeypatch.setattr(packing, "ROWS_OF_A_TASK", rows_of_a_task)
     rng = np.random.default_rng(5)
     for lengths in (rng.integers(1, 65, 3000).tolist(), [10] * 500 + [64] * 3 + [33] * 40 + rng.integers(1, 9, 200).tolist(), [40, 24, 40, 24]):
         bins: list[int] = []
@@ -269,7 +272,9 @@ def test_sharding_query_as_brute_force(spark):
     assert all(max(s) - min(s) < len(s) for s in shards_of.values())
 
 
-def test_components_as_union_find(spark):
+@pytest.mark.parametrize("rows_of_a_task", [common.ROWS_OF_A_TASK, 60])
+def test_components_as_union_find(spark, monkeypatch, rows_of_a_task):
+    monkeypatch.setattr(common, "ROWS_OF_A_TASK", rows_of_a_task)
     rng = np.random.default_rng(6)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(1000 + i, 1001 + i) for i in range(60)] + [(2000, 2000 + i) for i in range(1, 100)]
     up = {}
