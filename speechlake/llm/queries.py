@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, embedding_dedup, lm, minhash, mixing, packing, quality, sharding, token_output, url_filters
+from . import chat, embedding_dedup, lm, minhash, mixing, negatives, packing, quality, repair, sharding, token_output, url_filters
 
 QUERIES = {
     "op1_systematic_mix": mixing.op1_systematic_mix,
@@ -15,10 +15,14 @@ QUERIES = {
     "op8_bag_minhash": minhash.op8_bag_minhash,
     "op9_log_bilinear": lm.op9_log_bilinear,
     "op10_weak_supervision": quality.op10_weak_supervision,
+    "op11_auction_repair": repair.op11_auction_repair,
+    "op12_threshold": negatives.op12_threshold,
 }
 SQL = {
     "op1_systematic_mix": mixing.OP1_SQL,
     "op3_event_fold": chat.OP3_SQL,
     "op5_url_rules": url_filters.OP5_SQL,
     "op10_weak_supervision": quality.OP10_SQL,
+    "op11_auction_repair": repair.op11_auction_repair,
+    "op12_threshold": negatives.OP12_SQL,
 }
