@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, embedding_dedup, lm, minhash, mixing, negatives, packing, quality, repair, sharding, token_output, url_filters
+from . import chat, embedding_dedup, lm, minhash, mixing, negatives, packing, quality, recompression, repair, sharding, token_output, url_filters
 
 QUERIES = {
     "op1_systematic_mix": mixing.op1_systematic_mix,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_weak_supervision": quality.op10_weak_supervision,
     "op11_auction_repair": repair.op11_auction_repair,
     "op12_threshold": negatives.op12_threshold,
+    "op13_recompression": recompression.op13_recompression,
 }
 SQL = {
     "op1_systematic_mix": mixing.OP1_SQL,
@@ -25,4 +26,5 @@ SQL = {
     "op10_weak_supervision": quality.OP10_SQL,
     "op11_auction_repair": repair.op11_auction_repair,
     "op12_threshold": negatives.OP12_SQL,
+    "op13_recompression": recompression.OP13_SQL,
 }
