@@ -171,7 +171,7 @@ def parsed_texts(window: int):
 
 
 def windows_to_verify(window: int):
-    """For mapInArrow: doc_id, text_key, text, late, early -> digests of the windows that may be late, and of those only early.
+    """For mapInArrow: doc_id, text, late, early -> digests of the windows that may be late, and of those only early.
 
     late and early hold the names of the text's symbols that also stand in a document before, or after, this one. A
     window's words can stand in one before it only if all names within it do.
@@ -194,7 +194,7 @@ def windows_to_verify(window: int):
                     missing = Symbols(symbols.name[apart], symbols.low[apart], symbols.high[apart], symbols.mark[apart])
                     may.append(part.begins & (held(missing, total, window) == 0))
                 a, b = sums_of(part.words, window)
-                columns = [batch.column("doc_id")[first : first + n], batch.column("text_key")[first : first + n]]
+                columns = [batch.column("doc_id")[first : first + n]]
                 for at in (np.flatnonzero(may[0]), np.flatnonzero(may[1] & ~may[0])):
                     order = np.lexsort((b[at], a[at], part.owner[at]))
                     at = at[order]
@@ -202,7 +202,7 @@ def windows_to_verify(window: int):
                     at = at[new]
                     offsets = pa.array(np.searchsorted(part.owner[at], np.arange(n + 1)), pa.int32())
                     columns += [pa.ListArray.from_arrays(offsets, pa.array(a[at])), pa.ListArray.from_arrays(offsets, pa.array(b[at]))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "late_a", "late_b", "early_a", "early_b"])
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "late_a", "late_b", "early_a", "early_b"])
 
     return work
 
@@ -214,8 +214,8 @@ def covered(begins: np.ndarray, window: int) -> np.ndarray:
     return np.cumsum(change)[: len(begins)] > 0
 
 
-def without_repeats(window: int):
-    """For mapInArrow: doc_id, text_key, text, a, b (digests of windows to remove) -> what is left of the text."""
+def without_repeats(window: int, with_text: bool):
+    """For mapInArrow: doc_id, whole, text, a, b (digests of windows to remove) -> what is left of the text."""
 
     def work(rows):
         for batch in rows:
@@ -232,7 +232,10 @@ def without_repeats(window: int):
                     removed.append(int(off.sum()))
                     kept.append(b" ".join(compress(part.words_of(i), (~off).tolist())))
                 n = len(texts)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[first : first + n], batch.column("text_key")[first : first + n], pa.array(removed, pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept]), pa.array([k.decode("utf-8", "replace") for k in kept])], ["doc_id", "text_key", "removed", "left_sha256", "kept_text"])
+                columns = [batch.column("doc_id")[first : first + n], batch.column("whole")[first : first + n], pa.array(removed, pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept])]
+                if with_text:
+                    columns.append(pa.array([k.decode("utf-8", "replace") for k in kept]))
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "whole", "removed", "left_sha256", "kept_text"][: len(columns)])
 
     return work
 
@@ -272,26 +275,28 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = False)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
     base = written(keyed.mapInArrow(parsed_texts(window), "doc_id long, text_key long, n_words long, kept_sha256 string, whole binary, names array<long>, blind boolean"), "parsed")
     known = base.where(F.col("doc_id").isNotNull() & (F.col("n_words") >= window))
-    wholes = known.groupBy("whole").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("whole", "first")
-    single = written(known.join(wholes, "whole", "left").where("first is null or doc_id = first").select("doc_id", "text_key", "names", "blind"), "single")
+    row = F.struct("doc_id", "text_key")
+    single = written(known.groupBy("whole").agg(F.min_by(F.struct("doc_id", "text_key", "names", "blind"), row).alias("row"), F.max("doc_id").alias("last")).select("whole", "row.*", "last"), "single")
 
     named = single.select("doc_id", F.explode("names").alias("name"))
-    shared = named.groupBy("name").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    shared = written(named.groupBy("name").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last"), "shared")
     met = named.join(shared, "name")
     lists = met.groupBy("doc_id").agg(F.collect_list(F.when(F.col("first") < F.col("doc_id"), F.col("name"))).alias("late"), F.collect_list(F.when(F.col("last") > F.col("doc_id"), F.col("name"))).alias("early"))
-    asked = single.select("doc_id", "text_key", "blind").join(lists, "doc_id", "left").where("blind or late is not null").drop("blind").dropDuplicates(["doc_id", "text_key"])
-    candidates = written(keyed.join(asked, ["doc_id", "text_key"]), "candidates")
+    asked = single.select("doc_id", "text_key", "whole", "blind").join(lists, "doc_id", "left").where("blind or late is not null").drop("blind")
+    candidates = written(keyed.join(asked, ["doc_id", "text_key"]).drop("text_key"), "candidates")
 
-    found = written(candidates.mapInArrow(windows_to_verify(window), "doc_id long, text_key long, late_a array<long>, late_b array<int>, early_a array<long>, early_b array<int>"), "windows")
+    found = written(candidates.mapInArrow(windows_to_verify(window), "doc_id long, late_a array<long>, late_b array<int>, early_a array<long>, early_b array<int>"), "windows")
     each = lambda kind: found.select("doc_id", F.explode(F.arrays_zip(F.col(f"{kind}_a").alias("a"), F.col(f"{kind}_b").alias("b"))).alias("w")).select("doc_id", "w.a", "w.b")
     late = each("late")
-    firsts = late.union(each("early")).groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("a", "b", "first")
+    firsts = written(late.union(each("early")).groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last"), "firsts")
     gone = late.join(firsts, ["a", "b"]).where("first < doc_id").groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("w")).select("doc_id", F.col("w.a").alias("a"), F.col("w.b").alias("b"))
-    decided = candidates.select("doc_id", "text_key", "text").join(gone, "doc_id").mapInArrow(without_repeats(window), "doc_id long, text_key long, removed long, left_sha256 string, kept_text string")
-    decided = decided.dropDuplicates(["doc_id", "text_key"]) if with_text else decided.drop("kept_text").dropDuplicates(["doc_id", "text_key"])
+    changed = "removed long, left_sha256 string" + ", kept_text string" * with_text
+    decided = candidates.select("doc_id", "whole", "text").join(gone, "doc_id").mapInArrow(without_repeats(window, with_text), "doc_id long, whole binary, " + changed).dropDuplicates(["doc_id", "whole"])
 
-    copies = known.join(wholes, "whole").where("doc_id > first").select("doc_id", "text_key", F.col("n_words").alias("removed"), F.lit(hashlib.sha256(b"").hexdigest()).alias("left_sha256"), *([F.lit("").alias("kept_text")] if with_text else [])).dropDuplicates(["doc_id", "text_key"])
-    result = base.select("doc_id", "text_key", "n_words", "kept_sha256").join(decided.unionByName(copies), ["doc_id", "text_key"], "left")
+    copied = single.where("doc_id < last").select("whole", F.col("doc_id").alias("first"))
+    nothing = [F.col("n_words").alias("removed"), F.lit(hashlib.sha256(b"").hexdigest()).alias("left_sha256"), *([F.lit("").alias("kept_text")] if with_text else [])]
+    copies = known.select("doc_id", "whole", "n_words").join(copied, "whole").where("doc_id > first").select("doc_id", "whole", *nothing).distinct()
+    result = base.select("doc_id", "whole", "n_words", "kept_sha256").join(decided.unionByName(copies), ["doc_id", "whole"], "left")
     return result.select("doc_id", "n_words", F.coalesce("removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("left_sha256", "kept_sha256").alias("kept_sha256"), *(["kept_text"] if with_text else []))
 
 
