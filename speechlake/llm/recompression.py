@@ -171,10 +171,10 @@ def parsed_texts(window: int):
 
 
 def windows_to_verify(window: int):
-    """For mapInArrow: doc_id, text, late, early -> digests of the windows that may be late, and of those only early.
+    """For mapInArrow: doc_id, whole, text, late, early -> digests of the windows that may be late, and of those only early.
 
     late and early hold the names of the text's symbols that also stand in a document before, or after, this one. A
-    window's words can stand in one before it only if all names within it do.
+    window's words can stand in one before it only if all names within it do. The text goes on only with the first.
     """
 
     def work(rows):
@@ -194,7 +194,8 @@ def windows_to_verify(window: int):
                     missing = Symbols(symbols.name[apart], symbols.low[apart], symbols.high[apart], symbols.mark[apart])
                     may.append(part.begins & (held(missing, total, window) == 0))
                 a, b = sums_of(part.words, window)
-                columns = [batch.column("doc_id")[first : first + n]]
+                some = np.bincount(part.owner[may[0]], minlength=n) > 0
+                columns = [batch.column("doc_id")[first : first + n], batch.column("whole")[first : first + n], pa.array([t if s else None for t, s in zip(texts, some)], pa.string())]
                 for at in (np.flatnonzero(may[0]), np.flatnonzero(may[1] & ~may[0])):
                     order = np.lexsort((b[at], a[at], part.owner[at]))
                     at = at[order]
@@ -202,7 +203,7 @@ def windows_to_verify(window: int):
                     at = at[new]
                     offsets = pa.array(np.searchsorted(part.owner[at], np.arange(n + 1)), pa.int32())
                     columns += [pa.ListArray.from_arrays(offsets, pa.array(a[at])), pa.ListArray.from_arrays(offsets, pa.array(b[at]))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "late_a", "late_b", "early_a", "early_b"])
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "whole", "text", "late_a", "late_b", "early_a", "early_b"])
 
     return work
 
@@ -283,15 +284,13 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = False)
     met = named.join(shared, "name")
     lists = met.groupBy("doc_id").agg(F.collect_list(F.when(F.col("first") < F.col("doc_id"), F.col("name"))).alias("late"), F.collect_list(F.when(F.col("last") > F.col("doc_id"), F.col("name"))).alias("early"))
     asked = single.select("doc_id", "text_key", "whole", "blind").join(lists, "doc_id", "left").where("blind or late is not null").drop("blind")
-    candidates = written(keyed.join(asked, ["doc_id", "text_key"]).drop("text_key"), "candidates")
-
-    found = written(candidates.mapInArrow(windows_to_verify(window), "doc_id long, late_a array<long>, late_b array<int>, early_a array<long>, early_b array<int>"), "windows")
+    found = written(keyed.join(asked, ["doc_id", "text_key"]).mapInArrow(windows_to_verify(window), "doc_id long, whole binary, text string, late_a array<long>, late_b array<int>, early_a array<long>, early_b array<int>"), "windows")
     each = lambda kind: found.select("doc_id", F.explode(F.arrays_zip(F.col(f"{kind}_a").alias("a"), F.col(f"{kind}_b").alias("b"))).alias("w")).select("doc_id", "w.a", "w.b")
     late = each("late")
     firsts = written(late.union(each("early")).groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last"), "firsts")
     gone = late.join(firsts, ["a", "b"]).where("first < doc_id").groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("w")).select("doc_id", F.col("w.a").alias("a"), F.col("w.b").alias("b"))
     changed = "removed long, left_sha256 string" + ", kept_text string" * with_text
-    decided = candidates.select("doc_id", "whole", "text").join(gone, "doc_id").mapInArrow(without_repeats(window, with_text), "doc_id long, whole binary, " + changed).dropDuplicates(["doc_id", "whole"])
+    decided = found.where("text is not null").select("doc_id", "whole", "text").join(gone, "doc_id").mapInArrow(without_repeats(window, with_text), "doc_id long, whole binary, " + changed).dropDuplicates(["doc_id", "whole"])
 
     copied = single.where("doc_id < last").select("whole", F.col("doc_id").alias("first"))
     nothing = [F.col("n_words").alias("removed"), F.lit(hashlib.sha256(b"").hexdigest()).alias("left_sha256"), *([F.lit("").alias("kept_text")] if with_text else [])]
