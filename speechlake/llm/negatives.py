@@ -23,13 +23,14 @@ class Block:
         self.order = np.argsort(vectors, axis=0, kind="stable").T.copy()
         self.sorted = np.take_along_axis(vectors.T, self.order, axis=1)
         self.most = int(np.abs(vectors).max(initial=0))
+        self.floats = vectors.astype(np.float64)
         self.accessed = 0
 
     def scores(self, at: np.ndarray, anchor: np.ndarray) -> np.ndarray:
         """Integer inner products, exact: in floats while they stay below 2 ** 53, in Python's integers beyond 2 ** 63."""
         bound = len(anchor) * self.most * int(np.abs(anchor).max(initial=0))
         if bound < 1 << 53:
-            return (self.vectors[at].astype(np.float64) @ anchor.astype(np.float64)).astype(np.int64)
+            return (self.floats[at] @ anchor.astype(np.float64)).astype(np.int64)
         kind = np.int64 if bound < 1 << 63 else object
         return self.vectors[at].astype(kind) @ anchor.astype(kind)
 
@@ -39,31 +40,32 @@ class Block:
         Sorted access goes down every list whose component the anchor has, from the top for a positive one, from
         the bottom for a negative one. Each row met is scored by random access. The threshold, the score of a row
         with the components just reached, bounds all rows not met: the search ends once it lies strictly below
-        every window's k-th score, or below the window itself where fewer were found.
+        every window's k-th score, or below the window itself where fewer were found, or once every row was met.
         """
-        n, dims = len(self.ids), np.flatnonzero(anchor)
-        down = (anchor[dims] > 0)[:, None]
+        n, up, down = len(self.ids), np.flatnonzero(anchor < 0), np.flatnonzero(anchor > 0)
+        dims = np.concatenate([up, down])
         met = np.zeros(n, bool)
         ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        depth, best = 0, []
-        while depth < n:
+        depth, n_met, best = 0, 0, []
+        while n_met < n:
             to = min(n, 2 * depth or FIRST_DEPTH) if len(dims) else n
-            steps = np.arange(depth, to)
             if len(dims):
                 new = np.zeros(n, bool)
-                new[self.order[dims[:, None], np.where(down, n - 1 - steps, steps)].ravel()] = True
+                new[self.order[up, depth:to].ravel()] = True
+                new[self.order[down, n - to : n - depth].ravel()] = True
                 new &= ~met
             else:  # every score is 0, so that no threshold is below any
                 new = ~met
             met |= new
             at = np.flatnonzero(new)
+            n_met += len(at)
             self.accessed += len(at)
             at = at[wanted[at]]
             ids, scores = np.concatenate([ids, self.ids[at]]), np.concatenate([scores, self.scores(at, anchor)])
             depth = to
             best, done = [], True
-            reached = self.sorted[dims, np.where(down[:, 0], n - depth, depth - 1)]
-            threshold = sum(int(a) * int(x) for a, x in zip(anchor[dims], reached))
+            reached = np.concatenate([self.sorted[up, depth - 1], self.sorted[down, n - depth]])
+            threshold = sum(a * x for a, x in zip(anchor[dims].tolist(), reached.tolist()))
             for low, high in windows:
                 inside = np.flatnonzero((scores >= low) & (scores <= high))
                 first = inside[np.lexsort((ids[inside], -scores[inside]))[:k]]
