@@ -62,11 +62,15 @@ def speech_laps(t) -> DataFrame:
     return j.during_lap(timed, t.v_laps, 86400.0, 30 * 86400.0)
 
 
-def mention_edges(t) -> DataFrame:
-    """Speech and the drivers, teams and circuits that it names; a driver only where the speech's session has one of that number."""
+def mention_edges(t, only: DataFrame | None = None) -> DataFrame:
+    """Speech and the drivers, teams and circuits that it names; a driver only where the speech's session has one of that number.
+
+    only: the speech (speech_id) that is asked for.
+    """
     calls = good_calls(t).select(C("call_id").alias("speech_id"), "session_key", "text")
     done = done_utterances(t).join(t.v_races.select("race_id", "session_key"), "race_id", "left").select(C("utterance_id").cast("string").alias("speech_id"), "session_key", "text")
     said = calls.unionByName(done)
+    said = said if only is None else said.join(only, "speech_id", "left_semi")
     found = j.mentions(said.select("speech_id", "text"), t.v_graph_aliases)
     others = found.where("entity_type <> 'driver'").select("speech_id", "entity_type", "entity_key")
     drivers = j.session_drivers(found, said, t.v_drivers).select("speech_id", F.lit("driver").alias("entity_type"), C("driver_number").cast("string").alias("entity_key"))

@@ -130,18 +130,3 @@ def resolve_names(tokens: DataFrame, names: DataFrame) -> DataFrame:
     """token -> id of the same name in any case; null where none is. names: id, name; the lowest id of equal names."""
     one = names.groupBy(F.lower("name").alias("_n")).agg(F.min("id").alias("id"))
     return tokens.withColumn("_n", F.lower(F.trim("token"))).join(one, "_n", "left").drop("_n")
-
-
-def expand(anchors: DataFrame, speech: DataFrame, laps: DataFrame, mentioned: DataFrame) -> DataFrame:
-    """Anchors (rank, speech_id) with what stands around them: text, the turns before and after, laps, mentions.
-
-    Edges of a kind are gathered per speech first, of the anchors only; then each is joined once, so that kinds do
-    not multiply each other.
-    """
-    ids = anchors.select("speech_id").distinct()
-    around = Window.partitionBy("clip_id").orderBy("idx")
-    clips = speech.join(ids, "speech_id", "left_semi").select("clip_id").distinct()
-    near = speech.join(clips, "clip_id", "left_semi").withColumns({"prev_text": F.lag("text").over(around), "next_text": F.lead("text").over(around)})
-    per_lap = laps.join(ids, "speech_id").groupBy("speech_id").agg(F.sort_array(F.collect_set(F.struct("lap_number", "duration_s", "prev_s"))).alias("laps"))
-    per_name = mentioned.join(ids, "speech_id").groupBy("speech_id").agg(F.sort_array(F.collect_set(F.struct(F.col("entity_type").alias("kind"), F.col("entity_key").alias("name")))).alias("mentions"))
-    return anchors.join(near, "speech_id").join(per_lap, "speech_id", "left").join(per_name, "speech_id", "left")

@@ -54,11 +54,16 @@ def cover_rank(index: DataFrame, terms: DataFrame) -> DataFrame:
     slots, rows = wanted.agg(F.max("slot"), F.count("*")).first()
     wanted = F.broadcast(wanted) if rows <= 10_000 else wanted
     at = index.join(wanted, index["token"] == wanted["term"]).select("request_id", "speech_id", "slot", "n_terms", F.explode("positions").alias("pos"))
+    return covers(at, slots or 1)
+
+
+def covers(at: DataFrame, slots: int) -> DataFrame:
+    """request_id, speech_id, slot, n_terms, pos (each place of each term, slots from 1 to at most slots) -> rank."""
     doc = Window.partitionBy("request_id", "speech_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     # the last position of each term so far
-    last = F.array_compact(F.array(*(F.last(F.when(F.col("slot") == i + 1, F.col("pos")), ignorenulls=True).over(doc) for i in range(slots or 1))))
-    covers = at.withColumn("_last", last).where(F.size("_last") == F.col("n_terms")).select("request_id", "speech_id", "pos", "n_terms", F.array_min("_last").alias("begin"))
-    minimal = covers.groupBy("request_id", "speech_id", "begin").agg(F.min("pos").alias("end"), F.first("n_terms").alias("n_terms"))
+    last = F.array_compact(F.array(*(F.last(F.when(F.col("slot") == i + 1, F.col("pos")), ignorenulls=True).over(doc) for i in range(slots))))
+    found = at.withColumn("_last", last).where(F.size("_last") == F.col("n_terms")).select("request_id", "speech_id", "pos", "n_terms", F.array_min("_last").alias("begin"))
+    minimal = found.groupBy("request_id", "speech_id", "begin").agg(F.min("pos").alias("end"), F.first("n_terms").alias("n_terms"))
     return minimal.groupBy("request_id", "speech_id").agg(F.sum(0.1 / (1 + (F.col("end") - F.col("begin") + 1 - F.col("n_terms")))).alias("rank"))
 
 
@@ -94,7 +99,7 @@ def clipped(text: Column, most: int = 160) -> Column:
 
 def brief(rows: DataFrame) -> DataFrame:
     """One line per hit: id, who, where, lap, how the voice reads, a clipped quote; what is missing is left out."""
-    who = F.coalesce("driver", F.lit("unidentified speaker"))
+    who = F.coalesce("driver", "speaker", F.lit("unidentified speaker"))
     part = lambda before, c: F.coalesce(F.concat(F.lit(before), c.cast("string")), F.lit(""))
     lap = F.try_element_at("laps", F.lit(1))["lap_number"]
     line = F.concat(F.lit("["), "speech_id", F.lit("] "), who, part(", ", F.col("session")), part(", lap ", lap), part(", voice reads ", F.col("mood")), F.lit(': "'), clipped(F.col("text")), F.lit('"'))
@@ -102,16 +107,23 @@ def brief(rows: DataFrame) -> DataFrame:
 
 
 def block(rows: DataFrame) -> DataFrame:
-    """The lines of one piece of evidence: head, tone, quote, laps with their change, mentions, before and after."""
-    head = F.concat_ws(" | ", F.concat_ws(" ", "session", F.col("year").cast("string")), F.coalesce("driver", F.lit("unidentified speaker")))
-    tone = tone_phrase(F.col("mood"), F.lit(None).cast("string"), F.lit(None).cast("double"), F.lit(None).cast("string"))
+    """The lines of one piece of evidence: head, tone, quote, laps with their change, events, mentions, before and after."""
+    team = F.coalesce(F.concat(F.lit(" ("), "team", F.lit(")")), F.lit(""))
+    who = F.concat(F.coalesce("driver", "speaker", F.lit("unidentified speaker")), team)
+    head = F.concat_ws(" | ", F.when(F.col("session").isNotNull(), F.concat_ws(" ", "session", F.col("year").cast("string"))).otherwise(F.col("circuit")), who)
+    tone = tone_phrase(F.col("mood"), F.col("sentiment"), F.col("sentiment_score"), F.col("text_sentiment"))
 
     def lap_line(x: Column) -> Column:
         change = F.concat(F.lit(" ("), F.format_string("%+.1f", x["duration_s"] - x["prev_s"]), F.lit("s vs previous)"))
         return F.concat(F.lit("  lap "), x["lap_number"].cast("string"), F.lit(": "), F.format_string("%.1f", x["duration_s"]), F.lit("s"), F.when(x["prev_s"].isNotNull(), change).otherwise(""))
 
+    def event_line(x: Column) -> Column:
+        of = F.filter("targets", lambda y: y["event_type"] == x["event_type"])
+        meant = F.coalesce(F.concat(F.lit(", involving "), F.try_element_at(of, F.lit(1))["driver"]), F.lit(""))
+        return F.concat(F.lit("  on track: reads as "), F.translate(x["event_type"], "_", " "), meant, F.format_string(" (%.2f)", x["score"]))
+
     quote = lambda label, c: F.concat(F.lit(label + '"'), F.trim(c), F.lit('"'))
+    listed = lambda name, line: F.when(F.size(name) > 0, F.array_join(F.transform(name, line), "\n"))
     named = F.array_join(F.transform("mentions", lambda m: F.concat(m["name"], F.lit(" ("), m["kind"], F.lit(")"))), ", ")
-    laps = F.when(F.size("laps") > 0, F.array_join(F.transform("laps", lap_line), "\n"))
-    lines = F.concat_ws("\n", F.concat(F.lit("["), "speech_id", F.lit("] "), head), F.when(tone != "", F.concat(F.lit("  tone: "), tone)), quote("  ", F.col("text")), laps, F.when(F.size("mentions") > 0, F.concat(F.lit("  mentions: "), named)), quote("  before: ", F.col("prev_text")), quote("  after: ", F.col("next_text")))
+    lines = F.concat_ws("\n", F.concat(F.lit("["), "speech_id", F.lit("] "), head), F.when(tone != "", F.concat(F.lit("  tone: "), tone)), quote("  ", F.col("text")), listed("laps", lap_line), listed("events", event_line), F.when(F.size("mentions") > 0, F.concat(F.lit("  mentions: "), named)), quote("  before: ", F.col("prev_text")), quote("  after: ", F.col("next_text")))
     return rows.withColumn("block", lines)

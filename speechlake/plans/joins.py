@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import context
 from ..operators import joins as j
+from .graph import DONE, EDGE_SQL, END_SQL
 from .registry import query
 
 C = F.col
@@ -102,46 +104,46 @@ def j20(t):
     return j.land_edges(edges, t.orders.where("o_orderstatus = 'F'").select(C("o_orderkey").alias("key")), t.supplier.where("s_suppkey % 2 = 0").select(C("s_suppkey").alias("key")))
 
 
-def lap_facts(t):
+def call_anchors(t, speech):
+    """Every call and utterance of the drivers and races whose number 50 divides, in order."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy("session_key", "driver_number").orderBy("lap_number")
-    laps = t.v_laps.withColumn("prev_s", F.lag("duration_s").over(w))
-    return j.during_lap(good_calls(t), t.v_laps, DAY, 30 * DAY).join(laps.select("session_key", "driver_number", "lap_number", "duration_s", "prev_s"), ["session_key", "driver_number", "lap_number"])
+    order = Window.partitionBy("whose").orderBy("kind", "spot", "speech_id")
+    return speech.where("whose % 50 = 0").select("speech_id", F.row_number().over(order).alias("rank"), C("whose").alias("request_id"))
 
 
-def call_speech(t):
-    d = t.v_drivers.select("session_key", "driver_number", C("name").alias("driver"))
-    s = t.v_sessions.select("session_key", C("name").alias("session"), "year")
-    rows = good_calls(t).join(d, ["session_key", "driver_number"], "left").join(s, "session_key", "left")
-    return rows.select("speech_id", C("driver_number").alias("clip_id"), F.struct("at_s", "speech_id").alias("idx"), "text", "mood", "driver", "session", "year")
-
-
-def call_anchors(t):
-    """Every call of the drivers whose number 50 divides, in order."""
-    from pyspark.sql import Window
+#: All speech with its own facts and place; what surrounds asked speech (a: speech_id, request_id, rank), as `expanded`.
+SPEECH = f"""{DONE}, sp AS (SELECT utterance_id::VARCHAR AS speech_id, 'utterance' AS kind, done.text, mood, sentiment, done.sentiment_score, text_sentiment, profile_id, NULL::BIGINT AS driver_number, NULL::BIGINT AS session_key, done.race_id AS whose, 'clip:' || clip_id AS line, idx AS spot, epoch(created_at::TIMESTAMP)::BIGINT AS newest FROM done JOIN (SELECT clip_id, created_at FROM v_clips) USING (clip_id)
+    UNION ALL SELECT call_id, 'radio_call', text, mood, NULL, NULL, NULL, NULL, driver_number, session_key, driver_number, 'driver:' || driver_number, recorded_s, recorded_s FROM calls)"""
+AROUND = f"""near AS (SELECT *, lag(text) OVER w AS prev_text, lead(text) OVER w AS next_text FROM sp WINDOW w AS (PARTITION BY line ORDER BY spot, speech_id)),
+  voice AS (SELECT profile_id, min(driver_number) AS voice_driver FROM v_drivers WHERE profile_id IS NOT NULL GROUP BY 1),
+  lp AS (SELECT session_key || '-' || driver_number || '-' || lap_number AS key, lap_number, duration_s, lag(duration_s) OVER (PARTITION BY session_key, driver_number ORDER BY lap_number) AS prev_s FROM v_laps),
+  lf AS (SELECT DISTINCT src AS speech_id, lap_number, duration_s, prev_s FROM ({EDGE_SQL["DURING_LAP"]}) JOIN lp ON dst = key),
+  ms AS (SELECT DISTINCT src AS speech_id, split_part(dst, ':', 1) AS kind, coalesce(d.name, substr(dst, instr(dst, ':') + 1)) AS name FROM ({EDGE_SQL["MENTIONS"]}) LEFT JOIN v_drivers d ON dst = 'driver:' || d.driver_number WHERE dst IN (SELECT key FROM ({END_SQL["Entity"]}))),
+  mn AS (SELECT speech_id, string_agg(name || ' (' || kind || ')', ', ' ORDER BY kind, name) AS mentions FROM ms GROUP BY 1),
+  tg AS (SELECT speech_id, event_type, min(name) AS driver FROM ev JOIN v_drivers ON target = driver_number GROUP BY 1, 2),
+  expanded AS (SELECT a.request_id, a.rank, n.speech_id, n.kind, n.text, n.mood, n.sentiment, n.sentiment_score, n.text_sentiment, p.name AS speaker, d.name AS driver, d.team_key::VARCHAR AS team, s.name AS session, s.year, s.circuit, prev_text, next_text, mentions
+    FROM a JOIN near n USING (speech_id) LEFT JOIN v_profiles_named p ON p.profile_id = n.profile_id LEFT JOIN voice v ON v.profile_id = n.profile_id LEFT JOIN v_drivers d ON d.driver_number = coalesce(n.driver_number, voice_driver) LEFT JOIN v_sessions s ON s.session_key = n.session_key LEFT JOIN mn USING (speech_id))"""
+EXPANDED = f"{SPEECH}, a AS (SELECT speech_id, whose AS request_id, row_number() OVER (PARTITION BY whose ORDER BY kind, spot, speech_id) AS rank FROM sp WHERE whose % 50 = 0), {AROUND}"
 
-    rows = good_calls(t).where("driver_number % 50 = 0")
-    return rows.select("speech_id", F.row_number().over(Window.partitionBy("driver_number").orderBy("at_s", "speech_id")).alias("rank"), C("driver_number").alias("request_id"))
-
-
-def call_mentions(t):
-    low = F.lower("text")
-    return good_calls(t).select("speech_id", F.lit("part").alias("entity_type"), low.alias("entity_key"))
 
+@query("j21_expand", f"""WITH {EXPANDED}, l AS (SELECT speech_id, count(*) AS n_laps, min(lap_number) AS first_lap FROM lf GROUP BY 1), e AS (SELECT speech_id, string_agg(event_type || printf(' %.2f', score), ', ' ORDER BY event_type, score) AS events FROM (SELECT DISTINCT speech_id, event_type, score, family FROM ev) GROUP BY 1), g AS (SELECT speech_id, string_agg(event_type || ' ' || driver, ', ' ORDER BY event_type) AS targets FROM tg GROUP BY 1)
+  SELECT request_id, rank, speech_id, kind, text, speaker, driver, team, session, prev_text, next_text, coalesce(n_laps, 0) AS n_laps, first_lap, mentions, events, targets FROM expanded LEFT JOIN l USING (speech_id) LEFT JOIN e USING (speech_id) LEFT JOIN g USING (speech_id)""")
+def j21(t):
+    """Anchors with all that the graph knows around them, one walk away."""
+    rows = expanded(t)
+    joined = lambda name, of: F.when(F.size(name) > 0, F.array_join(F.transform(name, of), ", ")).alias(name)
+    return rows.select(
+        "request_id", "rank", "speech_id", "kind", "text", "speaker", "driver", "team", "session", "prev_text", "next_text", F.greatest(F.size("laps"), F.lit(0)).cast("long").alias("n_laps"), F.try_element_at("laps", F.lit(1))["lap_number"].alias("first_lap"),
+        joined("mentions", lambda m: F.concat(m["name"], F.lit(" ("), m["kind"], F.lit(")"))), joined("events", lambda e: F.concat(e["event_type"], F.format_string(" %.2f", e["score"]))), joined("targets", lambda x: F.concat(x["event_type"], F.lit(" "), x["driver"])),
+    )
 
-EXPANDED = """g AS (SELECT * FROM v_radio WHERE error IS NULL AND analyzed_s IS NOT NULL),
-  a AS (SELECT call_id AS speech_id, driver_number AS request_id, row_number() OVER (PARTITION BY driver_number ORDER BY recorded_s, call_id) AS rank FROM g WHERE driver_number % 50 = 0),
-  near AS (SELECT call_id AS speech_id, g.text, g.mood, d.name AS driver, s.name AS session, s.year, lag(g.text) OVER w AS prev_text, lead(g.text) OVER w AS next_text FROM g LEFT JOIN v_drivers d ON d.session_key = g.session_key AND d.driver_number = g.driver_number LEFT JOIN v_sessions s ON s.session_key = g.session_key WINDOW w AS (PARTITION BY g.driver_number ORDER BY recorded_s, call_id)),
-  lp AS (SELECT *, lag(duration_s) OVER (PARTITION BY session_key, driver_number ORDER BY lap_number) AS prev_s FROM v_laps),
-  lf AS (SELECT call_id AS speech_id, lp.lap_number, lp.duration_s, lp.prev_s FROM g JOIN lp ON g.session_key = lp.session_key AND g.driver_number = lp.driver_number AND recorded_s >= start_s - 86400 AND recorded_s < start_s + duration_s + 86400 WHERE duration_s IS NOT NULL),
-  expanded AS (SELECT a.request_id, a.rank, near.*, lower(near.text) AS name FROM a JOIN near USING (speech_id))"""
 
+def expanded(t):
+    from ..operators.shared import checkpointed
 
-@query("j21_expand", f"WITH {EXPANDED} SELECT request_id, rank, e.speech_id, e.text, driver, session, prev_text, next_text, coalesce(n, 0) AS n_laps, first_lap, 1 AS n_mentions FROM expanded e LEFT JOIN (SELECT speech_id, count(DISTINCT lap_number) AS n, min(lap_number) AS first_lap FROM lf GROUP BY 1) USING (speech_id)")
-def j21(t):
-    rows = j.expand(call_anchors(t), call_speech(t), lap_facts(t), call_mentions(t))
-    return rows.select("request_id", "rank", "speech_id", "text", "driver", "session", "prev_text", "next_text", F.coalesce(F.size("laps"), F.lit(0)).alias("n_laps"), F.try_element_at("laps", F.lit(1))["lap_number"].alias("first_lap"), F.size("mentions").alias("n_mentions"))
+    speech = checkpointed(context.speech_lines(t))
+    return context.expand(t, call_anchors(t, speech), speech)
 
 
 @query("j22_resolve", """WITH ids AS (SELECT call_id AS speech_id FROM v_radio WHERE driver_number % 50 = 0), g AS (SELECT call_id AS speech_id, text, 'graph' AS via FROM v_radio WHERE error IS NULL AND analyzed_s IS NOT NULL)

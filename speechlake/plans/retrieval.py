@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.scoring import tone_word
+from ..operators import context, search
 from ..operators import joins as j
 from ..operators import retrieval as r
 from ..operators import sequences as q
 from .intervals import rounded
-from .joins import EXPANDED, call_anchors, call_mentions, call_speech, lap_facts
+from .joins import AROUND, EXPANDED, SPEECH, expanded
 from .registry import query
 
 C = F.col
@@ -124,46 +124,96 @@ def r07(t):
     return r.ranked(hits, "score", 50).select("speech_id", "score", "rk")
 
 
-BROWSE = "u AS (SELECT utterance_id::VARCHAR AS speech_id, mood, row_number() OVER (PARTITION BY mood ORDER BY utterance_id DESC) AS rank, 0 AS s FROM v_speech_utt WHERE mood IS NOT NULL), c AS (SELECT call_id AS speech_id, mood, row_number() OVER (PARTITION BY mood ORDER BY recorded_s DESC, call_id) AS rank, 1 AS s FROM v_radio WHERE mood IS NOT NULL AND error IS NULL AND analyzed_s IS NOT NULL)"
+TONE = r"CASE WHEN regexp_matches({x}, '(?i)\b(stressed|stress|stressful)\b') THEN 'stressed' WHEN regexp_matches({x}, '(?i)\b(calm|relaxed)\b') THEN 'calm' WHEN regexp_matches({x}, '(?i)\b(tired|fatigued|exhausted)\b') THEN 'tired' END"
+SAME = "a.mood IS NOT DISTINCT FROM x.mood AND a.profile_id IS NOT DISTINCT FROM x.profile_id"
+SPLIT = r"list_filter(regexp_split_to_array(lower({x}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
+#: Anchors of asked (request_id, topic, mood, profile_id, over) as anchored; topics have four words at most here.
+ANCHORED = f"""tw AS (SELECT topic, mood, profile_id, unnest(ws) AS term, generate_subscripts(ws, 1) AS slot, len(ws) AS k FROM (SELECT *, list_distinct({SPLIT.format(x="topic")}) AS ws FROM (SELECT DISTINCT topic, mood, profile_id FROM asked WHERE topic IS NOT NULL))),
+  po AS (SELECT speech_id, unnest(ts) AS token, generate_subscripts(ts, 1) - 1 AS pos FROM (SELECT speech_id, {SPLIT.format(x="text")} AS ts FROM sp)),
+  ps AS (SELECT topic, mood, profile_id, speech_id, slot, k, pos FROM po JOIN tw ON token = term),
+  ls AS (SELECT topic, mood, profile_id, speech_id, pos, k, {", ".join(f"max(CASE WHEN slot = {i} THEN pos END) OVER w AS l{i}" for i in (1, 2, 3, 4))} FROM ps WINDOW w AS (PARTITION BY topic, mood, profile_id, speech_id ORDER BY pos)),
+  cv AS (SELECT topic, mood, profile_id, speech_id, k, least(l1, l2, l3, l4) AS b, min(pos) AS e FROM ls WHERE l1 IS NOT NULL AND (k < 2 OR l2 IS NOT NULL) AND (k < 3 OR l3 IS NOT NULL) AND (k < 4 OR l4 IS NOT NULL) GROUP BY ALL),
+  co AS (SELECT topic, mood, profile_id, speech_id, sum(0.1::DOUBLE / (1 + (e - b + 1 - k))) AS score FROM cv GROUP BY ALL),
+  tr AS (SELECT co.*, kind, row_number() OVER (PARTITION BY co.topic, co.mood, co.profile_id, kind ORDER BY round(score, 9) DESC, co.speech_id) AS rk FROM co JOIN sp USING (speech_id) WHERE (co.mood IS NULL OR co.mood = sp.mood) AND (co.profile_id IS NULL OR co.profile_id = sp.profile_id)),
+  said AS (SELECT request_id, a.mood, over, 'topic' AS via, speech_id, kind, rk FROM asked a JOIN tr x ON a.topic = x.topic AND {SAME} WHERE rk <= over),
+  toned AS (SELECT request_id, mood, profile_id, over, 'tone' AS via FROM asked WHERE topic IS NULL AND mood IS NOT NULL
+    UNION ALL SELECT request_id, m, profile_id, over, 'fallback' FROM (SELECT *, {TONE.format(x="topic")} AS m FROM asked a WHERE topic IS NOT NULL AND mood IS NULL AND profile_id IS NULL AND NOT EXISTS (SELECT 1 FROM tr x WHERE a.topic = x.topic AND {SAME})) WHERE m IS NOT NULL),
+  nw AS (SELECT mood, NULL::BIGINT AS profile_id, speech_id, kind, row_number() OVER (PARTITION BY mood, kind ORDER BY newest DESC NULLS LAST, CASE WHEN kind = 'utterance' THEN spot END, speech_id) AS rk FROM sp WHERE mood IS NOT NULL
+    UNION ALL SELECT mood, profile_id, speech_id, kind, row_number() OVER (PARTITION BY mood, profile_id ORDER BY newest DESC NULLS LAST, spot, speech_id) FROM sp WHERE kind = 'utterance' AND profile_id IS NOT NULL AND mood IS NOT NULL),
+  latest AS (SELECT request_id, a.mood, over, via, speech_id, kind, rk FROM toned a JOIN nw x ON {SAME} WHERE rk <= over),
+  anchored AS (SELECT request_id, via, mood, rank, speech_id FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY rk, kind DESC) AS rank FROM (SELECT * FROM said UNION ALL SELECT * FROM latest)) WHERE rank <= over)"""
+
+
+def spoken_lines(t):
+    """All speech, computed once for the several uses of a search."""
+    from ..operators.shared import checkpointed
+
+    return checkpointed(context.speech_lines(t))
 
 
-@query("r08_browse_mood", f"WITH {BROWSE} SELECT mood, speech_id, place FROM (SELECT *, row_number() OVER (PARTITION BY mood ORDER BY rank, s) AS place FROM (SELECT * FROM u UNION ALL SELECT * FROM c)) WHERE place <= 30")
+@query("r08_browse_mood", f"WITH {SPEECH}, asked AS (SELECT m AS request_id, NULL::VARCHAR AS topic, m AS mood, NULL::BIGINT AS profile_id, 30 AS over FROM (VALUES ('calm'), ('stressed'), ('tired')) v(m)), {ANCHORED} SELECT mood, speech_id, rank AS place FROM anchored")
 def r08(t):
     """The newest speech of each mood, utterances and calls in turn."""
-    u = t.v_speech_utt.where("mood IS NOT NULL").select(C("utterance_id").cast("string").alias("speech_id"), "mood", F.row_number().over(Window.partitionBy("mood").orderBy(F.desc("utterance_id"))).alias("rank"))
-    c = t.v_radio.where("mood IS NOT NULL AND error IS NULL AND analyzed_s IS NOT NULL").select(C("call_id").alias("speech_id"), "mood", F.row_number().over(Window.partitionBy("mood").orderBy(F.desc("recorded_s"), "call_id")).alias("rank"))
-    return q.interleave(u, c, "mood", 30).select("mood", "speech_id", "place")
+    asked = t.spark.createDataFrame([(m, None, m, None, 30) for m in search.MOODS], "request_id string, topic string, mood string, profile_id long, over int")
+    return search.anchors(asked, spoken_lines(t)).select("mood", "speech_id", C("rank").alias("place"))
 
 
-@query("r09_anchor", f"WITH {BROWSE} SELECT mood, speech_id, round(1.0::DOUBLE / (60 + rank), 9) AS score, n FROM (SELECT *, row_number() OVER (PARTITION BY mood ORDER BY 1.0::DOUBLE / (60 + rank) DESC, speech_id) AS n FROM (SELECT * FROM u UNION ALL SELECT * FROM c)) WHERE n <= 25")
-def r09(t):
-    """Both lists fused by rank, the best 25 of each mood."""
-    u = t.v_speech_utt.where("mood IS NOT NULL").select(C("utterance_id").cast("string").alias("speech_id"), "mood", F.row_number().over(Window.partitionBy("mood").orderBy(F.desc("utterance_id"))).alias("rank"))
-    c = t.v_radio.where("mood IS NOT NULL AND error IS NULL AND analyzed_s IS NOT NULL").select(C("call_id").alias("speech_id"), "mood", F.row_number().over(Window.partitionBy("mood").orderBy(F.desc("recorded_s"), "call_id")).alias("rank"))
-    both = u.unionByName(c).groupBy("mood", "speech_id").agg(F.sum(1.0 / (60 + C("rank"))).alias("score"))
-    w = Window.partitionBy("mood").orderBy(F.desc("score"), "speech_id")
-    return both.withColumn("n", F.row_number().over(w)).where("n <= 25").select("mood", "speech_id", F.round("score", 9).alias("score"), "n")
-
-
-@query("r10_search_requests", f"""WITH u AS (SELECT user_id AS request_id, max(CASE event_id % 4 WHEN 0 THEN 'which calls sound stressed' WHEN 1 THEN 'anyone tired' WHEN 2 THEN 'null' ELSE 'calm voices' END) AS x, greatest(1, least(25, max(event_id % 40)))::BIGINT AS lim FROM events GROUP BY 1),
-  m AS (SELECT request_id, lim, CASE WHEN regexp_matches(x, '(?i)\\b(stressed)\\b') THEN 'stressed' WHEN regexp_matches(x, '(?i)\\b(calm)\\b') THEN 'calm' WHEN regexp_matches(x, '(?i)\\b(tired)\\b') THEN 'tired' END AS mood FROM u), {BROWSE},
-  p AS (SELECT mood, speech_id, row_number() OVER (PARTITION BY mood ORDER BY rank, s) AS place FROM (SELECT * FROM u2 UNION ALL SELECT * FROM c))
-  SELECT request_id, p.mood, speech_id, place FROM m JOIN p ON m.mood = p.mood AND place <= lim""".replace("u AS (SELECT utterance_id", "u2 AS (SELECT utterance_id"))
-def r10(t):
-    """A table of requests in words: the tone that is meant, the limit clamped to 1..25, the newest speech of it."""
-    ask = F.when(C("event_id") % 4 == 0, "which calls sound stressed").when(C("event_id") % 4 == 1, "anyone tired").when(C("event_id") % 4 == 2, "null").otherwise("calm voices")
-    req = t.events.groupBy(C("user_id").alias("request_id")).agg(F.max(ask).alias("x"), F.greatest(F.lit(1), F.least(F.lit(25), F.max(C("event_id") % 40))).alias("lim"))
-    req = req.withColumn("mood", tone_word(C("x"))).where("mood IS NOT NULL")
-    return req.join(r08(t).select("mood", "speech_id", "place"), "mood").where("place <= lim").select("request_id", "mood", "speech_id", "place")
+R09_ASKED = "asked AS (SELECT p_partkey AS request_id, CASE p_partkey // 10 % 4 WHEN 0 THEN p_name WHEN 1 THEN split_part(p_name, ' ', 1) WHEN 3 THEN 'words of part ' || p_partkey END AS topic, CASE p_partkey // 10 % 3 WHEN 1 THEN 'stressed' WHEN 2 THEN 'calm' END AS mood, CASE WHEN p_partkey // 10 % 5 = 0 THEN p_partkey % 100 + 1 END AS profile_id, 10 AS over FROM part WHERE p_partkey % 10 = 0)"
+
 
+def anchor_requests(t):
+    """Requests made of every tenth part: by its name, its first word, a tone alone or what is said of it; some with a tone, some with a speaker."""
+    kind = "cast(p_partkey / 10 AS bigint)"
+    return t.part.where("p_partkey % 10 = 0").selectExpr(
+        "p_partkey AS request_id", f"CASE {kind} % 4 WHEN 0 THEN p_name WHEN 1 THEN substring_index(p_name, ' ', 1) WHEN 3 THEN concat('words of part ', p_partkey) END AS topic",
+        f"CASE {kind} % 3 WHEN 1 THEN 'stressed' WHEN 2 THEN 'calm' END AS mood", f"CASE WHEN {kind} % 5 = 0 THEN p_partkey % 100 + 1 END AS profile_id", "10 AS over",
+    )
 
-def expanded(t):
-    return j.expand(call_anchors(t), call_speech(t), lap_facts(t), call_mentions(t))
+
+@query("r09_anchor", f"WITH {SPEECH}, {R09_ASKED}, {ANCHORED} SELECT request_id, via, rank, speech_id FROM anchored")
+def r09(t):
+    """Anchors of a table of requests by topic and tone with a speaker filter, both kinds of speech fused by rank."""
+    return search.anchors(anchor_requests(t), spoken_lines(t)).select("request_id", "via", "rank", "speech_id")
+
+
+ABSENT = "{x} IS NULL OR lower(trim({x})) IN ('', 'null', 'none', 'undefined', 'nil', 'n/a', 'na', '-')"
+R10_ASKED = f"""raw AS (SELECT user_id AS request_id, x, CASE x % 7 WHEN 0 THEN split_part(p_name, ' ', 1) WHEN 1 THEN ' None ' WHEN 2 THEN 'which calls sound stressed' WHEN 3 THEN ' ' || p_name WHEN 4 THEN 'n/a' WHEN 5 THEN 'words of part' ELSE 'anyone tired' END AS query,
+      CASE x % 5 WHEN 1 THEN ' Calm' WHEN 2 THEN 'null' WHEN 3 THEN 'tired' WHEN 4 THEN CASE WHEN x % 3 = 0 THEN 'angry' END END AS mood, CASE x % 4 WHEN 1 THEN 'none' WHEN 2 THEN 'customer#00000000' || x % 10 WHEN 3 THEN 'Supplier#000000001 of the team' END AS spoken_by, x % 40 - 3 AS lim
+    FROM (SELECT user_id, max(event_id) AS x FROM events GROUP BY 1) LEFT JOIN part ON p_partkey = x % 200 + 1),
+  clean AS (SELECT request_id, CASE WHEN NOT ({ABSENT.format(x="query")}) THEN trim(query) END AS topic, CASE WHEN NOT ({ABSENT.format(x="mood")}) THEN lower(trim(mood)) END AS mood, CASE WHEN NOT ({ABSENT.format(x="spoken_by")}) THEN lower(trim(spoken_by)) END AS who, greatest(1, least(25, coalesce(nullif(lim, 0), 8))) AS most FROM raw),
+  judged AS (SELECT *, CASE WHEN mood NOT IN ('calm', 'stressed', 'tired') THEN 'tone' WHEN topic IS NULL AND mood IS NULL THEN 'empty' END AS refused FROM clean),
+  asked AS (SELECT request_id, topic, mood, NULL::BIGINT AS profile_id, CASE WHEN who IS NULL THEN most ELSE 6 * most END AS over FROM judged WHERE refused IS NULL)"""
+BRIEF = r"""'[' || speech_id || '] ' || coalesce(driver, speaker, 'unidentified speaker') || coalesce(', ' || session, '') || coalesce(', lap ' || fl, '') || coalesce(', voice reads ' || mood, '') || ': "' || CASE WHEN length(f) > 160 THEN rtrim(substr(f, 1, 159)) || '…' ELSE f END || '"'"""
+NAMED = " OR ".join(f"coalesce(trim({c}) <> '' AND (contains(lower(trim({c})), who) OR contains(who, lower(trim({c})))), false)" for c in ("driver", "speaker", "team"))
+
+
+def search_requests(t):
+    """A request of every user: topics, words for nothing, tones in words or as labels, names in parts or with more around, limits out of bounds."""
+    asks = t.events.groupBy("user_id").agg(F.max("event_id").alias("x")).join(t.part.select("p_partkey", "p_name"), C("p_partkey") == C("x") % 200 + 1, "left")
+    return asks.selectExpr(
+        "user_id AS request_id",
+        "CASE x % 7 WHEN 0 THEN substring_index(p_name, ' ', 1) WHEN 1 THEN ' None ' WHEN 2 THEN 'which calls sound stressed' WHEN 3 THEN concat(' ', p_name) WHEN 4 THEN 'n/a' WHEN 5 THEN 'words of part' ELSE 'anyone tired' END AS query",
+        "CASE x % 5 WHEN 1 THEN ' Calm' WHEN 2 THEN 'null' WHEN 3 THEN 'tired' WHEN 4 THEN CASE WHEN x % 3 = 0 THEN 'angry' END END AS mood",
+        "CASE x % 4 WHEN 1 THEN 'none' WHEN 2 THEN concat('customer#00000000', x % 10) WHEN 3 THEN 'Supplier#000000001 of the team' END AS spoken_by", "x % 40 - 3 AS `limit`",
+    )
+
+
+@query("r10_search_requests", rf"""WITH {SPEECH}, {R10_ASKED}, {ANCHORED}, a AS (SELECT request_id, speech_id, rank FROM anchored), {AROUND},
+  fl AS (SELECT speech_id, min(lap_number) AS fl FROM lf GROUP BY 1),
+  hits AS (SELECT e.*, via, fl, most, trim(regexp_replace(coalesce(e.text, ''), '\s+', ' ', 'g')) AS f, row_number() OVER (PARTITION BY e.request_id ORDER BY e.rank) AS place FROM expanded e JOIN anchored an ON an.request_id = e.request_id AND an.rank = e.rank JOIN judged j ON j.request_id = e.request_id LEFT JOIN fl ON fl.speech_id = e.speech_id WHERE who IS NULL OR {NAMED})
+  SELECT request_id, 'found' AS status, via, place, speech_id, {BRIEF} AS line FROM hits WHERE place <= most
+  UNION ALL SELECT request_id, coalesce(refused, CASE WHEN request_id IN (SELECT request_id FROM anchored) THEN 'nobody' ELSE 'nothing' END), NULL, NULL, NULL, NULL FROM judged WHERE request_id NOT IN (SELECT request_id FROM hits)""")
+def r10(t):
+    """The whole search for a table of requests: cleaned, anchored, filled up by tone, expanded, filtered by speaker, cut, told in lines."""
+    speech = spoken_lines(t)
+    return search.search(search_requests(t), speech, lambda ids: context.neighbourhood(t, ids, speech))
 
 
 #: An expanded anchor as the lines that are shown of it; what is missing is left out.
-BLOCKS = """lt AS (SELECT speech_id, string_agg('  lap ' || lap_number || ': ' || printf('%.1f', duration_s) || 's' || coalesce(' (' || printf('%+.1f', duration_s - prev_s) || 's vs previous)', ''), chr(10) ORDER BY lap_number) AS lines FROM (SELECT DISTINCT speech_id, lap_number, duration_s, prev_s FROM lf) GROUP BY 1),
-  blocks AS (SELECT e.request_id, e.rank, concat_ws(chr(10), '[' || e.speech_id || '] ' || concat_ws(' ', e.session, e.year::VARCHAR) || ' | ' || coalesce(e.driver, 'unidentified speaker'), '  tone: voice reads ' || e.mood, '  "' || trim(e.text) || '"', lt.lines, '  mentions: ' || e.name || ' (part)', '  before: "' || trim(e.prev_text) || '"', '  after: "' || trim(e.next_text) || '"') AS block FROM expanded e LEFT JOIN lt USING (speech_id)),
+BLOCKS = """lt AS (SELECT speech_id, string_agg('  lap ' || lap_number || ': ' || printf('%.1f', duration_s) || 's' || coalesce(' (' || printf('%+.1f', duration_s - prev_s) || 's vs previous)', ''), chr(10) ORDER BY lap_number, duration_s, prev_s NULLS FIRST) AS lines FROM lf GROUP BY 1),
+  el AS (SELECT e.speech_id, string_agg('  on track: reads as ' || replace(event_type, '_', ' ') || coalesce(', involving ' || driver, '') || printf(' (%.2f)', score), chr(10) ORDER BY event_type, score, family) AS seen FROM (SELECT DISTINCT speech_id, event_type, score, family FROM ev) e LEFT JOIN tg USING (speech_id, event_type) GROUP BY 1),
+  toneof AS (SELECT *, concat_ws(', ', 'voice reads ' || mood, 'words read ' || sentiment || coalesce(' (' || printf('%+.2f', sentiment_score) || ')', ''), CASE WHEN text_sentiment <> sentiment THEN 'text alone reads ' || text_sentiment END) AS tone FROM expanded),
+  blocks AS (SELECT e.request_id, e.rank, concat_ws(chr(10), '[' || e.speech_id || '] ' || concat_ws(' | ', CASE WHEN session IS NOT NULL THEN concat_ws(' ', session, year::VARCHAR) ELSE circuit END, coalesce(driver, speaker, 'unidentified speaker') || coalesce(' (' || team || ')', '')), CASE WHEN tone <> '' THEN '  tone: ' || tone END, '  "' || trim(e.text) || '"', lt.lines, el.seen, '  mentions: ' || e.mentions, '  before: "' || trim(e.prev_text) || '"', '  after: "' || trim(e.next_text) || '"') AS block FROM toneof e LEFT JOIN lt USING (speech_id) LEFT JOIN el USING (speech_id)),
   sized AS (SELECT *, sum(length(block) + 2) OVER (PARTITION BY request_id ORDER BY rank) AS upto, sum(length(block) + 2) OVER (PARTITION BY request_id) - 2 AS total FROM blocks)"""
 BODY = "SELECT request_id, string_agg(block, chr(10) || chr(10) ORDER BY rank) AS body FROM sized WHERE total <= {n} OR upto <= {n} GROUP BY 1"
 
@@ -173,9 +223,6 @@ def r11(t):
     return q.truncate_blocks(r.block(expanded(t)).select("request_id", "rank", "block"), "request_id", 4000)
 
 
-BRIEF = r"""'[' || e.speech_id || '] ' || coalesce(driver, 'unidentified speaker') || coalesce(', ' || session, '') || coalesce(', lap ' || fl, '') || coalesce(', voice reads ' || mood, '') || ': "' || CASE WHEN length(f) > 160 THEN rtrim(substr(f, 1, 159)) || '…' ELSE f END || '"'"""
-
-
 @query("r12_render_brief", rf"WITH {EXPANDED}, fl AS (SELECT speech_id, min(lap_number) AS fl FROM lf GROUP BY 1), e AS (SELECT *, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS f FROM expanded) SELECT request_id, rank, {BRIEF} AS line FROM e LEFT JOIN fl USING (speech_id)")
 def r12(t):
     return r.brief(expanded(t)).select("request_id", "rank", "line")
@@ -197,10 +244,14 @@ def r13(t):
     return driver_timeline(t.v_laps, said)
 
 
-@query("r14_graph_context", f"WITH {EXPANDED}, {BLOCKS} SELECT request_id, body, (SELECT count(*) FROM blocks b WHERE b.request_id = x.request_id) AS n_anchors FROM ({BODY.format(n=1200)}) x")
+@query("r14_graph_context", f"""WITH {SPEECH}, {R09_ASKED}, {ANCHORED}, a AS (SELECT request_id, speech_id, rank FROM anchored UNION ALL SELECT -whose, speech_id, row_number() OVER (PARTITION BY whose ORDER BY newest DESC, speech_id) FROM sp WHERE kind = 'radio_call' AND whose % 50 = 0), {AROUND}, {BLOCKS}
+  SELECT request_id, body, (SELECT count(*) FROM blocks b WHERE b.request_id = x.request_id) AS n_anchors FROM ({BODY.format(n=1200)}) x""")
 def r14(t):
-    """Anchors to expanded, rendered evidence for a table of requests."""
+    """Anchors, searched or given by id (negative requests: all calls of a driver), expanded and rendered as evidence."""
     from ..operators.shared import checkpointed
 
-    blocks = checkpointed(r.block(expanded(t)).select("request_id", "rank", "block"))
+    speech = spoken_lines(t)
+    given = speech.where("kind = 'radio_call' AND whose % 50 = 0").select((-C("whose")).alias("request_id"), F.row_number().over(Window.partitionBy("whose").orderBy(F.desc("newest"), "speech_id")).alias("rank"), "speech_id")
+    found = search.anchors(anchor_requests(t), speech).select("request_id", "rank", "speech_id").unionByName(given)
+    blocks = checkpointed(r.block(context.expand(t, checkpointed(found), speech)).select("request_id", "rank", "block"))
     return q.truncate_blocks(blocks, "request_id", 1200).join(blocks.groupBy("request_id").agg(F.count("*").alias("n_anchors")), "request_id")
