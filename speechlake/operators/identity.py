@@ -6,6 +6,8 @@ few; they are broadcast where their number has been checked, else joined by salt
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -257,29 +259,83 @@ def assign_clusters(batch: DataFrame, clusters: DataFrame, p: Params = DEFAULTS)
     return rows.select("query_id", "cluster_id", "hit", "teaches"), moved.join(sums, "cluster_id")
 
 
-def consolidate(clusters: DataFrame, p: Params = DEFAULTS, rounds: int = 20) -> DataFrame:
+#: Clusters that one task brings to their end.
+FEW_CLUSTERS = 2_000
+
+
+def merged_to_the_end(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
+    """cluster_id, centroid, weight of few clusters -> cluster_id, into: rounds of mutual nearest pairs until none is left.
+
+    Similarities are kept from round to round; only those of a survivor are computed anew.
+    """
+    pdf = pdf.sort_values("cluster_id")
+    ids, w = pdf["cluster_id"].to_numpy(), pdf["weight"].to_numpy(float)
+    c = np.array(pdf["centroid"].tolist(), float).reshape(len(ids), -1)
+    into, live = np.arange(len(ids)), np.ones(len(ids), bool)
+    sims = c @ c.T
+    np.fill_diagonal(sims, -np.inf)
+    while live.any():
+        near = sims.argmax(axis=1)  # the smaller id of equals
+        i = np.flatnonzero(live & (sims[np.arange(len(ids)), near] >= least))
+        i = i[near[near[i]] == i]
+        loses = i[(w[i] < w[near[i]]) | ((w[i] == w[near[i]]) & (i > near[i]))]
+        if not len(loses):
+            break
+        keeps = near[loses]
+        sums = c[keeps] * w[keeps, None] + c[loses] * w[loses, None]
+        c[keeps] = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
+        w[keeps] += w[loses]
+        live[loses] = False
+        into[loses] = keeps
+        sims[keeps] = c[keeps] @ c.T
+        sims[:, keeps] = sims[keeps].T
+        sims[keeps, keeps] = -np.inf
+        sims[~live] = -np.inf
+        sims[:, ~live] = -np.inf
+    while (into[into] != into).any():
+        into = into[into]
+    return pd.DataFrame({"cluster_id": ids, "into": ids[into]})
+
+
+def consolidate(clusters: DataFrame, p: Params = DEFAULTS, few: int = FEW_CLUSTERS) -> DataFrame:
     """cluster_id -> survivor, after merging the clusters that are one voice.
 
     In each round all pairs that are each other's nearest at cluster_merge or more merge, the heavier one surviving;
-    rounds end when none do. Each round is checkpointed.
+    rounds go on until there is no such pair, however many they are. Every cluster's nearest is kept between rounds:
+    only survivors, and clusters whose nearest took part in a merge, look at all others again, the rest look at the
+    survivors. Rounds are checkpointed. Once no more than few clusters are left, which are counted, one task
+    takes the same rounds to their end.
     """
     from .shared import checkpointed
 
+    query = lambda df: df.select(F.col("cluster_id").alias("query_id"), F.col("centroid").alias("vec"))
+    nearest = lambda of, among: knn(query(of), among, "cluster_id", 1, others=True).select("query_id", "cluster_id", "sim")
     now = checkpointed(clusters.select("cluster_id", "centroid", "weight"))
     names = now.select("cluster_id", F.col("cluster_id").alias("survivor"))
-    for _ in range(rounds):
-        best = knn(now.select(F.col("cluster_id").alias("query_id"), F.col("centroid").alias("vec")), now, "cluster_id", 1, others=True).where(F.col("sim") >= p.cluster_merge)
-        best = best.join(now.select(F.col("cluster_id").alias("query_id"), "weight"), "query_id")
+    near = None
+    while now.count() > few:
+        near = checkpointed(nearest(now, now)) if near is None else near
+        best = near.where(F.col("sim") >= p.cluster_merge).join(now.select(F.col("cluster_id").alias("query_id"), "weight"), "query_id")
         back = best.select(F.col("query_id").alias("cluster_id"), F.col("cluster_id").alias("query_id"), F.col("weight").alias("other"))
         mutual = best.join(back, ["query_id", "cluster_id"])
         loses = (F.col("weight") < F.col("other")) | ((F.col("weight") == F.col("other")) & (F.col("query_id") > F.col("cluster_id")))
         merged = checkpointed(mutual.where(loses).select(F.col("query_id").alias("cluster_id"), F.col("cluster_id").alias("into")))
         if merged.isEmpty():
-            break
+            return names
         names = checkpointed(names.join(merged.toDF("survivor", "into"), "survivor", "left").select("cluster_id", F.coalesce("into", "survivor").alias("survivor")))
         moved = now.join(merged, "cluster_id", "left").withColumn("cluster_id", F.coalesce("into", "cluster_id"))
         now = checkpointed(weighted_centroid(moved.withColumnRenamed("centroid", "vec"), "cluster_id", "vec", "weight").join(moved.groupBy("cluster_id").agg(F.sum("weight").alias("weight")), "cluster_id"))
-    return names
+        part = merged.select("cluster_id").union(merged.select("into"))
+        left = near.join(part.select(F.col("cluster_id").alias("query_id")), "query_id", "left_anti")
+        stays = checkpointed(left.join(part, "cluster_id", "left_anti"))
+        again = now.join(stays.select(F.col("query_id").alias("cluster_id")), "cluster_id", "left_anti")
+        fresh = now.join(merged.select(F.col("into").alias("cluster_id")).distinct(), "cluster_id", "left_semi")
+        others = now.join(stays.select(F.col("query_id").alias("cluster_id")), "cluster_id", "left_semi")
+        either = stays.unionByName(nearest(others, fresh))
+        kept = either.groupBy("query_id").agg(F.max(F.struct("sim", (-F.col("cluster_id")).alias("_c"))).alias("x")).select("query_id", (-F.col("x._c")).alias("cluster_id"), "x.sim")
+        near = checkpointed(kept.unionByName(nearest(again, now)))
+    last = now.groupBy().applyInPandas(lambda pdf: merged_to_the_end(pdf, p.cluster_merge), "cluster_id long, into long")
+    return names.join(last.toDF("survivor", "into"), "survivor", "left").select("cluster_id", F.coalesce("into", "survivor").alias("survivor"))
 
 
 def score_events(speech: DataFrame, exemplars: DataFrame, limit: int = MOST_PROFILES) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -260,3 +261,39 @@ def test_folds_of_one_long_session(spark):
     began = time.time()
     out = q.cut_chunks(rows).agg(F.count("*"), F.max("chunk")).first()
     assert out[0] == 200_000 and out[1] > 1000 and time.time() - began < 60
+
+
+def greedy(rows, least):
+    """The most similar pair first, the heavier surviving, until none is similar enough."""
+    live, into = {i: (np.array(c), w) for i, c, w in rows}, {i: i for i, _, _ in rows}
+    while len(live) > 1:
+        sim, a, b = max((float(live[a][0] @ live[b][0]), -a, -b) for a in live for b in live if a < b)
+        if sim < least:
+            break
+        a, b = -a, -b
+        keep, drop = (a, b) if live[a][1] >= live[b][1] else (b, a)
+        c = live[keep][0] * live[keep][1] + live[drop][0] * live[drop][1]
+        live[keep] = (c / np.linalg.norm(c), live[keep][1] + live[drop][1])
+        del live[drop]
+        into = {k: keep if x == drop else x for k, x in into.items()}
+    return into
+
+
+@pytest.mark.parametrize("few", [2_000, 3])
+def test_consolidation_goes_on_to_the_end(spark, few):
+    """A chain in which each round makes one pair (more of them than 20), and apart from it well separated voices."""
+    angles = np.cumsum([0.0] + [0.02 * 0.9**k for k in range(24 if few > 3 else 6)])
+    rows = [(k, [float(np.cos(x)), float(np.sin(x)), 0.0], 1.0 + k) for k, x in enumerate(angles)]
+    rows += [(100, [0.0, 0.0, 1.0], 5.0), (101, [0.0, 0.3, float(np.sqrt(0.91))], 5.0), (102, [0.0, -1.0, 0.0], 1.0)]
+    got = {x.cluster_id: x.survivor for x in v.consolidate(spark.createDataFrame(rows, "cluster_id long, centroid array<double>, weight double"), few=few).collect()}
+    assert got == greedy(rows, 0.62) and len(set(got.values())) == 3
+
+
+def test_few_clusters_merge_as_many_do(spark):
+    rng = np.random.default_rng(50)
+    centers = rng.standard_normal((12, 8))
+    x = centers[rng.integers(0, 12, 80)] + 0.35 * rng.standard_normal((80, 8))
+    rows = [(k, (c / np.linalg.norm(c)).tolist(), float(rng.integers(1, 9))) for k, c in enumerate(x)]
+    df = spark.createDataFrame(rows, "cluster_id long, centroid array<double>, weight double")
+    one, many = ({r.cluster_id: r.survivor for r in v.consolidate(df, few=n).collect()} for n in (2_000, 10))
+    assert one == many and len(set(one.values())) < 40
