@@ -35,20 +35,28 @@ def baseline_tone(state: tuple, row) -> tuple[tuple, str]:
     return (n, mean, std, rate), read
 
 
-def pool_voice(state: tuple, row, threshold: float = 0.52) -> tuple[tuple, int]:
-    """state (centroids flat, turns per voice): the session's voice that is nearest, or a new one; voices keep their number."""
-    flat, counts = state
+def pool_speech(state: tuple, row, threshold: float = 0.52) -> tuple[tuple, list[float]]:
+    """state (centroids flat, turns and seconds per voice): [voice, seconds so far, *centroid] of the session's voice that is nearest.
+
+    A turn near none is a new voice; voices keep their number. A centroid is the normalised mean of itself, as often
+    as it has had turns, and the new turn.
+    """
+    flat, turns, seconds = state
     vec = np.asarray(row.vec, float)
-    if counts:
-        all_voices = np.asarray(flat).reshape(len(counts), -1)
-        sims = all_voices @ vec
-        best = int(np.argmax(sims))
-        if sims[best] >= threshold:
-            c = (all_voices[best] * counts[best] + vec) / (counts[best] + 1)
-            all_voices[best] = c / max(float(np.linalg.norm(c)), 1e-6)
-            counts = [*counts[:best], counts[best] + 1, *counts[best + 1 :]]
-            return (all_voices.reshape(-1).tolist(), counts), best
-    return ([*flat, *vec.tolist()], [*counts, 1]), len(counts)
+    known = np.asarray(flat, float).reshape(len(turns), -1) if turns else np.zeros((0, len(vec)))
+    sims = known @ vec
+    at = int(np.argmax(sims)) if len(sims) else 0
+    turns, seconds = list(turns), list(seconds)
+    if len(sims) and sims[at] >= threshold:
+        mean = (known[at] * turns[at] + vec) / (turns[at] + 1)
+        known[at] = mean / max(float(np.linalg.norm(mean)), 1e-6)
+        turns[at] += 1
+        seconds[at] += float(row.dur)
+    else:
+        at, known = len(turns), np.vstack([known, vec])
+        turns.append(1)
+        seconds.append(float(row.dur))
+    return (known.ravel().tolist(), turns, seconds), [float(at), seconds[at], *known[at].tolist()]
 
 
 def cut_chunk(state: tuple, row, threshold: float = 0.02, pause: float = 0.6, least: float = 1.2, most: float = 12.0) -> tuple[tuple, int]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.citations import citations
 from ..operators import maintenance as m
 from .registry import query
 
@@ -209,12 +210,10 @@ def l05(t):
     return m.store_verdicts(verdicts, cars, sessions, t.v_drivers, old, "model")
 
 
-@query("l06_citations", r"SELECT utterance_id, CASE WHEN len(c) > 0 THEN c ELSE s END AS cited FROM (SELECT utterance_id, list_filter(ids, lambda x, i: list_position(ids, x) = i) AS c, list_filter(srcs, lambda x, i: list_position(srcs, x) = i)[1:6] AS s FROM (SELECT utterance_id, regexp_extract_all(text, 'Th[a-z]+') AS ids, regexp_extract_all(text, '[a-z]+') AS srcs FROM v_utterances))")
+@query("l06_citations", r"SELECT utterance_id, CASE WHEN len(ids) > 0 THEN list_filter(ids, lambda x, i: list_position(ids, x) = i) ELSE list_filter(consulted, lambda x, i: list_position(consulted, x) = i)[1:6] END AS cited FROM (SELECT *, regexp_extract_all(answer, '(?i)\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b') AS ids FROM v_answers)")
 def l06(t):
     """What an answer cites, else the first six of its sources."""
-    cited = F.array_distinct(F.regexp_extract_all("text", F.lit(r"Th[a-z]+"), F.lit(0)))
-    sources = F.slice(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[a-z]+"), F.lit(0))), 1, 6)
-    return t.v_utterances.select("utterance_id", F.when(F.size(cited) > 0, cited).otherwise(sources).alias("cited"))
+    return t.v_answers.select("utterance_id", citations(C("answer"), C("consulted")).alias("cited"))
 
 
 CHAIN = """WITH RECURSIVE f AS (SELECT DISTINCT actor, 0::BIGINT AS seq, '' AS prev_hash, 'start' AS row_hash FROM v_audit

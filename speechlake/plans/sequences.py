@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.filters import page, topk_per_key
 from ..functions.scoring import band_label
+from ..functions.citations import cited_ids
 from ..operators import sequences as q
 from .intervals import rounded
 from .registry import query
@@ -169,10 +170,10 @@ def k04(t):
     return q.truncate_blocks(t.v_utterances.select("clip_id", C("idx").alias("rank"), C("text").alias("block")), "clip_id", 1500)
 
 
-@query("k05_cited_ids", r"SELECT utterance_id, list_filter(ids, lambda x, i: list_position(ids, x) = i) AS ids FROM (SELECT utterance_id, regexp_extract_all(lower(text), '\bth[a-z]+') AS ids FROM v_utterances)")
+@query("k05_cited_ids", r"SELECT utterance_id, list_filter(ids, lambda x, i: list_position(ids, x) = i) AS ids FROM (SELECT utterance_id, regexp_extract_all(answer, '(?i)\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b') AS ids FROM v_answers)")
 def k05(t):
-    """What a text names, each once, in the order of first appearance."""
-    return t.v_utterances.select("utterance_id", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\bth[a-z]+"), F.lit(0))).alias("ids"))
+    """The speech that an answer cites, each id once, in the order of first appearance."""
+    return t.v_answers.select("utterance_id", cited_ids(C("answer")).alias("ids"))
 
 
 @query("k06_union_speech", "SELECT 'utterance' AS kind, utterance_id::VARCHAR AS speech_id, text FROM v_speech_utt WHERE trim(text) <> '' UNION ALL SELECT 'radio', call_id, text FROM v_radio WHERE error IS NULL AND analyzed_s IS NOT NULL")

@@ -11,7 +11,7 @@ from ..operators.maintenance import replace_derived
 from ..params import DEFAULTS as P
 from ..sources.adapters import Tables
 from ..streaming import folds
-from ..streaming.jobs import drain, drain_batches, once, place, table_stream, turn_output
+from ..streaming.jobs import ENOUGH_S, drain, drain_batches, once, place, pooled_voices, table_stream, turn_output
 from .identity import IDENTIFIED
 from .intervals import ASSIGN, REGROUP, SMOOTH, WORDS, rounded
 from .registry import query
@@ -31,10 +31,6 @@ class Batch(Tables):
         return self._tables[name] if name in self._tables else super().raw(name)
 
 
-#: Arriving voices, of which no more than eight seconds are believed.
-LIVE = """live AS (SELECT vec_id AS query_id, label AS true_label, speech_s, sqrt(least(1, least(speech_s, 8) / 8)) * (0.5 + 0.5 * (0.5 * greatest(0, least(1, (snr_db - 5) / 20)) + 0.3 + 0.2 * greatest(0, least(1, (bandwidth_hz - 3000) / 5000)))) AS reliability FROM v_voices WHERE vec_id % 2 = 1)"""
-
-
 def events(t):
     return table_stream(t.spark, t.folder, "events").withColumn("ts", C("ts").cast("timestamp"))
 
@@ -81,32 +77,50 @@ def t04(t):
 
 
 def voice_rows(df):
-    return df.select((C("vec_id") % 20).alias("session"), C("vec_id").alias("row_id"), C("vec_id").alias("at"), C("embedding").cast("array<double>").alias("vec"))
+    return df.select((C("vec_id") % 20).alias("session"), C("vec_id").alias("row_id"), C("vec_id").alias("at"), C("embedding").cast("array<double>").alias("vec"), F.lit(1.0).alias("dur"))
 
 
-@query("t05_voice_pool", """WITH RECURSIVE s AS (SELECT vec_id % 20 AS session, vec_id AS row_id, embedding::DOUBLE[] AS vec, row_number() OVER (PARTITION BY vec_id % 20 ORDER BY vec_id) AS k FROM embeddings),
-  f AS (SELECT DISTINCT session, 0::BIGINT AS row_id, 0::BIGINT AS k, 0::BIGINT AS voice, []::DOUBLE[][] AS cs, []::BIGINT[] AS ns FROM s
-    UNION ALL SELECT session, row_id, k, CASE WHEN hit THEN b - 1 ELSE len(ns) END, CASE WHEN hit THEN cs[1:b - 1] || [list_transform(m, lambda x: x / greatest(sqrt(list_inner_product(m, m)), 1e-6::DOUBLE))] || cs[b + 1:] ELSE list_append(cs, vec) END, CASE WHEN hit THEN ns[1:b - 1] || [ns[b] + 1] || ns[b + 1:] ELSE list_append(ns, 1) END
+def pool_sql(rows: str) -> str:
+    """Turns (session, row_id, vec, dur, k) of rows joined to the voices of their session, as f: voice, total and the pooled vector."""
+    return f"""RECURSIVE s AS ({rows}),
+  f AS (SELECT DISTINCT session, 0::BIGINT AS row_id, 0::BIGINT AS k, 0::BIGINT AS voice, []::DOUBLE[][] AS cs, []::BIGINT[] AS ns, []::DOUBLE[] AS ss FROM s
+    UNION ALL SELECT session, row_id, k, CASE WHEN hit THEN b - 1 ELSE len(ns) END, CASE WHEN hit THEN cs[1:b - 1] || [list_transform(m, lambda x: x / greatest(sqrt(list_inner_product(m, m)), 1e-6::DOUBLE))] || cs[b + 1:] ELSE list_append(cs, vec) END, CASE WHEN hit THEN ns[1:b - 1] || [ns[b] + 1] || ns[b + 1:] ELSE list_append(ns, 1) END, CASE WHEN hit THEN ss[1:b - 1] || [ss[b] + dur] || ss[b + 1:] ELSE list_append(ss, dur) END
     FROM (SELECT *, [(x[1] * ns[b] + x[2]) / (ns[b] + 1) for x in list_zip(cs[b], vec)] AS m FROM (SELECT *, list_position(sims, list_max(sims))::BIGINT AS b, coalesce(list_max(sims) >= 0.52::DOUBLE, false) AS hit
-      FROM (SELECT s.*, f.cs, f.ns, [list_inner_product(c, s.vec) for c in f.cs] AS sims FROM f JOIN s ON s.session = f.session AND s.k = f.k + 1))))
-  SELECT session, row_id, voice FROM f WHERE k > 0""")
+      FROM (SELECT s.*, f.cs, f.ns, f.ss, [list_inner_product(c, s.vec) for c in f.cs] AS sims FROM f JOIN s ON s.session = f.session AND s.k = f.k + 1))))"""
+
+
+@query("t05_voice_pool", f"WITH {pool_sql('SELECT vec_id % 20 AS session, vec_id AS row_id, embedding::DOUBLE[] AS vec, 1.0::DOUBLE AS dur, row_number() OVER (PARTITION BY vec_id % 20 ORDER BY vec_id) AS k FROM embeddings')} SELECT session, row_id, voice FROM f WHERE k > 0")
 def t05(t):
-    return drain(folds.stream(voice_rows(table_stream(t.spark, t.folder, "embeddings")), folds.pool_voice, ([], []), "long", "flat array<double>, counts array<long>", idle_ms=None)).withColumnRenamed("value", "voice")
+    """The session's voice that each turn belongs to."""
+    return drain(pooled_voices(voice_rows(table_stream(t.spark, t.folder, "embeddings")))).select("session", "row_id", "voice")
 
 
-@query("t06_identify_stream", f"WITH {IDENTIFIED.replace('FROM v_queries q LEFT', 'FROM live q LEFT').replace('sims AS', LIVE + ', sims AS')} SELECT query_id, result, top AS profile_id FROM identified WHERE result <> 'unknown'")
+LIVE = pool_sql("SELECT vec_id % 20 AS session, vec_id AS row_id, voice AS vec, speech_s AS dur, row_number() OVER (PARTITION BY vec_id % 20 ORDER BY vec_id) AS k FROM v_voices") + """,
+  live AS (SELECT row_id AS query_id, label AS true_label, voice_no, pooled_s AS speech_s, pooled AS vec, sqrt(least(1, least(pooled_s, 8) / 8)) * (0.5 + 0.5 * (0.5 * greatest(0, least(1, (snr_db - 5) / 20)) + 0.3 + 0.2 * greatest(0, least(1, (bandwidth_hz - 3000) / 5000)))) AS reliability
+    FROM (SELECT row_id, voice AS voice_no, cs[voice + 1] AS pooled, ss[voice + 1] AS pooled_s FROM f WHERE k > 0) JOIN v_voices ON vec_id = row_id)"""
+
+
+@query("t06_identify_stream", f"WITH {LIVE}, {IDENTIFIED.replace('v_queries', 'live')} SELECT query_id, voice_no, round(live.speech_s, 6) AS pooled_s, result, top AS profile_id FROM identified JOIN live USING (query_id) WHERE result <> 'unknown'")
 def t06(t):
-    """Arriving voices matched with the profiles; only matches and suggestions are sent on."""
-    profiles = v.centroids(t.v_enrollments)
-    anchors = t.v_voices.select("vec_id", "label", "voice", "speech_s", "snr_db", "bandwidth_hz")
+    """Turns pooled by session and voice, then the pooled vector matched with the profiles; only matches and suggestions are sent on.
+
+    A voice's seconds count up to eight, so the more it has said, the surer it is.
+    """
     from ..functions.scoring import reliability
+    from ..operators.shared import checkpointed
+
+    profiles = checkpointed(v.centroids(t.v_enrollments))
+    known = checkpointed(t.v_voices.select(C("vec_id").alias("row_id"), C("voice").alias("vec"), C("speech_s").alias("dur"), "snr_db", "bandwidth_hz"))
+    arriving = table_stream(t.spark, t.folder, "embeddings").select((C("vec_id") % 20).alias("session"), C("vec_id").alias("row_id"), C("vec_id").alias("at"))
 
     def work(rows):
-        got = rows.where("vec_id % 2 = 1").select("vec_id").join(anchors, "vec_id")
-        q = got.select(C("vec_id").alias("query_id"), C("voice").alias("vec"), reliability(F.least("speech_s", F.lit(8.0)), C("snr_db"), F.lit(0.0), C("bandwidth_hz")).alias("reliability"))
-        return v.identify(q, profiles).where("result IN ('confident', 'suggested')").select("query_id", "result", "profile_id")
+        q = rows.join(known.select("row_id", "snr_db", "bandwidth_hz"), "row_id")
+        q = q.select(C("row_id").alias("query_id"), C("pooled").alias("vec"), reliability(F.least("pooled_s", F.lit(ENOUGH_S)), C("snr_db"), F.lit(0.0), C("bandwidth_hz")).alias("reliability"), C("voice").alias("voice_no"), F.round("pooled_s", 6).alias("pooled_s"))
+        q = checkpointed(q)  # pooled once for the two uses of it below
+        found = v.identify(q.select("query_id", "vec", "reliability"), profiles).where("result IN ('confident', 'suggested')")
+        return q.select("query_id", "voice_no", "pooled_s").join(found.select("query_id", "result", "profile_id"), "query_id")
 
-    return drain_batches(table_stream(t.spark, t.folder, "embeddings"), work)
+    return drain_batches(pooled_voices(arriving.join(known.select("row_id", "vec", "dur"), "row_id")), work)
 
 
 @query("t07_turn_output", "SELECT event_id, coalesce(CASE event_id % 4 WHEN 0 THEN 'calm' WHEN 1 THEN 'stressed' END, 'calm') AS mood, value / 100 >= 1.0 AS embeds FROM events WHERE value / 100 >= 0.2 AND (event_id % 3 <> 0 OR event_id % 5 = 0)")

@@ -4,6 +4,12 @@ from __future__ import annotations
 
 import re
 
+
+
+def uuid_of(x: str) -> str:
+    return rf"regexp_replace(md5(({x})::VARCHAR), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\1-\2-\3-\4-\5')"
+
+
 VIEWS = {
     "v_utterances": r"""SELECT conv_id * 1000 + turn AS utterance_id, conv_id AS clip_id, turn AS idx, role AS local_label, text, n_words,
         0.4::DOUBLE * prior + 0.5::DOUBLE * turn AS start_s, 0.4::DOUBLE * prior + 0.5::DOUBLE * turn + 0.4::DOUBLE * n_words AS end_s
@@ -71,6 +77,8 @@ VIEWS = {
     "v_replies": r"""SELECT conv_id AS batch_id, 5 AS batch_size, CASE WHEN conv_id % 7 = 0 THEN 'sorry, ' || text WHEN conv_id % 7 = 3 THEN '[{"n": 1, "event": "overtake" broken'
       ELSE 'Here: ```json [{"n": ' || conv_id % 8 || ', "event": "' || CASE conv_id % 5 WHEN 0 THEN 'none' WHEN 1 THEN 'overtake' WHEN 2 THEN 'pit_stop' WHEN 3 THEN 'invented' ELSE 'yellow_flag' END || '", "confidence": ' || conv_id % 11 / 10.0::DOUBLE || ', "other_car": " car ' || conv_id % 20 || ' ", "why": "' || substr(regexp_replace(text, '[^A-Za-z ]', ' ', 'g'), 1, 250) || '"}, {"n": 2, "event": "overtake", "confidence": 0.9}]``` done' END AS reply
       FROM conversations WHERE turn = 0""",
+    "v_answers": f"""SELECT utterance_id, CASE WHEN utterance_id % 3 = 0 THEN text ELSE text || ' [' || {uuid_of("utterance_id")} || '] and ' || upper({uuid_of("utterance_id - 1")}) || ', again ' || {uuid_of("utterance_id")} || '; not ' || {uuid_of("utterance_id + 1")} || 'f' END AS answer,
+        [{", ".join(uuid_of(f"utterance_id + {i}") for i in (0, 1, 1, 2, 3, 4, 5, 6, 7))}] AS consulted FROM v_utterances""",
     "v_audit": "SELECT user_id AS actor, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, event_type AS action, epoch_us(ts) // 1000000 AS at_s, 'object-' || event_id AS object, strftime(ts, '%Y-%m-%d') AS day, (event_id % 3)::VARCHAR AS before, (event_id % 4)::VARCHAR AS after FROM events",
 }
 

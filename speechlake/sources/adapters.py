@@ -218,6 +218,19 @@ def replies(t: Tables) -> DataFrame:
         ', {"n": 2, "event": "overtake", "confidence": 0.9}]``` done') END AS reply""")
 
 
+def uuid_of(x: str) -> str:
+    """A number as an id of the usual form, in SQL."""
+    return f"regexp_replace(md5(cast({x} AS string)), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '$1-$2-$3-$4-$5')"
+
+
+def answers(t: Tables) -> DataFrame:
+    """An answer for each turn, with ids in any case, repeated ones, one that runs on, or none; and the ids that were consulted."""
+    own, before = uuid_of("utterance_id"), uuid_of("utterance_id - 1")
+    said = f"concat(text, ' [', {own}, '] and ', upper({before}), ', again ', {own}, '; not ', {uuid_of('utterance_id + 1')}, 'f')"
+    consulted = ", ".join(uuid_of(f"utterance_id + {i}") for i in (0, 1, 1, 2, 3, 4, 5, 6, 7))
+    return t.v_utterances.selectExpr("utterance_id", f"CASE WHEN utterance_id % 3 = 0 THEN text ELSE {said} END AS answer", f"array({consulted}) AS consulted")
+
+
 def audit(t: Tables) -> DataFrame:
     """Actions of an actor in turn."""
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
@@ -228,5 +241,5 @@ VIEWS = {
     "v_utterances": utterances, "v_phrases": phrases, "v_words": words, "v_word_turns": word_turns, "v_turns": turns, "v_vad": vad, "v_frames": frames,
     "v_clips": clips, "v_clip_speakers": clip_speakers, "v_speech_utt": speech_utt, "v_laps": laps, "v_radio": radio, "v_drivers": drivers, "v_sessions": sessions, "v_races": races,
     "v_profiles_named": profiles_named, "v_voices": voices, "v_enrollments": enrollments, "v_queries": queries_of_voices, "v_exemplars": exemplars, "v_speech_vectors": speech_vectors,
-    "v_docs": docs, "v_aliases": aliases, "v_graph_aliases": graph_aliases, "v_incoming": incoming, "v_replies": replies, "v_audit": audit,
+    "v_docs": docs, "v_aliases": aliases, "v_graph_aliases": graph_aliases, "v_incoming": incoming, "v_replies": replies, "v_answers": answers, "v_audit": audit,
 }

@@ -13,10 +13,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from ..functions.steps import baseline_tone, cut_chunk, lock_language, pool_voice
+from ..functions.steps import baseline_tone, cut_chunk, lock_language, pool_speech
 from ..operators.folds import fold_rows
 
-__all__ = ["baseline_tone", "batch", "cut_chunk", "lock_language", "pool_voice", "stream"]
+__all__ = ["baseline_tone", "batch", "cut_chunk", "lock_language", "pool_speech", "stream"]
 
 
 def _run(step: Callable, state: tuple, pdf: pd.DataFrame, order: list[str]) -> tuple[tuple, list]:

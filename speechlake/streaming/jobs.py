@@ -57,3 +57,21 @@ def turn_output(turns: DataFrame) -> DataFrame:
     length = F.col("end_s") - F.col("start_s")
     kept = turns.where((length >= 0.2) & ((F.trim(F.coalesce("text", F.lit(""))) != "") | F.col("speaker").isNotNull()))
     return kept.withColumns({"mood": F.coalesce("mood", F.lit("calm")), "embeds": length >= 1.0})
+
+
+#: Seconds of a pooled voice beyond which more says nothing new.
+ENOUGH_S = 8.0
+
+
+def pooled_voices(turns: DataFrame, idle_ms: int | None = None) -> DataFrame:
+    """session, row_id, at, vec, dur (a stream or a static table) -> session, row_id, voice, pooled_s, pooled.
+
+    Each turn joins the nearest voice that its session has heard, or is a new one; pooled and pooled_s are the
+    voice's centroid and seconds with this turn. A session's voices are forgotten after idle_ms without turns.
+    """
+    from .folds import batch, pool_speech, stream
+
+    start = ([], [], [])
+    state = "flat array<double>, turns array<long>, seconds array<double>"
+    made = stream(turns, pool_speech, start, "array<double>", state, idle_ms=idle_ms) if turns.isStreaming else batch(turns, pool_speech, start, "array<double>")
+    return made.select("session", "row_id", F.get("value", F.lit(0)).cast("long").alias("voice"), F.get("value", F.lit(1)).alias("pooled_s"), F.slice("value", 3, F.size("value") - 2).alias("pooled"))

@@ -121,7 +121,7 @@ def test_sentiment_groups(spark):
 
 
 def test_tone_and_chunks_equal_their_streaming_steps(spark):
-    from speechlake.streaming import folds
+    from speechlake.streaming import folds, jobs
 
     rng = random.Random(5)
     rows = [(c, i, i, rng.choice([0.1, 0.5]), rng.uniform(0, 6), rng.uniform(80, 200), rng.uniform(0, 60), rng.choice([0.01, 0.05])) for c in range(8) for i in range(60)]
@@ -137,14 +137,14 @@ def test_tone_and_chunks_equal_their_streaming_steps(spark):
 def test_streams_equal_their_batch_twins(spark):
     from speechlake.plans import streams
     from speechlake.sources.adapters import Tables
-    from speechlake.streaming import folds
+    from speechlake.streaming import folds, jobs
 
     t = Tables(spark, "/root/testdata/sf0.001")
     got = {(x.session, x.row_id): x.language for x in streams.t02(t).collect()}
     want = {(x.session, x.row_id): x.value for x in folds.batch(streams.language_rows(t.events), folds.lock_language, (None, 0), "string").collect()}
     assert got == want
     got = {(x.session, x.row_id): x.voice for x in streams.t05(t).collect()}
-    want = {(x.session, x.row_id): x.value for x in folds.batch(streams.voice_rows(t.embeddings), folds.pool_voice, ([], []), "long").collect()}
+    want = {(x.session, x.row_id): x.value for x in jobs.pooled_voices(streams.voice_rows(t.embeddings)).select("session", "row_id", F.col("voice").alias("value")).collect()}
     assert got == want
 
 
@@ -297,3 +297,27 @@ def test_few_clusters_merge_as_many_do(spark):
     df = spark.createDataFrame(rows, "cluster_id long, centroid array<double>, weight double")
     one, many = ({r.cluster_id: r.survivor for r in v.consolidate(df, few=n).collect()} for n in (2_000, 10))
     assert one == many and len(set(one.values())) < 40
+
+
+def test_pooled_voice_gains_seconds_and_certainty():
+    """A voice's later turns are matched with all that it has said; a new voice takes the next number."""
+    from types import SimpleNamespace
+
+    from speechlake.functions.steps import pool_speech
+
+    state, out = ([], [], []), []
+    for vec, dur in ([1.0, 0.0], 1.5), ([0.0, 1.0], 2.0), ([0.8, 0.6], 4.0), ([0.6, 0.8], 3.0):
+        state, said = pool_speech(state, SimpleNamespace(vec=vec, dur=dur))
+        out.append(said)
+    assert [o[:2] for o in out] == [[0.0, 1.5], [1.0, 2.0], [0.0, 5.5], [1.0, 5.0]] and state[1] == [2, 2]
+    assert np.allclose(out[2][2:], np.array([0.9, 0.3]) / np.hypot(0.9, 0.3)) and np.allclose(out[3][2:], np.array([0.3, 0.9]) / np.hypot(0.9, 0.3))
+    assert state[2] == [5.5, 5.0]
+
+
+def test_citations_are_whole_ids_in_order(spark):
+    from speechlake.functions.citations import citations
+
+    a, b = "0123abcd-0123-0123-0123-0123456789ab", "FFFFFFFF-0000-1111-2222-333333333333"
+    rows = [(1, f"see [{b}], {a} and {b}.", [a]), (2, f"no {a}0 and x{a}", [a, a, b]), (3, None, None), (4, "", [str(i) for i in range(9)])]
+    got = {r.id: r.c for r in spark.createDataFrame(rows, "id int, answer string, given array<string>").select("id", citations(F.col("answer"), F.col("given")).alias("c")).collect()}
+    assert got == {1: [b, a], 2: [a, b], 3: [], 4: [str(i) for i in range(6)]}
