@@ -306,7 +306,7 @@ def test_pooled_voice_gains_seconds_and_certainty():
     from speechlake.functions.steps import pool_speech
 
     state, out = ([], [], []), []
-    for vec, dur in ([1.0, 0.0], 1.5), ([0.0, 1.0], 2.0), ([0.8, 0.6], 4.0), ([0.6, 0.8], 3.0):
+    for vec, dur in ([1.0, 0.0], 1.5), ([0.0, 1.0], 2.0), ([0.8, 0.6], 4.0), ([0.28, 0.96], 3.0):
         state, said = pool_speech(state, SimpleNamespace(vec=vec, dur=dur))
         out.append(said)
     assert [o[:2] for o in out] == [[0.0, 1.5], [1.0, 2.0], [0.0, 5.5], [1.0, 5.0]] and state[1] == [2, 2]
