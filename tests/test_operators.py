@@ -310,7 +310,7 @@ def test_pooled_voice_gains_seconds_and_certainty():
         state, said = pool_speech(state, SimpleNamespace(vec=vec, dur=dur))
         out.append(said)
     assert [o[:2] for o in out] == [[0.0, 1.5], [1.0, 2.0], [0.0, 5.5], [1.0, 5.0]] and state[1] == [2, 2]
-    assert np.allclose(out[2][2:], np.array([0.9, 0.3]) / np.hypot(0.9, 0.3)) and np.allclose(out[3][2:], np.array([0.3, 0.9]) / np.hypot(0.9, 0.3))
+    assert np.allclose(out[2][2:], np.array([0.9, 0.3]) / np.hypot(0.9, 0.3)) and np.allclose(out[3][2:], np.array([0.14, 0.98]) / np.hypot(0.14, 0.98))
     assert state[2] == [5.5, 5.0]
 
 
