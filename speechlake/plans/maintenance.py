@@ -183,11 +183,11 @@ def l02(t):
     return m.parse_verdicts(t.v_replies, TYPES)
 
 
-@query("l03_attach", f"WITH {VERDICTS} SELECT utterance_id, event, confidence AS score FROM verdicts JOIN v_utterances ON clip_id = batch_id AND idx + 1 = n")
+@query("l03_attach", f"WITH {VERDICTS} SELECT utterance_id, event, confidence AS score FROM verdicts JOIN v_utterances ON utterance_id = batch_id + n - 1")
 def l03(t):
-    """Verdicts on the lines that they name."""
-    lines = t.v_utterances.select(C("clip_id").alias("batch_id"), (C("idx") + 1).cast("int").alias("n"), "utterance_id")
-    return m.parse_verdicts(t.v_replies, TYPES).join(lines, ["batch_id", "n"]).select("utterance_id", "event", C("confidence").alias("score"))
+    """Verdicts on the lines that they name: a reply to a turn counts from that turn on."""
+    said = m.parse_verdicts(t.v_replies, TYPES).withColumn("utterance_id", C("batch_id") + C("n") - 1)
+    return said.join(t.v_utterances.select("utterance_id"), "utterance_id").select("utterance_id", "event", C("confidence").alias("score"))
 
 
 @query("l04_unread", r"SELECT batch_id % 10 AS shard, count(*) AS n_batches, count(*) FILTER (NOT coalesce(CASE WHEN json_valid(j) THEN json_array_length(j) END, 0) > 0) AS n_unread FROM (SELECT batch_id, regexp_extract(reply, '(?s)\[.*\]', 0) AS j FROM v_replies) GROUP BY 1")

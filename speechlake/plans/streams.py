@@ -131,12 +131,12 @@ def t07(t):
 
 @query("t08_radio_calls", f"""{tone_sql("SELECT conv_id AS session, conv_id * 1000 + turn AS row_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, (conv_id + turn) % 17 / 10.0::DOUBLE AS voiced, (conv_id * 7 + turn * 3) % 60 / 10.0::DOUBLE AS rate, 100 + ((conv_id + turn * 5) % 31)::DOUBLE AS pm, (conv_id * 3 + turn * 7) % 60::DOUBLE AS ps FROM conversations WHERE (conv_id * 31 + turn) % 9 <> 0")},
   tn AS (SELECT session AS call_id, arg_max(read, k) AS tone FROM f WHERE k > 0 GROUP BY 1), tx AS (SELECT conv_id AS call_id, string_agg(text, ' ' ORDER BY turn) AS text, count(*) AS n_segments FROM conversations WHERE (conv_id * 31 + turn) % 9 <> 0 GROUP BY 1)
-  SELECT call_id, coalesce(b.text, tx.text) AS text, coalesce(b.tone, CASE WHEN trim(tx.text) <> '' THEN tn.tone END) AS tone, coalesce(tx.n_segments, 0) AS n_segments FROM (SELECT doc_id AS call_id, CASE WHEN doc_id % 2 = 0 THEN left(text, 20) END AS text, NULL::VARCHAR AS tone FROM documents WHERE doc_id % 5 = 0) b FULL JOIN (tx JOIN tn USING (call_id)) USING (call_id)""")
+  SELECT call_id, coalesce(b.text, tx.text) AS text, coalesce(b.tone, CASE WHEN trim(tx.text) <> '' THEN tn.tone END) AS tone, coalesce(tx.n_segments, 0) AS n_segments FROM (SELECT doc_id AS call_id, CASE WHEN doc_id % 2 = 0 THEN text END AS text, NULL::VARCHAR AS tone FROM documents) b FULL JOIN (tx JOIN tn USING (call_id)) USING (call_id)""")
 def t08(t):
     """Segments of calls without those that are not trusted: joined to a text per call, with the tone of the last one, and put into the table of calls, whose own values stay."""
     from ..operators.maintenance import upsert
 
-    known = t.documents.where("doc_id % 5 = 0").select(C("doc_id").alias("call_id"), F.when(C("doc_id") % 2 == 0, F.left("text", F.lit(20))).alias("text"), F.lit(None).cast("string").alias("tone"), F.lit(None).cast("long").alias("n_segments"))
+    known = t.documents.select(C("doc_id").alias("call_id"), F.when(C("doc_id") % 2 == 0, C("text")).alias("text"), F.lit(None).cast("string").alias("tone"), F.lit(None).cast("long").alias("n_segments"))
 
     def work(rows):
         kept = rows.where("(conv_id * 31 + turn) % 9 <> 0")

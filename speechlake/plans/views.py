@@ -74,9 +74,9 @@ VIEWS = {
     "v_graph_aliases": "SELECT alias, entity_type, CASE entity_type WHEN 'driver' THEN (n * 7)::VARCHAR WHEN 'team' THEN n::VARCHAR ELSE n_name END AS entity_key FROM (SELECT alias, length(alias) AS n, CASE length(alias) % 3 WHEN 0 THEN 'driver' WHEN 1 THEN 'team' ELSE 'circuit' END AS entity_type FROM (SELECT DISTINCT lower(p_name) AS alias FROM part)) LEFT JOIN nation ON n_nationkey = n % 12",
     "v_incoming": """SELECT 1 AS batch, doc_id AS file_id, text AS content, source AS race FROM documents
       UNION ALL SELECT 2, doc_id + 1000000000, text, source || '-b' FROM documents WHERE doc_id % 3 = 0""",
-    "v_replies": r"""SELECT conv_id AS batch_id, 5 AS batch_size, CASE WHEN conv_id % 7 = 0 THEN 'sorry, ' || text WHEN conv_id % 7 = 3 THEN '[{"n": 1, "event": "overtake" broken'
-      ELSE 'Here: ```json [{"n": ' || conv_id % 8 || ', "event": "' || CASE conv_id % 5 WHEN 0 THEN 'none' WHEN 1 THEN 'overtake' WHEN 2 THEN 'pit_stop' WHEN 3 THEN 'invented' ELSE 'yellow_flag' END || '", "confidence": ' || conv_id % 11 / 10.0::DOUBLE || ', "other_car": " car ' || conv_id % 20 || ' ", "why": "' || substr(regexp_replace(text, '[^A-Za-z ]', ' ', 'g'), 1, 250) || '"}, {"n": 2, "event": "overtake", "confidence": 0.9}]``` done' END AS reply
-      FROM conversations WHERE turn = 0""",
+    "v_replies": r"""SELECT utterance_id AS batch_id, 5 AS batch_size, CASE WHEN utterance_id % 7 = 0 THEN 'sorry, ' || text WHEN utterance_id % 7 = 3 THEN '[{"n": 1, "event": "overtake" broken'
+      ELSE 'Here: ```json [{"n": ' || utterance_id % 8 || ', "event": "' || CASE utterance_id % 5 WHEN 0 THEN 'none' WHEN 1 THEN 'overtake' WHEN 2 THEN 'pit_stop' WHEN 3 THEN 'invented' ELSE 'yellow_flag' END || '", "confidence": ' || utterance_id % 11 / 10.0::DOUBLE || ', "other_car": " car ' || utterance_id % 20 || ' ", "why": "' || regexp_replace(text, '[^A-Za-z ]', ' ', 'g') || '"}, {"n": 2, "event": "overtake", "confidence": 0.9}]``` done' END AS reply
+      FROM v_utterances""",
     "v_answers": f"""SELECT utterance_id, CASE WHEN utterance_id % 3 = 0 THEN text ELSE text || ' [' || {uuid_of("utterance_id")} || '] and ' || upper({uuid_of("utterance_id - 1")}) || ', again ' || {uuid_of("utterance_id")} || '; not ' || {uuid_of("utterance_id + 1")} || 'f' END AS answer,
         [{", ".join(uuid_of(f"utterance_id + {i}") for i in (0, 1, 1, 2, 3, 4, 5, 6, 7))}] AS consulted FROM v_utterances""",
     "v_audit": "SELECT user_id AS actor, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, event_type AS action, epoch_us(ts) // 1000000 AS at_s, 'object-' || event_id AS object, strftime(ts, '%Y-%m-%d') AS day, (event_id % 3)::VARCHAR AS before, (event_id % 4)::VARCHAR AS after FROM events",

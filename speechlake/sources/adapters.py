@@ -211,10 +211,10 @@ def incoming(t: Tables) -> DataFrame:
 
 
 def replies(t: Tables) -> DataFrame:
-    """Model replies: an array in prose, every seventh broken, one line each of several kinds."""
-    return t.conversations.where("turn = 0").selectExpr("conv_id AS batch_id", "5 AS batch_size", """CASE WHEN conv_id % 7 = 0 THEN concat('sorry, ', text)
-        WHEN conv_id % 7 = 3 THEN concat('[{"n": 1, "event": "overtake"', ' broken')
-        ELSE concat('Here: ```json [', '{"n": ', conv_id % 8, ', "event": "', CASE conv_id % 5 WHEN 0 THEN 'none' WHEN 1 THEN 'overtake' WHEN 2 THEN 'pit_stop' WHEN 3 THEN 'invented' ELSE 'yellow_flag' END, '", "confidence": ', conv_id % 11 / 10.0D, ', "other_car": " car ', conv_id % 20, ' ", "why": "', substring(regexp_replace(text, '[^A-Za-z ]', ' '), 1, 250), '"}',
+    """A model's reply to every turn: an array in prose, every seventh broken, one line each of several kinds, the whole text as its reason."""
+    return t.v_utterances.selectExpr("utterance_id AS batch_id", "5 AS batch_size", """CASE WHEN utterance_id % 7 = 0 THEN concat('sorry, ', text)
+        WHEN utterance_id % 7 = 3 THEN concat('[{"n": 1, "event": "overtake"', ' broken')
+        ELSE concat('Here: ```json [', '{"n": ', utterance_id % 8, ', "event": "', CASE utterance_id % 5 WHEN 0 THEN 'none' WHEN 1 THEN 'overtake' WHEN 2 THEN 'pit_stop' WHEN 3 THEN 'invented' ELSE 'yellow_flag' END, '", "confidence": ', utterance_id % 11 / 10.0D, ', "other_car": " car ', utterance_id % 20, ' ", "why": "', regexp_replace(text, '[^A-Za-z ]', ' '), '"}',
         ', {"n": 2, "event": "overtake", "confidence": 0.9}]``` done') END AS reply""")
 
 

@@ -321,3 +321,20 @@ def test_citations_are_whole_ids_in_order(spark):
     rows = [(1, f"see [{b}], {a} and {b}.", [a]), (2, f"no {a}0 and x{a}", [a, a, b]), (3, None, None), (4, "", [str(i) for i in range(9)])]
     got = {r.id: r.c for r in spark.createDataFrame(rows, "id int, answer string, given array<string>").select("id", citations(F.col("answer"), F.col("given")).alias("c")).collect()}
     assert got == {1: [b, a], 2: [a, b], 3: [], 4: [str(i) for i in range(6)]}
+
+
+def test_repetitive_texts_as_brute_force(spark):
+    """The query's verdict on every turn, from zlib's own ratio."""
+    import zlib
+
+    from speechlake.plans import scalars
+    from speechlake.sources.adapters import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    got = {x.utterance_id: x.repetitive for x in scalars.p08_repetitive(t).collect()}
+    want = {}
+    for x in t.v_utterances.select("utterance_id", "text").collect():
+        low = ("go go " * 12 if x.utterance_id % 9 == 0 else x.text or "").lower().strip(" ")
+        raw = low.encode()
+        want[x.utterance_id] = len(low) > 12 and len(raw) / max(1, len(zlib.compress(raw))) > 2.4
+    assert got == want and 0 < sum(got.values()) < len(got)
