@@ -24,6 +24,7 @@ SQL = {
     "op3_event_fold": chat.OP3_SQL,
     "op5_url_rules": url_filters.OP5_SQL,
     "op10_weak_supervision": quality.OP10_SQL,
+    "op11_auction_repair": repair.OP11_SQL,
     "op12_threshold": negatives.OP12_SQL,
     "op13_recompression": recompression.OP13_SQL,
 }

@@ -356,3 +356,48 @@ def op11_auction_repair(spark, sf_dir: str) -> DataFrame:
     """All conversations, damaged and repaired; nulls, ties, empty tables and long conversations as in `repaired`."""
     table = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     return repaired(damaged(table), table, digest=True)
+
+
+#: Best edits by a table over rows and states; crc32 is spelt out, as that engine has none.
+OP11_SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+c AS (
+  SELECT k, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, length(k) + 1), lambda i: ascii(k[i])::BIGINT)),
+    lambda a, b: list_reduce(list_concat([xor(a, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, z: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::BIGINT) ELSE x // 2 END)), 4294967295::BIGINT) % 20 AS code
+  FROM (SELECT DISTINCT k FROM t)),
+d AS (
+  SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role,
+         CASE code WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE WHEN code = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM t JOIN c USING (k) WHERE code <> 0),
+r AS (
+  SELECT *, row_number() OVER w AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth,
+         lag(role[1]) OVER w || role[1] AS pair, regexp_extract(text, '(?s)([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS shown
+  FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)),
+m AS (
+  SELECT *, CASE WHEN shown = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN shown NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM r),
+n AS (
+  SELECT conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+         count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM m GROUP BY conv_id),
+f AS (
+  SELECT conv_id, 0::BIGINT AS i, '-' AS q, 0::BIGINT AS cost, '' AS audit, []::VARCHAR[] AS lines FROM n
+  UNION ALL
+  SELECT conv_id, i, q, cost, audit, lines FROM (
+    SELECT m.conv_id, m.i, s.cost + a.cost AS cost, s.audit || a.edit AS audit, a.q AS q, CASE WHEN a.line IS NULL THEN s.lines ELSE list_append(s.lines, a.line) END AS lines
+    FROM (SELECT conv_id, i, unnest([{'q': q, 'cost': cost, 'audit': audit, 'lines': lines},
+                 {'q': CASE q WHEN 'u' THEN 'a' ELSE 'u' END, 'cost': cost + 2, 'audit': audit || 'I', 'lines': list_append(lines, CASE q WHEN 'u' THEN 'assistant:' ELSE 'user:' END)},
+                 {'q': CASE q WHEN 'u' THEN 'u' ELSE 'a' END, 'cost': cost + 4, 'audit': audit || 'II', 'lines': list_concat(lines, CASE q WHEN 'u' THEN ['assistant:', 'user:'] ELSE ['user:', 'assistant:'] END)}]) AS s FROM f) f
+    JOIN m ON m.conv_id IS NOT DISTINCT FROM f.conv_id AND m.i = f.i + 1,
+    LATERAL (SELECT s.q AS q, 3 AS cost, 'D' AS edit, NULL AS line
+      UNION ALL SELECT role[1], (fault = 'truncated')::INT, 'K', role || ':' || text WHERE fault NOT IN ('blank', 'duplicate') AND ((s.q = '-' AND role[1] IN ('s', 'u')) OR (s.q IN ('s', 'a') AND role[1] = 'u') OR (s.q = 'u' AND role[1] = 'a'))
+      UNION ALL SELECT CASE s.q WHEN 'u' THEN 'a' ELSE 'u' END, 2 + (fault = 'truncated')::INT, 'R', CASE s.q WHEN 'u' THEN 'assistant:' ELSE 'user:' END || text WHERE fault NOT IN ('blank', 'duplicate')) a)
+  QUALIFY row_number() OVER (PARTITION BY conv_id, q ORDER BY cost, audit) = 1),
+e AS (
+  SELECT f.conv_id, cost + CASE q WHEN 's' THEN 4 WHEN 'u' THEN 2 ELSE 0 END AS cost, audit || CASE q WHEN 's' THEN 'II' WHEN 'u' THEN 'I' ELSE '' END AS audit,
+         list_concat(lines, CASE q WHEN 's' THEN ['user:', 'assistant:'] WHEN 'u' THEN ['assistant:'] ELSE []::VARCHAR[] END) AS lines
+  FROM f JOIN n ON f.conv_id IS NOT DISTINCT FROM n.conv_id AND f.i = n.n),
+b AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY cost, audit) = 1)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN n ON o.conv_id IS NOT DISTINCT FROM n.conv_id LEFT JOIN b ON o.conv_id IS NOT DISTINCT FROM b.conv_id
+"""
