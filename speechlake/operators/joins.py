@@ -26,15 +26,20 @@ def latest(df: DataFrame, keys: list[str], at: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*at)).alias("_x")).select(*keys, "_x.*")
 
 
-def talked_with(clip_speakers: DataFrame, clips: DataFrame) -> DataFrame:
-    """(a, b, n): pairs of profiles, a < b, with how many pairs of their speaker rows share a finished clip.
+def clip_pairs(clip_speakers: DataFrame, clips: DataFrame) -> DataFrame:
+    """(clip_id, a, b, n): pairs of profiles, a < b, with how many pairs of their speaker rows share the finished clip.
 
     Rows are counted per clip and profile before the pairs are made.
     """
     done = clips.where("status = 'COMPLETE'").select("clip_id")
     per = clip_speakers.where("profile_id IS NOT NULL").join(done, "clip_id").groupBy("clip_id", "profile_id").agg(F.count("*").alias("m"))
     other = per.select("clip_id", F.col("profile_id").alias("b"), F.col("m").alias("k"))
-    return per.join(other, "clip_id").where("profile_id < b").groupBy(F.col("profile_id").alias("a"), "b").agg(F.sum(F.col("m") * F.col("k")).alias("n"))
+    return per.join(other, "clip_id").where("profile_id < b").select("clip_id", F.col("profile_id").alias("a"), "b", (F.col("m") * F.col("k")).alias("n"))
+
+
+def talked_with(clip_speakers: DataFrame, clips: DataFrame) -> DataFrame:
+    """(a, b, n): pairs of profiles, a < b, with how many pairs of their speaker rows share a finished clip."""
+    return clip_pairs(clip_speakers, clips).groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 #: Aliases that are broadcast; more are dealt to salted keys.

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import graph
+from ..operators import graph_updates as up
 from ..operators import identity as v
 from ..operators import intervals as iv
 from ..operators import joins as j
-from ..operators.maintenance import replace_derived
 from ..params import DEFAULTS as P
 from ..sources.adapters import Tables
 from ..streaming import folds
 from ..streaming.jobs import ENOUGH_S, drain, drain_batches, once, place, pooled_voices, table_stream, turn_output
+from .graph import DONE, landed_sql
 from .identity import IDENTIFIED
 from .intervals import ASSIGN, REGROUP, SMOOTH, WORDS, rounded
 from .registry import query
@@ -188,26 +190,71 @@ def t10(t):
     return rounded(counts.join(v.centroids(every), "profile_id").select("profile_id", "n_live", "n_enrollments", F.array_max("centroid").alias("largest")), "largest")
 
 
-@query("t11_incremental_graph", "SELECT clip_id::VARCHAR AS src, race_id::VARCHAR AS dst FROM v_clips WHERE status = 'COMPLETE' UNION ALL SELECT 'gone-' || n_nationkey, 'x' FROM nation")
-def t11(t):
-    """Edges of the clips that arrive, put in place of those that the stored graph has of them; edges of other clips stay."""
-    old = t.v_clips.select(C("clip_id").cast("string").alias("src"), F.lit("an earlier race").alias("dst"))
-    others = t.nation.select(F.concat(F.lit("gone-"), "n_nationkey").alias("src"), F.lit("x").alias("dst"))
-    at = f"{place(t.spark)}/graph"
-    old.unionByName(others).write.parquet(f"{at}/0")
-    made = [f"{at}/0"]
+EDGE_FACTS = {"TALKED_WITH": ("n_clips",), "READS_AS": ("score", "margin", "family"), "INVOLVES": ("event_type", "score")}
+FACT_TYPES = {"n_clips": "BIGINT", "score": "DOUBLE", "margin": "DOUBLE", "family": "VARCHAR", "event_type": "VARCHAR"}
 
-    def work(rows):
-        b = Batch(t, orders=rows)
-        ids = b.v_clips.select(C("clip_id").cast("string").alias("src"))
-        done = b.v_clips.where("status = 'COMPLETE'").select(C("clip_id").cast("string").alias("src"), C("race_id").cast("string").alias("dst"))
-        # every batch writes the next state of the graph from the one before
-        made.append(f"{at}/{len(made)}")
-        replace_derived(t.spark.read.parquet(made[-2]), done, ids, "src").write.mode("overwrite").parquet(made[-1])
-        return t.spark.createDataFrame([(made[-1],)], "state string")
-
-    drain_batches(table_stream(t.spark, t.folder, "orders"), work)
-    return t.spark.read.parquet(made[-1])
+
+def edge_rows_sql(p) -> str:
+    made = ", ".join(f"{c} AS {c}" if c in EDGE_FACTS.get(p.name, ()) else f"NULL::{kind} AS {c}" for c, kind in FACT_TYPES.items())
+    return f"SELECT '{p.name}' AS name, src, dst, {made} FROM ({landed_sql(p)})"
+
+
+def of_orders(t: Tables, orders) -> Tables:
+    """The tables with these orders only: their clips, speech and calls."""
+    keys = orders.select(C("o_orderkey").alias("l_orderkey"))
+    return t.replaced(orders=orders, lineitem=t.lineitem.join(keys, "l_orderkey", "left_semi"))
+
+
+class LiveGraph:
+    """A graph below a folder that takes batches of orders, new or changed, in the order of their numbers."""
+
+    def __init__(self, t: Tables, folder: str, parts: int = 16):
+        self.t, self.folder = t, folder
+        self.store = up.OwnedTable(t.spark, f"{folder}/facts", up.FACTS, parts)
+        self.times = up.OwnedTable(t.spark, f"{folder}/points", up.POINTS, parts)
+        schema = ", ".join(f"{c} {kind}" for c, kind in t.orders.dtypes)
+        self.known = up.OwnedTable(t.spark, f"{folder}/orders", f"owner string, {schema}", parts)
+
+    def take(self, rows, batch: int) -> list[int]:
+        """Puts a batch in: orders that are known as they arrive touch nothing. The parts of the graph written."""
+        at = f"{self.folder}/batch-{batch}"
+        arrived = rows.withColumn("owner", up.of("clip", "o_orderkey"))
+        known = self.known.read(batch).join(arrived.select("owner"), "owner", "left_semi")
+        arrived.select(*known.columns).exceptAll(known).write.mode("overwrite").parquet(f"{at}/changed")
+        changed = self.t.spark.read.parquet(f"{at}/changed")
+        if changed.isEmpty():
+            return []
+        former = self.known.read(batch).join(changed.select("owner"), "owner", "left_semi").drop("owner")
+        old = self.tables(former, f"{at}/old")
+        new = self.tables(changed.drop("owner"), f"{at}/new")
+        self.known.replace(batch, changed.select("owner"), changed)
+        now = self.t.replaced(orders=self.known.read(batch + 1).drop("owner"))
+        return up.refresh(self.store, self.times, batch, old, new, now)
+
+    def tables(self, orders, at: str) -> Tables:
+        """The views of these orders, written once for their many uses; its laps tell whose laps change, not what they are."""
+        part = of_orders(self.t, orders)
+        return part.stored(("v_clips", "v_clip_speakers", "v_radio", "v_laps"), at)
+
+    def edges(self):
+        return up.edges(self.store, self.t)
+
+
+@query("t11_incremental_graph", f"WITH {DONE} " + " UNION ALL ".join(edge_rows_sql(p) for p in graph.EDGES))
+def t11(t):
+    """All edges of a graph that held a quarter of the clips as finished for other races and lacked another quarter, once the present orders have come in."""
+    live = LiveGraph(t, f"{place(t.spark)}/graph")
+    earlier = t.orders.where("o_orderkey % 4 <> 1").withColumns({"o_custkey": F.when(C("o_orderkey") % 4 == 0, C("o_custkey") % 50 + 1).otherwise(C("o_custkey")), "o_orderstatus": F.when(C("o_orderkey") % 4 == 0, "F").otherwise(C("o_orderstatus"))})
+    live.take(earlier.select(*t.orders.columns), 0)
+    follow(live, table_stream(t.spark, t.folder, "orders"))
+    return live.edges()
+
+
+def follow(live: LiveGraph, rows, checkpoint: str | None = None) -> None:
+    """Feeds a stream of orders to the graph, to its present end; batch 0 is what the graph began with."""
+    work = lambda batch, number: live.take(batch, number + 1)
+    q = rows.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint or f"{live.folder}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
 
 
 def rms_rows(df):

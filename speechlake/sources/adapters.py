@@ -20,13 +20,19 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def replaced(self, **frames: DataFrame) -> Tables:
+        """The same tables, with these in place of the tables or views of their names; other views are built on them."""
+        out = Tables(self.spark, self.folder)
+        out._made.update(frames)
+        return out
+
     def stored(self, names, folder: str) -> Tables:
         """The same tables, with the views of these names written below folder and read from there."""
-        out = type(self)(self.spark, self.folder)
+        made = {}
         for name in names:
             getattr(self, name).write.mode("overwrite").parquet(f"{folder}/{name}")
-            out._made[name] = self.spark.read.parquet(f"{folder}/{name}")
-        return out
+            made[name] = self.spark.read.parquet(f"{folder}/{name}")
+        return self.replaced(**made)
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
