@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .folds import fold_rows
 from .intervals import bucketed
 
 
@@ -52,7 +51,7 @@ def mentions(speech: DataFrame, aliases: DataFrame, most_broadcast: int = MOST_B
     Whole words, any case; at a position the longest alias wins and the scan goes on behind it. A text's runs of
     as many words as aliases have, with what stands between them, meet the aliases by equality, so the vocabulary
     may have any size: runs that begin with no alias's first word are left out first, and a frequent one is dealt
-    to several tasks. What overlaps is settled by a fold over a text's hits alone. Aliases count from their first to
+    to several tasks. Only hits that overlap others are put side by side (leftmost). Aliases count from their first to
     their last word character; those without any, and empty texts, name nothing. speech_id may not be null.
     """
     parts = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"(?U)\w+|\W+"), F.lit(0))
@@ -78,16 +77,32 @@ def mentions(speech: DataFrame, aliases: DataFrame, most_broadcast: int = MOST_B
         dealt = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         hits = grams.withColumn("_salt", F.pmod(F.xxhash64("speech_id", "pos"), F.lit(salts)).cast("int")).join(dealt, ["alias", "_salt"]).drop("_salt")
 
-    def scan(state: tuple, x) -> tuple[tuple, bool]:
-        free = x.pos >= state[0]
-        return ((x.pos + 2 * x.n - 1,) if free else state), free
-
-    ordered = hits.withColumn("_n", -F.col("n"))
-    kept = fold_rows(ordered, ["speech_id"], ["pos", "_n"], scan, (0,), ["alias"], "free boolean").where("free").select("speech_id", "alias").distinct()
+    kept = leftmost(hits).distinct()
     small = F.broadcast(table) if table.limit(most_broadcast + 1).count() <= most_broadcast else table
     return kept.join(small, "alias").select("speech_id", "entity_type", "entity_key").distinct()
 
 
+def leftmost(hits: DataFrame) -> DataFrame:
+    """speech_id, alias of the hits (speech_id, pos, n words, alias) that stand: from the left, the longest at a place first, none within another.
+
+    A hit that begins behind all hits before it starts a run; hits that are a run by themselves stand. Longer runs
+    are settled one by one, in time that grows with their hits times the different aliases that stand in them.
+    """
+    order = Window.partitionBy("speech_id").orderBy("pos", F.desc("n"))
+    end = F.col("pos") + 2 * F.col("n") - 1
+    reached = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    runs = hits.withColumn("_new", (reached.isNull() | (F.col("pos") >= reached)).cast("int")).withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    sized = runs.groupBy("speech_id", "_run").agg(F.sort_array(F.collect_list(F.struct("pos", (-F.col("n")).alias("_n"), "alias"))).alias("_hits"))
+
+    def stand(so_far, x):
+        after = F.struct((x["pos"] - 2 * x["_n"] - 1).alias("free"), F.array_union(so_far["kept"], F.array(x["alias"])).alias("kept"))
+        return F.when(x["pos"] >= so_far["free"], after).otherwise(so_far)
+
+    start = F.struct(F.lit(0).alias("free"), F.array().cast("array<string>").alias("kept"))
+    settled = F.when(F.size("_hits") == 1, F.transform("_hits", lambda x: x["alias"])).otherwise(F.aggregate("_hits", start, stand, lambda x: x["kept"]))
+    return sized.select("speech_id", F.explode(settled).alias("alias"))
+
+
 def session_drivers(mentioned: DataFrame, speech: DataFrame, drivers: DataFrame) -> DataFrame:
     """Named drivers as the session of the speech has them: speech_id, session_key, driver_number, name; other numbers name nobody."""
     found = mentioned.where("entity_type = 'driver'").where(F.col("entity_key").rlike("^[0-9]{1,18}$"))

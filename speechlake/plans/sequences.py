@@ -9,6 +9,7 @@ from ..functions.filters import page, topk_per_key
 from ..functions.scoring import band_label
 from ..functions.citations import cited_ids
 from ..operators import sequences as q
+from ..operators.ranks import global_ranks
 from .intervals import rounded
 from .registry import query
 from .scalars import PROBES, PROTOCOL_SQL, probes
@@ -185,6 +186,6 @@ def k06(t):
 @query("k07_outer_ranks", "SELECT coalesce(a.id, b.id) AS id, a.r AS rank_a, b.r AS rank_b FROM (SELECT event_id AS id, row_number() OVER (ORDER BY value DESC, event_id) AS r FROM events WHERE event_type = 'view' AND value > 100) a FULL JOIN (SELECT event_id AS id, row_number() OVER (ORDER BY value, event_id) AS r FROM events WHERE value > 150) b ON a.id = b.id")
 def k07(t):
     """Two ranked lists side by side; an id that only one has keeps null in the other."""
-    leg = lambda d, name, *order: d.select(C("event_id").alias("id"), F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order)).alias(name))
-    a = leg(t.events.where("event_type = 'view' AND value > 100"), "rank_a", F.desc("value"), "event_id")
-    return a.join(leg(t.events.where("value > 150"), "rank_b", "value", "event_id"), "id", "full")
+    leg = lambda d, name, *order: global_ranks(d.select(C("event_id").alias("id"), "value"), list(order), name).drop("value")
+    a = leg(t.events.where("event_type = 'view' AND value > 100"), "rank_a", F.desc("value"), "id")
+    return a.join(leg(t.events.where("value > 150"), "rank_b", "value", "id"), "id", "full")

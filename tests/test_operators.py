@@ -237,8 +237,8 @@ def test_mentions_as_brute_force_with_many_aliases(spark):
 
     rng = random.Random(11)
     words = [f"w{i}" for i in range(60)] + ["l\u00e9", "o_k", "x2"]
-    names = sorted({" ".join(rng.choice(words) for _ in range(rng.randint(1, 3))) for _ in range(400)} | {"w1-w2", "W3", "(w4)", "...", ""})
-    texts = [(i, "".join(rng.choice(words) + rng.choice([" ", " ", " ", ", ", "-", "  "]) for _ in range(40)).title()) for i in range(60)] + [(100, None), (101, ""), (102, "w1 " * 20_000)]
+    names = sorted({" ".join(rng.choice(words) for _ in range(rng.randint(1, 3))) for _ in range(400)} | {"w1-w2", "W3", "(w4)", "...", "", "w1 w2 w5", "w2 w5 w6", "w6 w1"})
+    texts = [(i, "".join(rng.choice(words) + rng.choice([" ", " ", " ", ", ", "-", "  "]) for _ in range(40)).title()) for i in range(60)] + [(100, None), (101, ""), (102, "w1 " * 20_000), (103, "w1 w2 w5 w6 " * 5_000)]
     alias = spark.createDataFrame([(a, "k", a) for a in names] + [("w3", "other", "w3")], "alias string, entity_type string, entity_key string")
     speech = spark.createDataFrame(texts, "speech_id long, text string")
     clean = {_re.sub(r"^\W+|\W+$", "", a.lower()) for a in names} - {""}
@@ -253,6 +253,20 @@ def test_mentions_as_brute_force_with_many_aliases(spark):
     assert j.mentions(speech, alias.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [0, 1, 3, 5_000])
+def test_global_ranks_in_one_and_many_ranges(spark, n):
+    from speechlake.operators.ranks import global_ranks
+
+    rng = random.Random(n)
+    rows = [(i, rng.choice([None, 1.5, 1.5, 2.0, rng.random()]), "x") for i in range(n)]
+    table = spark.createDataFrame(rows, "id long, value double, rank_of string").repartition(7)
+    got = global_ranks(table, [F.desc_nulls_last("value"), "id"])
+    assert got.columns == ["id", "value", "rank_of", "rank"]
+    want = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    assert [(r.id, r.rank) for r in got.orderBy("rank").collect()] == [(r[0], i + 1) for i, r in enumerate(want)]
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_folds_of_one_long_session(spark):
     """200,000 rows of one session, in time that is linear in them."""
     import time
