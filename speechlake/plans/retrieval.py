@@ -66,6 +66,29 @@ def r02(t):
     return matched(t)
 
 
+def stored_index(t):
+    """An index in two segments: the second brings what the first lacked or had in an older wording."""
+    import uuid
+
+    from ..operators.shared import shared_folder
+    from ..operators.text_index import TextIndex
+
+    index = TextIndex(t.spark, f"{shared_folder(t.spark)}/index-{uuid.uuid4().hex}")
+    said = t.v_docs.select("speech_id", "text")
+    older = F.when(C("speech_id") % 3 == 0, F.concat(F.lit("the was of the "), C("text"))).otherwise(C("text"))
+    index.append(0, said.where("speech_id % 3 <> 2").withColumn("text", older))
+    index.append(1, said.where("speech_id % 3 <> 1"))
+    return index
+
+
+@query("r02_stored_index", f"WITH {MATCH_SQL} SELECT * FROM matched")
+def r02_stored(t):
+    """The same matches from the stored index, of which the parts of the terms are read."""
+    from ..operators.shared import checkpointed
+
+    return r.match(checkpointed(stored_index(t).lookup(terms(t))), few(t))
+
+
 COVER_SQL = f"""{POST_SQL}, {TERM_SQL}, wt AS (SELECT request_id, term, row_number() OVER (PARTITION BY request_id ORDER BY term) AS slot, count(*) OVER (PARTITION BY request_id) AS k FROM (SELECT DISTINCT request_id, term FROM terms WHERE kind <> 'none')),
   ps AS (SELECT request_id, speech_id, slot, k, unnest(positions) AS pos FROM post JOIN wt ON token = term),
   ls AS (SELECT request_id, speech_id, pos, k, {", ".join(f"max(CASE WHEN slot = {i} THEN pos END) OVER w AS l{i}" for i in (1, 2, 3))} FROM ps WINDOW w AS (PARTITION BY request_id, speech_id ORDER BY pos)),
@@ -78,6 +101,14 @@ def r03(t):
     return rounded(r.cover_rank(r.postings(t.v_docs, terms(t)), terms(t)), "rank")
 
 
+@query("r03_merged_index", f"WITH {COVER_SQL} SELECT request_id, speech_id, round(rank, 6) AS rank FROM cover")
+def r03_merged(t):
+    """The same ranks from the stored index once its segments are merged."""
+    index = stored_index(t)
+    index.merge(2)
+    return rounded(r.cover_rank(index.lookup(terms(t)), terms(t)), "rank")
+
+
 @query("r04_keyword_search", f"WITH {MATCH_SQL}, rk AS (SELECT f.*, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, speech_id) AS rk FROM freq f JOIN v_docs d USING (speech_id) WHERE d.mood = 'calm') SELECT * FROM rk WHERE rk <= 20")
 def r04(t):
     rows = by_count(t).join(t.v_docs.where("mood = 'calm'").select("speech_id"), "speech_id", "left_semi")
