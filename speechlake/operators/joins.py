@@ -60,13 +60,14 @@ def mentions(speech: DataFrame, aliases: DataFrame, most_broadcast: int = MOST_B
     names = table.select("alias").distinct().withColumns({"first": F.element_at(parts(F.col("alias")), 1), "n": ((F.size(parts(F.col("alias"))) + 1) / 2).cast("int")})
     lengths = sorted(r[0] for r in names.select("n").distinct().collect())
     few = names.limit(most_broadcast + 1).count() <= most_broadcast
-    hint = F.broadcast if few else lambda df: df
+    firsts = names.select("first").distinct()
+    firsts = F.broadcast(firsts) if few or firsts.limit(most_broadcast + 1).count() <= most_broadcast else firsts.hint("merge")
     longest = 2 * lengths[-1] - 1 if lengths else 1
     cut = parts(F.col("text"))
     places = F.transform(cut, lambda x, i: F.struct(i.alias("pos"), x.alias("first"), F.slice(F.col("_p"), i + 1, F.lit(longest)).alias("ahead")))
     words = F.filter(places, lambda x: x["first"].rlike(r"(?U)^\w"))
     at = speech.select("speech_id", "text", cut.alias("_p")).select("speech_id", F.explode(words).alias("x")).select("speech_id", "x.*")
-    at = at.join(hint(names.select("first").distinct()), "first", "left_semi")
+    at = at.join(firsts, "first", "left_semi")
     runs = F.array(*(F.when(F.size("ahead") >= 2 * n - 1, F.struct(F.lit(n).alias("n"), F.array_join(F.slice("ahead", 1, 2 * n - 1), "").alias("alias"))) for n in lengths))
     runs = F.array_compact(runs) if lengths else F.array().cast("array<struct<n:int,alias:string>>")
     grams = at.select("speech_id", "pos", F.explode(runs).alias("r")).select("speech_id", "pos", "r.n", "r.alias")
@@ -75,10 +76,10 @@ def mentions(speech: DataFrame, aliases: DataFrame, most_broadcast: int = MOST_B
         hits = grams.join(F.broadcast(known), "alias")
     else:
         dealt = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        hits = grams.withColumn("_salt", F.pmod(F.xxhash64("speech_id", "pos"), F.lit(salts)).cast("int")).join(dealt, ["alias", "_salt"]).drop("_salt")
+        hits = grams.withColumn("_salt", F.pmod(F.xxhash64("speech_id", "pos"), F.lit(salts)).cast("int")).join(dealt.hint("merge"), ["alias", "_salt"]).drop("_salt")
 
     kept = leftmost(hits).distinct()
-    small = F.broadcast(table) if table.limit(most_broadcast + 1).count() <= most_broadcast else table
+    small = F.broadcast(table) if table.limit(most_broadcast + 1).count() <= most_broadcast else table.hint("merge")
     return kept.join(small, "alias").select("speech_id", "entity_type", "entity_key").distinct()
 
 
@@ -107,7 +108,8 @@ def session_drivers(mentioned: DataFrame, speech: DataFrame, drivers: DataFrame)
     """Named drivers as the session of the speech has them: speech_id, session_key, driver_number, name; other numbers name nobody."""
     found = mentioned.where("entity_type = 'driver'").where(F.col("entity_key").rlike("^[0-9]{1,18}$"))
     keyed = found.join(speech.select("speech_id", "session_key"), "speech_id").where("session_key IS NOT NULL").withColumn("driver_number", F.col("entity_key").cast("long"))
-    return keyed.join(drivers.select("session_key", "driver_number", "name"), ["session_key", "driver_number"]).select("speech_id", "session_key", "driver_number", "name")
+    # Spark's estimate of a table's size says little about its rows in memory: a million drivers pass for a small side
+    return keyed.join(drivers.select("session_key", "driver_number", "name").hint("merge"), ["session_key", "driver_number"]).select("speech_id", "session_key", "driver_number", "name")
 
 
 def speech_times(utterances: DataFrame, clips: DataFrame, races: DataFrame, drivers: DataFrame, calls: DataFrame) -> DataFrame:
