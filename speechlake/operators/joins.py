@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .intervals import bucketed
+from .shared import MOST_BROADCAST
 
 
 def during_lap(speech: DataFrame, laps: DataFrame, tol: float, width: float) -> DataFrame:
@@ -41,9 +42,6 @@ def talked_with(clip_speakers: DataFrame, clips: DataFrame) -> DataFrame:
     return clip_pairs(clip_speakers, clips).groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
-#: Aliases that are broadcast; more are dealt to salted keys.
-MOST_BROADCAST = 50_000
-
 
 def mentions(speech: DataFrame, aliases: DataFrame, most_broadcast: int = MOST_BROADCAST, salts: int = 16) -> DataFrame:
     """(speech_id, entity_type, entity_key) for every alias that a text names, each once.

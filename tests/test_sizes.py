@@ -19,3 +19,25 @@ def test_many_aliases_and_drivers_are_not_broadcast(spark):
     # the one first word is broadcast, the 2,000 aliases and drivers meet by sorting
     assert plan_of(found).count("BroadcastHashJoin") <= 2
     assert {(x.speech_id, x.driver_number) for x in found.collect()} == {(i, n) for i in range(40) for n in (i, i + 1) if n % 3 == i % 3}
+
+
+def test_calls_are_distinct_before_names_are_joined(spark):
+    """Rows that unfold in a task are dealt by their number; repeated rows of any table make one call."""
+    from speechlake.sources.adapters import Tables
+
+    sf = "/root/testdata/sf0.001"
+    t = Tables(spark, sf)
+    twice = {name: t.raw(name).unionByName(t.raw(name)) for name in ("lineitem", "orders", "part")}
+    calls = t.v_radio
+    assert "RepartitionByExpression" in calls._jdf.queryExecution().optimizedPlan().toString()
+    assert calls._jdf.queryExecution().optimizedPlan().toString().index("Join") < calls._jdf.queryExecution().optimizedPlan().toString().index("Aggregate")
+    again = t.replaced(**twice).v_radio
+    assert calls.count() == again.count() > 0
+    assert again.exceptAll(calls).isEmpty()
+
+
+def test_dealt_rows_take_tasks_by_their_number(spark):
+    from speechlake.operators.shared import ROWS_OF_A_TASK, dealt
+
+    assert dealt(spark.range(10), 5 * ROWS_OF_A_TASK, "id").rdd.getNumPartitions() == 5
+    assert dealt(spark.range(10), 0, "id").rdd.getNumPartitions() == 1
