@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import context
 from ..operators import joins as j
+from ..operators.shared import MOST_BROADCAST, dealt
 from .graph import DONE, EDGE_SQL, END_SQL
 from .registry import query
 
@@ -45,7 +46,13 @@ def j12(t):
 def j13(t):
     d = t.v_drivers.select("session_key", "driver_number", C("name").alias("driver"))
     s = t.v_sessions.select("session_key", C("name").alias("session"), "circuit")
-    return t.v_radio.join(d, ["session_key", "driver_number"], "left").join(s, "session_key", "left").select("call_id", "driver", "session", "circuit")
+    radio, n = t.v_radio, t.customer.count()
+    if n <= MOST_BROADCAST:
+        found = radio.join(F.broadcast(d), ["session_key", "driver_number"], "left")
+    else:
+        rows = t.lineitem.count()  # a call at most for each
+        found = dealt(radio, rows, "session_key", "driver_number").join(dealt(d, rows, "session_key", "driver_number").hint("merge"), ["session_key", "driver_number"], "left")
+    return found.join(s, "session_key", "left").select("call_id", "driver", "session", "circuit")
 
 
 @query("j14_latest", "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
