@@ -177,9 +177,9 @@ ANCHORED = f"""tw AS (SELECT topic, mood, profile_id, unnest(ws) AS term, genera
 
 def spoken_lines(t):
     """All speech, computed once for the several uses of a search."""
-    from ..operators.shared import checkpointed
+    from ..operators.shared import stored
 
-    return checkpointed(context.speech_lines(t))
+    return stored(context.speech_lines(t))
 
 
 @query("r08_browse_mood", f"WITH {SPEECH}, asked AS (SELECT m AS request_id, NULL::VARCHAR AS topic, m AS mood, NULL::BIGINT AS profile_id, 30 AS over FROM (VALUES ('calm'), ('stressed'), ('tired')) v(m)), {ANCHORED} SELECT mood, speech_id, rank AS place FROM anchored")
@@ -279,10 +279,10 @@ def r13(t):
   SELECT request_id, body, (SELECT count(*) FROM blocks b WHERE b.request_id = x.request_id) AS n_anchors FROM ({BODY.format(n=1200)}) x""")
 def r14(t):
     """Anchors, searched or given by id (negative requests: all calls of a driver), expanded and rendered as evidence."""
-    from ..operators.shared import checkpointed
+    from ..operators.shared import stored
 
     speech = spoken_lines(t)
     given = speech.where("kind = 'radio_call' AND whose % 50 = 0").select((-C("whose")).alias("request_id"), F.row_number().over(Window.partitionBy("whose").orderBy(F.desc("newest"), "speech_id")).alias("rank"), "speech_id")
     found = search.anchors(anchor_requests(t), speech).select("request_id", "rank", "speech_id").unionByName(given)
-    blocks = checkpointed(r.block(context.expand(t, checkpointed(found), speech)).select("request_id", "rank", "block"))
+    blocks = stored(r.block(context.expand(t, stored(found), speech)).select("request_id", "rank", "block"))
     return q.truncate_blocks(blocks, "request_id", 1200).join(blocks.groupBy("request_id").agg(F.count("*").alias("n_anchors")), "request_id")
