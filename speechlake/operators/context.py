@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import graph as g
 from . import joins as j
+from .shared import stored
 
 C = F.col
 
@@ -44,10 +45,13 @@ def neighbourhood(t, ids: DataFrame, speech: DataFrame | None = None) -> DataFra
     multiply each other; what is missing is null.
     """
     asked = lambda df: df.join(ids, "speech_id", "left_semi")
-    speech = speech_lines(t) if speech is None else speech
+    speech = stored(speech_lines(t)) if speech is None else speech
     around = Window.partitionBy("line").orderBy("spot", "speech_id")
     lines = asked(speech).select("line").distinct()
-    own = asked(speech.join(lines, "line", "left_semi").withColumns({"prev_text": F.lag("text").over(around), "next_text": F.lead("text").over(around)}))
+    own = stored(asked(speech.join(lines, "line", "left_semi").withColumns({"prev_text": F.lag("text").over(around), "next_text": F.lead("text").over(around)})))
+    # every kind of fact below is made of the asked speech alone: clips, calls and their texts are not read again
+    said = own.where("kind = 'utterance'").withColumns({"clip_id": F.substring_index("line", ":", -1).cast("long"), "race_id": C("whose")})
+    calls = own.where("kind = 'radio_call'")
 
     voices = t.v_drivers.where("profile_id IS NOT NULL").groupBy("profile_id").agg(F.min("driver_number").alias("voice_driver"))
     drivers = t.v_drivers.groupBy("driver_number").agg(F.max("name").alias("driver_name"), F.max(C("team_key").cast("string")).alias("team"))
@@ -56,17 +60,22 @@ def neighbourhood(t, ids: DataFrame, speech: DataFrame | None = None) -> DataFra
     who = own.join(speakers, "profile_id", "left").join(voices, "profile_id", "left").withColumn("driver_number", F.coalesce("driver_number", "voice_driver"))
     who = who.join(drivers, "driver_number", "left").withColumn("driver", C("driver_name")).join(sessions, "session_key", "left")
 
+    numbers = t.v_drivers.select("session_key", "driver_number", "profile_id")
+    sessions_of = t.v_races.select("race_id", C("session_key").alias("_session"))
+    timed = said.where("profile_id IS NOT NULL").select("speech_id", "race_id", "profile_id", (C("newest") + C("spot")).alias("at_s")).join(sessions_of, "race_id").withColumnRenamed("_session", "session_key")
+    said_at = timed.join(numbers, ["session_key", "profile_id"]).select("speech_id", "session_key", "driver_number", "at_s").unionByName(calls.select("speech_id", "session_key", "driver_number", C("spot").alias("at_s")))
+    said_at = stored(said_at)
+    driven = t.v_laps.join(said_at.select("driver_number").distinct(), "driver_number", "left_semi")  # goes below the window over orders
     w = Window.partitionBy("session_key", "driver_number").orderBy("lap_number")
-    times = t.v_laps.select("session_key", "driver_number", "lap_number", "duration_s", F.lag("duration_s").over(w).alias("prev_s"))
-    calls = g.good_calls(t).withColumnsRenamed({"call_id": "speech_id", "recorded_s": "at_s"})
-    said_at = asked(j.speech_times(t.v_speech_utt, t.v_clips, t.v_races, t.v_drivers, calls))
-    on_laps = j.during_lap(said_at, t.v_laps, 86400.0, 30 * 86400.0).join(times, ["session_key", "driver_number", "lap_number"])
+    laps = stored(driven.select("session_key", "driver_number", "lap_number", "start_s", "duration_s", F.lag("duration_s").over(w).alias("prev_s")))
+    on_laps = j.during_lap(said_at, laps, 86400.0, 30 * 86400.0).join(laps.drop("start_s"), ["session_key", "driver_number", "lap_number"])
 
-    named = g.mention_edges(t, ids).join(g.entities(t), C("dst") == C("key"), "left_semi").select(C("src").alias("speech_id"), F.substring_index("dst", ":", 1).alias("kind"), F.expr("substring(dst, instr(dst, ':') + 1)").alias("entity"))
+    texts = calls.select("speech_id", "session_key", "text").unionByName(said.join(sessions_of, "race_id", "left").select("speech_id", C("_session").alias("session_key"), "text"))
+    named = g.mentions_of(t, texts).join(g.entities(t), C("dst") == C("key"), "left_semi").select(C("src").alias("speech_id"), F.substring_index("dst", ":", 1).alias("kind"), F.expr("substring(dst, instr(dst, ':') + 1)").alias("entity"))
     by_number = drivers.select(C("driver_number").cast("string").alias("entity"), F.lit("driver").alias("kind"), "driver_name")
     named = named.join(by_number, ["kind", "entity"], "left").withColumn("name", F.coalesce("driver_name", "entity"))
 
-    events = asked(g.events(t))
+    events = stored(g.events_of(said.withColumn("idx", C("spot"))))
     targets = events.where("target IS NOT NULL").join(drivers, C("target") == C("driver_number")).select("speech_id", "event_type", C("driver_name").alias("driver"))
     out = who.select("speech_id", "kind", "text", "mood", "sentiment", "sentiment_score", "text_sentiment", "speaker", "driver", "driver_name", "team", "session", "year", "circuit", "prev_text", "next_text")
     for more in (gathered(on_laps, "laps", "lap_number", "duration_s", "prev_s"), gathered(named, "mentions", "kind", "name"), gathered(events, "events", "event_type", "score", "family"), gathered(targets, "targets", "event_type", "driver")):

@@ -147,9 +147,9 @@ def j21(t):
 
 
 def expanded(t):
-    from ..operators.shared import checkpointed
+    from ..operators.shared import stored
 
-    speech = checkpointed(context.speech_lines(t))
+    speech = stored(context.speech_lines(t))
     return context.expand(t, call_anchors(t, speech), speech)
 
 

@@ -41,3 +41,17 @@ def test_dealt_rows_take_tasks_by_their_number(spark):
 
     assert dealt(spark.range(10), 5 * ROWS_OF_A_TASK, "id").rdd.getNumPartitions() == 5
     assert dealt(spark.range(10), 0, "id").rdd.getNumPartitions() == 1
+
+
+def test_neighbourhoods_do_not_read_speech_again(spark):
+    """What surrounds asked speech is made of the stored speech: the table that calls and utterances come from is not read."""
+    from speechlake.operators import context
+    from speechlake.operators.shared import stored
+    from speechlake.sources.adapters import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    speech = stored(context.speech_lines(t))
+    ids = stored(speech.orderBy("speech_id").limit(9).unionByName(speech.orderBy(F.desc("speech_id")).limit(9)).select("speech_id").distinct())
+    broken = t.lineitem.select(*(F.raise_error(F.lit("read again")).cast(f.dataType).alias(f.name) for f in t.lineitem.schema))
+    got = context.neighbourhood(t.replaced(lineitem=broken), ids, speech)
+    assert {x.speech_id for x in got.collect()} == {x.speech_id for x in ids.collect()}
