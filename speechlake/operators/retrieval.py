@@ -6,11 +6,12 @@ have the speech id as tie-break, so reruns agree.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import tone_phrase
-from .identity import similarities
+from .nearness import nearest_of
 
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
@@ -73,15 +74,30 @@ def ranked(rows: DataFrame, score: str, cap: int) -> DataFrame:
     return rows.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= cap)
 
 
-def nearest(requests: DataFrame, speech: DataFrame, cap: int, only: DataFrame | None = None, most: int = 2_000) -> DataFrame:
+#: Speech rows that meet the requests in one group.
+SPEECH_OF_A_GROUP = 10_000
+
+
+def nearest(requests: DataFrame, speech: DataFrame, cap: int, only: DataFrame | None = None, most: int = 10_000, share: int = SPEECH_OF_A_GROUP) -> DataFrame:
     """request_id, speech_id, sim, rk: the cap speech rows nearest to each request (request_id, vec), ties by id.
 
-    Speech (speech_id, vec) stays where it is; the requests are counted and travel to it in blocks of at most
-    `most`, and each task keeps its own best before rows meet by request. only: speech ids that filters leave.
+    All speech (speech_id, vec) is compared with all requests: both are counted and dealt by hash to groups of about
+    `share` rows and `most` requests, and a group gives the best cap of its own rows, so that rows for single pairs
+    are never made. Pairs without a cosine (null vectors or components, lengths that differ) rank last. only: speech
+    ids that filters leave.
     """
-    rows = speech if only is None else speech.join(only, "speech_id", "left_semi")
-    sims = similarities(rows.withColumnRenamed("speech_id", "query_id"), requests, "request_id", "vec", most)
-    return ranked(sims.withColumnRenamed("query_id", "speech_id"), "sim", cap)
+    rows = (speech if only is None else speech.join(only, "speech_id", "left_semi")).select("speech_id", "vec")
+    parts, blocks = (max(1, -(-df.count() // n)) for df, n in ((rows, share), (requests, most)))
+    dealt = lambda df, key, mine, n, other, m: df.withColumns({mine: F.pmod(F.xxhash64(key), F.lit(n)).cast("int"), other: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))})
+    left = dealt(rows, "speech_id", "_part", parts, "_block", blocks).groupBy("_part", "_block")
+    right = dealt(requests.select(F.col("request_id").alias("request_id"), F.col("vec").alias("vec")), "request_id", "_block", blocks, "_part", parts).groupBy("_part", "_block")
+    types = {**dict(rows.dtypes), **dict(requests.dtypes)}
+
+    def best(own: pa.Table, asks: pa.Table) -> pa.Table:
+        return nearest_of(own, asks, cap)
+
+    sims = left.cogroup(right).applyInArrow(best, f"request_id {types['request_id']}, speech_id {types['speech_id']}, sim double")
+    return ranked(sims, "sim", cap)
 
 
 def fuse(a: DataFrame, b: DataFrame, k: int = 60) -> DataFrame:
