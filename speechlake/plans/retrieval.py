@@ -142,9 +142,10 @@ def r06(t):
     calm = t.v_docs.where("mood = 'calm'").select("speech_id")
     index = index_of(t)
     found = r.match(index, few(t)).join(r.cover_rank(index, terms(t)), ["request_id", "speech_id"]).join(calm, "speech_id", "left_semi")
+    # requests of the same words share a text leg: it is ranked and cut once for them all
+    text = r.ranked(found.withColumn("rank", F.round("rank", 9)), "rank", 200).withColumnRenamed("request_id", "words")
     asks = vector_requests(t).select("request_id", (F.floor(C("request_id") / 50) % 4 + 1).alias("words"))
-    text = found.withColumnRenamed("request_id", "words").join(asks, "words").withColumn("rank", F.round("rank", 9))
-    return r.fuse(vector_leg(t, 200, calm), r.ranked(text, "rank", 200)).select("request_id", "speech_id", F.round("score", 9).alias("score"))
+    return r.fuse(vector_leg(t, 200, calm), text.join(asks, "words")).select("request_id", "speech_id", F.round("score", 9).alias("score"))
 
 
 @query("r07_radio_search", """SELECT call_id AS speech_id, score, rk FROM (SELECT call_id, score, row_number() OVER (ORDER BY score DESC, call_id) AS rk FROM (SELECT call_id, len(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x IN ('red', 'steel', 'small'))) AS score FROM v_radio WHERE error IS NULL AND analyzed_s IS NOT NULL AND mood = 'stressed') WHERE score > 0) WHERE rk <= 50""")

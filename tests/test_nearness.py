@@ -59,3 +59,15 @@ def test_pairs_never_become_rows_of_the_plan(spark):
     right = spark.range(40).selectExpr("id AS speech_id", "array(1D, cast(id AS double)) AS vec")
     plan = r.nearest(left, right, 2, most=2, share=8)._jdf.queryExecution().optimizedPlan().toString()
     assert "_set" not in plan and "CoGroupsInArrow" in plan
+
+
+def test_text_leg_is_ranked_before_requests_join_it(spark):
+    """A request's words are asked by many: matches are cut to 200 before they are given to each of them."""
+    from speechlake.plans.catalogue import QUERIES
+
+    plan = QUERIES["r06_hybrid"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    lines = plan.splitlines()
+    at = next(i for i, x in enumerate(lines) if "Join Inner, (words" in x)
+    below = [x for x in itertools.takewhile(lambda x: depth(x) > depth(lines[at]), lines[at + 1 :])]
+    assert any(re.search(r"row_number\(\).*rank#\d+ DESC", x) for x in below)
