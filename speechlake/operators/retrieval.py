@@ -12,15 +12,23 @@ from pyspark.sql import functions as F
 
 from ..functions.scoring import tone_phrase
 from .nearness import nearest_of
+from .shared import ROWS_OF_A_TASK
 
 NOT_WORD = r"[^\p{L}\p{N}]+"
+#: Characters of the texts whose words one task groups.
+CHARS_OF_A_TASK = 8_000_000
 
 
 def postings(speech: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """speech_id, token, positions (from 0): lower-cased runs of letters and digits, no stemming.
 
-    With only (term), the rows of these tokens; the others are left out before anything is shuffled.
+    With only (term), the rows of these tokens; the others are left out before anything is shuffled. Without, whole
+    texts move by their id and are cut and grouped where they arrive, in tasks of about CHARS_OF_A_TASK, so that
+    words are not shuffled one by one and a task's words stay in its memory.
     """
+    if only is None:
+        size = speech.agg(F.count(F.lit(1)), F.sum(F.length("text").cast("long"))).first()
+        speech = speech.select("speech_id", "text").repartition(max(1, -(-(size[1] or 0) // CHARS_OF_A_TASK), -(-size[0] // ROWS_OF_A_TASK)), "speech_id")
     tokens = F.filter(F.split(F.lower("text"), NOT_WORD), lambda x: x != "")
     rows = speech.select("speech_id", F.posexplode(tokens).alias("pos", "token"))
     if only is not None:

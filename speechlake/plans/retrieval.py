@@ -152,7 +152,8 @@ def r06(t):
 def r07(t):
     """Analysed calls of a mood by any of some words."""
     calls = t.v_radio.where("error IS NULL AND analyzed_s IS NOT NULL AND mood = 'stressed'").select(C("call_id").alias("speech_id"), "text")
-    hits = r.postings(calls).where(C("token").isin("red", "steel", "small")).groupBy("speech_id").agg(F.sum(F.size("positions")).alias("score")).withColumn("request_id", F.lit(1))
+    words = t.spark.createDataFrame([("red",), ("steel",), ("small",)], "term string")
+    hits = r.postings(calls, words).groupBy("speech_id").agg(F.sum(F.size("positions")).alias("score")).withColumn("request_id", F.lit(1))
     return r.ranked(hits, "score", 50).select("speech_id", "score", "rk")
 
 

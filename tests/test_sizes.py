@@ -55,3 +55,16 @@ def test_neighbourhoods_do_not_read_speech_again(spark):
     broken = t.lineitem.select(*(F.raise_error(F.lit("read again")).cast(f.dataType).alias(f.name) for f in t.lineitem.schema))
     got = context.neighbourhood(t.replaced(lineitem=broken), ids, speech)
     assert {x.speech_id for x in got.collect()} == {x.speech_id for x in ids.collect()}
+
+
+def test_whole_postings_shuffle_texts_and_not_words(spark):
+    """Words are cut where their text has arrived; ids that stand twice still make one row for each word."""
+    from speechlake.operators import retrieval as r
+
+    said = spark.createDataFrame([(1, "a b A"), (2, None), (1, "b c"), (3, "")], "speech_id long, text string")
+    index = r.postings(said)
+    plan = index._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Repartition")
+    physical = index._jdf.queryExecution().executedPlan().toString()
+    assert physical.count("Exchange") == 1
+    assert {(x.speech_id, x.token): x.positions for x in index.collect()} == {(1, "a"): [0, 2], (1, "b"): [0, 1], (1, "c"): [1]}
