@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.vectors import weighted_centroid
+from ..functions.vectors import mean_direction, weighted_centroid
 from ..operators import identity as v
 from .intervals import rounded
 from .registry import query
@@ -208,15 +208,19 @@ HALVES = """hs AS (SELECT *, end_s - start_s AS d FROM v_turns), ha AS (SELECT *
   ag AS (SELECT a.clip_id, a.label, list_inner_product(a.s, b.s) / sqrt(list_inner_product(a.s, a.s)) / sqrt(list_inner_product(b.s, b.s)) AS g FROM hv a JOIN hv b ON a.clip_id = b.clip_id AND a.label = b.label AND a.half = 'a' AND b.half = 'b')"""
 
 
+#: Turns with their vectors that one task sums.
+TURNS_OF_A_TASK = 100_000
+
+
 @query("v15_split_half", f"WITH {HALVES} SELECT clip_id, label, round(g, 6) AS agreement, round(CASE WHEN g < 0.6 THEN greatest(0, least(1, g / 0.6)) ELSE 1 END, 6) AS factor FROM ag")
 def v15(t):
     """Agreement of the voices of the two halves of a clip's label, and the discount where they differ."""
     from ..operators.sequences import split_halves
 
-    n = t.v_voices.count()
-    turns = split_halves(t.v_turns).withColumn("vec_id", C("turn_id") % n).join(t.v_voices.select("vec_id", C("voice").alias("vec")), "vec_id")
-    half = F.struct("clip_id", "label", "half")
-    made = weighted_centroid(turns.withColumns({"k": half, "one": F.lit(1.0)}), "k", "vec", "one").select("k.*", C("centroid").alias("vec"))
+    n, size = t.v_voices.agg(F.count("*"), F.coalesce(F.max(F.size("voice")), F.lit(0))).first()
+    turns = split_halves(t.v_turns).withColumn("vec_id", C("turn_id") % n).join(t.v_voices.where(F.size("voice") > 0).select("vec_id", C("voice").alias("vec")), "vec_id")
+    tasks = max(1, -(-t.v_turns.count() // TURNS_OF_A_TASK))
+    made = mean_direction(turns, ["clip_id", "label", "half"], "vec", size, tasks).withColumnRenamed("centroid", "vec")
     return rounded(v.split_half_discount(made), "agreement", "factor")
 
 

@@ -68,3 +68,17 @@ def test_whole_postings_shuffle_texts_and_not_words(spark):
     physical = index._jdf.queryExecution().executedPlan().toString()
     assert physical.count("Exchange") == 1
     assert {(x.speech_id, x.token): x.positions for x in index.collect()} == {(1, "a"): [0, 2], (1, "b"): [0, 1], (1, "c"): [1]}
+
+
+def test_vectors_of_many_keys_stay_whole_rows(spark):
+    """A vector went to the sums of its key number by number, each with the key beside it."""
+    from speechlake.functions.vectors import mean_direction, weighted_centroid
+
+    rows = spark.createDataFrame([(1, "a", [3.0, 0.0, None]), (1, "a", [0.0, 4.0, 0.0]), (1, "b", [0.0, 0.0, 0.0]), (2, "a", [0.0, 0.0, 2.0])], "clip_id long, half string, vec array<double>")
+    made = mean_direction(rows, ["clip_id", "half"], "vec", 3, 2)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and plan.count("Exchange") == 1
+    got = {(x.clip_id, x.half): x.centroid for x in made.collect()}
+    assert got == {(1, "a"): [0.6, 0.8, 0.0], (1, "b"): None, (2, "a"): [0.0, 0.0, 1.0]}
+    key = F.struct("clip_id", "half")
+    assert got == {tuple(x.k): x.centroid for x in weighted_centroid(rows.withColumns({"k": key, "one": F.lit(1.0)}), "k", "vec", "one").collect()}
