@@ -82,3 +82,17 @@ def test_vectors_of_many_keys_stay_whole_rows(spark):
     assert got == {(1, "a"): [0.6, 0.8, 0.0], (1, "b"): None, (2, "a"): [0.0, 0.0, 1.0]}
     key = F.struct("clip_id", "half")
     assert got == {tuple(x.k): x.centroid for x in weighted_centroid(rows.withColumns({"k": key, "one": F.lit(1.0)}), "k", "vec", "one").collect()}
+
+
+def test_summary_reads_shared_views_as_they_were_written(spark, tmp_path):
+    """Each of 31 parts made the views of lineitem anew; stored views are made of those stored before them."""
+    from speechlake.operators import graph as g
+    from speechlake.sources.adapters import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    assert "l_orderkey" not in plan_of(g.summary(t, str(tmp_path / "one")))
+    base = t.stored(("v_clip_speakers",), str(tmp_path / "two"))
+    lost = base.replaced(v_clip_speakers=base.v_clip_speakers.limit(0))
+    assert lost.stored(("v_speech_utt",), str(tmp_path / "three")).v_speech_utt.isEmpty()
+    written = t.stored(("v_clip_speakers", "v_speech_utt"), str(tmp_path / "four"))
+    assert written.v_speech_utt.exceptAll(t.v_speech_utt).isEmpty() and written.v_speech_utt.count() == t.v_speech_utt.count()
