@@ -10,10 +10,10 @@ from ..functions.steps import baseline_tone, cut_chunk
 from .folds import fold_rows
 
 
-def next_edges(rows: DataFrame, keys: list[str], order: list[str], node: str) -> DataFrame:
-    """(src, dst) of each row and the next one in order."""
+def next_edges(rows: DataFrame, keys: list[str], order: list[str], node: str, *more: str) -> DataFrame:
+    """(src, dst) of each row and the next one in order, with more columns of the next one."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    return rows.select(F.lag(node).over(w).alias("src"), F.col(node).alias("dst")).where("src IS NOT NULL")
+    return rows.select(F.lag(node).over(w).alias("src"), F.col(node).alias("dst"), *more).where("src IS NOT NULL")
 
 
 def lap_deltas(laps: DataFrame, by: str = "edge") -> DataFrame:

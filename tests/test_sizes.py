@@ -96,3 +96,20 @@ def test_summary_reads_shared_views_as_they_were_written(spark, tmp_path):
     assert lost.stored(("v_speech_utt",), str(tmp_path / "three")).v_speech_utt.isEmpty()
     written = t.stored(("v_clip_speakers", "v_speech_utt"), str(tmp_path / "four"))
     assert written.v_speech_utt.exceptAll(t.v_speech_utt).isEmpty() and written.v_speech_utt.count() == t.v_speech_utt.count()
+
+
+def test_sure_ends_are_not_made_again(spark):
+    """Nodes of an edge's own rows were built a second time to be looked up: calls were made of lineitem for the mentions' edges, their texts and their ends."""
+    from speechlake.operators import graph as g
+    from speechlake.sources.adapters import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    # half of the races, drivers, speakers and sessions are missing, and no edge may point at them
+    t = t.replaced(customer=t.customer.where("c_custkey % 2 = 0"), supplier=t.supplier.where("s_suppkey % 3 > 0"), nation=t.nation.where("n_nationkey % 2 = 0"))
+    edges = {p.name: p for p in g.EDGES}
+    assert "l_orderkey" not in plan_of(g.landed(t, edges["MENTIONS"]))
+    for name in ("IN_CLIP", "SPOKEN_BY", "UTT_NEXT", "IN_RACE", "PART_OF", "DROVE_IN", "CALL_BY_DRIVER", "LAP_NEXT", "DURING_LAP", "READS_AS", "INVOLVES", "MENTIONS"):
+        p = edges[name]
+        rows = lambda df: sorted(map(repr, df.select(*sorted(df.columns)).collect()))
+        every = rows(j.land_edges(p.build(t), *(g.ENDS[e](t) for e in p.ends)))
+        assert rows(g.landed(t, p)) == every and every, name
