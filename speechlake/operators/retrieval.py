@@ -12,13 +12,18 @@ from pyspark.sql import functions as F
 
 from ..functions.scoring import tone_phrase
 from .nearness import nearest_of
-from .shared import ROWS_OF_A_TASK
+from .shared import ROWS_OF_A_TASK, dealt
 
 NOT_WORD = r"[^\p{L}\p{N}]+"
 #: Characters of the texts whose words one task groups.
 CHARS_OF_A_TASK = 8_000_000
 
 
+def words() -> Column:
+    """The lower-cased runs of letters and digits of text, with what stands before the first and after the last, which is empty."""
+    return F.split(F.lower("text"), NOT_WORD)
+
+
 def postings(speech: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """speech_id, token, positions (from 0): lower-cased runs of letters and digits, no stemming.
 
@@ -29,7 +34,7 @@ def postings(speech: DataFrame, only: DataFrame | None = None) -> DataFrame:
     if only is None:
         size = speech.agg(F.count(F.lit(1)), F.sum(F.length("text").cast("long"))).first()
         speech = speech.select("speech_id", "text").repartition(max(1, -(-(size[1] or 0) // CHARS_OF_A_TASK), -(-size[0] // ROWS_OF_A_TASK)), "speech_id")
-    tokens = F.filter(F.split(F.lower("text"), NOT_WORD), lambda x: x != "")
+    tokens = F.filter(words(), lambda x: x != "")
     rows = speech.select("speech_id", F.posexplode(tokens).alias("pos", "token"))
     if only is not None:
         few = only.select(F.col("term").alias("token")).distinct()
@@ -51,19 +56,22 @@ def match(index: DataFrame, terms: DataFrame) -> DataFrame:
     return met.select("request_id", "speech_id").join(banned, ["request_id", "speech_id"], "left_anti")
 
 
-def cover_rank(index: DataFrame, terms: DataFrame) -> DataFrame:
+def cover_rank(index: DataFrame, terms: DataFrame, counted: bool = False) -> DataFrame:
     """request_id, speech_id, rank: for each place where all terms of the request end, 0.1 over 1 plus the strangers within.
 
     A cover ends at a position of one term and begins at the latest earlier position by which all others have
-    come; covers that hold another are left out.
+    come; covers that hold another are left out. counted: for an index that costs little to read twice; its
+    positions are counted first and dealt to tasks by their number, so that what a task sorts stays in its memory.
     """
     of_request = Window.partitionBy("request_id")
     wanted = terms.where("kind <> 'none'").select("request_id", "term").distinct()
     wanted = wanted.withColumns({"slot": F.row_number().over(of_request.orderBy("term")), "n_terms": F.count("*").over(of_request)})
     slots, rows = wanted.agg(F.max("slot"), F.count("*")).first()
     wanted = F.broadcast(wanted) if rows <= 10_000 else wanted
-    at = index.join(wanted, index["token"] == wanted["term"]).select("request_id", "speech_id", "slot", "n_terms", F.explode("positions").alias("pos"))
-    return covers(at, slots or 1)
+    at = index.join(wanted, index["token"] == wanted["term"]).select("request_id", "speech_id", "slot", "n_terms", "positions")
+    if counted:
+        at = dealt(at, at.agg(F.sum(F.size("positions"))).first()[0] or 0, "request_id", "speech_id")
+    return covers(at.select("request_id", "speech_id", "slot", "n_terms", F.explode("positions").alias("pos")), slots or 1)
 
 
 def covers(at: DataFrame, slots: int) -> DataFrame:

@@ -104,9 +104,11 @@ def r03(t):
 @query("r03_merged_index", f"WITH {COVER_SQL} SELECT request_id, speech_id, round(rank, 6) AS rank FROM cover")
 def r03_merged(t):
     """The same ranks from the stored index once its segments are merged."""
+    from ..operators.shared import stored
+
     index = stored_index(t)
     index.merge(2)
-    return rounded(r.cover_rank(index.lookup(terms(t)), terms(t)), "rank")
+    return rounded(r.cover_rank(stored(index.lookup(terms(t))), terms(t), counted=True), "rank")
 
 
 @query("r04_keyword_search", f"WITH {MATCH_SQL}, rk AS (SELECT f.*, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, speech_id) AS rk FROM freq f JOIN v_docs d USING (speech_id) WHERE d.mood = 'calm') SELECT * FROM rk WHERE rk <= 20")

@@ -113,3 +113,18 @@ def test_sure_ends_are_not_made_again(spark):
         rows = lambda df: sorted(map(repr, df.select(*sorted(df.columns)).collect()))
         every = rows(j.land_edges(p.build(t), *(g.ENDS[e](t) for e in p.ends)))
         assert rows(g.landed(t, p)) == every and every, name
+
+
+def test_counted_positions_are_ranked_in_tasks_by_their_number(spark, monkeypatch):
+    """The tasks that sort positions were as many as the session shuffles by, whatever the index."""
+    from speechlake.operators import retrieval as r
+    from speechlake.operators import shared
+
+    monkeypatch.setattr(shared, "ROWS_OF_A_TASK", 20)
+    said = spark.createDataFrame([(i, "a b c a d b " * (i % 4)) for i in range(40)], "speech_id long, text string")
+    terms = spark.createDataFrame([(1, 1, "all", "a", 0), (1, 2, "any", "d", 0), (2, 1, "all", "b", 0)], "request_id long, clause_id long, kind string, term string, offset int")
+    index = r.postings(said)
+    ranks = r.cover_rank(index, terms, counted=True)
+    assert "REPARTITION_BY_NUM" in plan_of(ranks) and ranks.rdd.getNumPartitions() == 60 * 5 // 20
+    assert sorted(map(tuple, ranks.collect())) == sorted(map(tuple, r.cover_rank(index, terms).collect()))
+    assert r.cover_rank(index.limit(0), terms, counted=True).isEmpty()

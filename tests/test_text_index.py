@@ -55,3 +55,42 @@ def test_empty_segment(spark, tmp_path):
     assert index.lookup(spark.createDataFrame([("a",)], "term string")).count() == 0
     index.merge(1)
     assert index.lookup(spark.createDataFrame([("a",)], "term string")).count() == 0
+
+
+def test_a_token_is_one_row_of_a_chunk(spark, tmp_path):
+    """Each token of each text was a row, which was shuffled as such when it was indexed and when segments were merged."""
+    said = spark.createDataFrame([(i, f" the car {i % 3} of the team!") for i in range(60)], "speech_id long, text string").coalesce(1)
+    index = TextIndex(spark, str(tmp_path / "index"))
+    index.append(0, said.where("speech_id < 40").coalesce(1))
+    index.append(1, said.where("speech_id >= 30").coalesce(1))
+    index.merge(2)
+    stored = spark.read.parquet(str(tmp_path / "index/postings")).where("part >= 0")
+    tokens = 7  # the, car, of, team, 0, 1, 2
+    assert {r.segment: r["count"] for r in stored.groupBy("segment").count().collect()} == {0: tokens, 1: tokens, 2: 2 * tokens}
+    asked = spark.createDataFrame([("the",), ("2",)], "term string")
+    assert rows(index.lookup(asked)) == rows(postings(said, asked))
+
+
+def test_many_chunks_of_many_segments(spark, tmp_path, monkeypatch):
+    """Chunks of a few words, ids that are strings, tables that are too large to be broadcast; merged twice."""
+    from speechlake.operators import text_index
+
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(40)]
+    text = lambda: rng.choice(["", None, "-- ", *(" ".join(rng.choice(words) for _ in range(rng.randint(1, 40))) for _ in range(9))])
+    asked = spark.createDataFrame([(x,) for x in [*words, ""]], "term string")
+    for limit, kind, key in ((0, "string", lambda i: f"k{i}"), (10**6, "long", lambda i: i)):
+        monkeypatch.setattr(text_index, "MOST_BYTES", limit)
+        index, now = TextIndex(spark, str(tmp_path / kind), parts=2, kind=kind, most=350), {}
+        for n, ids in enumerate((range(60), range(0, 90, 2), None, range(0, 90, 3))):
+            if ids is None:
+                index.merge(n)
+            else:
+                batch = {key(i): text() for i in ids}
+                index.append(n, spark.createDataFrame(list(batch.items()), f"speech_id {kind}, text string").coalesce(2))
+                now.update(batch)
+        want = rows(postings(spark.createDataFrame(list(now.items()), f"speech_id {kind}, text string"), asked))
+        assert index.rows([0]).select("chunk").distinct().count() > 10
+        assert rows(index.lookup(asked)) == want
+        index.merge(4)
+        assert index.live() == [4] and rows(index.lookup(asked)) == want
