@@ -84,9 +84,9 @@ def stored_index(t):
 @query("r02_stored_index", f"WITH {MATCH_SQL} SELECT * FROM matched")
 def r02_stored(t):
     """The same matches from the stored index, of which the parts of the terms are read."""
-    from ..operators.shared import checkpointed
+    from ..operators.shared import stored
 
-    return r.match(checkpointed(stored_index(t).lookup(terms(t))), few(t))
+    return r.match(stored(stored_index(t).lookup(terms(t))), few(t))
 
 
 COVER_SQL = f"""{POST_SQL}, {TERM_SQL}, wt AS (SELECT request_id, term, row_number() OVER (PARTITION BY request_id ORDER BY term) AS slot, count(*) OVER (PARTITION BY request_id) AS k FROM (SELECT DISTINCT request_id, term FROM terms WHERE kind <> 'none')),
