@@ -112,11 +112,15 @@ def session_drivers(mentioned: DataFrame, speech: DataFrame, drivers: DataFrame)
 
 def speech_times(utterances: DataFrame, clips: DataFrame, races: DataFrame, drivers: DataFrame, calls: DataFrame) -> DataFrame:
     """speech_id, session_key, driver_number, at_s: an utterance by its finished clip's time and place in it, a call by its own."""
+    return utterance_times(utterances, clips, races, drivers).drop("clip_id").unionByName(calls.select("speech_id", "session_key", "driver_number", "at_s"))
+
+
+def utterance_times(utterances: DataFrame, clips: DataFrame, races: DataFrame, drivers: DataFrame) -> DataFrame:
+    """speech_id, clip_id, session_key, driver_number, at_s of the utterances alone."""
     u = utterances.select("utterance_id", "clip_id", "idx", "profile_id").where("profile_id IS NOT NULL")
     c = clips.where("status = 'COMPLETE'").select("clip_id", "race_id", "created_at").join(races.select("race_id", "session_key"), "race_id")
     said = u.join(c, "clip_id").join(drivers.select("session_key", "driver_number", "profile_id"), ["session_key", "profile_id"])
-    mine = said.select(F.col("utterance_id").cast("string").alias("speech_id"), "session_key", "driver_number", (F.unix_seconds(F.col("created_at").cast("timestamp")) + F.col("idx")).alias("at_s"))
-    return mine.unionByName(calls.select("speech_id", "session_key", "driver_number", "at_s"))
+    return said.select(F.col("utterance_id").cast("string").alias("speech_id"), "clip_id", "session_key", "driver_number", (F.unix_seconds(F.col("created_at").cast("timestamp")) + F.col("idx")).alias("at_s"))
 
 
 def target_driver(mentioned: DataFrame) -> DataFrame:
